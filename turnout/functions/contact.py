@@ -104,7 +104,7 @@ def industry_of_company(company: Column) -> Column:
 
 
 def _any(col: Column, *words: str) -> Column:
-    return reduce(lambda a, b: a | b, [col.contains(w) for w in words])
+    return col.rlike("|".join(words))
 
 
 def function_by_keyword(title: Column) -> Column:
@@ -293,24 +293,22 @@ class Rules:
             chain = chain.when((t != "") & t.isin(*[x.lower() for x in tier.titles]), F.lit(tier.name))
         return chain.otherwise(self.tiers[-1].name)
 
-    def region_configured(self, code: Column) -> Column:
-        """Region of an already normalised code from the configured table, NULL when unlisted."""
-        chain = F
-        for region, codes in self.regions.items():
-            chain = chain.when(code.isin(*[c.upper() for c in codes]), F.lit(region))
-        return chain.otherwise(F.lit(None).cast("string"))
-
-    def region_and_owner(self, country: Column) -> tuple[Column, Column]:
-        """Configured region first, then the built-in fallback (which owns nobody), then UNASSIGNED."""
-        code = country_code(country)
-        by_code = {c: r for r, codes in fixed.FALLBACK_REGIONS.items() for c in codes}
-        region = F.coalesce(self.region_configured(code), lookup(by_code, code), F.lit("UNASSIGNED"))
-        bucket = F.when(region == "UNASSIGNED", F.lit("AMER")).otherwise(region)
-        return region, F.coalesce(lookup(self.owners, bucket), F.lit(""))
+    def region_configured(self) -> dict:
+        """code -> region of the configured table; the first region listing a code wins."""
+        return {code.upper(): region for region, codes in reversed(self.regions.items()) for code in codes}
+
+    def region(self, country: Column) -> Column:
+        """Configured region first, then the built-in fallback, then UNASSIGNED."""
+        fallback = {c: r for r, codes in fixed.FALLBACK_REGIONS.items() for c in codes}
+        return F.coalesce(lookup({**fallback, **self.region_configured()}, country_code(country)), F.lit("UNASSIGNED"))
+
+    def owner(self, region: Column) -> Column:
+        """Owner of a region; fallback regions own nobody, UNASSIGNED takes AMER's."""
+        return F.coalesce(lookup({**self.owners, "UNASSIGNED": self.owners.get("AMER", "")}, region), F.lit(""))
 
     def region_plain(self, country: Column) -> Column:
         """Dashboard variant: the raw value has to be a listed code already."""
-        return F.coalesce(self.region_configured(F.upper(F.trim(F.coalesce(country, F.lit(""))))), F.lit(""))
+        return F.coalesce(lookup(self.region_configured(), F.upper(F.trim(F.coalesce(country, F.lit(""))))), F.lit(""))
 
     def suppression_reason(self, domain: Column) -> Column:
         d = F.lower(F.coalesce(domain, F.lit("")))

@@ -1,2 +1,2 @@
 from turnout.queries.registry import QUERIES  # noqa: F401
-from turnout.queries import analytics  # noqa: F401
+from turnout.queries import analytics, rows  # noqa: F401
