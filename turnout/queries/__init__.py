@@ -1,2 +1,2 @@
 from turnout.queries.registry import QUERIES  # noqa: F401
-from turnout.queries import analytics, identity, rows  # noqa: F401
+from turnout.queries import analytics, audience, identity, rows  # noqa: F401
