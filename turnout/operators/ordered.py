@@ -49,14 +49,17 @@ def majority(df: DataFrame, keys: list[str], values: list[str], first: str,
 
 
 def in_order(df: DataFrame, groups: list[str], order: list[str], *, position: str | None = None,
-             lags: dict | None = None, leads: dict | None = None, running: dict | None = None) -> DataFrame:
+             lags: dict | None = None, leads: dict | None = None, running: dict | None = None,
+             highest: dict | None = None, lowest_next: dict | None = None) -> DataFrame:
     """Add order-based columns per group without collecting a group.
 
-    ``order`` must be total within a group.  ``position`` is 0-based; ``lags``
-    and ``leads`` map new columns to existing ones (distance 1); ``running``
-    maps new columns to numeric ones, summed over the *preceding* rows.
+    ``order`` must be total within a group.  ``position`` is 0-based.  ``lags``
+    and ``leads`` map new columns to existing ones (distance 1).  ``running``
+    sums and ``highest`` takes the maximum over the *preceding* rows,
+    ``lowest_next`` the minimum over the *following* rows.
     """
     lags, leads, running = lags or {}, leads or {}, running or {}
+    highest, lowest_next = highest or {}, lowest_next or {}
     ranged = (
         df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in groups + order])
         .sortWithinPartitions(*groups, *order)
@@ -65,42 +68,59 @@ def in_order(df: DataFrame, groups: list[str], order: list[str], *, position: st
     ranged = settled(ranged)
     block = groups + ["_part"]
     w = Window.partitionBy(*block).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    w_before = w.rowsBetween(Window.unboundedPreceding, -1)
+    w_after = w.rowsBetween(1, Window.unboundedFollowing)
+    across = Window.partitionBy(*groups).orderBy("_part")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    after = across.rowsBetween(1, Window.unboundedFollowing)
 
-    edge = [F.count(F.lit(1)).alias("_rows")]
+    # per kind: (edge aggregate, edge value seen from a block, local value, how both combine)
     key = F.struct(*order)
-    for src in set(lags.values()):
-        edge.append(F.max_by(F.struct(F.col(src).alias("v")), key).alias(f"_last_{src}"))
-    for src in set(leads.values()):
-        edge.append(F.min_by(F.struct(F.col(src).alias("v")), key).alias(f"_head_{src}"))
-    for src in set(running.values()):
-        edge.append(F.sum(src).alias(f"_sum_{src}"))
-    across = Window.partitionBy(*groups).orderBy("_part")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    edges = ranged.groupBy(*block).agg(*edge)
-    cols = [F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")]
-    cols += [F.lag(f"_last_{s}").over(across)["v"].alias(f"_prev_{s}") for s in set(lags.values())]
-    cols += [F.lead(f"_head_{s}").over(across)["v"].alias(f"_next_{s}") for s in set(leads.values())]
-    cols += [F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_base_{s}") for s in set(running.values())]
-    edges = edges.select(*[F.col(c).alias(f"_k_{c}") for c in block], *cols)
-
-    local = ranged.withColumn("_rn", F.row_number().over(w))
+    local_first = F.row_number().over(w) == 1
+    local_last = F.lead(F.lit(1)).over(w).isNull()
+    plan = []
     for out, src in lags.items():
-        local = local.withColumn(f"_l_{out}", F.lag(src).over(w))
+        plan.append((out, F.max_by(F.struct(F.col(src).alias("v")), key), lambda e: F.lag(e).over(across)["v"],
+                     F.lag(src).over(w), lambda near, far: F.when(F.col("_first"), far).otherwise(near)))
     for out, src in leads.items():
-        local = local.withColumn(f"_l_{out}", F.lead(src).over(w))
-        local = local.withColumn("_end", F.lead(F.lit(1)).over(w).isNull())
+        plan.append((out, F.min_by(F.struct(F.col(src).alias("v")), key), lambda e: F.lead(e).over(across)["v"],
+                     F.lead(src).over(w), lambda near, far: F.when(F.col("_last"), far).otherwise(near)))
     for out, src in running.items():
-        local = local.withColumn(f"_l_{out}", F.coalesce(F.sum(src).over(before), F.lit(0)))
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in block]
-    joined = local.join(edges, same, "left")
-    out_cols = [F.col(c) for c in df.columns]
+        plan.append((out, F.sum(src), lambda e: F.sum(e).over(before), F.sum(src).over(w_before),
+                     lambda near, far: F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0))))
+    for out, src in highest.items():
+        plan.append((out, F.max(src), lambda e: F.max(e).over(before), F.max(src).over(w_before), F.greatest))
+    for out, src in lowest_next.items():
+        plan.append((out, F.min(src), lambda e: F.min(e).over(after), F.min(src).over(w_after), F.least))
     if position:
-        out_cols.append((F.col("_offset") + F.col("_rn") - 1).alias(position))
-    out_cols += [F.when(F.col("_rn") == 1, F.col(f"_prev_{s}")).otherwise(F.col(f"_l_{o}")).alias(o) for o, s in lags.items()]
-    out_cols += [F.when(F.col("_end"), F.col(f"_next_{s}")).otherwise(F.col(f"_l_{o}")).alias(o) for o, s in leads.items()]
-    out_cols += [(F.col(f"_base_{s}") + F.col(f"_l_{o}")).alias(o) for o, s in running.items()]
-    return joined.select(*out_cols)
+        plan.append((position, F.count(F.lit(1)), lambda e: F.sum(e).over(before), F.row_number().over(w) - 1,
+                     lambda near, far: near + F.coalesce(far, F.lit(0))))
+
+    edges = ranged.groupBy(*block).agg(*[agg.alias(f"_e_{out}") for out, agg, *_ in plan])
+    edges = edges.select(*[F.col(c).alias(f"_k_{c}") for c in block],
+                         *[far(f"_e_{out}").alias(f"_f_{out}") for out, _, far, *_ in plan])
+    local = ranged.select("*", local_first.alias("_first"), local_last.alias("_last"),
+                          *[near.alias(f"_n_{out}") for out, _, _, near, _ in plan])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in block]
+    return local.join(edges, same, "left").select(
+        *df.columns, *[both(F.col(f"_n_{out}"), F.col(f"_f_{out}")).alias(out) for out, *_, both in plan])
+
+
+def around(requests: DataFrame, points: DataFrame, keys: list[str], at: str, point: str) -> DataFrame:
+    """As-of in both directions: the nearest point at or before and at or after each request.
+
+    Requests and points are merged in time order; the highest point so far and
+    the lowest one still to come are exactly the two neighbours.
+    """
+    asked = requests.select(*keys, F.col(at).cast("double").alias("_t")).distinct()
+    there = points.select(*keys, F.col(point).cast("double").alias("_t")).distinct()
+    # a point equal to the request has to be seen from both sides
+    rows = (there.select(*keys, "_t", F.lit(0).alias("_kind"), F.col("_t").alias("_p"))
+            .unionByName(asked.select(*keys, "_t", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_p")))
+            .unionByName(there.select(*keys, "_t", F.lit(2).alias("_kind"), F.col("_t").alias("_p"))))
+    seen = in_order(rows, keys, ["_t", "_kind"], highest={"at_or_before": "_p"}, lowest_next={"at_or_after": "_p"})
+    hits = seen.filter("_kind = 1").select(*keys, F.col("_t"), "at_or_before", "at_or_after")
+    return requests.withColumn("_t", F.col(at).cast("double")).join(hits, keys + ["_t"], "left").drop("_t")
 
 
 def batches(df: DataFrame, groups: list[str], order: list[str], size: int) -> DataFrame:
