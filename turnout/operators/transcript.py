@@ -244,7 +244,7 @@ def caption_text(rows: DataFrame) -> DataFrame:
 def work_windows(files: DataFrame, size: float) -> DataFrame:
     """Fixed-length work windows over each duration; the last one is short."""
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("duration_sec") / size).cast("int") - 1, F.lit(0)))
-    out = files.withColumn("_i", F.explode(starts))
+    out = files.filter("duration_sec > 0").withColumn("_i", F.explode(starts))
     return out.withColumns({"from_sec": F.round(F.col("_i") * size, 2), "to_sec": F.round(F.least((F.col("_i") + 1) * size, F.col("duration_sec")), 2)}).drop("_i")
 
 

@@ -177,6 +177,35 @@ SELECT conv_id AS recording_id, turn AS line_no,
        lpad(CAST(turn * 30 % 60 AS STRING), 2, '0') || '] **' || role ||
        CASE WHEN turn % 7 = 6 THEN '** ' ELSE ':** ' END || replace(text, chr(10), ' ') AS line
 FROM {conversations}""",
+    "spoken": """
+SELECT 'c' || CAST(conv_id AS STRING) AS event_slug, turn AS seq, turn * 30 AS sec,
+       upper(substr(role, 1, 1)) || substr(role, 2) AS speaker, replace(text, chr(10), ' ') AS text
+FROM {conversations}""",
+    "assets": """
+SELECT event_slug, event_slug || '/' || CAST(seq AS STRING) AS asset_id, 'blog.md' AS kind,
+       '<!-- generated -->' || chr(10) || '## Recap' || chr(10) || 'As ' || speaker || ' explained, "' ||
+       CASE WHEN seq % 3 = 2 THEN reverse(substr(clean, 1, 90)) ELSE substr(clean, 11, 90) END || '" [00:' ||
+       lpad(CAST(sec % 60 AS STRING), 2, '0') || '].' || chr(10) || 'And ' || speaker || ', Host [' ||
+       lpad(CAST(CAST(floor(sec / 60) AS BIGINT) AS STRING), 2, '0') || ':' || lpad(CAST(sec % 60 AS STRING), 2, '0') || ']' || chr(10) ||
+       '-- ' || speaker || ', Host Co' || chr(10) || '-- Nobody Known, Elsewhere' || chr(10) || 'Ends [59:59].' AS text
+FROM (SELECT *, replace(replace(replace(text, '"', ''), '[', '('), chr(8220), '') AS clean FROM {spoken}) AS s""",
+    "spec_assets": """
+SELECT 'ev' || CAST(doc_id % 4 AS STRING) AS event_slug, doc_id AS asset_id,
+       split_part('blog.md,social.md,youtube.md,infographic.md', ',', CAST(doc_id % 4 AS INT) + 1) AS kind,
+       CASE doc_id % 4 WHEN 0 THEN text
+         WHEN 1 THEN repeat('### Post 1' || chr(10) || 'Platform: LinkedIn' || chr(10) || 'Hook style: ' || source || chr(10) || '[link] ', CAST(n_chars % 4 AS INT) + 1) ||
+              repeat('### Post 2' || chr(10) || '**Platform:** x' || chr(10) || CASE WHEN n_chars % 3 = 0 THEN 'Hook style: Question' || chr(10) ELSE '' END, CAST(n_chars % 5 AS INT))
+         WHEN 2 THEN '## Chapters' || chr(10) || CASE WHEN n_chars % 5 = 0 THEN '00:10' ELSE '00:00' END || ' Intro' || chr(10) ||
+              repeat('05:0' || CAST(n_chars % 10 AS STRING) || ' Next' || chr(10), CAST(n_chars % 6 AS INT)) || '## Description' || chr(10) ||
+              CASE WHEN n_chars % 7 = 0 THEN '' ELSE '## Thumbnail Brief' || chr(10) END
+         ELSE '## Headline Options' || chr(10) || 'A' || chr(10) || '## Data Points' || chr(10) ||
+              repeat('- **42%** — of teams *x*' || chr(10) || '**7** — y' || chr(10), CAST(n_chars % 5 AS INT)) || '## Layout' || chr(10) ||
+              'Stat ' || CAST(n_chars % 9 AS STRING) || ' beside Stat 2' || chr(10) END AS text
+FROM {documents}""",
+    "verdicts": """
+SELECT event_slug, purpose AS asset_id, call_id * 100 + seconds AS claim_no, model AS type,
+       model || ' in call ' || CAST(call_id AS STRING) || ' after ' || CAST(seconds AS STRING) || ' s' AS raw, ok AS verified
+FROM {call_log}""",
     "moments": """
 SELECT event_id AS moment_id, 'ev' || CAST(user_id % 4 AS STRING) AS event_slug,
        CAST(floor(value * 100) AS BIGINT) % 4000 AS sec, CAST(floor(value * 100) AS BIGINT) % 100 AS worth,
