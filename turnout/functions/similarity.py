@@ -45,34 +45,47 @@ def person_score(gate: pd.Series, first_a: pd.Series, first_b: pd.Series, local_
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("snippet", StringType())]))
-def window_ratio(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
-    """Best ratio of a quote against one transcript window.
+def common_subsequence(a: str, b: str) -> int:
+    """Longest common subsequence length, bit-parallel; no ratio can match more characters."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    state = full
+    for ch in b:
+        hit = state & masks.get(ch, 0)
+        state = ((state + hit) | (state - hit)) & full
+    return len(a) - state.bit_count()
+
+
+def best_slice(quote: str, text: str, floor: float) -> tuple[float, str]:
+    """Best ratio of a quote against one window, with the matching part; (0, '') below ``floor``.
 
     A window much longer than the quote is probed with quote-sized slices: every
     ``max(4, len/6)`` characters and once at the very end.
     """
-    rows = []
-    for q, t in zip(quote, text):
-        low, n = q.lower(), len(q)
-        if not q or not t:
-            rows.append((0.0, ""))
+    low, n, size = quote.lower(), len(quote), len(text)
+    if not n or not size:
+        return 0.0, ""
+    whole = size <= 1.4 * n
+    if floor > 0 and 2 * common_subsequence(low, text.lower()) < floor * (n + (size if whole else n)):
+        return 0.0, ""
+    spans = [(0, size)] if whole else [(s, s + n) for s in range(0, size - n + 1, max(4, n // 6))] + [(size - n, size)]
+    best, at = 0.0, None
+    for lo, hi in spans:
+        matcher = SequenceMatcher(None, low, text[lo:hi].lower())
+        bar = max(best, floor - 1e-12)
+        if matcher.real_quick_ratio() < bar or matcher.quick_ratio() < bar:
             continue
-        if len(t) <= 1.4 * n:
-            spans = [(0, len(t))]
-        else:
-            spans = [(s, s + n) for s in range(0, len(t) - n + 1, max(4, n // 6))] + [(len(t) - n, len(t))]
-        matcher = SequenceMatcher(None, autojunk=True)
-        best, at = 0.0, spans[0]
-        for lo, hi in spans:
-            matcher.set_seqs(low, t[lo:hi].lower())
-            if matcher.real_quick_ratio() <= best or matcher.quick_ratio() <= best:
-                continue
-            r = matcher.ratio()
-            if r > best:
-                best, at = r, (lo, hi)
-        rows.append((best, t[at[0]:at[1]]))
-    return pd.DataFrame(rows, columns=["ratio", "snippet"])
+        r = matcher.ratio()
+        if r > best:
+            best, at = r, (lo, hi)
+    return (best, text[at[0]:at[1]]) if at and best >= floor else (0.0, "")
+
+
+@F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("snippet", StringType())]))
+def window_ratio(quote: pd.Series, text: pd.Series, floor: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([best_slice(q or "", t or "", f) for q, t, f in zip(quote, text, floor)], columns=["ratio", "snippet"])
 
 
 def length_bound(a: Column, b: Column) -> Column:

@@ -70,18 +70,6 @@ def replaced(c: Column, fixes: list[tuple[str, str]]) -> Column:
     return c
 
 
-def wrapped(c: Column, width: int = 42) -> Column:
-    """Greedy word wrap: array of lines of at most ``width`` characters (longer words stand alone)."""
-    pieces = F.filter(F.split(F.trim(c), r"(?U)\s+"), lambda w: w != "")
-
-    def add(lines, w):
-        last = F.try_element_at(lines, F.lit(-1))
-        fits = last.isNotNull() & (F.length(last) + 1 + F.length(w) <= width)
-        head = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
-        return F.when(fits, F.concat(head, F.array(F.concat(last, F.lit(" "), w)))).otherwise(F.concat(lines, F.array(w)))
-    return F.aggregate(pieces, F.array().cast("array<string>"), add)
-
-
 # --- links -------------------------------------------------------------------------
 def _decoded(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))

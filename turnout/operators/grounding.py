@@ -18,8 +18,9 @@ NAMES_PER_CHUNK = 200
 
 
 # --- locating quotes -----------------------------------------------------------------
-def contained(quotes: DataFrame, texts: DataFrame, keys: list[str], quote: str, text: str, order: str) -> DataFrame:
-    """First text (by ``order``) that contains each quote, as an equi-join.
+def contained(quotes: DataFrame, texts: DataFrame, keys: list[str], quote: str, text: str, order: str,
+              every: bool = False) -> DataFrame:
+    """First text (by ``order``) that contains each quote, or every one, as an equi-join.
 
     Texts are cut into consecutive grams of k characters and quotes offer every
     gram of their first 2k-1 characters: wherever a quote sits, one of its
@@ -39,40 +40,71 @@ def contained(quotes: DataFrame, texts: DataFrame, keys: list[str], quote: str,
         offered = q.filter(F.col("_k") == k).withColumn("_g", F.explode(F.array_distinct(
             F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(F.col("_q"), i, F.lit(k))))))
         hit = offered.join(cut, keys + ["_g"]).filter(F.col("_t").contains(F.col("_q")))
-        hit = hit.groupBy(*keys, "_q").agg(F.min("_o").alias("_o"))
+        hit = hit.select(*keys, "_q", "_o").distinct() if every else hit.groupBy(*keys, "_q").agg(F.min("_o").alias("_o"))
         found = hit if found is None else found.unionByName(hit)
     if found is None:
-        found = q.withColumn("_o", F.lit(None).cast("bigint")).drop("_k").limit(0)
+        found = q.drop("_k").join(t.select(*keys, "_o"), keys).limit(0)
     return found.select(*keys, F.col("_q").alias(quote), F.col("_o").alias(order))
 
 
-def best_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
-    """Best-matching transcript window per quote, complete from a ratio of 0.90 on.
+def _folded(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct window texts with their first place."""
+    first = F.struct("span", "seq")
+    w = windows.groupBy(*keys, "text").agg(F.min(first).alias("_o"), F.min_by("label", first).alias("label"))
+    return w.withColumn("_wid", F.xxhash64(*keys, "text"))
+
+
+def _scored(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Best window per quote from 0.90 on; equal ratios go to the earlier, shorter window."""
+    scored = pairs.withColumn("_m", window_ratio("_q", "text", F.lit(fixed.QUOTE_RATIO))).filter(F.col("_m.ratio") > 0)
+    order = F.struct(F.col("_m.ratio"), -F.col("_o.span"), -F.col("_o.seq"))
+    best = scored.groupBy(*keys, "_q").agg(F.max_by(F.struct(
+        F.col("_m.ratio").alias("ratio"), F.col("_m.snippet").alias("snippet"), "label", F.col("_o.seq").alias("seq")), order).alias("b"))
+    return best.select(*keys, "_q", "b.*")
 
-    A quote and a window at 0.90 share at least (n-3) - 0.7273 n of the quote's
-    4-grams: 4 are lost per unmatched quote character, 3 per unmatched window
-    character, and the ratio bounds both.  So one of the quote's rarest
-    floor(0.7273 n) + 1 grams is always shared, and the join runs on those; the
-    common grams that would pair everything are never joined.
+
+def best_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
+    """Best-matching transcript window of every quote that reaches 0.90.
+
+    A quote of n characters and a window at 0.90 share at least
+    n - 3 - 0.7273 n of the quote's 4-grams: 4 are lost per unmatched quote
+    character and 3 per unmatched window character, and the ratio bounds both.
+    Asking for half of that share needs only the rarest part of the grams, so
+    the common grams that would pair everything are never joined, and what is
+    asked for loses no match.  Surviving pairs are bounded by their common
+    subsequence before any ratio is computed.
     ``windows``: keys, seq, span, label, text.
     """
-    w = windows.groupBy(*keys, "text").agg(F.min(F.struct("span", "seq")).alias("_o"), F.min_by("label", F.struct("span", "seq")).alias("label"))
-    w = w.withColumn("_wid", F.xxhash64(*keys, "text"))
+    w = settled(_folded(windows, keys))
     wg = settled(w.select(*keys, "_wid", F.explode(F.array_distinct(gram_tokens("text"))).alias("_g")))
     q = quotes.select(*keys, F.col(quote).alias("_q")).filter("_q <> ''").distinct()
-    qg = q.withColumn("_g", F.explode(F.array_distinct(gram_tokens("_q"))))
+    n = F.length("_q")
+    lost = F.floor(n * 0.7273)
+    need = F.greatest(F.lit(1), F.floor((n - 3 - lost) / 2))
+    qg = settled(q.select(*keys, "_q", (lost + need).alias("_keep"), need.alias("_need"), F.xxhash64(*keys, "_q").alias("_qid"),
+                          F.explode(F.array_distinct(gram_tokens("_q"))).alias("_g")))
     often = wg.join(qg.select(*keys, "_g").distinct(), keys + ["_g"], "left_semi").groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
     ranked = qg.join(often, keys + ["_g"], "left").withColumn("_rank", F.row_number().over(
-        Window.partitionBy(*keys, "_q").orderBy(F.coalesce("_n", F.lit(0)), "_g")))
-    rare = ranked.filter((F.col("_rank") <= F.floor(F.length("_q") * 0.7273) + 1) & F.col("_n").isNotNull())
-    pairs = rare.select(*keys, "_q", "_g").join(wg, keys + ["_g"]).select(*keys, "_q", "_wid").distinct()
-    texts = pairs.join(w, keys + ["_wid"])
-    shorter = F.length("text") * 11 >= F.length("_q") * 9  # below 9/11 of the quote no window reaches 0.90
-    scored = texts.filter(shorter).withColumn("_m", window_ratio("_q", "text"))
-    order = F.struct(F.col("_m.ratio"), -F.col("_o.span"), -F.col("_o.seq"))
-    best = scored.groupBy(*keys, "_q").agg(F.max_by(F.struct(
-        F.col("_m.ratio").alias("ratio"), F.col("_m.snippet").alias("snippet"), "label", F.col("_o.seq").alias("seq")), order).alias("b"))
-    return best.select(*keys, F.col("_q").alias(quote), "b.*")
+        Window.partitionBy(*keys, "_qid").orderBy(F.coalesce("_n", F.lit(0)), "_g")))
+    rare = ranked.filter((F.col("_rank") <= F.col("_keep")) & F.col("_n").isNotNull()).select(*keys, "_qid", "_need", "_g")
+    pairs = rare.join(wg, keys + ["_g"]).groupBy(*keys, "_qid", "_wid").agg(F.count(F.lit(1)).alias("_hits"), F.min("_need").alias("_need"))
+    pairs = pairs.filter("_hits >= _need").select(*keys, "_qid", "_wid")
+    texts = pairs.join(q.withColumn("_qid", F.xxhash64(*keys, "_q")), keys + ["_qid"]).join(w, keys + ["_wid"])
+    shorter = F.length("text") * 11 >= n * 9  # below 9/11 of the quote no window reaches 0.90
+    return _scored(texts.filter(shorter), keys).withColumnRenamed("_q", quote)
+
+
+def matched_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
+    """Verbatim quotes are scored on the windows that hold them; only the rest is searched for."""
+    q = quotes.select(*keys, quote).filter(F.col(quote) != "").distinct().withColumn("_low", F.lower(quote))
+    w = _folded(windows, keys).withColumn("_low", F.lower("text"))
+    holds = contained(q, w.withColumn("_seq", F.struct("_o.span", "_o.seq")), keys, "_low", "_low", "_seq", every=True)
+    pairs = holds.withColumnRenamed("_low", "_ql").join(q.withColumnRenamed("_low", "_ql"), keys + ["_ql"]).select(
+        *keys, F.col(quote).alias("_q"), F.col("_seq").alias("_o"))
+    texts = pairs.join(w.select(*keys, "_o", "label", "text"), keys + ["_o"])
+    sure = settled(_scored(texts, keys).withColumnRenamed("_q", quote))
+    rest = settled(q.join(sure, keys + [quote], "left_anti").select(*keys, quote))
+    return sure.unionByName(best_windows(rest, windows, keys, quote))
 
 
 def located_quotes(quotes: DataFrame, turns: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,7 +181,7 @@ def verified_claims(found: DataFrame, turns: DataFrame, windows: DataFrame, stam
         *key, "type", "raw", F.col("ratio").isNotNull().alias("verified"), "ratio")
 
     spans = settled(fragments(attributed(found.filter("type = 'quote'"), roster)))
-    hits = best_windows(spans, windows, [EV]).select(EV, "quote", "ratio")
+    hits = matched_windows(spans, windows, [EV]).select(EV, "quote", "ratio")
     quoted = spans.join(hits, [EV, "quote"], "left").groupBy(*key, F.lit("quote").alias("type"), "raw").agg(
         F.bool_and(F.coalesce("ratio", F.lit(0.0)) >= fixed.QUOTE_RATIO).alias("verified"),
         F.min(F.coalesce("ratio", F.lit(0.0))).alias("ratio")).select(*key, "type", "raw", "verified", "ratio")

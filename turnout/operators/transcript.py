@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnout.functions import fixed, text as T
+from turnout.functions.layout import caption_layout
 from turnout.operators.ordered import around, in_order
 
 REC = "recording_id"
@@ -203,17 +204,11 @@ def clip_windows(wanted: DataFrame, turns: DataFrame) -> DataFrame:
 
 def caption_lines(turns: DataFrame) -> DataFrame:
     """Wrapped lines of every turn, each holding the share of time its characters take."""
-    lined = turns.withColumn("_lines", T.wrapped(F.col("text"), fixed.CAPTION_CHARS))
-    sizes = F.transform("_lines", lambda x: F.length(x))
-    total = F.greatest(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.lit(1))
-    lined = lined.withColumns({"_sizes": sizes, "_total": total,
-                               "_span": F.greatest(F.lit(0.4), F.col("end_sec") - F.col("start_sec"))})
-    upto = lambda i: F.aggregate(F.slice(F.col("_sizes"), F.lit(1), i), F.lit(0), lambda a, x: a + x)
-    at = lambda n: F.col("start_sec") + F.col("_span") * n / F.col("_total")
-    lined = lined.withColumn("_timed", F.transform("_lines", lambda x, i: F.struct(
-        i.alias("line_no"), x.alias("line"), at(upto(i)).alias("line_start"), at(upto(i + 1)).alias("line_end"))))
-    return lined.select(REC, "seq", "start_sec", "end_sec", F.explode("_timed").alias("l")).select(
+    rows = turns.select(REC, "seq", "start_sec", "end_sec", F.explode(caption_layout("text")).alias("l")).select(
         REC, "seq", "start_sec", "end_sec", "l.*")
+    span = F.greatest(F.lit(0.4), F.col("end_sec") - F.col("start_sec"))
+    at = lambda n: F.col("start_sec") + span * n / F.col("total")
+    return rows.withColumns({"line_start": at(F.col("before")), "line_end": at(F.col("before") + F.length("line"))}).drop("before", "total")
 
 
 def captions(lines: DataFrame, clips: DataFrame, width: int = 30) -> DataFrame:

@@ -146,7 +146,7 @@ def _(v):
     return X.caption_lines(v("stt_pieces")).select("recording_id", "seq", "line_no", "line", F.round("line_start", 4).alias("line_start"), F.round("line_end", 4).alias("line_end"))
 
 
-@query("clip_captions", "JN22 WIN11", f"""WITH {CLIPS}, {LINES} SELECT t.recording_id, seq, line_no::INTEGER AS line_no, round(greatest(line_start, clip_start) - clip_start, 3) AS from_sec, round(least(line_end, clip_end) - clip_start, 3) AS to_sec, line AS text
+@query("clip_captions", "JN22 WIN11", f"""WITH {CLIPS}, {LINES} SELECT t.recording_id, seq, line_no::INTEGER AS line_no, round_even(greatest(line_start, clip_start) - clip_start, 3) AS from_sec, round_even(least(line_end, clip_end) - clip_start, 3) AS to_sec, line AS text
 FROM timed t JOIN clip c USING (recording_id) WHERE end_sec > clip_start AND start_sec < clip_end AND least(line_end, clip_end) - greatest(line_start, clip_start) >= 0.25""")
 def _(v):
     clips = X.clip_windows(wanted(v), v("stt_pieces")).withColumn("clip_id", F.lit(1))
@@ -277,7 +277,7 @@ def _(v):
         F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"))
 
 
-@query("undefined_stats", "TXT6", """WITH a AS (SELECT event_slug, asset_id, text, (n_chars % 5) * 1 AS p, n_chars % 9 AS r FROM {spec_assets} s JOIN {documents} d ON d.doc_id = s.asset_id WHERE kind = 'infographic.md')
+@query("undefined_stats", "TXT6", """WITH a AS (SELECT event_slug, asset_id, n_chars % 5 AS p, n_chars % 9 AS r FROM {spec_assets} s JOIN {documents} d ON d.doc_id = s.asset_id WHERE kind = 'infographic.md')
 SELECT event_slug, asset_id, p::INTEGER AS points, r::INTEGER AS stat FROM a WHERE r > p UNION SELECT event_slug, asset_id, p::INTEGER, 2 FROM a WHERE 2 > p""")
 def _(v):
     return G.undefined_stats(v("spec_assets"))
