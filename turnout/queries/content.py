@@ -153,7 +153,14 @@ def _(v):
     return X.captions(X.caption_lines(v("stt_pieces")), clips).drop("clip_id")
 
 
-@query("subtitle_blocks", "SNK4 DT2")
+def srt(c):
+    return f"printf('%02d:%02d:%02d,%03d', floor({c})::BIGINT // 3600, floor({c})::BIGINT % 3600 // 60, floor({c})::BIGINT % 60, round_even(({c} - floor({c})) * 1000, 0)::BIGINT)"
+
+
+@query("subtitle_blocks", "SNK4 DT2", f"""WITH {CLIPS}, {LINES}, cap AS (SELECT t.recording_id, seq, line_no, round_even(greatest(line_start, clip_start) - clip_start, 3) AS a, round_even(least(line_end, clip_end) - clip_start, 3) AS b, line
+  FROM timed t JOIN clip c USING (recording_id) WHERE end_sec > clip_start AND start_sec < clip_end AND least(line_end, clip_end) - greatest(line_start, clip_start) >= 0.25),
+num AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY a, seq, line_no) AS block_no FROM cap)
+SELECT recording_id, 1 AS clip_id, block_no, block_no || chr(10) || {srt('a')} || ' --> ' || {srt('b')} || chr(10) || line || chr(10) AS value FROM num""")
 def _(v):
     clips = X.clip_windows(wanted(v), v("stt_pieces")).withColumn("clip_id", F.lit(1))
     return X.caption_text(X.captions(X.caption_lines(v("stt_pieces")), clips))

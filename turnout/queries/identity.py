@@ -18,7 +18,7 @@ def _(v):
         "event_slug", "block_first", "block_last", F.col("p.row_idx").alias("primary_idx"))
 
 
-@query("duplicate_pairs", "JN1 WIN1 UDF1 STR3")
+@query("duplicate_pairs", "JN1 WIN1 UDF1 UDF3 STR3")
 def _(v):
     return R.duplicate_pairs(named(v)).select("event_slug", "primary_idx", "row_idx", F.round("score", 6).alias("score"), "verdict")
 

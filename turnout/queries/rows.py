@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from turnout.functions import contact as C, fixed
+from turnout.functions.sql import register
 from turnout.operators import enrich as N, quality as Q
+from turnout.operators.ordered import batches
 from turnout.queries.registry import query
 from turnout.session import settled
 
@@ -459,3 +461,18 @@ SELECT *, row_count - suppressed AS mailable, round_even(100.0 * needs_review /
   round_even(100.0 * needs_review_broad / row_count, 1) AS needs_review_broad_pct, round_even(100.0 * suppressed / row_count, 1) AS suppressed_pct FROM s""")
 def _(v):
     return Q.review_counts(v("enriched"))
+
+
+@query("sql_functions", "SQL1", f"""SELECT row_idx, {cased('first_name')} AS name, regexp_replace(lower(trim(company)), '\\s+', ' ', 'g') AS key, trim(minutes) NOT IN ('', 'Unknown', '0') AS filled,
+  'https://x.example/r?a=' || row_idx || '&utm_source=web&utm_medium=mail&utm_campaign=c1&utm_content=n' || row_idx || '#t' AS link FROM {{registrants}}""")
+def _(v):
+    register(v.spark)
+    return v.sql("""SELECT row_idx, norm_name(first_name) AS name, company_key(company) AS key, is_filled(minutes) AS filled,
+      with_utm('https://x.example/r?a=' || row_idx || '&utm_source=old&b=#t', 'web', 'mail', 'c1', 'n' || row_idx) AS link FROM {registrants}""")
+
+
+@query("work_batches", "TOP9", """SELECT batch_no, slot, row_idx FROM (SELECT row_idx, (row_number() OVER (PARTITION BY event_slug ORDER BY row_idx) - 1) AS p,
+  event_slug || '/' || ((row_number() OVER (PARTITION BY event_slug ORDER BY row_idx) - 1) // 40) AS batch_no, (row_number() OVER (PARTITION BY event_slug ORDER BY row_idx) - 1) % 40 AS slot FROM {registrants})""")
+def _(v):
+    b = batches(v("registrants").select("event_slug", "row_idx"), ["event_slug"], ["row_idx"], 40)
+    return b.select(F.concat_ws("/", "event_slug", F.col("batch_no").cast("string")).alias("batch_no"), "slot", "row_idx")
