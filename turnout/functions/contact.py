@@ -84,11 +84,9 @@ def display_name(first: Column, last: Column, email: Column) -> Column:
     return F.when(full != "", full).when(local != "", local).otherwise(email)
 
 
-def placeholder_reason(first: Column, last: Column, email: Column) -> Column:
-    """Why a row is a placeholder, '' when it is a person."""
-    low = F.lower(email)
-    local, domain = local_part(low), mail_domain(low)
-    f, l = F.lower(strip(first)), F.lower(strip(last))
+def placeholder_reason(first: Column, last: Column, local: Column, domain: Column) -> Column:
+    """Why a row is a placeholder, '' when it is a person (address parts in lower case)."""
+    f, l = F.lower(first), F.lower(last)
     return (
         F.when(f.isin(*fixed.PLACEHOLDER_NAMES) & l.isin(*fixed.PLACEHOLDER_NAMES), F.lit("placeholder_name"))
         .when(local.isin(*fixed.PLACEHOLDER_LOCALS), F.lit("placeholder_mailbox"))

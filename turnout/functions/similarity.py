@@ -33,15 +33,27 @@ def word_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(DoubleType())
-def person_score(gate: pd.Series, first_a: pd.Series, first_b: pd.Series, local_a: pd.Series, local_b: pd.Series,
-                 ident_a: pd.Series, ident_b: pd.Series) -> pd.Series:
-    """Weighted mailbox and identity ratio; NULL where the first names miss the gate."""
+def person_score(gate: pd.Series, floor: pd.Series, first_a: pd.Series, first_b: pd.Series, local_a: pd.Series,
+                 local_b: pd.Series, ident_a: pd.Series, ident_b: pd.Series) -> pd.Series:
+    """Weighted mailbox and identity ratio; NULL where the first names miss the gate or
+    the character counts already keep the score below ``floor``."""
+    names: dict[tuple, float] = {}
     out = []
-    for g, fa, fb, la, lb, ia, ib in zip(gate, first_a, first_b, local_a, local_b, ident_a, ident_b):
-        if ia is None or ib is None or (g > 0 and ratio(fa, fb) < g):
+    for g, least, fa, fb, la, lb, ia, ib in zip(gate, floor, first_a, first_b, local_a, local_b, ident_a, ident_b):
+        if ia is None or ib is None:
             out.append(None)
-        else:
-            out.append(fixed.LOCAL_WEIGHT * ratio(la, lb) + fixed.IDENTITY_WEIGHT * ratio(ia, ib))
+            continue
+        if g > 0:
+            if (fa, fb) not in names:
+                names[fa, fb] = ratio(fa, fb)
+            if names[fa, fb] < g:
+                out.append(None)
+                continue
+        mail, person = SequenceMatcher(None, la.lower(), lb.lower()), SequenceMatcher(None, ia.lower(), ib.lower())
+        if least > 0 and (fixed.LOCAL_WEIGHT * mail.quick_ratio() + fixed.IDENTITY_WEIGHT * person.quick_ratio() < least - 1e-9):
+            out.append(None)
+            continue
+        out.append(fixed.LOCAL_WEIGHT * mail.ratio() + fixed.IDENTITY_WEIGHT * person.ratio())
     return pd.Series(out, dtype="float64")
 
 

@@ -16,18 +16,20 @@ EV = "event_slug"
 # --- preparation --------------------------------------------------------------
 def prepared(registrants: DataFrame) -> DataFrame:
     """Normalised registrants; ``reject_reason`` is '' for people and names the rule otherwise."""
-    email = C.email_key(F.col("email"))
-    company = C.strip(F.coalesce("company", F.lit("")))
-    title = C.strip(F.coalesce("job_title", F.lit("")))
-    return registrants.select(
-        "row_idx", EV, email.alias("email"), C.local_part(email).alias("local"), C.mail_domain(email).alias("domain"),
-        C.person_name(F.col("first_name")).alias("firstname"), C.person_name(F.col("last_name")).alias("lastname"),
-        company.alias("company_raw"), C.company_key(F.col("company")).alias("company_key"), title.alias("jobtitle_raw"),
-        F.trim(F.coalesce("country", F.lit(""))).alias("country"), (F.col("attended") == "Yes").alias("attended"),
-        F.trim(F.coalesce("minutes", F.lit(""))).alias("minutes"),
-        F.when(title != "", "given").otherwise("").alias("title_source"),
-        F.when(company != "", "given").otherwise("").alias("company_source"), F.lit(False).alias("is_speaker"),
-        C.placeholder_reason(F.col("first_name"), F.col("last_name"), email).alias("reject_reason"))
+    text = lambda c: C.strip(F.coalesce(c, F.lit("")))
+    # normalise once; everything below reads the normalised columns
+    base = registrants.select(
+        "row_idx", EV, C.email_key(F.col("email")).alias("email"), text("first_name").alias("_first"), text("last_name").alias("_last"),
+        text("company").alias("company_raw"), text("job_title").alias("jobtitle_raw"), F.trim(F.coalesce("country", F.lit(""))).alias("country"),
+        (F.col("attended") == "Yes").alias("attended"), F.trim(F.coalesce("minutes", F.lit(""))).alias("minutes"))
+    base = base.withColumns({"local": C.local_part(F.col("email")), "domain": C.mail_domain(F.col("email"))})
+    given = lambda c: F.when(F.col(c) != "", "given").otherwise("")
+    return base.select(
+        "row_idx", EV, "email", "local", "domain", C.person_name(F.col("_first")).alias("firstname"),
+        C.person_name(F.col("_last")).alias("lastname"), "company_raw", C.company_key(F.col("company_raw")).alias("company_key"),
+        "jobtitle_raw", "country", "attended", "minutes", given("jobtitle_raw").alias("title_source"),
+        given("company_raw").alias("company_source"), F.lit(False).alias("is_speaker"),
+        C.placeholder_reason(F.col("_first"), F.col("_last"), F.col("local"), F.col("domain")).alias("reject_reason"))
 
 
 def people(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnout.functions import fixed, text as T
 from turnout.functions.claims import claims_in, gram_tokens
 from turnout.functions.similarity import seq_ratio, window_ratio
-from turnout.operators.ordered import top_k
+from turnout.operators.ordered import spread, top_k
 from turnout.operators.speakers import roster_match
 from turnout.operators.transcript import clip_ends, in_chapter, snapped, true_speaker
 from turnout.session import settled
@@ -56,7 +56,7 @@ def _folded(windows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _scored(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Best window per quote from 0.90 on; equal ratios go to the earlier, shorter window."""
-    scored = pairs.withColumn("_m", window_ratio("_q", "text", F.lit(fixed.QUOTE_RATIO))).filter(F.col("_m.ratio") > 0)
+    scored = spread(pairs).withColumn("_m", window_ratio("_q", "text", F.lit(fixed.QUOTE_RATIO))).filter(F.col("_m.ratio") > 0)
     order = F.struct(F.col("_m.ratio"), -F.col("_o.span"), -F.col("_o.seq"))
     best = scored.groupBy(*keys, "_q").agg(F.max_by(F.struct(
         F.col("_m.ratio").alias("ratio"), F.col("_m.snippet").alias("snippet"), "label", F.col("_o.seq").alias("seq")), order).alias("b"))

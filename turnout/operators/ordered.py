@@ -32,6 +32,16 @@ def attach(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame
     return big.join(small, on, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out rows over all shuffle partitions ahead of costly per-row work.
+
+    The rows are few bytes but much computing, so AQE would pack them into a few
+    tasks, and a hot join key would leave them all in one.  A stated number is
+    kept as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per group; the rank filter becomes a map-side group limit."""
     w = Window.partitionBy(*groups).orderBy(*order)

@@ -236,10 +236,11 @@ def _(v):
 
 @query("fuzzy_quotes", "JN25 UDF2")
 def _(v):
-    q = v("benchmark").select(F.lit("all").alias("event_slug"), F.concat(F.col("text"), F.lit("!!")).alias("quote"))
-    t = v("documents").select(F.lit("all").alias("event_slug"), F.col("doc_id").alias("seq"), F.lit(1).alias("span"), F.col("source").alias("label"),
-                              F.explode(F.split("text", r"\n")).alias("text"))
-    return G.best_windows(q, t, ["event_slug"]).select("quote", "seq", F.round("ratio", 6).alias("ratio"))
+    lines = v("documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("event_slug"), F.posexplode(F.split("text", r"\n")).alias("seq", "text"))
+    first = lines.filter(F.length("text") >= 60).groupBy("event_slug").agg(F.min_by("text", "seq").alias("t"))
+    q = first.select("event_slug", F.concat(F.substring("t", 1, 20), F.lit("zz "), F.substring("t", 21, 400)).alias("quote"))
+    w = lines.select("event_slug", "seq", F.lit(1).alias("span"), F.lit("").alias("label"), "text")
+    return G.best_windows(q, w, ["event_slug"]).select("event_slug", "seq", F.round("ratio", 6).alias("ratio"))
 
 
 @query("located_quotes", "JN24 JN25 TXT8")
