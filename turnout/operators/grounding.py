@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnout.functions import fixed, text as T
 from turnout.functions.claims import claims_in, gram_tokens
 from turnout.functions.similarity import seq_ratio, window_ratio
-from turnout.operators.ordered import spread, top_k
+from turnout.operators.ordered import attach, spread, top_k
 from turnout.operators.speakers import roster_match
 from turnout.operators.transcript import clip_ends, in_chapter, snapped, true_speaker
 from turnout.session import settled
@@ -151,7 +151,8 @@ def mentions(window: Column, name: Column) -> Column:
 
 def attributed(quote_claims: DataFrame, roster: DataFrame) -> DataFrame:
     """Quotes that stand near a named speaker; the others are not claims about speech."""
-    j = quote_claims.select(EV, "asset_id", "claim_no", "before", "after").join(name_chunks(roster), EV)
+    j = quote_claims.select(EV, "asset_id", "claim_no", "before", "after")
+    j = attach(j, name_chunks(roster), [EV], "inner")
     near = j.filter(F.exists("names", lambda n: mentions(F.col("before"), n) | mentions(F.col("after"), n)))
     return quote_claims.join(near.select("asset_id", "claim_no").distinct(), ["asset_id", "claim_no"], "left_semi")
 
@@ -324,7 +325,7 @@ def spec_problems(assets: DataFrame, stamps: DataFrame) -> DataFrame:
 def tagged_assets(assets: DataFrame, events: DataFrame) -> DataFrame:
     """Campaign-tagged recording links per channel: blog, video description, each social post."""
     dim = events.select(EV, "recording_url", T.event_tag(F.col("event_name"), F.col("date")).alias("_camp"))
-    j = assets.join(dim, EV, "left").filter(F.coalesce("recording_url", F.lit("")) != "")
+    j = attach(assets, dim, [EV]).filter(F.coalesce("recording_url", F.lit("")) != "")
     url, camp, text, kind = F.col("recording_url"), F.col("_camp"), F.col("text"), F.col("kind")
 
     def tag(name):

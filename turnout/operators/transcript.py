@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnout.functions import fixed, text as T
 from turnout.functions.layout import caption_layout
-from turnout.operators.ordered import around, in_order
+from turnout.operators.ordered import around, attach, in_order, top_k
 
 REC = "recording_id"
 
@@ -43,7 +43,11 @@ def islands(pieces: DataFrame, gap: float = fixed.MERGE_GAP) -> DataFrame:
 
 
 def merged_turns(pieces: DataFrame, gap: float = fixed.MERGE_GAP, fixes=()) -> DataFrame:
-    """One turn per island with the pieces' text in order; blank pieces are left out."""
+    """One turn per island with the pieces' text in order; blank pieces are left out.
+
+    The joined text is one output value, so only an island's own pieces meet in a
+    task; ``islands`` gives the same grouping row by row.
+    """
     said = pieces.withColumn("text", T.replaced(F.trim("text"), list(fixes))).filter("text <> ''")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_sec", "seq", "text"))), lambda s: s["text"]), " ")
     return islands(said, gap).groupBy(REC, "island").agg(
@@ -138,7 +142,7 @@ def in_chapter(requests: DataFrame, chapter_rows: DataFrame, at: str = "sec", wi
     hit = asked.withColumn("_b", F.floor(F.col("_at") / width)).join(spread, ["event_slug", "_b"]).filter(
         (F.col("start_abs") <= F.col("_at")) & (F.col("_at") < F.col("end_abs"))).groupBy("event_slug", "_at").agg(
             F.min_by(F.struct("chapter", "start_abs", "end_abs"), "chapter").alias("_hit"))
-    j = requests.withColumn("_at", F.col(at)).join(hit, ["event_slug", "_at"], "left").join(last, "event_slug", "left")
+    j = attach(requests.withColumn("_at", F.col(at)).join(hit, ["event_slug", "_at"], "left"), last, ["event_slug"])
     pick = F.coalesce("_hit", "_last")
     return j.withColumns({"chapter": pick["chapter"], "chapter_start": pick["start_abs"], "chapter_end": pick["end_abs"]}).drop(
         "_at", "_hit", "_last")
@@ -245,5 +249,4 @@ def work_windows(files: DataFrame, size: float) -> DataFrame:
 
 def best_moments(moments: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` most clip-worthy moments per event."""
-    from turnout.operators.ordered import top_k
     return top_k(moments, ["event_slug"], [F.desc("worth"), F.asc("moment_id")], k)

@@ -259,10 +259,9 @@ def _(v):
     return E.stream_coverage(E.counters(v("engagement")), M.final_stages(M.changes(v("lifecycle"))), v("crm"))
 
 
-@query("seed_cut_labels", "STM8", f"""WITH {CHANGES},
-runs AS (SELECT event_slug, min(ts) + INTERVAL '7000' DAY AS seed_started FROM {{engagement}} GROUP BY 1)
+@query("seed_cut_labels", "STM8", f"""WITH {CHANGES}
 SELECT c.event_slug, CASE WHEN c.ts >= r.cut THEN 'seeded' ELSE 'crm_history' END AS source, count(*) AS n
-FROM changes c JOIN (SELECT event_slug, min(ts) AS cut FROM {{engagement}} GROUP BY 1) r USING (event_slug) GROUP BY 1, 2""")
+FROM changes c LEFT JOIN (SELECT event_slug, min(ts) AS cut FROM {{engagement}} GROUP BY 1) r USING (event_slug) GROUP BY 1, 2""")
 def _(v):
     runs = v("engagement").groupBy("event_slug").agg(F.min("ts").alias("seed_started"))
     return M.seed_labelled(M.changes(v("lifecycle")), runs).groupBy("event_slug", "source").agg(F.count(F.lit(1)).alias("n"))

@@ -13,10 +13,8 @@ from turnout.queries.rows import RULES, inlist, table
 
 def directory(v):
     """Owner directory: every supplier is an owner; the first one holds the mapped address."""
-    first = v("supplier").groupBy().agg(F.min("s_suppkey").alias("_m"))
-    return v("supplier").join(F.broadcast(first)).select(
-        F.when(F.col("s_suppkey") == F.col("_m"), "crm.owner@host.example").otherwise(F.lower("s_name")).alias("owner_email"),
-        (F.col("s_suppkey") + 7000).alias("owner_id"))
+    return v.sql("""SELECT CASE WHEN s_suppkey = (SELECT min(s_suppkey) FROM {supplier}) THEN 'crm.owner@host.example'
+                    ELSE lower(s_name) END AS owner_email, s_suppkey + 7000 AS owner_id FROM {supplier}""")
 
 
 @query("owner_routing", "JN18", f"""WITH {table('om', RULES.owner_map)}, d AS (SELECT CASE WHEN s_suppkey = (SELECT min(s_suppkey) FROM {{supplier}}) THEN 'crm.owner@host.example' ELSE lower(s_name) END AS m, s_suppkey + 7000 AS i FROM {{supplier}})
