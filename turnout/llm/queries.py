@@ -4,24 +4,44 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from turnout.llm import urls
 from turnout.llm.base import table
 from turnout.llm.bpe import digests
 from turnout.llm.counts import token_counts
+from turnout.llm.pages import main_text
+from turnout.llm.pii import pii_digests
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_url_verdicts(spark, sf_dir):
+    return urls.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_pii(spark, sf_dir):
+    return pii_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_main_text(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_url_verdicts": op1_url_verdicts,
     "op4_token_counts": op4_token_counts,
+    "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
+    "op10_main_text": op10_main_text,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_verdicts": urls.oracle(),
+}
