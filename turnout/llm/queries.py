@@ -8,6 +8,8 @@ from turnout.llm import urls
 from turnout.llm.base import table
 from turnout.llm.bpe import digests
 from turnout.llm.counts import token_counts
+from turnout.llm.language import languages
+from turnout.llm.near import near_duplicates
 from turnout.llm.pages import main_text
 from turnout.llm.pii import pii_digests
 
@@ -18,10 +20,18 @@ def op1_url_verdicts(spark, sf_dir):
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op3_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_language(spark, sf_dir):
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark, sf_dir):
     return pii_digests(table(spark, sf_dir, "documents"))
 
@@ -36,7 +46,9 @@ def op10_main_text(spark, sf_dir):
 
 QUERIES = {
     "op1_url_verdicts": op1_url_verdicts,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_token_counts": op4_token_counts,
+    "op5_language": op5_language,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
     "op10_main_text": op10_main_text,
