@@ -12,6 +12,7 @@ from turnout.llm.language import languages
 from turnout.llm.near import near_duplicates
 from turnout.llm.pages import main_text
 from turnout.llm.pii import pii_digests
+from turnout.llm.rules import quality
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,6 +41,10 @@ def op7_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_quality_rules(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
+    "op8_quality_rules": op8_quality_rules,
     "op10_main_text": op10_main_text,
 }
 
