@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from turnout.llm import urls
+from turnout.llm import leaks, urls
 from turnout.llm.base import table
 from turnout.llm.bpe import digests
 from turnout.llm.counts import token_counts
@@ -45,6 +45,10 @@ def op8_quality_rules(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return leaks.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_main_text(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -57,9 +61,11 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_verdicts": urls.oracle(),
+    "op9_decontamination": leaks.oracle(),
 }
