@@ -12,6 +12,7 @@ from turnout.llm.language import languages
 from turnout.llm.near import near_duplicates
 from turnout.llm.pages import main_text
 from turnout.llm.pii import pii_digests
+from turnout.llm.repair import packed
 from turnout.llm.rules import quality
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +22,10 @@ def op1_url_verdicts(spark, sf_dir):
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op2_token_files(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op3_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_main_text(spark, sf_dir):
 
 QUERIES = {
     "op1_url_verdicts": op1_url_verdicts,
+    "op2_token_files": op2_token_files,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
