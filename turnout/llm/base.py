@@ -35,3 +35,15 @@ def batched(spark: SparkSession) -> SparkSession:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def row_key(*columns: str) -> list[Column]:
+    """``k1`` and ``k2``, two hashes that know a row by those columns and are never null."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(*reversed(columns), F.lit(1)).alias("k2")]
+
+
+def without(docs: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` less the rows whose key over ``columns`` is in ``gone``; all columns stay."""
+    keys = [F.xxhash64(*columns), F.xxhash64(*reversed(columns), F.lit(1))]
+    found = gone.select(F.col("k1").alias("_gone1"), F.col("k2").alias("_gone2"))
+    return docs.join(found, (keys[0] == F.col("_gone1")) & (keys[1] == F.col("_gone2")), "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from turnout.llm.base import ascii_lower, saved
+from turnout.llm.base import ascii_lower, row_key, saved, without
 
 WINDOW = 13
 RAREST = 2
@@ -33,7 +33,7 @@ def words(text: Column) -> Column:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` with the two halves of the row's key, which are never null."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "doc_id").alias("k2"))
+    return docs.select("doc_id", "text", *row_key("doc_id", "text"))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -140,6 +140,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return judged(docs, benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` less the contaminated ones."""
+    gone = saved(judged(docs, benchmark).filter("contaminated").select(*DOC).distinct(), "contaminated")
+    return without(docs, gone, "doc_id", "text")
+
+
 def oracle() -> str:
     other = OTHER.replace("\\\\", "\\")
     split = f"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{other}'), lambda x: x <> '')"

@@ -20,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from turnout.llm.base import batched, saved
 
@@ -218,3 +218,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document its set's size, its component and whether it is the one kept."""
     out, _ = grouped(docs)
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component; rows without an id stay."""
+    found = saved(near_duplicates(docs), "near")
+    gone = saved(found.filter("NOT kept").select("doc_id").distinct(), "gone")
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = saved(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return stay
+    again = stay.join(twice, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return stay.join(twice, "doc_id", "left_anti").unionByName(again.filter("_n = 1").select(*stay.columns))

@@ -152,7 +152,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span masked; texts without one stay as they are."""
+    """``docs`` with every span masked and ``n_chars`` brought in line; texts without one stay as they are."""
     batched(docs.sparkSession)
 
     def run(batches):
@@ -161,7 +161,8 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
             texts = [t and masked(t, spans(t)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from turnout.llm.base import saved
+from turnout.llm.base import row_key, saved, without
 
 LEAST_WORDS = 10
 REPEATED = 20
@@ -48,6 +48,7 @@ X = [f"x{n}" for n in range(P)]
 CELLS = list(combinations_with_replacement(range(P), 2))
 KEY = ["level", "lang", "source"]
 ANY = "∅"
+ROW = ("doc_id", "text", "lang", "source")
 
 
 def _sum(terms) -> Column:
@@ -60,7 +61,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     bare = F.translate(text, SPACE, "")
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACE, "")) > 0)
     counted = docs.select(
-        F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("source").cast("string"),
+        F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("source").cast("string"), *row_key(*ROW),
         F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "").alias("_words"),
         F.length(bare).cast("bigint").alias("word_chars"),
         (F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
@@ -161,21 +162,31 @@ def estimates(rows: DataFrame) -> DataFrame:
     return best.select(*KEY, "_b.*").filter(F.col("n") >= KEPT_SHARE * MEMBERS).drop("start")
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """Base statistics, ``base_failed``, squared ``distance`` (null where base rules failed) and ``kept`` per document."""
+def judged(docs: DataFrame) -> DataFrame:
+    """Row keys, base statistics, ``base_failed``, squared ``distance`` (null where base rules failed) and ``kept``."""
     stats = saved(vectors(statistics(docs)), "stats")
     known = saved(estimates(stats.filter("NOT base_failed")), "mcd")
     named = stats.withColumn("_lang", F.coalesce("lang", F.lit(ANY))).withColumn("_source", F.coalesce("source", F.lit(ANY)))
-    judged = named
+    placed = named
     for n, (lang, source) in enumerate((("_lang", "_source"), ("_lang", None), (None, None))):
         own = known.filter(F.col("level") == n).drop("level", "n", "det")
         on = [F.col(lang) == F.col("_l") if lang else F.lit("") == F.col("_l"), F.col(source) == F.col("_s") if source else F.lit("") == F.col("_s")]
         measured = own.withColumnsRenamed({"lang": "_l", "source": "_s"})
         if lang:
-            joined = judged.join(measured, on[:2] if source else on[:1], "left")
+            joined = placed.join(measured, on[:2] if source else on[:1], "left")
         else:  # one row at most
             joined = judged.join(F.broadcast(measured), on[0], "left")
-        judged = joined.select(*judged.columns, F.round(distance(), 6).alias(f"_d{n}"))
+        placed = joined.select(*placed.columns, F.round(distance(), 6).alias(f"_d{n}"))
     far = F.when(~F.col("base_failed"), F.coalesce("_d0", "_d1", "_d2", F.lit(0.0)))
-    return judged.select("doc_id", *BASE, "base_failed", far.alias("distance")).select(
+    return placed.select("doc_id", "k1", "k2", *BASE, "base_failed", far.alias("distance")).select(
         "*", (~F.col("base_failed") & (F.col("distance") <= CUT)).alias("kept"))
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """Per document the base statistics, the squared distance and the verdict."""
+    return judged(docs).drop("k1", "k2")
+
+
+def good(docs: DataFrame) -> DataFrame:
+    """``docs`` less the rejected ones."""
+    return without(docs, saved(judged(docs).filter("NOT kept").select("k1", "k2").distinct(), "rejected"), *ROW)
