@@ -175,7 +175,7 @@ def judged(docs: DataFrame) -> DataFrame:
         if lang:
             joined = placed.join(measured, on[:2] if source else on[:1], "left")
         else:  # one row at most
-            joined = judged.join(F.broadcast(measured), on[0], "left")
+            joined = placed.join(F.broadcast(measured), on[0], "left")
         placed = joined.select(*placed.columns, F.round(distance(), 6).alias(f"_d{n}"))
     far = F.when(~F.col("base_failed"), F.coalesce("_d0", "_d1", "_d2", F.lit(0.0)))
     return placed.select("doc_id", "k1", "k2", *BASE, "base_failed", far.alias("distance")).select(
