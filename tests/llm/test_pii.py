@@ -1,0 +1,73 @@
+import hashlib
+import re
+
+from hypothesis import given, settings, strategies as st
+
+from llm.tables import AWKWARD, documents
+from turnout.llm import pii
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9]([\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def base(text):
+    """The base spans by the plain expressions."""
+    out = [("email", *m.span()) for m in re.finditer(EMAIL, text)]
+    out += [("ip", *m.span()) for m in re.finditer(IP, text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(CARD, text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + n % 2), 10)) for n, c in enumerate(reversed(digits))) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(PHONE, text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.BASE.index(s[0])))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(list("aZ09.1.2.5@+-_ ()é") + ["@a.b", "4111111111111111", "192.168.0.1", "+1 (555) 123-4567", "x@y.z"]), max_size=40).map("".join))
+def test_base_spans_equal_the_expressions(text):
+    assert [tuple(s[:3]) for s in pii.spans(text) if s.kind in pii.BASE] == base(text)
+
+
+def test_validators():
+    assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE89370400440532013001")
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    text = "IBAN DE89 3704 0044 0532 0130 00 AND MORE"
+    assert [(s.kind, text[s.start:s.end]) for s in pii.spans(text) if s.kind == "iban"] == [("iban", "DE89 3704 0044 0532 0130 00")]
+
+
+def test_context_decides_on_numbers_without_check():
+    assert [s.kind for s in pii.spans("her ssn is 123-45-6789 now")] == ["ssn"]
+    assert pii.spans("part 123-45-6789 of it") == []
+    near, far = (pii.spans(f"{word} a@b.org")[0].score for word in ("mail", "thing"))
+    assert near > far
+
+
+def test_masking():
+    text = "é mail a@b.org or +1 (555) 123-4567 end"
+    assert pii.masked(text, pii.spans(text)) == "é mail [EMAIL] or [PHONE] end"
+
+
+def test_long_runs_are_linear():
+    for text in ("1" * 400_000, "a@" * 200_000, "1.2." * 100_000, "+1 " * 100_000, "a." * 200_000 + "@"):
+        pii.spans(text)
+
+
+def test_digests(spark):
+    rows = [*AWKWARD, (30, "a@b.org 10.0.0.1 a@b.org"), (31, "4111 1111 1111 1111")]
+    docs = documents(spark, rows)
+    got = sorted((r[0] or -1, *r[1:]) for r in pii.pii_digests(docs).collect())
+    want = []
+    for doc_id, text in rows:
+        own = base(text or "")
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in own)
+        want.append((doc_id or -1, *(sum(s[0] == k for s in own) for k in pii.BASE), hashlib.sha256(listed.encode()).hexdigest(),
+                     pii.listed(pii.spans(text or ""))))
+    assert got == sorted(want)
+    masked = pii.without_personal_data(docs)
+    assert masked.columns == docs.columns
+    by_id = {r["doc_id"]: r for r in masked.collect()}
+    assert by_id[30]["text"] == "[EMAIL] [IP] [EMAIL]" and by_id[30]["n_chars"] == 20 and by_id[1]["text"] is None
+    assert pii.found_spans(docs).filter("doc_id = 30").first()["spans"][1]["kind"] == "ip"
+    assert pii.pii_digests(docs.limit(0)).count() == pii.without_personal_data(docs.limit(0)).count() == 0
