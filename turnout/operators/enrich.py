@@ -187,6 +187,18 @@ def clamp01(c: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.try_cast("double"))), F.lit(default))
 
 
+def last_answers(raw: DataFrame, key: str) -> DataFrame:
+    """One answer per event and key: the one with the highest ``answer_no``.
+
+    A table without that column has no order; its conflicts are settled by value, so that
+    a run repeats.
+    """
+    values = [F.col(c) for c in raw.columns if c not in (EV, key, "answer_no")]
+    order = [F.col("answer_no")] if "answer_no" in raw.columns else []
+    best = raw.groupBy(EV, key).agg(F.max_by(F.struct(*values), F.struct(*order, *values)).alias("_a"))
+    return best.select(EV, key, "_a.*")
+
+
 def headcount(c: Column) -> Column:
     n = F.floor(c.try_cast("double"))
     return F.when(n > 0, n.cast("bigint"))
@@ -195,22 +207,24 @@ def headcount(c: Column) -> Column:
 def model_firmographics(raw: DataFrame, asked: DataFrame, rules: C.Rules) -> DataFrame:
     """Schema gate on model answers: asked companies only, vocabulary industries, positive sizes."""
     known = asked.select(EV, "company_id").distinct()
-    return raw.join(known, [EV, "company_id"], "left_semi").select(
+    return last_answers(raw, "company_id").join(known, [EV, "company_id"], "left_semi").select(
         EV, "company_id", C.industry_label(F.col("industry"), rules.vocabulary()).alias("new_industry"),
         headcount(F.col("employee_count")).alias("new_size"), clamp01(F.col("confidence")).alias("new_confidence"))
 
 
 def vendor_firmographics(raw: DataFrame, asked: DataFrame) -> DataFrame:
-    """Vendor answers keyed by domain, falling back to the company name; confidence is 1."""
+    """Vendor answers keyed by domain, falling back to the company name; one per company, confidence 1."""
     known = asked.select(EV, "company_id").distinct()
+    number = F.col("answer_no") if "answer_no" in raw.columns else F.lit(0)
     answers = raw.select(
         EV, "company_id", F.when(F.trim("industry") != "", F.trim("industry")).alias("new_industry"),
-        headcount(F.col("employee_count")).alias("new_size"), F.lit(1.0).alias("new_confidence"))
+        headcount(F.col("employee_count")).alias("new_size"), F.lit(1.0).alias("new_confidence"), number.alias("answer_no"))
     answers = answers.filter(F.col("new_industry").isNotNull() | F.col("new_size").isNotNull())
-    by_domain = answers.join(known, [EV, "company_id"], "left_semi")
+    by_domain = answers.join(known, [EV, "company_id"], "left_semi").withColumn("answer_no", F.struct(F.lit(1).alias("direct"), "answer_no"))
     by_name = answers.join(known, [EV, "company_id"], "left_anti").withColumn(
-        "company_id", F.concat(F.lit("name:"), C.company_key(F.col("company_id")))).join(known, [EV, "company_id"], "left_semi")
-    return by_domain.unionByName(by_name)
+        "company_id", F.concat(F.lit("name:"), C.company_key(F.col("company_id")))).join(known, [EV, "company_id"], "left_semi").withColumn(
+        "answer_no", F.struct(F.lit(0).alias("direct"), "answer_no"))
+    return last_answers(by_domain.unionByName(by_name), "company_id")
 
 
 def apply_firmographics(rows: DataFrame, answers: DataFrame, source: str) -> DataFrame:
@@ -234,7 +248,7 @@ def apply_firmographics(rows: DataFrame, answers: DataFrame, source: str) -> Dat
 def vendor_report(raw: DataFrame, asked: DataFrame) -> DataFrame:
     """Answers supplied, applied and what they verify, per event."""
     used = vendor_firmographics(raw, asked)
-    supplied = raw.groupBy(EV).agg(F.count(F.lit(1)).alias("supplied"))
+    supplied = last_answers(raw, "company_id").groupBy(EV).agg(F.count(F.lit(1)).alias("supplied"))
     applied = used.groupBy(EV).agg(F.count(F.lit(1)).alias("applied"), F.count("new_size").alias("sizes"),
                                    F.count("new_industry").alias("industries"))
     return supplied.join(applied, EV, "left").fillna(0, ["applied", "sizes", "industries"])
@@ -242,7 +256,7 @@ def vendor_report(raw: DataFrame, asked: DataFrame) -> DataFrame:
 
 def apply_patches(rows: DataFrame, patches: DataFrame) -> DataFrame:
     """Row-level model answers: allowed words only; any change adds 0.10 confidence."""
-    p = patches.select(EV, F.col("row_id").alias("email"), F.trim("company").alias("_company"),
+    p = last_answers(patches, "row_id").select(EV, F.col("row_id").alias("email"), F.trim("company").alias("_company"),
                        F.trim("jobtitle").alias("_jobtitle"), F.col("function").alias("_function"),
                        F.col("seniority").alias("_seniority"))
     j = rows.join(p, [EV, "email"], "left")
@@ -261,9 +275,9 @@ def apply_patches(rows: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def tier_decisions(raw: DataFrame) -> DataFrame:
-    """Usable tier answers: allowed tiers only, confidence clamped."""
+    """Usable tier answers: the last allowed tier per row, confidence clamped."""
     tier = F.lower(F.trim("tier"))
-    return raw.filter(tier.isin(*fixed.TIER_LEVEL)).select(
+    return last_answers(raw.filter(tier.isin(*fixed.TIER_LEVEL)), "row_id").select(
         EV, F.col("row_id").alias("email"), tier.alias("model_tier"), F.trim("rationale").alias("model_rationale"),
         F.bround(clamp01(F.col("confidence"), 0.5), 2).alias("icp_confidence"))
 

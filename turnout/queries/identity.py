@@ -70,8 +70,8 @@ def _(v):
 @query("enriched_contacts", "JN12 JN30 PRJ17 SET1 SNK1")
 def _(v):
     return enrich(v("registrants"), v("crm"), C.Rules(), speakers=v("speakers"), inboxes=v("speaker_inboxes"),
-                  model=v("model_answers"), vendor=v("vendor_answers"), patches=v("row_patches"),
-                  tiers=v("tier_answers"))["contacts"].drop("notes")
+                  model=v("model_replies"), vendor=v("vendor_replies"), patches=v("patch_replies"),
+                  tiers=v("tier_replies"), decisions=decisions)["contacts"].drop("notes")
 
 
 @query("dedupe_report", "AGG14")

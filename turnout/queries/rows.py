@@ -319,12 +319,12 @@ COLS = "row_idx, company_id, industry, numemployees, industry_source, numemploye
 
 def with_model(v):
     rows = N.keyed(cascade(v))
-    return N.apply_firmographics(rows, N.model_firmographics(v("model_answers"), rows, RULES), "model")
+    return N.apply_firmographics(rows, N.model_firmographics(v("model_replies"), rows, RULES), "model")
 
 
 def with_vendor(v):
     rows = with_model(v)
-    return N.apply_firmographics(rows, N.vendor_firmographics(v("vendor_answers"), rows), "vendor")
+    return N.apply_firmographics(rows, N.vendor_firmographics(v("vendor_replies"), rows), "vendor")
 
 
 SHOWN = ["row_idx", "company_id", "industry", "numemployees", "industry_source", "numemployees_source", "firmographics_confidence"]
@@ -346,7 +346,7 @@ v AS (SELECT a.event_slug, a.company_id, nullif(trim(industry), '') AS ni, CASE
 SELECT event_slug, count(*) AS supplied, count(*) FILTER (WHERE hit IS NOT NULL AND (ni IS NOT NULL OR ns IS NOT NULL)) AS applied,
   count(*) FILTER (WHERE hit IS NOT NULL AND ns IS NOT NULL) AS sizes, count(*) FILTER (WHERE hit IS NOT NULL AND ni IS NOT NULL) AS industries FROM v GROUP BY 1""")
 def _(v):
-    return N.vendor_report(v("vendor_answers"), N.keyed(cascade(v)))
+    return N.vendor_report(v("vendor_replies"), N.keyed(cascade(v)))
 
 
 @query("unresolved_companies", "AGG29", f"""WITH {MODEL} SELECT DISTINCT event_slug, company_id FROM m1 WHERE company_id <> '' AND
@@ -364,7 +364,7 @@ l AS (SELECT *, concat_ws(',', CASE WHEN dc THEN 'company' END, CASE WHEN dt THE
 SELECT row_idx, CASE WHEN dc THEN pc ELSE company END AS company, CASE WHEN dt THEN pt ELSE jobtitle END AS jobtitle, CASE WHEN okf THEN pf ELSE function END AS function,
   CASE WHEN oks THEN ps ELSE seniority END AS seniority, patched, CASE WHEN patched <> '' THEN round_even(least(1.0, confidence + 0.1), 2) ELSE confidence END AS confidence FROM l""")
 def _(v):
-    return N.apply_patches(cascade(v), v("row_patches")).select(
+    return N.apply_patches(cascade(v), v("patch_replies")).select(
         "row_idx", "company", "jobtitle", "function", "seniority", "patched", "confidence")
 
 
@@ -382,7 +382,7 @@ fin AS (SELECT *, CASE WHEN ex IS NOT NULL AND (SELECT v FROM stage_rank WHERE k
 
 def final(v):
     matches = v("crm").groupBy("event_slug", "email").agg(F.any_value("lifecyclestage").alias("existing_stage"))
-    return N.finalised(with_vendor(v), N.tier_decisions(v("tier_answers")), matches, RULES)
+    return N.finalised(with_vendor(v), N.tier_decisions(v("tier_replies")), matches, RULES)
 
 
 @query("final_tiers", "JN11 PRJ17 PRJ23", f"WITH {FINAL} SELECT row_idx, icp_tier, icp_tier_rules, verdict, coalesce(mc, -1)::DOUBLE AS icp_confidence, lifecyclestage FROM fin")

@@ -143,6 +143,20 @@ SELECT c.event_slug, c.email AS row_id,
        split_part('marketing,wizard,sales,general', ',', CAST(c.id % 4 AS INT) + 1) AS function,
        split_part('manager,vp,boss', ',', CAST(c.id % 3 AS INT) + 1) AS seniority
 FROM {contacts} AS c JOIN (SELECT DISTINCT user_id FROM {events} WHERE event_type = 'view') AS p ON p.user_id = c.id""",
+    "model_replies": """
+SELECT event_slug, company_id, 2 AS answer_no, industry, employee_count, confidence FROM {model_answers}
+UNION ALL SELECT event_slug, company_id, 1, 'Retail', '777', 0.5 FROM {model_answers} WHERE confidence < 0.6
+UNION ALL SELECT event_slug, company_id, 2, industry, employee_count, confidence FROM {model_answers} WHERE confidence > 0.9""",
+    "vendor_replies": """
+SELECT event_slug, company_id, 2 AS answer_no, industry, employee_count, run_url FROM {vendor_answers}
+UNION ALL SELECT event_slug, company_id, 1, 'Retail', '888', run_url FROM {vendor_answers} WHERE industry <> '' AND length(company_id) % 2 = 0""",
+    "tier_replies": """
+SELECT event_slug, row_id, 2 AS answer_no, tier, confidence, rationale FROM {tier_answers}
+UNION ALL SELECT event_slug, row_id, 1, 'tier2', 0.1, 'an earlier view' FROM {tier_answers} WHERE tier IN ('tier1', 'tier3')
+UNION ALL SELECT event_slug, row_id, 3, 'platinum', 0.2, 'no such tier' FROM {tier_answers}""",
+    "patch_replies": """
+SELECT event_slug, row_id, 2 AS answer_no, company, jobtitle, function, seniority FROM {row_patches}
+UNION ALL SELECT event_slug, row_id, 1, 'Earlier Co', 'Founder', 'sales', 'vp' FROM {row_patches}""",
     "speakers": """
 SELECT event_slug, id AS speaker_no, firstname || ' ' || lastname AS name, jobtitle AS title, company,
        CASE WHEN id % 2 = 0 THEN email ELSE '' END AS email
