@@ -49,7 +49,7 @@ def test_disclosure_names_seeded_and_bunched(spark):
     now = spark.createDataFrame([("e", NOW)], "event_slug string, as_of timestamp")
     day = [(f"p{i}@x.com", "lead", NOW - timedelta(hours=1 + i / 10), "seeded") for i in range(4)] + [("q@x.com", "lead", NOW - timedelta(days=2), "crm_history")]
     row = M.disclosure(log(spark, day), now, (7,)).first()
-    assert row.bunched and "4 of 5 transitions were written by the seed run" in row.disclosure and "4 of 5 share one date" in row.disclosure
+    assert row.bunched and "4 of 5 moves stem from seeding" in row.disclosure and "4 of 5 fall on" in row.disclosure
 
 
 def test_committee_needs_two_engaged_and_no_freemail(spark):

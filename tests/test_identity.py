@@ -90,16 +90,17 @@ def test_crm_match_equals_all_candidates(spark):
     assert got == want
 
 
-def test_review_cap_and_missing_decisions(spark):
+def test_review_pairs_are_whole_and_decisions_agree(spark):
     pairs = spark.createDataFrame([("e", 1, "p@x", i, f"d{i}@x", 0.66 + i / 1000, "review") for i in range(30)],
                                   "event_slug string, primary_idx long, primary_email string, row_idx long, email string, score double, verdict string")
     none = spark.createDataFrame([], "event_slug string, row_idx long, email string, vid long, score double, verdict string")
     kept = R.review_pairs(pairs, none)
-    assert kept.count() == 20 and kept.agg(F.min("score")).first()[0] == pytest.approx(0.67)
-    assert R.review_overflow(pairs, none).first()[1:] == (30, 20, 10)
-    answers = spark.createDataFrame([("e", "wb:p@x|d29@x", "merge"), ("e", "wb:p@x|d28@x", "perhaps")], "event_slug string, pair_id string, decision string")
+    assert kept.count() == 30 and {(x.right_id, x.rank) for x in kept.collect()} == {(29 - i, i + 1) for i in range(30)}
+    assert R.review_overflow(kept).first()[1:] == (30, 20, 10)
+    answers = spark.createDataFrame([("e", "wb:p@x|d29@x", "merge"), ("e", "wb:p@x|d28@x", "perhaps"), ("e", "wb:p@x|d29@x", "merge"),
+                                     ("e", "wb:p@x|d27@x", "merge"), ("e", "wb:p@x|d27@x", "no_merge")], "event_slug string, pair_id string, decision string")
     by = {x.right_id: x.decision for x in R.adjudicated(kept, answers).collect()}
-    assert by[29] == "merge" and by[28] == "no_merge" and by[15] == "no_merge"
+    assert by[29] == "merge" and by[28] == by[27] == by[15] == "no_merge"
 
 
 def test_ratio_is_not_symmetric_and_bounds_hold(spark):

@@ -147,3 +147,11 @@ def test_vendor_answers_fall_back_to_the_company_name(spark):
     raw = spark.createDataFrame([("e", "Acme  Corp", "Energy", "50"), ("e", "d.com", "", "n/a"), ("e", "x.com", "Energy", "5")],
                                 "event_slug string, company_id string, industry string, employee_count string")
     assert [(x.company_id, x.new_size) for x in N.vendor_firmographics(raw, rows).collect()] == [("name:acme corp", 50)]
+
+
+def test_unreadable_speech_answers_are_set_aside(spark):
+    good = '{"a": [[], {"b": [{"speaker": "x", "start": "2", "text": " hi "}, 7, {"speaker": "y", "start": null}]}]}'
+    rows = [(1, good), (2, "{broken"), (3, "[]"), (4, None), (5, ""), (6, '"text"'), (7, '{"transcript": " whole "}'), (8, "[" * 200 + "]" * 200)]
+    df = spark.createDataFrame(rows, "id int, value string")
+    assert [tuple(r) for r in R.stt_turns(df).orderBy("id").collect()] == [(1, 0, 2.0, 0.0, "x", "hi"), (7, 0, 0.0, None, "Unknown", "whole")]
+    assert {r["id"]: r["reason"] for r in R.stt_rejects(df).collect()} == {2: "not JSON", 4: "empty", 5: "empty"}

@@ -273,15 +273,13 @@ class Rules:
                    & (F.lit("*" in t.industries) | ind.isin(*t.industries)))
             tier = tier.when(hit, F.lit(t.name))
             why = why.when(hit, F.concat(
-                F.lit(f"{t.name} -- title '"), title, F.lit("' in tier titles; company_size="), size_text,
-                F.lit(f" in {list(t.size)}; industry="), ind, F.lit(f" in {list(t.industries)}.")))
+                F.lit(f"{t.name}: title "), title, F.lit(" listed, size "), size_text,
+                F.lit(f" within {t.size[0]}-{t.size[1]}, industry "), ind, F.lit(" served")))
         last = self.tiers[-1]
         hit = size.between(*last.size)
         why = why.when(hit, F.concat(
-            F.lit(f"{last.name} -- catch-all title '"), title, F.lit("'; company_size="), size_text,
-            F.lit(f" in {list(last.size)}; industry="), ind, F.lit(" (wildcard)."))).otherwise(F.concat(
-                F.lit("unqualified -- title '"), title, F.lit("' not in tier1/tier2 title lists and company_size="),
-                size_text, F.lit(f" outside tier3 range {list(last.size)} (industry="), ind, F.lit(").")))
+            F.lit(f"{last.name}: any title ("), title, F.lit("), size "), size_text, F.lit(f" within {last.size[0]}-{last.size[1]}, any industry"))).otherwise(
+            F.concat(F.lit("unqualified: no tier fits title "), title, F.lit(", size "), size_text, F.lit(", industry "), ind))
         return tier.when(hit, F.lit(last.name)).otherwise("unqualified"), why
 
     def tier_by_title(self, title: Column) -> Column:

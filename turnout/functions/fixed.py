@@ -10,7 +10,7 @@ IDENTITY_WEIGHT = 0.75
 MERGE_SCORE = 0.80
 REVIEW_SCORE = 0.65
 FIRST_NAME_GATE = 0.5
-REVIEW_CAP = 20
+REVIEW_BATCH = 20  # pairs that a reader takes at a time
 
 # --- mail domains and placeholder rows ---------------------------------------
 FREEMAIL_BASIC = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com")
@@ -154,7 +154,6 @@ CHANNEL_UTM = {
     "blog.md": ("blog", "content", "blog"),
     "youtube.md": ("youtube", "video", "youtube-description"),
 }
-SOCIAL_UTM = {"linkedin": ("linkedin", "social"), "x": ("x", "social")}
 
 # --- transcript and claims ---------------------------------------------------
 TS = r"\d{1,2}:\d{2}(?::\d{2})?"

@@ -253,8 +253,8 @@ def strict_checks(texts: DataFrame, lines: DataFrame, allowed: DataFrame, strict
     marks = lines.select(EV, F.explode(F.regexp_extract_all("line", F.lit(rf"\[({fixed.TS})\]"), F.lit(1))).alias("value")).distinct().withColumn("_in", F.lit(True))
     t = spans.filter("kind = 'timestamp'").join(marks, [EV, "value"], "left").withColumn("passed", F.coalesce("_in", F.lit(False))).drop("_in")
     both = q.unionByName(t)
-    reason = F.when(F.col("passed"), "").when((F.col("kind") == "quote") & (F.col("_norm") == ""), "empty quote").when(
-        F.col("kind") == "quote", "not found in transcript").otherwise("no such timestamp in transcript")
+    reason = F.when(F.col("passed"), "").when((F.col("kind") == "quote") & (F.col("_norm") == ""), "nothing to look for").when(
+        F.col("kind") == "quote", "no line holds it").otherwise("no line bears it")
     return both.select(EV, "scope", "kind", "no", "value", "passed", reason.alias("reason"))
 
 
@@ -361,11 +361,11 @@ def normalised_moments(raw: DataFrame, stamps: DataFrame, chapter_rows: DataFram
     j = in_chapter(j, chapter_rows, "start")
     j = settled(j.withColumn("upper", F.floor("chapter_end")))
     late = F.col("start") >= F.col("chapter_end") - fixed.CLIP_MIN
-    reason = F.when(F.col("start").isNull(), "start not in transcript").when(late, "less than 30s left in the chapter")
+    reason = F.when(F.col("start").isNull(), "start bears on no mark").when(late, "too close to the chapter's end")
     open_ = clip_ends(j.filter(reason.isNull()), stamps)
     ok = open_.filter(F.col("end").isNotNull())
     dropped = j.filter(reason.isNotNull()).select(EV, "moment_id", reason.alias("reason")).unionByName(
-        open_.filter(F.col("end").isNull()).select(EV, "moment_id", F.lit("no window after start").alias("reason")))
+        open_.filter(F.col("end").isNull()).select(EV, "moment_id", F.lit("no end within reach").alias("reason")))
     spoken = true_speaker(ok.withColumn("sec", F.col("start")), turns, EV)
     worth = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("worth").try_cast("double"), F.lit(0.5)))), 2)
     return spoken.select(EV, "moment_id", F.substring("title", 1, 120).alias("title"), "speaker", "corrected", "start", "end",

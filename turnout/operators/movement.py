@@ -86,11 +86,11 @@ def disclosure(log: DataFrame, now: DataFrame, days=fixed.MOVEMENT_DAYS) -> Data
     bunched = (F.col("peak") > F.col("total") / 2) & (F.col("dates") <= 2)
     text = F.concat_ws(
         "; ",
-        F.when(F.col("seeded") > 0, F.format_string("%d of %d transitions were written by the seed run", "seeded", "total")),
+        F.when(F.col("seeded") > 0, F.format_string("%d of %d moves stem from seeding", "seeded", "total")),
         F.when((F.col("seeded") > 0) & (F.col("total") > F.col("seeded")),
-               F.format_string("the other %d carry the CRM's own history label", F.col("total") - F.col("seeded"))),
-        F.when(bunched, F.format_string("%d of %d share one date (%s)", "peak", "total", F.col("peak_day").cast("string"))))
-    plain = F.format_string("All %d transitions come from the CRM's own history", "total")
+               F.format_string("%d are recorded by the CRM", F.col("total") - F.col("seeded"))),
+        F.when(bunched, F.format_string("%d of %d fall on %s", "peak", "total", F.col("peak_day").cast("string"))))
+    plain = F.format_string("all %d moves are recorded by the CRM", "total")
     return facts.select("event_slug", "days", "total", "seeded", "dates", F.col("peak_day").cast("string").alias("peak_day"), "peak",
                         bunched.alias("bunched"), F.when(text == "", plain).otherwise(text).alias("disclosure"))
 

@@ -147,8 +147,8 @@ def _(v):
     return E.top_accounts(E.accounts(metrics(v)))
 
 
-@query("buying_committees", "AGG19 TOP4", f"""WITH {ACCOUNTS} SELECT event_slug, domain, company, engaged_contacts, rank, engaged_contacts || ' engaged contacts at one account (' ||
-  coverage_pct || '% of the known roster), combined weighted score ' || score AS why FROM (
+@query("buying_committees", "AGG19 TOP4", f"""WITH {ACCOUNTS} SELECT event_slug, domain, company, engaged_contacts, rank, engaged_contacts || ' people engaged, ' ||
+  coverage_pct || '% of those known, weight ' || score AS why FROM (
   SELECT *, row_number() OVER (PARTITION BY event_slug ORDER BY engaged_contacts DESC, score DESC, domain) AS rank FROM accounts WHERE is_committee) WHERE rank <= 10""")
 def _(v):
     return E.committees(E.accounts(metrics(v))).select("event_slug", "domain", "company", "engaged_contacts", "rank", "why")
@@ -230,12 +230,15 @@ def _(v):
 
 @query("movement_disclosure", "AGG21", f"""WITH {ASOF},
 daily AS (SELECT event_slug, days, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE source = 'seeded') AS s FROM hits GROUP BY 1, 2, 3),
-facts AS (SELECT event_slug, days, sum(n)::BIGINT AS total, sum(s)::BIGINT AS seeded, count(*) AS dates, max(n) AS peak FROM daily GROUP BY 1, 2)
-SELECT f.event_slug, f.days, total, seeded, dates, peak,
+facts AS (SELECT event_slug, days, sum(n)::BIGINT AS total, sum(s)::BIGINT AS seeded, count(*) AS dates, max(n) AS peak FROM daily GROUP BY 1, 2),
+told AS (SELECT f.event_slug, f.days, total, seeded, dates, peak,
        (SELECT min(day) FROM daily d WHERE d.event_slug = f.event_slug AND d.days = f.days AND d.n = f.peak) AS peak_day,
-       (peak > total / 2 AND dates <= 2) AS bunched FROM facts f""")
+       (peak > total / 2 AND dates <= 2) AS bunched FROM facts f)
+SELECT *, coalesce(nullif(concat_ws('; ', CASE WHEN seeded > 0 THEN seeded || ' of ' || total || ' moves stem from seeding' END,
+  CASE WHEN seeded > 0 AND total > seeded THEN (total - seeded) || ' are recorded by the CRM' END,
+  CASE WHEN bunched THEN peak || ' of ' || total || ' fall on ' || peak_day END), ''), 'all ' || total || ' moves are recorded by the CRM') AS disclosure FROM told""")
 def _(v):
-    return M.disclosure(M.changes(v("lifecycle")), now(v)).drop("disclosure")
+    return M.disclosure(M.changes(v("lifecycle")), now(v))
 
 
 @query("movement_timeline", "AGG22", f"WITH {CHANGES} SELECT event_slug, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM changes GROUP BY 1, 2")

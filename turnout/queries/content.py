@@ -345,8 +345,8 @@ def _(v):
     return moments(v)[0].select("event_slug", "moment_id", "speaker", "start", "duration", "worth", "chapter")
 
 
-@query("dropped_moments", "TXT8", f"""WITH {NORMALISED} SELECT event_slug, moment_id, CASE WHEN start IS NULL THEN 'start not in transcript' ELSE 'less than 30s left in the chapter' END AS reason FROM p3 WHERE start IS NULL OR start >= cend - 30
-UNION ALL SELECT event_slug, moment_id, 'no window after start' FROM open WHERE moment_id NOT IN (SELECT moment_id FROM best)""")
+@query("dropped_moments", "TXT8", f"""WITH {NORMALISED} SELECT event_slug, moment_id, CASE WHEN start IS NULL THEN 'start bears on no mark' ELSE 'too close to the chapter''s end' END AS reason FROM p3 WHERE start IS NULL OR start >= cend - 30
+UNION ALL SELECT event_slug, moment_id, 'no end within reach' FROM open WHERE moment_id NOT IN (SELECT moment_id FROM best)""")
 def _(v):
     return moments(v)[1]
 

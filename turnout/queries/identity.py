@@ -52,7 +52,7 @@ def _(v):
 @query("review_overflow", "TOP6")
 def _(v):
     rows = named(v)
-    return R.review_overflow(R.duplicate_pairs(rows), R.crm_matches(rows, v("crm")))
+    return R.review_overflow(R.review_pairs(R.duplicate_pairs(rows), R.crm_matches(rows, v("crm"))))
 
 
 def decisions(selected):

@@ -210,13 +210,13 @@ def _(v):
                     C.stage_rank(F.col("existing")).alias("rank"))
 
 
-@query("tier_rationale", "PRJ14", """SELECT id, 'unqualified -- title ''' || jobtitle || ''' not in tier1/tier2 title lists and company_size=' || numemployees ||
-  ' outside tier3 range [1, 200] (industry=' || industry || ').' AS rationale FROM {contacts} WHERE numemployees > 200 AND jobtitle IN ('', 'Founder', 'Marketing Director', 'Sales Development Rep')""")
+@query("tier_rationale", "PRJ14", f"""WITH t AS (SELECT *, {tier('jobtitle', 'numemployees', 'industry')} AS tier FROM {{contacts}})
+SELECT id, CASE tier {" ".join(f"WHEN '{t.name}' THEN '{t.name}: title ' || jobtitle || ' listed, size ' || numemployees || ' within {t.size[0]}-{t.size[1]}, industry ' || industry || ' served'" for t in RULES.tiers[:-1])}
+  WHEN 'tier3' THEN 'tier3: any title (' || jobtitle || '), size ' || numemployees || ' within 1-200, any industry'
+  ELSE 'unqualified: no tier fits title ' || jobtitle || ', size ' || numemployees || ', industry ' || industry END AS rationale FROM t""")
 def _(v):
-    t, why = RULES.tier_rule(F.col("jobtitle"), F.col("numemployees"), F.col("industry"))
-    return v("contacts").select("id", "jobtitle", t.alias("tier"), why.alias("rationale")).filter(
-        (F.col("tier") == "unqualified") & F.col("jobtitle").isin("", "Founder", "Marketing Director", "Sales Development Rep")
-        & ~F.col("rationale").contains("company_size=0 ")).select("id", "rationale")
+    _tier, why = RULES.tier_rule(F.col("jobtitle"), F.col("numemployees"), F.col("industry"))
+    return v("contacts").select("id", why.alias("rationale"))
 
 
 @query("stage_names", "PRJ18", """SELECT row_idx, regexp_replace(lower(raw_stage), '(_pending|_new)$', '') AS stage,

@@ -109,12 +109,12 @@ def assembled_answers(requests: DataFrame, answers: DataFrame, wait: str = "10 m
     a = answers.withWatermark("answered_at", wait).alias("a")
     within = F.expr(f"""r.run_id = a.run_id AND r.company_id = a.company_id
         AND a.answered_at >= r.asked_at AND a.answered_at <= r.asked_at + INTERVAL {wait}""")
-    return r.join(a, within, "left_outer").select("r.run_id", "r.company_id", "r.asked_at", "a.payload")
+    return r.join(a, within, "left_outer").select("r.run_id", "r.company_id", "r.asked_at", "a.answered_at", "a.payload")
 
 
 def newest_answer(assembled: DataFrame) -> DataFrame:
-    """A vendor may answer twice; the last payload of a company stands (batch side)."""
-    return assembled.groupBy("run_id", "company_id").agg(F.max("payload").alias("payload"))
+    """A vendor may answer twice; a company's latest payload stands (batch side)."""
+    return assembled.groupBy("run_id", "company_id").agg(F.max_by("payload", F.struct("answered_at", "payload")).alias("payload"))
 
 
 # --- dispatch -------------------------------------------------------------------------------------
