@@ -79,7 +79,10 @@ def test_crm_match_equals_all_candidates(spark):
     for a in rows:
         best, who = 0.0, None
         for b in crm:
-            if not (a[2] == b[2] or a[5].lower() == b[5].lower()) or ratio(a[4], b[4]) < 0.5:
+            (first, last), (other, name) = (a[4].lower(), a[5].lower()), (b[4].lower(), b[5].lower())
+            one_off = {last} | {last[:n] + last[n + 1:] for n in range(len(last))}
+            near = one_off & ({name} | {name[:n] + name[n + 1:] for n in range(len(name))})
+            if not (a[2] == b[2] or last == name or first == other and (a[7] and a[7] == b[7] or near)) or ratio(a[4], b[4]) < 0.5:
                 continue
             s = score(a, b, a[7], b[7])
             if s > best + 1e-12:
@@ -90,6 +93,20 @@ def test_crm_match_equals_all_candidates(spark):
     assert got == want
 
 
+def test_people_of_an_earlier_event_are_updated(spark):
+    """The CRM after one event is searched at the next: exact addresses, new addresses, other spellings; strangers are created."""
+    crm = [(n, "e1", f"person{n}@corp{n}.com", f"First{n}name", f"Last{n}name", f"Corp {n}") for n in range(10)]
+    crm += [(50, "e1", "Rana.Haddad@acme.com", "Rana", "Haddad", "Acme Ltd"), (51, "e1", "y.f@air.com", "Yousef", "Farsi", "Air"), (52, "e0", None, "Mei", "Tanaka", None)]
+    right = spark.createDataFrame(crm, "vid long, event_slug string, email string, firstname string, lastname string, company string")
+    rows = [(n, "e2", f"person{n}@corp{n}.com", f"person{n}", f"First{n}name", f"Last{n}name", f"Corp {n}", f"corp {n}", "", True) for n in range(10)]
+    rows += [(20, "e2", "rana.hadad@acme.com", "rana.hadad", "Rana", "Hadad", "Acme", "acme", "", True),
+             (21, "e2", "yousef.farsi@air.com", "yousef.farsi", "Yousef", "Farsi", "Air", "air", "", True),
+             (22, "e2", "new@else.org", "new", "Nadia", "Olsen", "Else", "else", "", True)]
+    got = {m.row_idx: (m.vid, m.verdict) for m in R.crm_matches(spark.createDataFrame(rows, COLS), right).collect()}
+    assert got == {**{n: (n, "merge") for n in range(10)}, 20: (50, "merge"), 21: (51, "merge")}
+    assert R.crm_matches(spark.createDataFrame(rows, COLS), right, scope=("event_slug",)).count() == 0
+
+
 def test_review_pairs_are_whole_and_decisions_agree(spark):
     pairs = spark.createDataFrame([("e", 1, "p@x", i, f"d{i}@x", 0.66 + i / 1000, "review") for i in range(30)],
                                   "event_slug string, primary_idx long, primary_email string, row_idx long, email string, score double, verdict string")
