@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from turnout.operators import enrich as N, grounding as G, messages as MSG, movement as M, reports as P, transcript as X
-from turnout.queries.analytics import CHANGES, COUNTERS
+from turnout.functions import fixed
+from turnout.operators import engagement as E, enrich as N, reports as P, transcript as X
+from turnout.queries.analytics import ACCOUNTS, CHANGES, COUNTERS, metrics
 from turnout.queries.content import CUES
 from turnout.queries.registry import query
 from turnout.session import scratch
@@ -130,25 +131,47 @@ def _(v):
         "last_engaged", F.date_format("last_engaged", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("stream_timeline", "STM4 STM9", f"""WITH {CHANGES} SELECT event_slug, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM changes
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM changes) - INTERVAL 1 DAY GROUP BY 1, 2""")
+def change_rows(v):
+    who = v("contacts").select(F.col("id").alias("o_custkey"), "event_slug", "email")
+    return v("orders").join(who, "o_custkey").select(
+        F.col("o_orderkey").alias("row_idx"), "event_slug", "email", F.expr("CAST(o_orderdate + INTERVAL '8216' DAY AS timestamp)").alias("ts"))
+
+
+@query("stream_timeline", "STM4", f"""WITH {CHANGES} SELECT event_slug, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n,
+  date_trunc('day', any_value(ts)) + INTERVAL 1 DAY > (SELECT max(ts) FROM changes) - INTERVAL 1 DAY AS provisional FROM changes GROUP BY 1, 2""")
 def _(v):
-    return J.settle(J.daily_timeline(change_stream(v)))
+    return J.with_open(J.settle(J.daily_timeline(change_stream(v))), J.daily_timeline(change_rows(v)), ["event_slug", "day"])
 
 
 @query("stream_movement", "STM3", """WITH c AS (SELECT event_slug, ts FROM {lifecycle}),
-w AS (SELECT event_slug, date_trunc('day', ts) + to_days(k::INTEGER) AS until FROM c, unnest(range(1, 31)) AS r(k))
-SELECT event_slug, strftime(until, '%Y-%m-%d') AS until, count(*) AS transitions FROM w WHERE until <= (SELECT max(ts) FROM c) - INTERVAL 1 DAY GROUP BY 1, 2""")
+w AS (SELECT event_slug, days, date_trunc('day', ts) + to_days(k::INTEGER) AS until FROM c, (VALUES (7), (14), (30)) AS d(days), unnest(range(1, days + 1)) AS r(k))
+SELECT event_slug, days, strftime(until, '%Y-%m-%d') AS until, count(*) AS transitions, until > (SELECT max(ts) FROM c) - INTERVAL 1 DAY AS provisional
+FROM w GROUP BY event_slug, days, w.until""")
 def _(v):
-    return J.settle(J.trailing_movement(change_stream(v)))
+    each = [J.with_open(J.settle(J.trailing_movement(change_stream(v), n)), J.trailing_movement(change_rows(v), n), ["event_slug", "until"]).withColumn("days", F.lit(n))
+            for n in fixed.MOVEMENT_DAYS]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("stream_visits", "STM5", """WITH e AS (SELECT event_slug, email, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM {engagement} WINDOW w AS (PARTITION BY event_slug, email ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_slug, email ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e),
 g AS (SELECT event_slug, email, min(ts) AS started, max(ts) AS last, count(*) AS events FROM s GROUP BY event_slug, email, sid)
-SELECT event_slug, email, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, events FROM g WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM {engagement}) - INTERVAL 1 HOUR""")
+SELECT event_slug, email, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, events, last + INTERVAL 30 MINUTE > (SELECT max(ts) FROM {engagement}) - INTERVAL 1 HOUR AS provisional FROM g""")
 def _(v):
-    return J.settle(J.visits(event_stream(v))).withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
+    rows = v("engagement").select("event_id", "event_slug", "email", "type", F.col("ts").cast("timestamp").alias("ts"))
+    done = J.with_open(J.settle(J.visits(event_stream(v))), J.visits(rows), ["event_slug", "email", "started"])
+    return done.withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_analysis", "STM9", f"""WITH {ACCOUNTS} SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_slug ORDER BY score DESC, company, domain) AS rank FROM accounts) WHERE rank <= 10""")
+def _(v):
+    folder = scratch(v.spark, "analysis")
+
+    def analyse(rows):
+        return {"top_accounts": E.top_accounts(E.accounts(metrics(v, rows)))}
+    J.refresh(event_stream(v), folder, analyse, ["top_accounts"])
+    return v.spark.read.parquet(f"{folder}/top_accounts")
 
 
 @query("stream_seed_labels", "STM8", f"""WITH {CHANGES}, r AS (SELECT event_slug, min(ts) AS cut FROM {{engagement}} GROUP BY 1)

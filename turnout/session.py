@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # streaming state beside the heap: contacts are many
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -44,6 +46,20 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path objects, for stores that only Spark reaches."""
+    jvm = spark._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers n of the folders ``path/prefix=n`` that were written to the end."""
+    fs, there = file_system(spark, f"{path}/{prefix}=*/_SUCCESS")
+    found = fs.globStatus(there) or []
+    return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in found)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder (streaming sinks, their checkpoints)."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

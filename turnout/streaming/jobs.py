@@ -14,9 +14,11 @@ from pyspark.sql.types import StructType
 
 from turnout.functions import contact as C, fixed
 from turnout.operators import engagement as E
-from turnout.session import scratch
+from turnout.session import file_system, folders, scratch, settled
 
 EV = "event_slug"
+BASE_EVERY = 20
+LOG_BUCKETS = 64
 
 
 # --- sources and runs -----------------------------------------------------------------
@@ -42,21 +44,67 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], mode:
         .trigger(availableNow=True).start().awaitTermination())
 
 
+def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
+    """The newest row per key with its ``_batch``: the last base and the batches since."""
+    bases = folders(spark, path, "base")
+    since = [n for n in folders(spark, path, "batch") if not bases or n > bases[-1]]
+    parts = [f"{path}/base={n}" for n in bases[-1:]] + [f"{path}/batch={n}" for n in since]
+    if not parts:
+        return None
+    rows = spark.read.parquet(*parts)
+    values = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*")
+
+
 def upsert(stream: DataFrame, keys: list[str], path: str | None = None, mode: str = "update") -> DataFrame:
     """Keep the newest row per key.
 
-    A batch writes its own directory, so a replayed batch overwrites itself and
-    totals are set, never added up twice; reading takes the last batch per key.
+    A batch writes its own folder, so a replayed batch overwrites itself and
+    totals are set, never added up twice.  After every ``BASE_EVERY`` batches
+    what they hold is folded into a base, and folders that it covers go.
     """
     spark = stream.sparkSession
     path = path or scratch(spark, "upsert")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % BASE_EVERY == BASE_EVERY - 1:
+            spark = batch.sparkSession
+            newest(spark, path, keys).write.mode("overwrite").parquet(f"{path}/base={number}")
+            old = [f"{path}/batch={n}" for n in folders(spark, path, "batch") if n <= number]
+            for folder in old + [f"{path}/base={n}" for n in folders(spark, path, "base") if n < number]:
+                fs, there = file_system(spark, folder)
+                fs.delete(there, True)
     each_batch(stream, write, mode)
-    rows = spark.read.option("recursiveFileLookup", True).parquet(path)
-    values = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*")
+    kept = newest(spark, path, keys)
+    return spark.createDataFrame([], stream.schema) if kept is None else kept.drop("_batch")
+
+
+def with_open(closed: DataFrame, all_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Closed windows, and as ``provisional`` those that the watermark has not passed yet.
+
+    ``all_rows`` is the same aggregate over the rows read so far.  It is written
+    first: joined on their start while they are still being merged, sessions
+    come out in pieces.
+    """
+    still = settled(all_rows).join(closed.select(*keys), keys, "left_anti")
+    return closed.withColumn("provisional", F.lit(False)).unionByName(still.withColumn("provisional", F.lit(True)))
+
+
+def refresh(stream: DataFrame, path: str, analyse: Callable[[DataFrame], dict[str, DataFrame]], reports: list[str]) -> None:
+    """Bring a whole analysis up to date with all that has arrived.
+
+    New rows are added to ``path/rows``; the named reports are then computed
+    over all rows so far and replace ``path/<report>``.  A replayed batch
+    overwrites itself.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        out = analyse(spark.read.schema(stream.schema).parquet(f"{path}/rows"))
+        for name in reports:
+            out[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    each_batch(stream, write, state=f"{path}/state")
 
 
 # --- engagement ------------------------------------------------------------------------
@@ -71,7 +119,7 @@ def daily_timeline(changes: DataFrame, late: str = "1 day") -> DataFrame:
         EV, F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
 
 
-def trailing_movement(changes: DataFrame, days: int = 30, late: str = "1 day") -> DataFrame:
+def trailing_movement(changes: DataFrame, days: int, late: str = "1 day") -> DataFrame:
     """Trailing window that slides by a day; the exact data-driven as-of stays with the batch job."""
     return changes.withWatermark("ts", late).groupBy(EV, F.window("ts", f"{days} days", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("transitions")).select(EV, F.date_format("w.end", "yyyy-MM-dd").alias("until"), "transitions")
@@ -128,13 +176,12 @@ def log_sends(results: DataFrame, path: str) -> None:
     """Append sends the log does not hold yet; safe to replay."""
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            held = spark.read.parquet(path).select(EV, "message_id")
-            batch = batch.join(held, [EV, "message_id"], "left_anti")
-        except Exception as missing:  # the log does not exist before its first append
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        batch.write.mode("append").parquet(path)
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(EV, "message_id"), F.lit(LOG_BUCKETS)).cast("int"))
+        fs, there = file_system(spark, path)
+        if fs.exists(there):  # only the buckets of new messages are read
+            held = spark.read.parquet(path).select("bucket", EV, "message_id")
+            batch = batch.join(held, ["bucket", EV, "message_id"], "left_anti")
+        batch.write.mode("append").partitionBy("bucket").parquet(path)
     each_batch(unique_sends(results), write)
 
 
