@@ -113,6 +113,13 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
 
 
+def numbered_pairs(text: Column) -> Column:
+    """Character pairs of a short text, repeated ones numbered, so a set join counts multiplicity."""
+    last = F.length(text) - 1
+    pairs = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == p)).cast("string")))
+
+
 def substrings(text: Column) -> Column:
     """All distinct non-empty substrings of a short text (a mailbox, a company name)."""
     n = F.length(text)

@@ -13,8 +13,8 @@ from turnout.operators.transcript import clip_ends, in_chapter, snapped, true_sp
 from turnout.session import settled
 
 EV = "event_slug"
-GRAM_SIZES = ((25, 13), (11, 6), (7, 4), (3, 2), (1, 1))  # (shortest text served, gram length)
-NAMES_PER_CHUNK = 200
+GRAM_SIZES = ((25, 13), (11, 6), (7, 4), (3, 2))  # (shortest text served, gram length)
+WORD = r"[\p{L}\p{Nd}_]+"
 
 
 # --- locating quotes -----------------------------------------------------------------
@@ -26,7 +26,8 @@ def contained(quotes: DataFrame, texts: DataFrame, keys: list[str], quote: str,
     gram of their first 2k-1 characters: wherever a quote sits, one of its
     grams lines up with a cut.  Equal texts are folded into their first copy
     before anything is cut.  k shrinks for short quotes; only sizes that occur
-    are cut.
+    are cut.  Quotes of one or two characters are looked up among all pieces of
+    their length, which for a first place are reduced to one row each.
     """
     q = quotes.select(*keys, F.col(quote).alias("_q")).filter("_q <> ''").distinct()
     size = F
@@ -35,7 +36,16 @@ def contained(quotes: DataFrame, texts: DataFrame, keys: list[str], quote: str,
     q = settled(q.withColumn("_k", size))
     t = texts.groupBy(*keys, F.col(text).alias("_t")).agg(F.min(order).alias("_o"))
     found = None
-    for (k,) in q.select("_k").distinct().collect():  # at most five gram sizes
+    for (k,) in q.select("_k").distinct().collect():  # at most four gram sizes, or none for short quotes
+        if k is None:
+            short = q.filter("_k IS NULL").drop("_k")
+            pieces = t.select(*keys, "_o", F.explode(F.array_distinct(F.concat(*[F.when(F.length("_t") >= n, F.transform(
+                F.sequence(F.lit(1), F.length("_t") - (n - 1)), lambda i: F.substring("_t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+                for n in (1, 2)]))).alias("_q"))
+            pieces = pieces if every else pieces.groupBy(*keys, "_q").agg(F.min("_o").alias("_o"))
+            hit = short.join(pieces, keys + ["_q"]).select(*keys, "_q", "_o")
+            found = hit if found is None else found.unionByName(hit)
+            continue
         cut = t.withColumn("_g", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s).{{{k}}}"), F.lit(0)))))
         offered = q.filter(F.col("_k") == k).withColumn("_g", F.explode(F.array_distinct(
             F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(F.col("_q"), i, F.lit(k))))))
@@ -95,14 +105,14 @@ def best_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote:
 
 
 def matched_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
-    """Verbatim quotes are scored on the windows that hold them; only the rest is searched for."""
+    """Quotes that are a whole window score 1 and are settled; all others, held by a window or not, are searched for."""
     q = quotes.select(*keys, quote).filter(F.col(quote) != "").distinct().withColumn("_low", F.lower(quote))
     w = _folded(windows, keys).withColumn("_low", F.lower("text"))
     holds = contained(q, w.withColumn("_seq", F.struct("_o.span", "_o.seq")), keys, "_low", "_low", "_seq", every=True)
     pairs = holds.withColumnRenamed("_low", "_ql").join(q.withColumnRenamed("_low", "_ql"), keys + ["_ql"]).select(
         *keys, F.col(quote).alias("_q"), F.col("_seq").alias("_o"))
     texts = pairs.join(w.select(*keys, "_o", "label", "text"), keys + ["_o"])
-    sure = settled(_scored(texts, keys).withColumnRenamed("_q", quote))
+    sure = settled(_scored(texts.filter(F.length("text") == F.length("_q")), keys).filter("ratio = 1").withColumnRenamed("_q", quote))
     rest = settled(q.join(sure, keys + [quote], "left_anti").select(*keys, quote))
     return sure.unionByName(best_windows(rest, windows, keys, quote))
 
@@ -135,26 +145,24 @@ def claims(assets: DataFrame) -> DataFrame:
     return assets.select(EV, "asset_id", F.posexplode(claims_in("text")).alias("claim_no", "c")).select(EV, "asset_id", "claim_no", "c.*")
 
 
-def name_chunks(roster: DataFrame, column: str = "name") -> DataFrame:
-    """Names per event in arrays of about ``NAMES_PER_CHUNK``; a long list never becomes one value."""
-    names = roster.select(EV, F.col(column).alias("name")).filter("name <> ''").distinct()
-    n = names.groupBy(EV).agg(F.count(F.lit(1)).alias("_n"))
-    chunk = F.pmod(F.xxhash64("name"), F.floor(F.col("_n") / NAMES_PER_CHUNK) + 1)
-    return names.join(n, EV).groupBy(EV, chunk.alias("chunk")).agg(F.collect_list("name").alias("names"))
-
-
-def mentions(window: Column, name: Column) -> Column:
-    """Full name anywhere, or any part of it as a word."""
-    parts = F.split(name, r"\s+")
-    return window.contains(name) | F.exists(parts, lambda p: F.regexp_like(window, F.concat(F.lit(r"\b\Q"), p, F.lit(r"\E\b"))))
-
-
 def attributed(quote_claims: DataFrame, roster: DataFrame) -> DataFrame:
-    """Quotes that stand near a named speaker; the others are not claims about speech."""
-    j = quote_claims.select(EV, "asset_id", "claim_no", "before", "after")
-    j = attach(j, name_chunks(roster), [EV], "inner")
-    near = j.filter(F.exists("names", lambda n: mentions(F.col("before"), n) | mentions(F.col("after"), n)))
-    return quote_claims.join(near.select("asset_id", "claim_no").distinct(), ["asset_id", "claim_no"], "left_semi")
+    """Quotes that stand near a named speaker; the others are not claims about speech.
+
+    A speaker is named by the full name anywhere, or by any part of it as a word.
+    Parts join on their first run of letters, which is then a word of the
+    context too, and are checked whole; full names are found as verbatim quotes are.
+    """
+    key = [EV, "asset_id", "claim_no"]
+    names = roster.select(EV, "name").filter("name <> ''").distinct()
+    sides = quote_claims.select(*key, F.explode(F.array_distinct(F.array("before", "after"))).alias("context")).filter("context <> ''")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)))
+    parts = names.select(EV, F.explode(F.split("name", r"\s+")).alias("part")).distinct().withColumn("word", F.regexp_extract("part", WORD, 0)).filter("word <> ''")
+    by_word = sides.select(*key, "context", F.explode(words("context")).alias("word")).join(parts, [EV, "word"]).filter(
+        F.regexp_like("context", F.concat(F.lit(r"\b\Q"), F.col("part"), F.lit(r"\E\b")))).select(*key)
+    contexts = sides.select(EV, "context").distinct()
+    whole = contained(names, contexts.withColumn("_at", F.col("context")), [EV], "name", "context", "_at", every=True)
+    by_name = sides.join(whole.select(EV, F.col("_at").alias("context")).distinct(), [EV, "context"], "left_semi").select(*key)
+    return quote_claims.join(by_word.unionByName(by_name).distinct(), key, "left_semi")
 
 
 def fragments(quote_claims: DataFrame) -> DataFrame:
@@ -245,10 +253,11 @@ def strict_checks(texts: DataFrame, lines: DataFrame, allowed: DataFrame, strict
     quotes = spans.filter("kind = 'quote'")
     there = contained(quotes, src, [EV], "_norm", "_norm", "line_no").select(EV, "_norm").withColumn("_in", F.lit(True))
     if not strict:
-        nouns = allowed.select(EV, T.match_key(F.col("name")).alias("name"))
-        open_ = quotes.select(EV, "_norm").filter("_norm <> ''").distinct().join(there, [EV, "_norm"], "left_anti").join(name_chunks(nouns), EV)
-        loose = open_.filter(F.exists("names", lambda n: F.col("_norm").contains(n) | n.contains(F.col("_norm")))).select(EV, "_norm")
-        there = there.unionByName(loose.distinct().withColumn("_in", F.lit(True))).dropDuplicates([EV, "_norm"])
+        nouns = allowed.select(EV, T.match_key(F.col("name")).alias("name")).filter("name <> ''").distinct()
+        open_ = settled(quotes.select(EV, "_norm").filter("_norm <> ''").distinct().join(there, [EV, "_norm"], "left_anti"))
+        holding = contained(nouns, open_.withColumn("_at", F.col("_norm")), [EV], "name", "_norm", "_at", every=True).select(EV, F.col("_at").alias("_norm"))
+        inside = contained(open_, nouns.withColumn("_at", F.col("name")), [EV], "_norm", "name", "_at").select(EV, "_norm")
+        there = there.select(EV, "_norm").unionByName(holding).unionByName(inside).distinct().withColumn("_in", F.lit(True))
     q = quotes.join(there, [EV, "_norm"], "left").withColumn("passed", F.coalesce("_in", F.lit(False))).drop("_in")
     marks = lines.select(EV, F.explode(F.regexp_extract_all("line", F.lit(rf"\[({fixed.TS})\]"), F.lit(1))).alias("value")).distinct().withColumn("_in", F.lit(True))
     t = spans.filter("kind = 'timestamp'").join(marks, [EV, "value"], "left").withColumn("passed", F.coalesce("_in", F.lit(False))).drop("_in")
