@@ -161,6 +161,10 @@ TURN_LINE = rf"^\[({TS})\]\s*\*\*([^:*]+):\*\*\s*(.*)$"
 CUE_LINE = r"^\[(\d+):(\d{2})\]\s+\*\*(.*?)\*\*(.*)$"
 SEGMENT_BOUNDS = rf"\(({TS})\s*[–‒-]\s*({TS})\)"
 QUOTE_MIN = 25
+SHOWN_QUOTE = 90  # characters of texts that reports show
+SHOWN_VALUE = 60
+SHOWN_TITLE = 120
+SHOWN_CLAIM = 120
 QUOTE_RATIO = 0.90
 NAME_RATIO = 0.85
 SNAP_DRIFT = 45
@@ -179,3 +183,20 @@ REQUIRED_SECTIONS = {
     "youtube.md": ("## Chapters", "## Description", "## Thumbnail Brief"),
     "infographic.md": ("## Headline Options", "## Data Points", "## Layout"),
 }
+
+# --- shapes of model answers --------------------------------------------------
+# purpose: fields that tell its items
+ANSWER_FIELDS = {
+    "anomalies": ("metric", "evidence", "evidence_rows", "anomaly", "contact"),
+    "interest_scores": ("score", "interest_score"),
+    "committees": ("company", "contacts"),
+}
+NARRATIVE = "movement_narrative"
+
+# --- deliverables -----------------------------------------------------------------
+# file name or ending: kind, maker
+ASSET_KINDS = {
+    "blog.md": ("blog", "llm"), "youtube.md": ("youtube", "llm"), "infographic.md": ("infographic", "llm"),
+    "social.md": ("social", "llm"), "extraction.json": ("extraction", "llm"), "manifest.json": ("manifest", "llm"),
+    "grounding_report.json": ("report", "llm"), ".png": ("visual", "image_model"), ".mp4": ("clip", "ffmpeg"), ".srt": ("caption", "sarvam"),
+}

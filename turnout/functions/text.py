@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from turnout.functions import fixed
+
 # --- slugs and keys -----------------------------------------------------------
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -154,3 +156,33 @@ def json_part(c: Column) -> Column:
                     F.regexp_extract(t, r"(?s)(\[.*\])", 1))
     good = F.filter(spans, lambda s: (s != "") & F.try_parse_json(s).isNotNull() & s.rlike(r"(?s)^\s*[\[{]"))
     return F.try_element_at(good, F.lit(1))
+
+
+def coerced_answer(purpose: Column, part: Column) -> Column:
+    """A model's answer under the key its purpose asks for: ``key``, ``payload`` (JSON text) and ``note``.
+
+    ``part`` is JSON text.  An object is taken as it is, under an empty key.  A bare list goes under
+    the purpose's key if any of its objects has one of that purpose's fields; for the narrative its
+    strings are joined.  Anything else gives no payload.  Every change leaves a note.
+    """
+    answer = F.try_parse_json(part)
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    items = F.coalesce(F.try_variant_get(answer, "$", "array<variant>"), F.array().cast("array<variant>"))
+    objects = F.filter(items, lambda v: kind(v) == "OBJECT")
+    fields = F.flatten(F.transform(objects, lambda v: F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))))
+    words = F.filter(items, lambda v: kind(v) == "STRING")
+    told = F.trim(F.array_join(F.transform(words, lambda v: v.cast("string")), " "))
+    key, payload = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, own in fixed.ANSWER_FIELDS.items():
+        hit = (purpose == name) & F.arrays_overlap(fields, F.array(*[F.lit(f) for f in own]))
+        key, payload = F.when(hit, F.lit(name)).otherwise(key), F.when(hit, F.to_json(objects)).otherwise(payload)
+    narrative = (purpose == fixed.NARRATIVE) & (told != "")
+    key, payload = F.when(narrative, F.lit("narrative")).otherwise(key), F.when(narrative, told).otherwise(payload)
+    text = F.trim(answer.cast("string"))
+    spoken = (kind(answer) == "STRING") & (purpose == fixed.NARRATIVE) & (text != "")
+    out = lambda k, p, n: F.struct(k.alias("key"), p.alias("payload"), n.alias("note"))
+    nothing = F.lit(None).cast("string")
+    return (F.when(kind(answer) == "OBJECT", out(F.lit(""), part, F.lit("")))
+            .when(kind(answer) == "ARRAY", out(key, payload, F.concat(purpose, F.lit(": bare list taken as "), F.coalesce(key, F.lit("nothing")))))
+            .when(spoken, out(F.lit("narrative"), text, F.concat(purpose, F.lit(": bare text taken as narrative"))))
+            .otherwise(out(nothing, nothing, F.concat(purpose, F.lit(": no object, left out")))))

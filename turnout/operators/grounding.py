@@ -121,7 +121,8 @@ def located_quotes(quotes: DataFrame, turns: DataFrame, windows: DataFrame, keys
     """Where a quote was said: verbatim turn first, else the best window from 0.90.
 
     ``quotes``: keys, quote_no, quote.  A fuzzy hit takes its window's first
-    speaker and that speaker's first second.
+    speaker and that speaker's first second.  Where no window reaches 0.90 the
+    ratio is NULL.
     """
     q = quotes.withColumn("_norm", T.spaced(F.col("quote")))
     t = turns.withColumn("_norm", T.spaced(F.col("text")))
@@ -134,7 +135,7 @@ def located_quotes(quotes: DataFrame, turns: DataFrame, windows: DataFrame, keys
     near = near.join(first, keys + ["said_by"], "left")
     q2 = rest.join(near.select(*keys, "quote", "said_by", "sec", "ratio"), keys + ["quote"], "left")
     good = F.coalesce(F.col("ratio") >= fixed.QUOTE_RATIO, F.lit(False))
-    q2 = q2.withColumns({"said_by": F.when(good, F.col("said_by")), "sec": F.when(good, F.col("sec")), "ratio": F.coalesce("ratio", F.lit(0.0))})
+    q2 = q2.withColumns({"said_by": F.when(good, F.col("said_by")), "sec": F.when(good, F.col("sec"))})
     cols = [*quotes.columns, "said_by", "sec", "ratio"]
     return q1.select(*cols).unionByName(q2.select(*cols))
 
@@ -193,7 +194,7 @@ def verified_claims(found: DataFrame, turns: DataFrame, windows: DataFrame, stam
     hits = matched_windows(spans, windows, [EV]).select(EV, "quote", "ratio")
     quoted = spans.join(hits, [EV, "quote"], "left").groupBy(*key, F.lit("quote").alias("type"), "raw").agg(
         F.bool_and(F.coalesce("ratio", F.lit(0.0)) >= fixed.QUOTE_RATIO).alias("verified"),
-        F.min(F.coalesce("ratio", F.lit(0.0))).alias("ratio")).select(*key, "type", "raw", "verified", "ratio")
+        F.when(F.bool_and(F.col("ratio").isNotNull()), F.min("ratio")).alias("ratio")).select(*key, "type", "raw", "verified", "ratio")
     return stamped.unionByName(at).unionByName(said).unionByName(quoted)
 
 
@@ -208,7 +209,8 @@ def failure_digest(verdicts: DataFrame, k: int = 5) -> DataFrame:
     """Banner text per asset that failed: counts and the first ``k`` failures."""
     n = verdicts.groupBy(EV, "asset_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("verified")).alias("failed"))
     few = top_k(verdicts.filter(~F.col("verified")), [EV, "asset_id"], [F.asc("claim_no"), F.asc("type")], k)
-    text = F.when(F.length("raw") <= 120, F.col("raw")).otherwise(F.concat(F.substring("raw", 1, 117), F.lit("...")))
+    most = fixed.SHOWN_CLAIM
+    text = F.when(F.length("raw") <= most, F.col("raw")).otherwise(F.concat(F.substring("raw", 1, most - 3), F.lit("...")))
     lines = few.withColumn("_l", F.format_string("> - [%s] %s", F.col("type"), text)).groupBy(EV, "asset_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_l"))), lambda s: s["_l"]), "\n").alias("_lines"))
     more = F.when(F.col("failed") > k, F.format_string("\n> - ...and %d more", F.col("failed") - k)).otherwise("")
@@ -377,10 +379,51 @@ def normalised_moments(raw: DataFrame, stamps: DataFrame, chapter_rows: DataFram
         open_.filter(F.col("end").isNull()).select(EV, "moment_id", F.lit("no end within reach").alias("reason")))
     spoken = true_speaker(ok.withColumn("sec", F.col("start")), turns, EV)
     worth = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("worth").try_cast("double"), F.lit(0.5)))), 2)
-    return spoken.select(EV, "moment_id", F.substring("title", 1, 120).alias("title"), "speaker", "corrected", "start", "end",
+    return spoken.select(EV, "moment_id", F.substring("title", 1, fixed.SHOWN_TITLE).alias("title"), "speaker", "corrected", "start", "end",
                          (F.col("end") - F.col("start")).alias("duration"), worth.alias("worth"), "chapter"), dropped
 
 
+def normalised_quotes(raw: DataFrame, turns: DataFrame, windows: DataFrame, chapter_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Model quotes with speaker, second and chapter: accepted rows, and dropped rows with a reason.
+
+    ``raw``: event_slug, quote_no, quote, topic.  Quotes too short to verify, and those that no turn
+    holds and no window reaches, are dropped; the best ratio is named where one is known.
+    """
+    q = raw.withColumn("quote", F.btrim(F.trim(F.coalesce("quote", F.lit(""))), F.lit("\"“”")))
+    short = F.length("quote") < fixed.QUOTE_MIN
+    found = settled(located_quotes(q.filter(~short), turns, windows, [EV]))
+    ok = in_chapter(found.filter("sec IS NOT NULL"), chapter_rows)
+    why = F.when(F.col("ratio").isNull(), F.lit(f"no window reaches {fixed.QUOTE_RATIO:.2f}")).otherwise(
+        F.format_string("heard at %.2f, but no second is known", "ratio"))
+    cut = F.substring("quote", 1, fixed.SHOWN_QUOTE).alias("quote")
+    dropped = q.filter(short).select(EV, "quote_no", cut, F.lit("too short to verify").alias("reason")).unionByName(
+        found.filter("sec IS NULL").select(EV, "quote_no", cut, why.alias("reason")))
+    return ok.select(EV, "quote_no", "quote", F.col("said_by").alias("speaker"), "sec", "topic", "chapter", F.round("ratio", 3).alias("ratio")), dropped
+
+
+def normalised_points(raw: DataFrame, stamps: DataFrame, chapter_rows: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Data points on real stamps with their true speaker; those whose second bears on no mark are dropped.
+
+    ``raw``: event_slug, point_no, value, what, sec, claimed.
+    """
+    j = snapped(raw, stamps).drop("sec", "drift").withColumnRenamed("snapped", "sec")
+    ok = true_speaker(in_chapter(j.filter("sec IS NOT NULL"), chapter_rows), turns, EV)
+    dropped = j.filter("sec IS NULL").select(EV, "point_no", F.substring("value", 1, fixed.SHOWN_VALUE).alias("value"), F.lit("second bears on no mark").alias("reason"))
+    return ok.select(EV, "point_no", F.trim("value").alias("value"), "what", "speaker", "sec", "chapter"), dropped
+
+
+def normalised_insights(raw: DataFrame, stamps: DataFrame, chapter_rows: DataFrame, turns: DataFrame) -> DataFrame:
+    """Insights, all kept: with a mark they get its second, chapter and true speaker, else what the model said.
+
+    ``raw``: event_slug, insight_no, insight, so_what, sec, claimed.
+    """
+    j = snapped(raw, stamps).drop("sec", "drift").withColumnRenamed("snapped", "sec")
+    placed = true_speaker(in_chapter(j.filter("sec IS NOT NULL"), chapter_rows), turns, EV).select(
+        EV, "insight_no", "insight", "so_what", "speaker", "sec", "chapter")
+    loose = j.filter("sec IS NULL").select(EV, "insight_no", "insight", "so_what", F.coalesce("claimed", F.lit("")).alias("speaker"), "sec")
+    return placed.unionByName(loose, allowMissingColumns=True)
+
+
 def fingerprints(sources: DataFrame, key: str, text: str) -> DataFrame:
     """Content fingerprint per source."""
     return sources.select(key, F.sha2(F.col(text), 256).alias("sha256"))

@@ -64,6 +64,15 @@ def attendance_snapshot(enriched: DataFrame, k: int = 5) -> DataFrame:
         F.coalesce("top_accounts", F.lit("n/a")).alias("top_accounts"))
 
 
+def with_fallback(enriched: DataFrame, registrants: DataFrame) -> DataFrame:
+    """Enriched rows, and for events that have none the registrants in their stead."""
+    shaped = registrants.select(
+        EV, F.col("row_idx"), F.when(F.lower(F.trim("attended")).isin("yes", "true", "attended", "1"), "attended").otherwise("no_show").alias("attendance_status"),
+        "minutes", "company")
+    missing = shaped.join(enriched.select(EV).distinct(), EV, "left_anti")
+    return enriched.select(EV, "row_idx", "attendance_status", "minutes", "company").unionByName(missing)
+
+
 def snapshot_fields(snapshot: DataFrame) -> DataFrame:
     """The snapshot as display strings for the message tokens."""
     s = lambda c: F.col(c).cast("string").alias(f"snapshot_{c}")

@@ -208,6 +208,18 @@ def _(v):
     return E.evidence(_anomalies(v), v("engagement")).select("event_slug", "email", "event_id", "type", "asset", "evidence_no")
 
 
+@query("anomaly_evidence_rows", "TOP5", f"""WITH {ANOMALY}, h AS (SELECT event_slug, email, count(*) AS n FROM {{lifecycle}} WHERE source = 'seeded' GROUP BY 1, 2),
+f AS (SELECT l.event_slug, l.email, l.metric AS anomaly, m.opens, m.clicks, m.pageviews, m.form_fills, m.last_engaged, coalesce(h.n, 0) AS n FROM listed l JOIN metrics m USING (event_slug, email) LEFT JOIN h USING (event_slug, email))
+SELECT event_slug, email, anomaly, unnest([0, 1, 2, 3, 4, 5]) AS no, unnest(['opens', 'clicks', 'pageviews', 'form_fills', 'last_engaged', 'lifecycle_history']) AS metric,
+  unnest([opens::VARCHAR, clicks::VARCHAR, pageviews::VARCHAR, form_fills::VARCHAR, strftime(last_engaged, '%Y-%m-%d %H:%M'), n::VARCHAR]) AS value FROM f
+UNION ALL SELECT f.event_slug, f.email, anomaly, 5 + rn, 'event:' || type, asset FROM f JOIN (SELECT *, row_number() OVER (PARTITION BY event_slug, email ORDER BY event_id) AS rn FROM {{engagement}}) e USING (event_slug, email) WHERE rn <= 8
+UNION ALL SELECT event_slug, email, anomaly, 14, 'stage_transitions', '0' FROM f WHERE anomaly = 'stalled_high_engagement'""")
+def _(v):
+    rows = E.evidence_rows(_anomalies(v), E.counters(v("engagement")), M.changes(v("lifecycle")).filter("source = 'seeded'"), v("engagement"))
+    minute = F.when(F.col("metric") == "last_engaged", F.substring("value", 1, 16)).otherwise(F.col("value"))
+    return rows.select("event_slug", "email", "anomaly", "no", "metric", minute.alias("value"))
+
+
 @query("movement_windows", "AGG20 DT4", f"""WITH {ASOF}
 SELECT a.event_slug, w.days, count(h.email) AS transitions, count(DISTINCT h.email) AS contacts,
        strftime(a.as_of - to_days(w.days::INTEGER), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(a.as_of, '%Y-%m-%d %H:%M:%S') AS window_end

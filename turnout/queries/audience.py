@@ -52,6 +52,13 @@ def _(v):
     return G.attendance_snapshot(v("enriched"))
 
 
+@query("attendance_fallback", "AGG15", "WITH rows AS (SELECT event_slug, row_idx, attendance_status, minutes, company FROM {enriched} WHERE event_slug <> 'ev1' " +
+       "UNION ALL SELECT event_slug, row_idx, CASE WHEN lower(attended) = 'yes' THEN 'attended' ELSE 'no_show' END, minutes, trim(company) FROM {registrants} WHERE event_slug = 'ev1'), " +
+       SNAP.replace("{enriched}", "rows").replace("attendance_status = 'attended' GROUP BY 1, 2", "attendance_status = 'attended' AND company <> '' GROUP BY 1, 2") + " SELECT * FROM snap")
+def _(v):
+    return G.attendance_snapshot(G.with_fallback(v("enriched").filter("event_slug <> 'ev1'"), v("registrants")))
+
+
 @query("snapshot_fields", "STR12", f"""WITH {SNAP} SELECT event_slug, registrants::VARCHAR AS snapshot_registrants, attendees::VARCHAR AS snapshot_attendees, no_shows::VARCHAR AS snapshot_no_shows,
   avg_minutes::VARCHAR AS snapshot_avg_minutes, median_minutes::VARCHAR AS snapshot_median_minutes, top_accounts AS snapshot_top_accounts,
   round_even(100 * attendance_rate, 0)::INTEGER || '%' AS snapshot_attendance_rate FROM snap""")

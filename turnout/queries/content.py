@@ -369,7 +369,7 @@ def _(v):
     return G.fingerprints(v("documents"), "doc_id", "text")
 
 
-@query("json_answers", "STR9 STR11 JSN1", """SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE (user_id % 50)::VARCHAR END AS k FROM {events}""")
+@query("json_answers", "STR9 JSN1", """SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE (user_id % 50)::VARCHAR END AS k FROM {events}""")
 def _(v):
     k = F.to_json(F.struct((F.col("user_id") % 50).alias("k"), F.col("event_type").alias("t")))
     body = F.when(F.col("event_type") == "click", F.concat(F.lit("Here you go:\n```json\n"), k, F.lit("\n```\nDone."))).when(
@@ -382,3 +382,66 @@ def _(v):
 def _(v):
     a = v("spec_assets").filter("kind <> 'blog.md'")
     return a.select("asset_id", T.section(F.col("text"), "Headline Options").alias("headline"), F.regexp_count("text", F.lit("#+ ")).cast("bigint").alias("marks"))
+
+
+@query("coerced_answers", "STR11", """SELECT event_id,
+  CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'anomalies' WHEN 2 THEN 'committees' WHEN 3 THEN 'narrative' WHEN 4 THEN 'narrative' END AS key,
+  CASE event_id % 7 WHEN 0 THEN '{"k":' || user_id || '}' WHEN 1 THEN '[{"metric":"m' || user_id || '"}]' WHEN 2 THEN '[{"x":1},{"company":"c' || user_id || '"}]'
+    WHEN 3 THEN 'a' || user_id || ' b' WHEN 4 THEN 'text ' || user_id END AS payload,
+  CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'anomalies: bare list taken as anomalies' WHEN 2 THEN 'committees: bare list taken as committees'
+    WHEN 3 THEN 'movement_narrative: bare list taken as narrative' WHEN 4 THEN 'movement_narrative: bare text taken as narrative'
+    WHEN 5 THEN 'interest_scores: bare list taken as nothing' ELSE 'anomalies: no object, left out' END AS note FROM {events}""")
+def _(v):
+    n, who = F.col("event_id") % 7, F.col("user_id").cast("string")
+    purposes = ("anomalies", "anomalies", "committees", "movement_narrative", "movement_narrative", "interest_scores", "anomalies")
+    bodies = (F.concat(F.lit('{"k":'), who, F.lit("}")), F.concat(F.lit('[{"metric":"m'), who, F.lit('"}, 3]')),
+              F.concat(F.lit('[{"x":1},{"company":"c'), who, F.lit('"}]')), F.concat(F.lit('["a'), who, F.lit('", 7, "b"]')),
+              F.concat(F.lit('" text '), who, F.lit('"')), F.lit('[{"company":"c"}]'), F.lit("17"))
+    purpose = body = F
+    for k, (p, b) in enumerate(zip(purposes, bodies)):
+        purpose, body = purpose.when(n == k, p), body.when(n == k, b)
+    return v("events").select("event_id", T.coerced_answer(purpose, body).alias("a")).select("event_id", "a.*")
+
+
+@query("kept_quotes", "TXT8 JN24", """WITH q AS (SELECT event_slug, seq AS quote_no, trim(trim(text), '"') AS quote FROM {spoken} WHERE seq % 2 = 0),
+f AS (SELECT q.*, min(t.seq) AS at FROM q JOIN {spoken} t ON t.event_slug = q.event_slug AND contains(lower(trim(regexp_replace(t.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(q.quote, '\\s+', ' ', 'g'))))
+  WHERE length(q.quote) >= 25 GROUP BY ALL)
+SELECT f.event_slug, quote_no, quote, t.speaker, t.sec::BIGINT AS sec, 'topic' AS topic, 1.0::DOUBLE AS ratio FROM f JOIN {spoken} t ON t.event_slug = f.event_slug AND t.seq = f.at""")
+def _(v):
+    return _quotes(v)[0].drop("chapter").withColumn("sec", F.col("sec").cast("bigint"))
+
+
+@query("dropped_quotes", "TXT8", """SELECT event_slug, seq AS quote_no, substr(trim(trim(text), '"'), 1, 90) AS quote, 'too short to verify' AS reason FROM {spoken} WHERE seq % 2 = 0 AND length(trim(trim(text), '"')) < 25
+UNION ALL SELECT event_slug, seq, repeat('q', 90), 'no window reaches 0.90' FROM {spoken} WHERE seq % 2 = 1""")
+def _(v):
+    return _quotes(v)[1]
+
+
+def _quotes(v):
+    """Every other turn quoted whole, and as many quotes that nobody said."""
+    said = F.when(F.col("seq") % 2 == 0, F.concat(F.lit('"'), F.col("text"), F.lit('"'))).otherwise(F.lit("q" * 100))
+    raw = v("spoken").select("event_slug", F.col("seq").alias("quote_no"), said.alias("quote"), F.lit("topic").alias("topic"))
+    parts = v("spoken").groupBy("event_slug").agg(F.max("sec").alias("_end")).select(
+        "event_slug", F.lit(1).alias("chapter"), F.lit(0.0).alias("start_abs"), (F.col("_end") + 1.0).alias("end_abs"))
+    return G.normalised_quotes(raw, v("spoken"), spoken_windows(v), parts)
+
+
+POINTS = CHAP + """, d AS (SELECT m.event_slug, m.moment_id, arg_min(s.sec, abs(s.sec - m.sec) * 10000 + s.sec) AS st, min(abs(s.sec - m.sec)) AS off FROM {moments} m JOIN {stamps} s USING (event_slug) GROUP BY 1, 2),
+p AS (SELECT d.*, coalesce(c.chapter, l.chapter) AS chapter FROM d LEFT JOIN chapters c ON c.event_slug = d.event_slug AND c.start_abs <= st AND st < c.end_abs
+  JOIN (SELECT event_slug, max(chapter) AS chapter FROM chapters GROUP BY 1) l ON l.event_slug = d.event_slug)"""
+
+
+def raw_points(v):
+    return v("moments").select("event_slug", F.col("moment_id").alias("point_no"), F.concat(F.lit(" v"), "moment_id", F.lit(" ")).alias("value"), F.lit("what").alias("what"), "sec", F.lit("Nobody").alias("claimed"))
+
+
+@query("data_points", "TXT8 JN20 JN23", f"WITH {POINTS} SELECT event_slug, moment_id AS point_no, 'v' || moment_id AS value, 'what' AS what, 'speaker-' || (st % 3) AS speaker, st AS sec, chapter FROM p WHERE off <= 45")
+def _(v):
+    return G.normalised_points(raw_points(v), v("stamps"), X.chapters(v("recording_files")), stage_turns(v))[0]
+
+
+@query("insights", "TXT8", f"""WITH {POINTS} SELECT event_slug, moment_id AS insight_no, CASE WHEN off <= 45 THEN 'speaker-' || (st % 3) ELSE 'Nobody' END AS speaker,
+  CASE WHEN off <= 45 THEN st END AS sec, CASE WHEN off <= 45 THEN chapter END AS chapter FROM p""")
+def _(v):
+    raw = raw_points(v).select("event_slug", F.col("point_no").alias("insight_no"), F.col("value").alias("insight"), F.lit("so").alias("so_what"), "sec", "claimed")
+    return G.normalised_insights(raw, v("stamps"), X.chapters(v("recording_files")), stage_turns(v)).select("event_slug", "insight_no", "speaker", "sec", "chapter")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from turnout.functions import fixed, text as T
+
 # Exported columns of the CRM views.
 CONTACT_COLUMNS = (
     "email", "firstname", "lastname", "jobtitle", "company", "function", "seniority", "country", "region", "owner_email",
@@ -43,11 +45,21 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, folder: str, verdicts: DataFrame) -> DataFrame:
-    """Files that exist under ``folder`` (``.../asset_id=.../part``), their size and whether they are grounded.
+    """Files that exist under ``folder`` (``.../asset_id=.../part``): kind, maker, size, words and whether they are grounded.
 
-    Only path and length are read, never the content.
+    The asset's name or ending tells its kind and maker; content is read for Markdown alone, to count words.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
-    one = files.withColumn("asset_id", F.url_decode(F.regexp_extract("path", "asset_id=([^/]+)/", 1))).filter("asset_id <> ''")
-    sizes = one.groupBy("asset_id").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("written"))
-    return sizes.join(verdicts.select("asset_id", F.col("passed").alias("grounded")), "asset_id", "left")
+    of_asset = lambda path: F.url_decode(F.regexp_extract(path, "asset_id=([^/]+)/", 1)).alias("asset_id")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(of_asset("path"), "length", "modificationTime")
+    sizes = files.filter("asset_id <> ''").groupBy("asset_id").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("written"))
+    name = F.element_at(F.split("asset_id", "/"), -1)
+    kind = source = F
+    for ending, (what, maker) in fixed.ASSET_KINDS.items():
+        hit = name.endswith(ending) if ending[0] == "." else name == ending
+        kind, source = kind.when(hit, what), source.when(hit, maker)
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).select(
+        of_asset(F.replace(F.col("_metadata.file_path"), F.lit("%25"), F.lit("%"))), F.col("value"))  # an address there, with % escaped
+    words = lines.filter(F.col("asset_id").endswith(".md")).groupBy("asset_id").agg(F.sum(T.words(F.col("value"))).alias("words"))
+    return (sizes.withColumns({"kind": kind.otherwise("other"), "source": source.otherwise("unknown")}).join(words, "asset_id", "left")
+            .join(verdicts.select("asset_id", F.col("passed").alias("grounded")), "asset_id", "left"))
