@@ -16,30 +16,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnout.session import settled
 
-BROADCAST_ROWS = 200_000
-
-
 def attach(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join per-key results onto a large table.
+    """Join per-key results onto a large table, without a hint.
 
-    The small side is materialised and counted; it is broadcast only within
-    ``BROADCAST_ROWS``.  Beyond that the join is left to AQE, which splits
-    skewed keys.
+    AQE broadcasts the small side if its measured bytes are under the session's
+    limit.  Beyond that the side is dealt out anew, which gives the join a
+    shuffle of its own, so that AQE may split a hot key's rows on the large side.
     """
-    small = settled(small)
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    return big.join(small.hint("rebalance"), on, how)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out rows over all shuffle partitions ahead of costly per-row work.
+    """Even out rows ahead of costly per-row work.
 
     The rows are few bytes but much computing, so AQE would pack them into a few
-    tasks, and a hot join key would leave them all in one.  A stated number is
-    kept as it is.
+    tasks, and a hot join key would leave them all in one.  The number of tasks
+    is the cluster's cores or the shuffle setting, whichever is more, and is
+    kept as stated.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
 
 
 def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
