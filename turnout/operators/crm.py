@@ -133,15 +133,22 @@ def company_of_domain(crm: DataFrame) -> DataFrame:
 
 
 def snapshot(crm: DataFrame, totals: DataFrame, finals: DataFrame, segments: DataFrame, rules: C.Rules) -> DataFrame:
-    """Contact snapshot: the union of all sources with attributes joined on."""
-    one = crm.groupBy(EV, F.lower("email").alias("email")).agg(F.max_by(
-        F.struct("vid", "firstname", "lastname", "company", "jobtitle", "lifecyclestage", "country"), "vid").alias("c"))
-    came = segments.filter("segment = 'attendee'").select(EV, F.lower("email").alias("email")).distinct().withColumn("_came", F.lit(True))
-    missed = no_shows(segments).withColumn("_missed", F.lit(True))
-    keys = key_union(crm, totals, finals, segments)
-    j = keys.withColumn("domain", C.account_key(F.col("email")))
-    for side in (one, totals, finals.select(EV, "email", F.col("stage").alias("_stage")), came, missed):
-        j = j.join(side, [EV, "email"], "left")
+    """Contact snapshot: every source's rows under their key, one aggregate for all attributes.
+
+    Each source is read once and the rows meet in a single shuffle by (event, address).
+    """
+    email = F.lower("email").alias("email")
+    held = F.struct("vid", "firstname", "lastname", "company", "jobtitle", "lifecyclestage", "country").alias("c")
+    counted = [*COUNTERS, "last_engaged"]
+    rows = (crm.select(EV, email, held)
+            .unionByName(totals.select(EV, email, F.struct(*counted).alias("t")), allowMissingColumns=True)
+            .unionByName(finals.select(EV, email, F.col("stage").alias("_stage")), allowMissingColumns=True)
+            .unionByName(segments.select(EV, email, (F.col("segment") == "attendee").alias("_came"), (F.col("segment") == "no_show").alias("_missed")),
+                         allowMissingColumns=True))
+    one = rows.filter("email IS NOT NULL").groupBy(EV, "email").agg(
+        F.max_by("c", "c.vid").alias("c"), F.max("t").alias("t"), F.max("_stage").alias("_stage"),
+        F.bool_or("_came").alias("_came"), F.bool_or("_missed").alias("_missed"))
+    j = one.select("*", "t.*").drop("t").withColumn("domain", C.account_key(F.col("email")))
     j = j.join(company_of_domain(crm), [EV, "domain"], "left")
     blank = F.lit("")
     region = rules.region_plain(F.col("c.country"))
