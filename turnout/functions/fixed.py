@@ -200,3 +200,29 @@ ASSET_KINDS = {
     "social.md": ("social", "llm"), "extraction.json": ("extraction", "llm"), "manifest.json": ("manifest", "llm"),
     "grounding_report.json": ("report", "llm"), ".png": ("visual", "image_model"), ".mp4": ("clip", "ffmpeg"), ".srt": ("caption", "sarvam"),
 }
+
+# --- tiers and regions --------------------------------------------------------------
+COMMON_INDUSTRIES = ("IT/ITES", "BFSI", "Manufacturing", "Pharma", "Retail", "Consumer Goods", "Hospitality",
+           "Healthcare", "Telecom", "Energy", "Aviation", "Conglomerate", "Internet", "Fintech",
+           "SaaS", "Logistics", "Real Estate")
+# name, titles, size from and to, industries; * is any
+TIERS = (
+    ("tier1", ("CHRO", "Chief People Officer", "VP Human Resources", "VP People", "Head of People",
+               "Head of HR", "Director HR", "HR Digital Transformation Lead", "HRIS Lead",
+               "HRIS Manager", "Head of Shared Services"), (500, 1000000), COMMON_INDUSTRIES),
+    ("tier2", ("HR Business Partner", "Senior HRBP", "HR Operations Manager",
+               "Head of Talent Acquisition", "TA Manager", "Payroll Manager", "Head of L&D",
+               "Compensation & Benefits Manager", "People Analytics Lead", "CFO", "COO", "CIO",
+               "IT Director", "Digital Transformation Head"), (200, 1000000), COMMON_INDUSTRIES + ("Fitness",)),
+    ("tier3", ("*",), (1, 200), ("*",)),
+)
+REGIONS = {
+    "INDIA": ("IN",), "SEA": ("SG", "MY", "ID", "PH", "TH", "VN"),
+    "MENA": ("AE", "SA", "QA", "KW", "OM", "BH", "EG"), "NA": ("US", "CA"),
+    "UKEU": ("UK", "GB", "DE", "FR", "NL", "IE"),
+}
+
+# --- patterns of rendered text ------------------------------------------------------
+QUOTED = "[\"“”«»]([^\"“”«»]{8,400})[\"“”«»]"
+STAT = r"\bStat\s+(\d+)\b"
+POST = r"(?s)(### Post \d+.*?(?=### Post \d+|\z))"
