@@ -277,12 +277,16 @@ def _(v):
     return G.strict_checks(texts, lines, roster(v)).select("event_slug", "scope", "kind", "value", "passed")
 
 
-@query("loose_grounding", "TXT5")
+@query("loose_grounding", "TXT5", f"""WITH q AS (SELECT event_slug, asset_id AS scope, unnest(regexp_extract_all(text, '"([^"]+)"', 1)) AS value FROM {{assets}}),
+k AS (SELECT *, {KEY.format(c='value')} AS key FROM q), t AS (SELECT event_slug, asset_id AS scope, unnest(regexp_extract_all(text, '\\[(\\d\\d?:\\d\\d)\\]', 1)) AS value FROM {{assets}}),
+r AS (SELECT DISTINCT event_slug, {KEY.format(c='speaker')} AS name FROM {{spoken}})
+SELECT event_slug, scope, 'quote' AS kind, value, key <> '' AND (EXISTS (SELECT 1 FROM {{spoken}} s WHERE s.event_slug = k.event_slug AND contains({KEY.format(c='s.text')}, key))
+  OR EXISTS (SELECT 1 FROM r WHERE r.event_slug = k.event_slug AND name <> '' AND (contains(key, name) OR contains(name, key)))) AS passed FROM k
+UNION ALL SELECT event_slug, scope, 'timestamp', value, false FROM t""")
 def _(v):
     lines = v("spoken").select("event_slug", F.col("seq").alias("line_no"), F.col("text").alias("line"))
     texts = v("assets").select("event_slug", F.col("asset_id").alias("scope"), "text")
-    return G.strict_checks(texts, lines, roster(v), strict=False).groupBy("event_slug", "kind").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"))
+    return G.strict_checks(texts, lines, roster(v), strict=False).select("event_slug", "scope", "kind", "value", "passed")
 
 
 @query("undefined_stats", "TXT6", """WITH a AS (SELECT event_slug, asset_id, n_chars % 5 AS p, n_chars % 9 AS r FROM {spec_assets} s JOIN {documents} d ON d.doc_id = s.asset_id WHERE kind = 'infographic.md')
