@@ -155,3 +155,8 @@ def test_unreadable_speech_answers_are_set_aside(spark):
     df = spark.createDataFrame(rows, "id int, value string")
     assert [tuple(r) for r in R.stt_turns(df).orderBy("id").collect()] == [(1, 0, 2.0, 0.0, "x", "hi"), (7, 0, 0.0, None, "Unknown", "whole")]
     assert {r["id"]: r["reason"] for r in R.stt_rejects(df).collect()} == {2: "not JSON", 4: "empty", 5: "empty"}
+
+
+@pytest.mark.parametrize("text", ["", "acme", "3com", "o'neil works", "a-b_c d1e", "ÉCOLE du 5e", "x y  z", "4"])
+def test_title_words_equal_python(spark, text):
+    assert spark.createDataFrame([(text,)], "t string").select(C.title_words(F.col("t"))).first()[0] == text.title()

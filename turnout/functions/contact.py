@@ -70,7 +70,9 @@ def company_key(c: Column) -> Column:
 
 
 def title_words(c: Column) -> Column:
-    return F.initcap(c)
+    """Capitalise every run of letters, also behind digits and apostrophes (initcap takes blanks only)."""
+    runs = F.split(c, r"(?<=\P{L})(?=\p{L})")
+    return F.array_join(F.transform(runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.lower(F.substring(run, F.lit(2), F.length(run))))), "")
 
 
 def display_company(domain: Column) -> Column:
