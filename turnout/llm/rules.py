@@ -42,6 +42,7 @@ CONSISTENCY = 1.41
 STEPS = 3
 CUT = 40.0
 MEMBERS = 50
+SALTS = 16
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 P = len(NOISE)
 X = [f"x{n}" for n in range(P)]
@@ -93,16 +94,26 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 
 def levels(rows: DataFrame) -> DataFrame:
-    """Each row under its language and source, its language, and all documents."""
+    """The distinct vectors, each with its weight ``w``, under language and source, language, and all documents.
+
+    ``salt`` spreads a key's vectors: no step deals rows out by the key alone.
+    """
     lang, source = F.coalesce("lang", F.lit(ANY)), F.coalesce("source", F.lit(ANY))
     keys = [F.struct(F.lit(n).alias("level"), a.alias("lang"), b.alias("source"))
             for n, (a, b) in enumerate(((lang, source), (lang, F.lit("")), (F.lit(""), F.lit(""))))]
-    return rows.select(F.explode(F.array(*keys)).alias("_k"), *X).select("_k.*", *X)
+    each = rows.select(F.explode(F.array(*keys)).alias("_k"), *X).select("_k.*", *X)
+    counted = each.groupBy(*KEY, *X).agg(F.count(F.lit(1)).alias("w"))
+    return counted.select("*", F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int").alias("salt"))
+
+
+def salted(per_key: DataFrame) -> DataFrame:
+    """A table of one row per key, once for each salt."""
+    return per_key.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """Per key the bins of ``value`` (a whole number) that reach the shares of its rows, as ``q0``, ``q1`` ..."""
-    bins = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    bins = rows.groupBy(*keys, value).agg(F.sum("w").alias("_n"))
     own = Window.partitionBy(*keys)
     ran = bins.select("*", F.sum("_n").over(own.orderBy(value)).alias("_to"), F.sum("_n").over(own).alias("_all"))
     return ran.groupBy(*keys).agg(*[F.min(F.when(F.col("_to") >= F.ceil(F.col("_all") * share), F.col(value))).alias(f"q{n}") for n, share in enumerate(shares)])
@@ -110,8 +121,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
 
 def started(rows: DataFrame) -> DataFrame:
     """First estimates per key and ``start``: ``m0`` ... and the upper triangle ``c00`` ..."""
-    cells = rows.select(*KEY, F.explode(F.array(*[F.struct(F.lit(n).alias("dim"), F.floor(F.col(x) * 100).alias("bin")) for n, x in enumerate(X)])).alias("_c"))
-    q = quantiles(cells.select(*KEY, "_c.*"), [*KEY, "dim"], "bin", [0.25, 0.5, 0.75])
+    cells = rows.select(*KEY, "w", F.explode(F.array(*[F.struct(F.lit(n).alias("dim"), F.floor(F.col(x) * 100).alias("bin")) for n, x in enumerate(X)])).alias("_c"))
+    q = quantiles(cells.select(*KEY, "w", "_c.*"), [*KEY, "dim"], "bin", [0.25, 0.5, 0.75])
     of = lambda n, c: F.max(F.when(F.col("dim") == n, c))
     robust = q.groupBy(*KEY).agg(*[of(n, (F.col("q1") + 0.5) / 100).alias(f"m{n}") for n in range(P)],
                                  *[of(n, F.pow((F.col("q2") - F.col("q0")) / 134.9, F.lit(2.0))).alias(f"c{n}{n}") for n in range(P)])
@@ -123,8 +134,8 @@ def started(rows: DataFrame) -> DataFrame:
 def moments(rows: DataFrame) -> DataFrame:
     """Mean and covariance per key and start."""
     sums = rows.groupBy(*KEY, "start").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{n}") for n, x in enumerate(X)],
-        *[F.avg(F.col(X[a]) * F.col(X[b])).alias(f"_{a}{b}") for a, b in CELLS])
+        F.sum("w").alias("n"), *[(F.sum(F.col("w") * F.col(x)) / F.sum("w")).alias(f"m{n}") for n, x in enumerate(X)],
+        *[(F.sum(F.col("w") * F.col(X[a]) * F.col(X[b])) / F.sum("w")).alias(f"_{a}{b}") for a, b in CELLS])
     return sums.select(*KEY, "start", "n", *[F.round(f"m{n}", 9).alias(f"m{n}") for n in range(P)],
                        *[F.round(F.col(f"_{a}{b}") - F.col(f"m{a}") * F.col(f"m{b}"), 9).alias(f"c{a}{b}") for a, b in CELLS])
 
@@ -151,12 +162,12 @@ def distance() -> Column:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """The minimum covariance determinant estimate of each key with enough rows."""
-    rows = levels(rows)
+    rows = saved(levels(rows), "vectors")
     now = saved(inverted(started(rows), 1.0), "mcd")
     for n in range(STEPS):
-        near = rows.join(now, KEY).select(*KEY, "start", *X, F.floor(16 * F.log(F.greatest(distance(), F.lit(0.0)) + 1e-6)).alias("bin"))
+        near = rows.join(salted(now), [*KEY, "salt"]).select(*KEY, "start", "salt", "w", *X, F.floor(16 * F.log(F.greatest(distance(), F.lit(0.0)) + 1e-6)).alias("bin"))
         bound = saved(quantiles(near, [*KEY, "start"], "bin", [KEPT_SHARE]), "mcd")
-        core = moments(near.join(bound, [*KEY, "start"]).filter("bin <= q0"))
+        core = moments(near.join(salted(bound), [*KEY, "start", "salt"]).filter("bin <= q0"))
         now = saved(inverted(core, CONSISTENCY if n == STEPS - 1 else 1.0), "mcd")
     best = now.groupBy(*KEY).agg(F.min_by(F.struct(*[c for c in now.columns if c not in KEY]), F.struct("det", "start")).alias("_b"))
     return best.select(*KEY, "_b.*").filter(F.col("n") >= KEPT_SHARE * MEMBERS).drop("start")
