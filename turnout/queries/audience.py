@@ -240,10 +240,10 @@ def _(v):
     return G.extraction_problems(take, quotes, moments, v("speakers"))
 
 
-@query("speaker_quotes", "WIN14", """WITH q AS (SELECT 'all' AS event_slug, role AS speaker, conv_id * 1000 + turn AS quote_no, length(text)::VARCHAR AS text, printf('%02d:%02d', turn * 30 // 60, turn * 30 % 60) AS stamp, turn <> 1 AS verified FROM {conversations}),
+@query("speaker_quotes", "WIN14", """WITH q AS (SELECT 'all' AS event_slug, role AS speaker, conv_id * 1000 + turn AS quote_no, text, printf('%02d:%02d', turn * 30 // 60, turn * 30 % 60) AS stamp, turn <> 1 AS verified FROM {conversations}),
 r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY quote_no) AS rn FROM q WHERE verified)
 SELECT event_slug, speaker, string_agg('> "' || text || '" -- [' || stamp || ']', chr(10) ORDER BY rn) AS quotes FROM r WHERE rn <= 3 GROUP BY 1, 2""")
 def _(v):
     q = v("conversations").select(F.lit("all").alias("event_slug"), F.col("role").alias("speaker"), (F.col("conv_id") * 1000 + F.col("turn")).alias("quote_no"),
-                                  F.length("text").cast("string").alias("text"), T.mm_ss(F.col("turn") * 30).alias("stamp"), (F.col("turn") != 1).alias("verified"))
+                                  "text", T.mm_ss(F.col("turn") * 30).alias("stamp"), (F.col("turn") != 1).alias("verified"))
     return G.speaker_quotes(q)

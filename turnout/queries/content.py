@@ -237,10 +237,10 @@ def _(v):
 @query("fuzzy_quotes", "JN25 UDF2")
 def _(v):
     lines = v("documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("event_slug"), F.posexplode(F.split("text", r"\n")).alias("seq", "text"))
-    first = lines.filter(F.length("text") >= 60).groupBy("event_slug").agg(F.min_by("text", "seq").alias("t"))
-    q = first.select("event_slug", F.concat(F.substring("t", 1, 20), F.lit("zz "), F.substring("t", 21, 400)).alias("quote"))
+    long = lines.filter(F.length("text") >= 60)
+    q = long.select("event_slug", F.concat(F.substring("text", 1, 20), F.lit("zz "), F.substring("text", F.lit(21), F.length("text"))).alias("quote"))
     w = lines.select("event_slug", "seq", F.lit(1).alias("span"), F.lit("").alias("label"), "text")
-    return G.best_windows(q, w, ["event_slug"]).select("event_slug", "seq", F.round("ratio", 6).alias("ratio"))
+    return G.best_windows(q, w, ["event_slug"]).select("event_slug", "quote", "seq", F.round("ratio", 6).alias("ratio"))
 
 
 @query("located_quotes", "JN24 JN25 TXT8")

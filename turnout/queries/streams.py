@@ -13,7 +13,7 @@ from turnout.streaming import jobs as J
 
 
 # --- scans and sinks --------------------------------------------------------------------
-@query("registrant_csv", "SRC1", "SELECT row_idx::VARCHAR AS row_idx, event_slug, first_name, email, company, minutes FROM {registrants}")
+@query("registrant_csv", "SRC1", "SELECT row_idx::VARCHAR AS row_idx, event_slug, first_name, last_name, email, job_title, company, country, attended, minutes FROM {registrants}")
 def _(v):
     path = scratch(v.spark, "registrants")
     odd = v("registrants").select("row_idx", "event_slug", F.col("first_name").alias("First Name"), F.col("last_name").alias("SURNAME"),
@@ -21,7 +21,7 @@ def _(v):
                                   F.col("country").alias("Country/Region"), F.col("attended").alias("Did attend?"),
                                   F.col("minutes").alias("Time in Session (minutes)"))
     odd.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return R.registrants(v.spark, path).select("row_idx", "event_slug", "first_name", "email", "company", "minutes")
+    return R.registrants(v.spark, path).select("row_idx", "event_slug", "first_name", "last_name", "email", "job_title", "company", "country", "attended", "minutes")
 
 
 @query("crm_json", "SRC2", "SELECT vid, event_slug, email, firstname, lifecyclestage FROM {crm}")
