@@ -95,7 +95,7 @@ def test_stars_equal_union_find(spark, seed):
     own = random.Random(seed)
     pairs = [(own.randrange(60), own.randrange(60)) for _ in range(45)] + [(n, n + 1) for n in range(100, 130)] + [(200, 200 + n) for n in range(1, 30)]
     want = components(pairs, {x for a, b in pairs if a != b for x in (a, b)})
-    got = near.components(spark.createDataFrame(pairs, "a bigint, b bigint"))
+    got = near.components(spark.createDataFrame(pairs, "a bigint, b bigint"), len(pairs))
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 

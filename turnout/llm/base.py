@@ -14,18 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Lineage ends there without tying the data to an executor, columns stay prunable, and the
     planner knows the size of the files: a side is broadcast only if that is under the limit.
+    ``files`` is for results whose rows are bounded by a count already made (see ``enough``).
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def enough(rows: int, each: int) -> int:
+    """Tasks, and files, for so many rows."""
+    return 1 + rows // each
+
+
+def apart(per_key: DataFrame) -> DataFrame:
+    """A small aggregate dealt out anew, so that a join's shuffle is its own and a hot key's rows on the other side may be split."""
+    return per_key.hint("rebalance")
+
+
 def batched(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that texts travel in."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -2,11 +2,11 @@
 
 1. Every text becomes the set of its five-word shingles (64-bit hashes); equal sets are one class.
 2. Each class's smallest document gets ``HASHES`` minima, cut into bands of ``ROWS``.
-3. Within a band's bucket every class is paired with the bucket's smallest one, never all with all.
-   Pairs whose signatures agree are confirmed on full sets: 100 * common >= 75 * union.
+3. Within a band's bucket one pivot is paired with the others, never all with all.  Pairs whose
+   sizes and signatures allow a link are confirmed on full sets: 100 * common >= 75 * union.
 4. Components come from alternating large-star and small-star steps.
-5. Buckets that still hold several components have the missing pairs between these compared
-   (again only where sizes and signatures allow a link) until no bucket has a pair left to compare.
+5. Buckets that still hold several components get another pivot, and so on until a turn confirms
+   no link that was not known.  Each turn makes as many pairs as the open buckets have members.
 
 Null texts and texts without a word have an empty set, no link and themselves as component.
 Documents with fewer than five words have their whole word sequence as the one shingle.  A null
@@ -22,17 +22,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from turnout.llm.base import batched, saved
+from turnout.llm.base import apart, batched, enough, saved
 
 WORDS = 5
 SHARE = 75
 ROWS = 4
 BANDS = 40
 HASHES = ROWS * BANDS
-#: Signatures of a pair at the bound agree in this share but for one case in a hundred thousand or fewer.
-AGREED = 0.58
+#: Signatures of a pair at the bound agree in this share but for about one case in a hundred thousand.
+AGREED = 0.60
 SEED = 20240601
-WORD_MEMO = 300_000
+WORD_MEMO = 150_000
+#: Rows of pairs and ids that a file holds, that a task compares by signature, and pairs that a task confirms.
+ROWS_A_FILE = 500_000
+ROWS_A_TASK = 100_000
+PAIRS_A_TASK = 5_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,10 +129,10 @@ def agreed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.select("a", "b", "_s", "_t").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b`` that link on their full sets; ``docs`` has one text per class."""
-    involved = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
-    texts = saved(docs.join(involved, "doc_id"), "near-texts")
+def confirmed(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Those of ``n`` pairs ``a`` < ``b`` that link on their full sets; ``docs`` has the classes' texts."""
+    involved = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved", enough(n, ROWS_A_FILE))
+    texts = saved(docs.join(involved, "doc_id"), "near-texts", enough(n, PAIRS_A_TASK))
     both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_t")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_s")), "a"))
 
@@ -144,30 +148,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= SHARE * (len(first) + len(second) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "_s", "_t").mapInArrow(run, "a bigint, b bigint")
+    return saved(both.select("a", "b", "_s", "_t").mapInArrow(run, "a bigint, b bigint"), "links", enough(n, PAIRS_A_TASK))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``doc_id`` and ``component_id`` of all documents in ``links`` (``a``, ``b``), by alternating stars.
+def components(links: DataFrame, n: int) -> DataFrame:
+    """``doc_id`` and ``component_id`` of all documents in ``n`` ``links`` (``a``, ``b``), by alternating stars.
 
     Large-star hangs each node's larger neighbours on its smallest one, small-star the node and its
     smaller neighbours; the least neighbour is a map-side minimum, so a hub is no group in a task.
     """
     def hung(edges: DataFrame, larger: bool) -> DataFrame:
         """``edges`` are (node, other); each node's chosen neighbours hang on its least."""
-        # written, so that the join may split a hub's edges
-        least = saved(edges.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("root")), "least")
-        placed = edges.join(least, "node")
+        least = edges.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("root"))
+        placed = edges.join(apart(least), "node")
         if larger:
             return placed.filter("other > node").select(F.col("other").alias("node"), F.col("root").alias("other")).distinct()
         return (placed.select(F.col("other").alias("node"), F.col("root").alias("other"))
                 .unionByName(least.select("node", F.col("root").alias("other"))).filter("node > other").distinct())
 
-    edges = saved(links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")).filter("node > other").distinct(), "edges")
+    edges = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")).filter("node > other").distinct()
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        edges = saved(hung(hung(both, True), False), "edges")
+        edges = saved(hung(hung(both, True), False), "edges", enough(n, ROWS_A_FILE))
         now = edges.agg(F.count(F.lit(1)), F.sum("other"), F.sum(F.xxhash64("node", "other").cast("decimal(20,0)"))).first()
         if now == state:
             break
@@ -176,37 +179,65 @@ def components(links: DataFrame) -> DataFrame:
             .unionByName(edges.select(F.col("other").alias("doc_id"), F.col("other").alias("component_id")).distinct()))
 
 
+def buckets(classes: DataFrame) -> tuple[DataFrame, int]:
+    """``bucket`` and ``doc_id`` of all buckets of two or more, with ``weight``: the members that a document meets in all of them; and their count."""
+    banded = bands(classes)
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    met = saved(banded.join(apart(sizes), "bucket"), "buckets")
+    weights = met.groupBy("doc_id").agg(F.sum("_n").alias("weight"))
+    return met.select("bucket", "doc_id").join(weights, "doc_id"), met.count()
+
+
+def open_buckets(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """Members with their component now, of the buckets that hold several."""
+    held = (members.join(placed, "doc_id", "left")
+            .select("bucket", "doc_id", "weight", "used", F.coalesce("component_id", "doc_id").alias("comp")))
+    several = held.groupBy("bucket").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("bucket")
+    return held.join(apart(several), "bucket")
+
+
+def pivoted(held: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a`` < ``b`` of each bucket's pivot with its members of other components, and the members, the pivot marked as used.
+
+    There are as many pairs as members.  The first pivot is the member that meets most others, which
+    in a group of copies is close to what they were made from.  Later ones come from the bucket's
+    smallest component that has one left.
+    """
+    free = F.when(~F.col("used"), F.struct("weight", -F.col("doc_id")))
+    parts = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct("doc_id", "weight"), free).alias("_best"))
+    order = ([] if turn == 0 else [F.col("_n")]) + [-F.col("_best.weight"), F.col("_best.doc_id")]
+    pivots = parts.filter("_best IS NOT NULL").groupBy("bucket").agg(F.min_by(F.struct("_best.doc_id", "comp"), F.struct(*order)).alias("_p"))
+    met = held.join(apart(pivots), "bucket", "left")
+    pairs = met.filter("comp <> _p.comp").select(F.least("doc_id", F.col("_p.doc_id")).alias("a"), F.greatest("doc_id", F.col("_p.doc_id")).alias("b")).distinct()
+    return pairs, met.select("bucket", "doc_id", "weight", (F.col("used") | F.coalesce(F.col("doc_id") == F.col("_p.doc_id"), F.lit(False))).alias("used"))
+
+
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per row its ``n_shingles`` and component, and the confirmed links between class representatives."""
     rows = saved(sketches(docs), "sketches")
     some = rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = saved(some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
                                                 F.first("signature").alias("signature")), "classes")
-    banded = bands(classes)
-    hubs = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket", "hub")
-    members = saved(banded.join(saved(hubs, "hubs"), "bucket"), "buckets")
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    pairs = saved(agreed(members.filter("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), classes), "pairs")
-    links = saved(confirmed(pairs, texts), "links")
-    placed = saved(components(links), "components")
+    members, size = buckets(classes)
+    done = links = placed = None
+    turn = linked = 0
     while True:
-        # what a bucket still holds apart: its members by component, each once per other component
-        held = members.join(placed, "doc_id", "left").select("bucket", "hub", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
-        # another pivot in each bucket, so that a pair of components meets in many ways
-        comps = held.groupBy("bucket", "comp").agg(F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("pivot"))
-        several = comps.groupBy("bucket").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("bucket")
-        held, comps = held.join(several, "bucket"), comps.join(several, "bucket")
-        cross = (held.join(comps.select("bucket", F.col("comp").alias("_c"), "pivot"), "bucket").filter("comp <> _c AND pivot <> hub AND doc_id <> hub")
-                 .select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-                 .join(pairs, ["a", "b"], "left_anti"))
-        more = saved(agreed(cross, classes), "pairs")
-        if more.isEmpty():
+        held = (members.select("bucket", "doc_id", "weight", F.lit(False).alias("used"), F.col("doc_id").alias("comp"))
+                if placed is None else open_buckets(members, placed))
+        pairs, members = pivoted(saved(held, "buckets", enough(size, ROWS_A_FILE)), turn)
+        new = saved(agreed(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), classes), "pairs", enough(size, ROWS_A_TASK))
+        n = new.count()
+        found = confirmed(new, texts, n) if n else new
+        if not (n and (n := found.count())):
             break
-        new = saved(confirmed(more, texts), "links")
-        if new.isEmpty():
-            break
-        pairs, links = saved(pairs.unionByName(more), "pairs"), saved(links.unionByName(new), "links")
-        placed = saved(components(links), "components")
+        done = new if done is None else done.unionByName(new)
+        links = found if links is None else links.unionByName(found)
+        linked += n
+        placed = components(links, linked)
+        turn += 1
+    links = found if links is None else links
+    placed = placed if placed is not None else links.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))
     tied = (classes.select("set_key", "doc_id").join(placed, "doc_id", "left")
             .select("set_key", F.coalesce("component_id", "doc_id").alias("component_id")))
     out = rows.select("doc_id", "n_shingles", "set_key").join(tied, "set_key", "left").select(
@@ -230,3 +261,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return stay
     again = stay.join(twice, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     return stay.join(twice, "doc_id", "left_anti").unionByName(again.filter("_n = 1").select(*stay.columns))
+
+
+def oracle() -> str:
+    """All pairs by their common shingles; small tables only."""
+    words = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) < {WORDS} THEN w ELSE w[p:p + {WORDS - 1}] END, ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WORDS - 2}, 2)::BIGINT)) AS p FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {SHARE} * (x.n + y.n - c)),
+    r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+    FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) m USING (doc_id)"""

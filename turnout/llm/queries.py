@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from turnout.llm import leaks, urls
+from turnout.llm import leaks, near, urls
 from turnout.llm.base import table
 from turnout.llm.bpe import digests
 from turnout.llm.counts import token_counts
 from turnout.llm.language import languages
-from turnout.llm.near import near_duplicates
 from turnout.llm.pages import main_text
 from turnout.llm.pii import pii_digests
 from turnout.llm.repair import packed
@@ -27,7 +26,7 @@ def op2_token_files(spark, sf_dir):
 
 
 def op3_near_duplicates(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark, sf_dir):
@@ -73,5 +72,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_url_verdicts": urls.oracle(),
+    "op3_near_duplicates": near.oracle(),
     "op9_decontamination": leaks.oracle(),
 }
