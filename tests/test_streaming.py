@@ -42,3 +42,28 @@ def test_late_rows_miss_a_closed_day(spark, tmp_path):
     assert n == {"2026-01-01": 1}
     spark.createDataFrame([("e", T0)], schema).coalesce(1).write.mode("append").parquet(path)
     assert {x.day: x.n for x in J.settle(J.daily_timeline(stream), path=out).collect()} == n
+
+
+def test_upsert_folds_batches_into_a_base(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "BASE_EVERY", 2)
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "event_slug string, k int"
+    for n in range(5):
+        spark.createDataFrame([("e", 1), ("e", n + 10)], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = J.file_stream(spark, path, spark.read.parquet(path).schema, maxFilesPerTrigger=1)
+    got = J.upsert(stream.groupBy("event_slug", "k").count(), ["event_slug", "k"], path=out)
+    assert {r["k"]: r["count"] for r in got.collect()} == {1: 5, **{n + 10: 1 for n in range(5)}}
+    assert J.folders(spark, out, "base") == [3] and J.folders(spark, out, "batch") == [4]
+
+
+def test_refresh_replaces_the_reports(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "event_slug string, k int"
+    spark.createDataFrame([("e", 1)], schema).coalesce(1).write.parquet(path)
+    stream = J.file_stream(spark, path, spark.read.parquet(path).schema)
+    analyse = lambda rows: {"total": rows.groupBy("event_slug").sum("k").toDF("event_slug", "n")}
+    J.refresh(stream, out, analyse, ["total"])
+    assert [r["n"] for r in spark.read.parquet(f"{out}/total").collect()] == [1]
+    spark.createDataFrame([("e", 5)], schema).coalesce(1).write.mode("append").parquet(path)
+    J.refresh(stream, out, analyse, ["total"])
+    assert [r["n"] for r in spark.read.parquet(f"{out}/total").collect()] == [6]
