@@ -30,6 +30,18 @@ def test_coders_equal_the_library(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in memo.values(texts)] == [ids(t) for t in texts]
 
 
+def test_many_new_pieces_at_once():
+    import random
+    own = random.Random(6)
+    parts = ["", "ab", "Zé", "12", "'s", "\n", "<|endoftext|>", "x.y", "漢", "-", "\t", "'", "|"]
+    tails = ["", ".", ",", "###", "%%%", "|", "*'", "'s", ">", "\n", "?!"]
+    texts = [" ".join("".join(own.choice(parts) for _ in range(3)) + str(own.randrange(900)) * own.randrange(2) + own.choice(tails) for _ in range(400)) for _ in range(30)]
+    memo, _ = repair.encoder(CONTENT)
+    assert [np.frombuffer(x, "<u4").tolist() for x in memo.values(texts)] == [ids(t) for t in texts]
+    assert [x.tolist() for x in bpe.coder(CONTENT).encode(texts)] == [ids(t) for t in texts]
+    assert list(counts.counter(CONTENT).memo.values(texts)) == [len(ids(t)) for t in texts]
+
+
 def test_scan_and_heap_agree():
     own = bpe.coder(CONTENT)
     for word in (b"internationalisation", b"aaaaaaaaaaaaaaaaaaaaaaa", bytes(range(256)), b"thethethethe" * 30):

@@ -15,6 +15,8 @@ SPACED = re.compile(r"(?<=\S) (?=\S)")
 #: The pre-token pattern of the byte-level vocabularies (a fixed value of their format).
 PRETOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Marks that are a pre-token of their own behind a letter or digit, so a word is the same with and without them.
+TAIL = ".,;:!?*#%$&|"
 PIECES = 300_000
 #: Characters of texts that are worked on at a time.
 WINDOW = 4_000_000
@@ -46,20 +48,40 @@ class Memo:
     def _run(self, texts: list[str]) -> Iterator:
         if len(self.known) > self.limit:
             self.known = {}
-        cut = [text.split(" ") for text in texts]
-        heads = dict.fromkeys(p[0] for p in cut)
+        lists, heads, unknown = [], {}, set()
+        for text in texts:
+            pieces = text.split(" ")
+            values = list(map(self.known.get, pieces))
+            gaps = [n for n, value in enumerate(values) if value is None]
+            asked = [pieces[n] for n in gaps]
+            unknown.update(asked)
+            heads[pieces[0]] = None
+            lists.append((pieces[0], values, gaps, asked))
         heads = dict(zip(heads, self.many(list(heads)), strict=True))
-        new = set()
-        for pieces in cut:
-            new.update(pieces)
-        new = list(new.difference(self.known))
+        new = [p for p in unknown if p not in self.known]
         whole = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         self.known.update(dict.fromkeys(new))  # None: beside white space, not a piece of its own
-        self.known.update(zip(whole, self.many([" " + p for p in whole]), strict=True))
-        for text, pieces in zip(texts, cut, strict=True):
-            values = [heads[pieces[0]]]
-            values += map(self.known.__getitem__, pieces[1:])
-            if not pieces[0] or pieces[0][-1].isspace() or None in values:
+        fresh, tailed = {}, []
+        for piece in whole:
+            core = piece.rstrip(TAIL)
+            if len(core) == len(piece) or not core or not (core[-1].isalpha() or core[-1] in "0123456789"):
+                fresh[piece] = None
+            else:
+                tailed.append((piece, core, piece[len(core):]))
+                if self.known.get(core) is None:
+                    fresh[core] = None
+        self.known.update(zip(fresh, self.many([" " + p for p in fresh]), strict=True))
+        tails = dict.fromkeys(tail for _, _, tail in tailed)
+        tails = dict(zip(tails, self.many(list(tails)), strict=True))
+        for piece, core, tail in tailed:
+            self.known[piece] = self.join([self.known[core], tails[tail]])
+        for text, (head, values, gaps, asked) in zip(texts, lists, strict=True):
+            for n, piece in zip(gaps, asked):
+                values[n] = self.known[piece]
+            values[0] = heads[head] if head and not head[-1].isspace() else None
+            try:
+                joined = self.join(values)
+            except TypeError:  # a None among them: white space that a single space does not cut
                 first, *rest = SPACED.split(text)
-                values = self.many([first, *(" " + p for p in rest)])
-            yield self.join(values)
+                joined = self.join(self.many([first, *(" " + p for p in rest)]))
+            yield joined

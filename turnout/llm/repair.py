@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from turnout.llm.base import batched
+from turnout.llm.base import batched, enough
 from turnout.llm.bpe import shipped
 from turnout.llm.pieces import Memo
 from turnout.session import scratch
@@ -41,6 +41,12 @@ ROUNDS = 5
 RULES = 15_000
 RULES_A_ROUND = 4_096
 FREQUENT = 12
+#: Pieces that are encoded in one go, and that are remembered.
+TOGETHER = 500
+REMEMBERED = 800_000
+STARTS_A_FILE = 1_000_000
+#: Multiplier that spreads pairs over slots.
+HASHED = 2654435761
 FILE = ("shard int, block int, n_ids bigint, base int, width int, doc_ids binary, doc_lengths binary, doc_symbols binary, "
         "rules binary, expansions binary, symbols binary")
 
@@ -78,14 +84,16 @@ def compressed(ids: np.ndarray, doc_lengths: np.ndarray, base: int, most: int =
         if not len(often):
             break
         best = often[np.argsort(-counts[often], kind="stable")[:min(left, RULES_A_ROUND)]]
-        chosen = np.sort(ordered[first[best]])
-        hashed = lambda x: (x.astype(np.uint32) * np.uint32(2654435761) ^ (x >> kind(shift)).astype(np.uint32) * np.uint32(40503)) >> np.uint32(14)
-        maybe = np.zeros(1 << 18, bool)
-        maybe[hashed(chosen)] = True
-        at = np.flatnonzero(maybe[hashed(pairs)])
-        rule = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-        hit = chosen[rule] == pairs[at]
-        at, rule = at[hit], rule[hit]
+        chosen = ordered[first[best]]
+        slot = np.full(1 << 18, -1, np.int16)
+        own = (chosen * kind(HASHED)).astype(np.uint32) >> np.uint32(14)
+        slot[own[::-1]] = np.arange(len(chosen), dtype=np.int16)[::-1]  # of two pairs in a slot the more frequent goes first
+        kept = slot[own] == np.arange(len(chosen))
+        rule = slot[(pairs * kind(HASHED)).astype(np.uint32) >> np.uint32(14)]
+        at = np.flatnonzero(rule >= 0)
+        at = at[chosen[rule[at]] == pairs[at]]
+        renamed = np.cumsum(kept) - 1
+        rule, chosen = renamed[rule[at]], chosen[kept]
         begins = np.append(True, at[1:] != at[:-1] + 1)  # of runs of overlapping pairs, of which every other is taken
         index = np.arange(len(at))
         taken = (index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 0
@@ -160,11 +168,28 @@ def encoder(content: str) -> tuple[Memo, int]:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def many(texts: list[str]) -> list[bytes]:
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        spaced = np.array([(tokenizer.id_to_token(n) or "").startswith("Ġ") for n in range(size)])
+
+        def alone(texts: list[str]) -> list[bytes]:
             return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+        def many(texts: list[str]) -> list[bytes]:
+            """Pieces that hold one space, at their start, are encoded in one go: an id that begins with it begins a piece."""
+            if len(texts) < TOGETHER or not all(t[:1] == " " and t.rfind(" ") == 0 for t in texts):
+                return alone(texts)
+            out = []
+            for at in range(0, len(texts), TOGETHER):
+                run = texts[at:at + TOGETHER]
+                ids = np.array(tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, "<u4")
+                bounds = (4 * np.append(np.flatnonzero(spaced[ids]), len(ids))).tolist()
+                raw = ids.tobytes()
+                whole = len(bounds) == len(run) + 1
+                out += [raw[a:b] for a, b in zip(bounds, bounds[1:])] if whole else alone(run)
+            return out
+
         _encoders.clear()
-        _encoders[key] = Memo(many, b"".join), tokenizer.get_vocab_size(with_added_tokens=True)
+        _encoders[key] = Memo(many, b"".join, REMEMBERED), size
     return _encoders[key]
 
 
@@ -226,7 +251,8 @@ def block_starts(spark: SparkSession, folder: str) -> DataFrame:
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, decoded from the files: ``start``, ``n_tokens`` and the crc32 of its ids."""
     path = scratch(spark, "starts")
-    block_starts(spark, folder).write.parquet(path)
+    blocks = spark.read.schema(FILE).parquet(folder).count()
+    block_starts(spark, folder).coalesce(enough(blocks, STARTS_A_FILE)).write.parquet(path)
     starts = spark.read.schema("shard int, block int, start bigint").parquet(path)
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
