@@ -28,7 +28,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from turnout.llm.base import row_key, saved, without
+from turnout.llm.base import saved
 
 LEAST_WORDS = 10
 REPEATED = 20
@@ -49,20 +49,22 @@ X = [f"x{n}" for n in range(P)]
 CELLS = list(combinations_with_replacement(range(P), 2))
 KEY = ["level", "lang", "source"]
 ANY = "∅"
-ROW = ("doc_id", "text", "lang", "source")
 
 
 def _sum(terms) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """The base statistics next to ``doc_id``, ``lang`` and ``source``; one row per row of ``docs``."""
+def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """The base statistics next to ``doc_id``, ``lang`` and ``source``; one row per row of ``docs``.
+
+    ``whole`` keeps all columns as ``_row``.
+    """
     text = F.coalesce("text", F.lit(""))
     bare = F.translate(text, SPACE, "")
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACE, "")) > 0)
     counted = docs.select(
-        F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("source").cast("string"), *row_key(*ROW),
+        F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("source").cast("string"), *([F.struct(*docs.columns).alias("_row")] if whole else []),
         F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "").alias("_words"),
         F.length(bare).cast("bigint").alias("word_chars"),
         (F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
@@ -173,9 +175,9 @@ def estimates(rows: DataFrame) -> DataFrame:
     return best.select(*KEY, "_b.*").filter(F.col("n") >= KEPT_SHARE * MEMBERS).drop("start")
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Row keys, base statistics, ``base_failed``, squared ``distance`` (null where base rules failed) and ``kept``."""
-    stats = saved(vectors(statistics(docs)), "stats")
+def judged(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Base statistics, ``base_failed``, squared ``distance`` (null where base rules failed) and ``kept``; ``_row`` if ``whole``."""
+    stats = saved(vectors(statistics(docs, whole)), "stats")
     known = saved(estimates(stats.filter("NOT base_failed")), "mcd")
     named = stats.withColumn("_lang", F.coalesce("lang", F.lit(ANY))).withColumn("_source", F.coalesce("source", F.lit(ANY)))
     placed = named
@@ -189,15 +191,18 @@ def judged(docs: DataFrame) -> DataFrame:
             joined = placed.join(F.broadcast(measured), on[0], "left")
         placed = joined.select(*placed.columns, F.round(distance(), 6).alias(f"_d{n}"))
     far = F.when(~F.col("base_failed"), F.coalesce("_d0", "_d1", "_d2", F.lit(0.0)))
-    return placed.select("doc_id", "k1", "k2", *BASE, "base_failed", far.alias("distance")).select(
+    return placed.select("doc_id", *(["_row"] if whole else []), *BASE, "base_failed", far.alias("distance")).select(
         "*", (~F.col("base_failed") & (F.col("distance") <= CUT)).alias("kept"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Per document the base statistics, the squared distance and the verdict."""
-    return judged(docs).drop("k1", "k2")
+    return judged(docs)
 
 
 def good(docs: DataFrame) -> DataFrame:
-    """``docs`` less the rejected ones."""
-    return without(docs, saved(judged(docs).filter("NOT kept").select("k1", "k2").distinct(), "rejected"), *ROW)
+    """``docs`` less the rejected ones.
+
+    The rows travel with their statistics, so texts are written once and never shuffled to be found again.
+    """
+    return judged(docs, whole=True).filter("kept").select("_row.*")
