@@ -6,6 +6,7 @@ there and every piece handled alone.  Pieces repeat, hence the memo, which is bo
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -43,7 +44,14 @@ class Memo:
 
     def values(self, texts: list[str]) -> Iterator:
         for run in windows(texts):
-            yield from self._run(run)
+            collecting = gc.isenabled()
+            gc.disable()  # many lists and no cycles: collections would only walk through them
+            try:
+                found = list(self._run(run))
+            finally:
+                if collecting:
+                    gc.enable()
+            yield from found
 
     def _run(self, texts: list[str]) -> Iterator:
         if len(self.known) > self.limit:

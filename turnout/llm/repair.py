@@ -13,7 +13,7 @@ for), ``symbols`` (``width`` bytes each).  All integers are little-endian.  It i
 Spark, so a lost task leaves nothing behind and any store will do.
 
 Null text counts as empty: its document has the end id alone.  Rows without an id come first; rows
-of one id follow each other by text.  An empty table gives no block.  Other columns are ignored.
+of one id follow each other by a hash of their text.  An empty table gives no block.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,9 +128,10 @@ class Block(NamedTuple):
 
     def documents(self, terminals: list[bytes]) -> Iterator[bytes]:
         """Each document's ids."""
-        out, symbols, start = self.expander(terminals), self.grammar.symbols.tolist(), 0
+        parts = list(map(self.expander(terminals).__getitem__, self.grammar.symbols.tolist()))
+        start = 0
         for size in self.grammar.doc_symbols.tolist():
-            yield b"".join([out[s] for s in symbols[start:start + size]])
+            yield b"".join(parts[start:start + size])
             start += size
 
     def ids(self, start: int, stop: int) -> list[int]:
@@ -176,7 +177,7 @@ def encoder(content: str) -> tuple[Memo, int]:
 
         def many(texts: list[str]) -> list[bytes]:
             """Pieces that hold one space, at their start, are encoded in one go: an id that begins with it begins a piece."""
-            if len(texts) < TOGETHER or not all(t[:1] == " " and t.rfind(" ") == 0 for t in texts):
+            if len(texts) < TOGETHER or "".join(texts).count(" ") != len(texts) or not all([t[:1] == " " for t in texts]):
                 return alone(texts)
             out = []
             for at in range(0, len(texts), TOGETHER):
@@ -198,8 +199,10 @@ def written(docs: DataFrame, path: str, folder: str) -> DataFrame:
     batched(docs.sparkSession)
     content = shipped(docs, path)
     end = np.array([END], "<u4").tobytes()
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    # ranges are drawn from a sample that goes to the driver: ids and hashes, not texts
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash")]
+    dealt = (docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("_hash"))
+             .repartitionByRange(*order).sortWithinPartitions(*order, "text").drop("_hash"))
 
     def run(batches):
         shard, block = TaskContext.get().partitionId(), 0
