@@ -75,6 +75,26 @@ def test_components_equal_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in kept.collect() if r["doc_id"] is not None)
 
 
+def crowd_with_pairs():
+    """Documents that share a passage just under the bound, and pairs among them just over it; no text is a pivot's copy."""
+    passage, rows = prose(21, 170), []
+    for n in range(300):
+        rows.append((n, passage + " " + " ".join(f"own{n}x{k}" for k in range(31))))
+    for n in range(25):  # a pair shares a few words more
+        more = " ".join(f"pair{n}x{k}" for k in range(7))
+        rows += [(1000 + 2 * n + side, f"{passage} {more} " + " ".join(f"own{1000 + 2 * n + side}x{k}" for k in range(26))) for side in (0, 1)]
+    return rows
+
+
+def test_pairs_in_a_crowd_are_found(spark):
+    rows = crowd_with_pairs()
+    want = brute(rows)
+    assert sorted(c for d, (_, c) in want.items() if c != d) == [1000 + 2 * n for n in range(25)]
+    out, links = near.grouped(documents(spark, rows))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == want
+    assert links.count() == 25
+
+
 def test_one_row_of_each_component_stays(spark):
     docs = documents(spark, rows_with_copies())
     left = near.one_of_each(docs)

@@ -5,8 +5,10 @@
 3. Within a band's bucket one pivot is paired with the others, never all with all.  Pairs whose
    sizes and signatures allow a link are confirmed on full sets: 100 * common >= 75 * union.
 4. Components come from alternating large-star and small-star steps.
-5. Buckets that still hold several components get another pivot, and so on until a turn confirms
-   no link that was not known.  Each turn makes as many pairs as the open buckets have members.
+5. Buckets that still hold several components get another pivot, and so on while a turn confirms a
+   fair part of its pairs.  Each turn makes as many pairs as the open buckets have members.
+6. What the open buckets then hold beside their pivots is joined exactly, on the documents' rarest
+   shingles with a bound by sizes and positions that no linked pair fails.
 
 Null texts and texts without a word have an empty set, no link and themselves as component.
 Documents with fewer than five words have their whole word sequence as the one shingle.  A null
@@ -31,6 +33,8 @@ BANDS = 40
 HASHES = ROWS * BANDS
 #: Signatures of a pair at the bound agree in this share but for about one case in a hundred thousand.
 AGREED = 0.60
+#: Pivots go on while one in so many of a turn's pairs is confirmed; the exact join does the rest.
+YIELD = 10
 SEED = 20240601
 WORD_MEMO = 150_000
 #: Rows of pairs and ids that a file holds, that a task compares by signature, and pairs that a task confirms.
@@ -212,6 +216,47 @@ def pivoted(held: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     return pairs, met.select("bucket", "doc_id", "weight", (F.col("used") | F.coalesce(F.col("doc_id") == F.col("_p.doc_id"), F.lit(False))).alias("used"))
 
 
+def unpaired(members: DataFrame, placed: DataFrame | None) -> DataFrame:
+    """``doc_id`` and ``comp`` of members that were no pivot, of buckets in which such members are of several components."""
+    if placed is None:
+        held = members.filter("NOT used").select("bucket", "doc_id", F.col("doc_id").alias("comp"))
+    else:
+        held = members.filter("NOT used").join(placed, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
+    several = held.groupBy("bucket").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("bucket")
+    return held.join(apart(several), "bucket").select("doc_id", "comp").distinct()
+
+
+def possible(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of ``rest`` in different components; every linked pair is among them.
+
+    Shingles are put in one order, rare ones first.  What two sets have in common lies at and behind
+    their first common shingle, so neither holds fewer from there on than a link takes.  For the
+    smaller set that bound is tighter, and a passage that is shared by a crowd just under the
+    bound lies behind it in every set: the crowd's members do not meet there.
+    """
+    def run(batches):
+        shingler = Shingler()
+        for batch in batches:
+            sets = [shingler.shingles(text) for text in batch.column(2).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)]).astype(np.int32)
+            grams = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), grams)],
+                ["doc_id", "comp", "n", "grams"])
+
+    sets = saved(docs.join(rest, "doc_id").select("doc_id", "comp", "text").mapInArrow(run, "doc_id bigint, comp bigint, n bigint, grams array<bigint>"), "near-sets")
+    grams = sets.select("doc_id", "comp", "n", F.explode("grams").alias("gram"))
+    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    onward = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("_n"), F.desc("gram")))
+    placed = saved(grams.join(apart(common), "gram").withColumn("onward", onward)
+                   .filter(f"100 * onward >= {SHARE} * n").drop("_n"), "near-prefixes")
+    small = placed.filter(f"{100 + SHARE} * onward >= {2 * SHARE} * n").alias("s")
+    both = small.join(placed.alias("l"), F.expr(
+        "s.gram = l.gram AND s.comp <> l.comp AND (s.n < l.n OR s.n = l.n AND s.doc_id < l.doc_id) "
+        f"AND {100 + SHARE} * least(s.onward, l.onward) >= {SHARE} * (s.n + l.n)"))
+    return both.select(F.least("s.doc_id", "l.doc_id").alias("a"), F.greatest("s.doc_id", "l.doc_id").alias("b")).distinct()
+
+
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per row its ``n_shingles`` and component, and the confirmed links between class representatives."""
     rows = saved(sketches(docs), "sketches")
@@ -222,19 +267,28 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members, size = buckets(classes)
     done = links = placed = None
     turn = linked = 0
+    last = False
     while True:
-        held = (members.select("bucket", "doc_id", "weight", F.lit(False).alias("used"), F.col("doc_id").alias("comp"))
-                if placed is None else open_buckets(members, placed))
-        pairs, members = pivoted(saved(held, "buckets", enough(size, ROWS_A_FILE)), turn)
+        if last:
+            rest = saved(unpaired(members, placed), "rest")
+            n_rest = rest.count()
+            pairs = possible(rest, texts) if n_rest else rest.select(F.col("doc_id").alias("a"), F.col("comp").alias("b"))
+        else:
+            held = (members.select("bucket", "doc_id", "weight", F.lit(False).alias("used"), F.col("doc_id").alias("comp"))
+                    if placed is None else open_buckets(members, placed))
+            pairs, members = pivoted(saved(held, "buckets", enough(size, ROWS_A_FILE)), turn)
         new = saved(agreed(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), classes), "pairs", enough(size, ROWS_A_TASK))
         n = new.count()
         found = confirmed(new, texts, n) if n else new
-        if not (n and (n := found.count())):
-            break
+        confirms = found.count() if n else 0
         done = new if done is None else done.unionByName(new)
-        links = found if links is None else links.unionByName(found)
-        linked += n
-        placed = components(links, linked)
+        if confirms:
+            links = found if links is None else links.unionByName(found)
+            linked += confirms
+            placed = components(links, linked)
+        if last:
+            break
+        last = YIELD * confirms < n or not n
         turn += 1
     links = found if links is None else links
     placed = placed if placed is not None else links.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))
