@@ -31,8 +31,8 @@ SHARE = 75
 ROWS = 4
 BANDS = 40
 HASHES = ROWS * BANDS
-#: Signatures of a pair at the bound agree in this share but for about one case in a hundred thousand.
-AGREED = 0.60
+#: Signatures of a pair at the bound agree in this share but for one case in a hundred thousand or fewer.
+AGREED = 0.58
 #: Pivots go on while one in so many of a turn's pairs is confirmed; the exact join does the rest.
 YIELD = 10
 SEED = 20240601
