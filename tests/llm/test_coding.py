@@ -48,6 +48,11 @@ def test_scan_and_heap_agree():
         assert own._scan(word) == own._heap(word)
 
 
+def test_thousands_of_special_strings():
+    texts = ["a\n<|endoftext|>\n" * 3000, "<|endoftext|>" * 5000, "x <|endoftext|>  y" * 2000]
+    assert [x.tolist() for x in bpe.coder(CONTENT).encode(texts)] == [ids(t) for t in texts]
+
+
 def test_memo_forgets_beyond_its_bound():
     memo = Memo(lambda texts: [t.encode() for t in texts], b"".join, limit=3)
     texts = [" ".join(f"w{n + k}" for k in range(5)) for n in range(50)]

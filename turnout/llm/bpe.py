@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,8 @@ class Coder:
         merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
         #: merged bytes -> rank and length of the left part
         self.ranks = {raw(a + b): (rank, len(raw(a))) for rank, (a, b) in enumerate(merges)}
+        #: splits a text at its special strings, the longest first, and keeps them at odd places
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = 1 + max([*self.ids.values(), *self.special.values()])
         self.bytes_of = [b""] * size
         for token, n in self.ids.items():
@@ -111,14 +114,12 @@ class Coder:
         return [b"".join([self._word(w) for w in self.pretokens(text)]) for text in texts]
 
     def pretokens(self, text: str) -> Iterator[str]:
-        for special in self.special:
-            if special in text:
-                head, _, tail = text.partition(special)
-                yield from self.pretokens(head)
-                yield special
-                yield from self.pretokens(tail)
-                return
-        yield from PRETOKEN.findall(text)
+        parts = self.specials.split(text) if self.specials else [text]
+        for n, part in enumerate(parts):
+            if n % 2:
+                yield part
+            else:
+                yield from PRETOKEN.findall(part)
 
     def _word(self, word: str) -> bytes:
         if (found := self.words.get(word)) is None:
