@@ -46,6 +46,22 @@ def test_host_consensus(spark):
     assert pages.main_text(table.limit(0)).count() == 0
 
 
+def test_parts_without_article(spark):
+    """An article without article or main that lies in differently classed parts."""
+    parts = "<html><body><div class='top'><a href='/'>Home of all pages</a></div><div class='post'><div class='lead'>{lead}</div><div class='text'>{text}</div></div>{box}</body></html>"
+    lead, body = "lead words " * 30, "body words " * 70
+    rows = [(n, f"http://c.example.com/{n}", parts.format(lead=f"{n} {lead}", text=body, box="<div class='box'>few</div>")) for n in range(6)]
+    rows.append((6, "http://alone.example.com/", parts.format(lead=f"6 {lead}", text=body, box="")))
+    inside = "<body><main><div class='lead'>{lead}</div><div class='text'>{text}</div></main><div class='box'>{box}</div></body>"
+    rows += [(n, f"http://m.example.com/{n}", inside.format(lead=f"{n} lead", text=body, box="box words " * 9)) for n in range(7, 10)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {n: got[n] for n in range(7)} == {n: f"{n} {lead}{body}".strip() for n in range(7)}
+    assert all("box" not in got[n] for n in range(7, 10))
+    assert text(rows[6][2]) == f"6 {lead}{body}".strip()
+    linked = "<div class='post'>" + "<a href='/'>a link of the post</a> " * 30 + f"<div class='lead'>{lead}</div><div class='text'>{body}</div></div>"
+    assert text(linked).endswith(f"{lead}{body}".strip())
+
+
 def test_given_pages(spark):
     """The given pages have one article each; what stands in it is the text."""
     import html

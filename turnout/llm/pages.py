@@ -1,8 +1,9 @@
 """Main text of web pages by the container paths that the pages of a host agree on.
 
 Each page's containers are scored by the text that is not in links; scores vote for generalised
-tag-and-class paths, per host in Spark; then every page is extracted again with its host's winning
-path.  A page without an element of that path, or with none that has text, uses its own best one.
+tag-and-class paths, per host in Spark.  From the winning path its host goes up to the smallest path
+that holds nearly all text on half of the pages, as an article may lie in several parts, but not
+beyond an article or main.  Then every page is extracted again with that path.  A page without an element of that path, or with none that has text, uses its own best one.
 
 Null or empty html gives empty text; a null url's pages vote together under an empty host.  Long
 pages are handled whole and in linear time.  Repeated rows give repeated results, an empty table
@@ -18,7 +19,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnout.llm.base import batched, saved
+from turnout.llm.base import apart, batched, saved
 from turnout.llm.urls import address
 
 TAG = re.compile(
@@ -50,6 +51,8 @@ HAS = ("has-", "with-", "no-")
 SEMANTIC = {"article": 1.0, "main": 0.8}
 ROLL_UP = 0.5
 VOTE = 1000
+#: The share of an article's or, without one, a page's text that a path holds to be its whole.
+NEARLY = 0.95
 
 
 class Container(NamedTuple):
@@ -163,14 +166,31 @@ def scores(page: Page) -> list[float]:
     return out
 
 
-def votes(page: Page) -> dict[str, int]:
-    """Each path's best score in thousandths of the page's text."""
+def complete(page: Page) -> set[str]:
+    """Paths that hold nearly all text of the article or main around them, else of the page; a container's own text counts nothing if it has more links."""
+    own = [0] * len(page.containers)
+    for at, text, link in page.pieces:
+        own[at] += -len(text) if link else len(text) if text != " " else 0
+    own = [max(0, n) for n in own]
+    for n in range(len(own) - 1, 0, -1):
+        own[page.containers[n].parent] += own[n]
+    around, held, base = [""], {"": own[0]}, {}
+    for n, container in enumerate(page.containers[1:], 1):
+        around.append(container.path if container.name in SEMANTIC else around[container.parent])
+        base[container.path] = around[n]
+        held[container.path] = held.get(container.path, 0) + own[n]
+    return {path for path, top in base.items() if held[path] and held[path] >= NEARLY * held[top]}
+
+
+def votes(page: Page) -> dict[str, tuple[int, bool]]:
+    """Each path's best score in thousandths of the page's text, and whether it is complete."""
     whole = sum(len(text) for _, text, _ in page.pieces if text != " ")
-    out: dict[str, int] = {}
+    best: dict[str, int] = {}
     for container, score in zip(page.containers[1:], scores(page)[1:]):
         if score > 0:
-            out[container.path] = max(out.get(container.path, 0), int(VOTE * score / whole))
-    return out
+            best[container.path] = max(best.get(container.path, 0), int(VOTE * score / whole))
+    full = complete(page) if best else set()
+    return {path: (best.get(path, 0), path in full) for path in best.keys() | full}
 
 
 def extracted(page: Page, path: str | None) -> str:
@@ -179,6 +199,10 @@ def extracted(page: Page, path: str | None) -> str:
         if inside is None:
             score = scores(page)
             best = max(range(1, len(score)), key=lambda n: (score[n], -n), default=0)
+            full, up = complete(page), best
+            while up and page.containers[up].path not in full:
+                up = page.containers[up].parent
+            best = up or best
             inside = (lambda n: n == best) if score[best] > 0 else (lambda n: True)
         held: list[bool] = []
         for n, container in enumerate(page.containers):
@@ -190,28 +214,39 @@ def extracted(page: Page, path: str | None) -> str:
 
 
 def path_votes(pages: DataFrame) -> DataFrame:
-    """``host``, ``path`` and ``votes``, summed over pages."""
+    """``host``, ``path`` and ``votes``, summed over pages, the number of ``pages`` that vote for it and on how many it is ``complete``."""
     batched(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
-            total: dict[tuple[str, str], int] = {}
+            total: dict[tuple[str, str], list[int]] = {}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for path, n in votes(parsed(source or "")).items():
-                    total[host, path] = total.get((host, path), 0) + n
+                for path, (n, full) in votes(parsed(source or "")).items():
+                    own = total.setdefault((host, path), [0, 0, 0])
+                    own[0] += n
+                    own[1] += 1
+                    own[2] += full
             yield pa.RecordBatch.from_pydict(
                 {"host": pa.array([k[0] for k in total], pa.string()), "path": pa.array([k[1] for k in total], pa.string()),
-                 "votes": pa.array(list(total.values()), pa.int64())})
+                 **{name: pa.array([v[k] for v in total.values()], pa.int64()) for k, name in enumerate(("votes", "pages", "complete"))}})
 
     host, _ = address("url")
-    found = pages.select(F.coalesce(host, F.lit("")).alias("host"), "html").mapInArrow(run, "host string, path string, votes bigint")
-    return found.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    found = pages.select(F.coalesce(host, F.lit("")).alias("host"), "html").mapInArrow(run, "host string, path string, votes bigint, pages bigint, complete bigint")
+    return found.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("votes", "pages", "complete")))
+
+
+def winning(voted: DataFrame) -> DataFrame:
+    """``host`` and its ``path``: the one with most votes, or the nearest around it that is complete on half of its pages."""
+    most = voted.groupBy("host").agg(F.min_by(F.struct("path", "pages"), F.struct(-F.col("votes"), F.col("path"))).alias("_w"))
+    around = voted.join(apart(most), "host").filter(
+        "path = _w.path OR startswith(_w.path, concat(path, '/')) AND 2 * complete >= _w.pages")
+    full = F.when(F.expr("2 * complete >= _w.pages"), F.struct(F.length("path"), F.col("path")))
+    return around.groupBy("host").agg(F.coalesce(F.max(full)["path"], F.first("_w.path")).alias("path"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, the main ``text`` and ``n_chars``."""
-    winners = saved(path_votes(pages).groupBy("host").agg(
-        F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path")), "paths")
+    winners = saved(winning(saved(path_votes(pages), "votes")), "paths")
     host, _ = address("url")
     placed = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"))
     placed = placed.join(winners, "host", "left").select(F.col("page_id").cast("bigint"), "url", "html", "path")
