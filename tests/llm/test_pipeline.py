@@ -7,7 +7,7 @@ import corpus_pipeline as pipeline
 from llm.tables import CLASH, SCHEMA, prose
 from llm.test_leaks import plain as hits
 from llm.test_near import brute, changed
-from llm.test_rules import plain as base
+from llm.test_quality_rules import plain as base
 from turnout.llm import pii, rules
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
