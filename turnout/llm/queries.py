@@ -10,6 +10,7 @@ from turnout.llm.bpe import digests
 from turnout.llm.counts import token_counts
 from turnout.llm.language import languages
 from turnout.llm.pages import main_text
+from turnout.llm.periodic import run_digests
 from turnout.llm.pii import pii_digests
 from turnout.llm.repair import packed
 from turnout.llm.rules import quality
@@ -57,6 +58,10 @@ def op10_main_text(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark, sf_dir):
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_verdicts": op1_url_verdicts,
     "op2_token_files": op2_token_files,
@@ -68,6 +73,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
