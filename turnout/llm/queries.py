@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from turnout.llm import leaks, near, urls
+from turnout.llm import leaks, near, trie, urls
 from turnout.llm.base import table
 from turnout.llm.bpe import digests
 from turnout.llm.counts import token_counts
@@ -58,6 +58,10 @@ def op10_main_text(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark, sf_dir):
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     return run_digests(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
@@ -80,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op1_url_verdicts": urls.oracle(),
     "op3_near_duplicates": near.oracle(),
     "op9_decontamination": leaks.oracle(),
+    "op11_conversation_trie": trie.oracle(),
 }
