@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from turnout.llm import leaks, near, trie, urls
+from turnout.llm import leaks, near, passes, trie, urls
 from turnout.llm.base import table
 from turnout.llm.bpe import digests
 from turnout.llm.counts import token_counts
@@ -66,6 +66,10 @@ def op12_periodic_runs(spark, sf_dir):
     return run_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_near_vectors(spark, sf_dir):
+    return passes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_verdicts": op1_url_verdicts,
     "op2_token_files": op2_token_files,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_main_text": op10_main_text,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLES: dict[str, str] = {
@@ -86,4 +91,5 @@ ORACLES: dict[str, str] = {
     "op3_near_duplicates": near.oracle(),
     "op9_decontamination": leaks.oracle(),
     "op11_conversation_trie": trie.oracle(),
+    "op13_near_vectors": passes.oracle(),
 }
