@@ -2,10 +2,11 @@ import itertools
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnout.functions.similarity import common_subsequence, length_bound, ratio
+from turnout.functions.similarity import Letters, Orders, common_subsequence, length_bound, ratio
 from turnout.operators import resolve as R, speakers as S
 
 FIRST, LAST = ["Ana", "Raj", "Lee"], ["Verma", "Kim"]
@@ -70,27 +71,72 @@ def test_same_address_twice_keeps_one_person(spark):
     assert [x.row_idx for x in R.survivors(df, R.duplicate_pairs(df)).collect()] == [0]
 
 
-def test_crm_match_equals_all_candidates(spark):
-    rows, crm = people(40, 8), people(50, 9)
-    left = spark.createDataFrame(rows, COLS)
-    right = spark.createDataFrame([(100 + x[0], "e", x[2], x[4], x[5], x[6]) for x in crm],
-                                  "vid long, event_slug string, email string, firstname string, lastname string, company string").repartition(3)
+CRM = "vid long, event_slug string, email string, firstname string, lastname string, company string"
+
+
+def every_pair(rows, crm):
+    """Each row scored against every contact whose first name passes the gate."""
     want = {}
     for a in rows:
         best, who = 0.0, None
-        for b in crm:
-            (first, last), (other, name) = (a[4].lower(), a[5].lower()), (b[4].lower(), b[5].lower())
-            one_off = {last} | {last[:n] + last[n + 1:] for n in range(len(last))}
-            near = one_off & ({name} | {name[:n] + name[n + 1:] for n in range(len(name))})
-            if not (a[2] == b[2] or last == name or first == other and (a[7] and a[7] == b[7] or near)) or ratio(a[4], b[4]) < 0.5:
+        for vid, b in crm:
+            if ratio(a[4], b[4]) < 0.5:
                 continue
             s = score(a, b, a[7], b[7])
             if s > best + 1e-12:
-                best, who = s, 100 + b[0]
-        if who and best >= 0.65:
+                best, who = s, vid
+        if who is not None and best >= 0.65:
             want[a[0]] = (who, round(best, 6))
-    got = {m.row_idx: (m.vid, round(m.score, 6)) for m in R.crm_matches(left, right).collect()}
-    assert got == want
+    return want
+
+
+def altered(person, seed):
+    """The same person under another last name, company or mailbox."""
+    own = random.Random(seed)
+    idx, event, mail, local, first, last, company, key, title, there = person
+    spoilt = lambda x: "".join(own.choice([c, c, c, c, c, "", c + own.choice("aeinrst")]) for c in x)
+    local, first, last = (own.choice([x, x, spoilt(x)]) for x in (local, first, last))
+    last = own.choice([last, last + " Lopez", last[:3], last])
+    key = own.choice([key, key + " systems", spoilt(key), ""])
+    key = " ".join(key.split())
+    return (idx, event, f"{local}@other.org", local, first, last, key.title(), key, title, there)
+
+
+def in_spark(spark, rows, crm):
+    left = spark.createDataFrame(rows, COLS)
+    right = spark.createDataFrame([(vid, "e", x[2], x[4], x[5], x[6]) for vid, x in crm], CRM).repartition(3)
+    return {m.row_idx: (m.vid, round(m.score, 6)) for m in R.crm_matches(left, right).collect()}
+
+
+@pytest.mark.parametrize("seed", [8, 18, 28])
+def test_crm_match_equals_every_pair(spark, seed, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 40)  # several blocks a side
+    rows = people(120, seed)
+    crm = [(100 + n, altered(x, seed * 1000 + n)) for n, x in enumerate(people(120, seed + 1) + rows)]
+    want = every_pair(rows, crm)
+    assert len(want) > 80
+    assert in_spark(spark, rows, crm) == want
+
+
+def test_other_last_names_and_companies_together_are_found(spark):
+    rows = [(0, "e", "anna.garcia@acme.com", "anna.garcia", "Anna", "Garcia", "Acme Corporation", "acme corporation", "", True),
+            (1, "e", "bob.miller@x.org", "bob.miller", "Bob", "Miller", "Initech Systems", "initech systems", "", True)]
+    right = spark.createDataFrame([(5, "e", "anna.garcialopez@acme.org", "Anna", "Garcia Lopez", "Acme Corporation Ltd"),
+                                   (6, "e", "rob.millar@x.org", "Rob", "Millar", "Initech Systems"), (7, "e", None, None, None, None)], CRM)
+    assert {m.row_idx: (m.vid, m.verdict) for m in R.crm_matches(spark.createDataFrame(rows, COLS), right).collect()} == {0: (5, "merge"), 1: (6, "merge")}
+
+
+def test_bounds_of_many_pairs_hold():
+    own = random.Random(6)
+    words = ["".join(own.choice("abcd é漢") for _ in range(own.choice([0, 1, 5, 12, 62, 63, 64, 90]))) for _ in range(60)]
+    i, j = (x.ravel() for x in np.indices((60, 60)))
+    loose, tight = Letters(words, words[::-1]).bound(slice(0, 60)), Orders(words, words[::-1]).bound(i, j).reshape(60, 60)
+    for a in range(60):
+        for b in range(60):
+            r = ratio(words[a], words[59 - b])
+            assert r <= tight[a, b] + 1e-9 and r <= loose[a, b] + 1e-5
+            if len(words[a]) <= 63 and words[a] + words[59 - b]:
+                assert abs(tight[a, b] - 2 * common_subsequence(words[a], words[59 - b]) / (len(words[a]) + len(words[59 - b]))) < 1e-9
 
 
 def test_people_of_an_earlier_event_are_updated(spark):

@@ -7,8 +7,10 @@ not symmetric, so argument order is kept: (row, primary), (registrant, contact),
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -70,6 +72,131 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+# --- bounds for many pairs at once ------------------------------------------------------
+class Letters:
+    """Texts as rows of numbered characters over the alphabet of ``texts`` and ``others``.
+
+    Two texts have in common, order aside, as many characters as their rows have ones at the same
+    places, so one matrix product bounds the ratios of all pairs.
+    """
+
+    def __init__(self, texts: list[str], others: list[str]):
+        codes = [np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32) for part in (texts, others)]
+        alphabet = np.intersect1d(*codes)
+        self.sizes = [np.array([len(t) for t in part], np.int64) for part in (texts, others)]
+        counts = []
+        for own, sizes in zip(codes, self.sizes):
+            place = np.minimum(np.searchsorted(alphabet, own), max(len(alphabet) - 1, 0))
+            known = alphabet[place] == own if len(alphabet) else np.zeros(len(own), bool)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            flat = np.bincount(row[known] * len(alphabet) + place[known], minlength=len(sizes) * len(alphabet))
+            counts.append(flat.reshape(len(sizes), len(alphabet)))
+        self.ones = [[], []]
+        for level in range(1, 1 + min((int(c.max(initial=0)) for c in counts))):
+            used = (counts[0] >= level).any(axis=0) & (counts[1] >= level).any(axis=0)
+            for part, own in zip(self.ones, counts):
+                part.append((own[:, used] >= level).astype(np.float32))
+        self.ones = [np.concatenate(part, axis=1) if part else np.zeros((len(c), 0), np.float32) for part, c in zip(self.ones, counts)]
+
+    def bound(self, rows: slice | np.ndarray) -> np.ndarray:
+        """No ratio of these texts with the others is higher."""
+        total = self.sizes[0][rows][:, None] + self.sizes[1][None, :]
+        return np.where(total == 0, 1, 2 * (self.ones[0][rows] @ self.ones[1].T) / np.maximum(total, 1)).astype(np.float32)
+
+
+class Orders:
+    """Longest common subsequences of many pairs, bit-parallel over pairs; texts of up to ``MOST`` characters."""
+
+    MOST = 63
+
+    def __init__(self, texts: list[str], others: list[str]):
+        alphabet: dict[str, int] = {}
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.lengths = np.array([len(t) for t in others], np.int64)
+        for text in texts:
+            for ch in text:
+                alphabet.setdefault(ch, len(alphabet) + 1)
+        self.masks = np.zeros((len(texts), len(alphabet) + 1), np.uint64)
+        for n, text in enumerate(texts):
+            for k, ch in enumerate(text[:self.MOST]):
+                self.masks[n, alphabet[ch]] |= np.uint64(1 << k)
+        self.codes = np.zeros((len(others), int(self.lengths.max(initial=0))), np.int32)
+        for n, text in enumerate(others):
+            self.codes[n, :len(text)] = [alphabet.get(ch, 0) for ch in text]
+
+    def bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """No ratio of these pairs is higher; what lies behind ``MOST`` characters of a text counts as common."""
+        size = np.minimum(self.sizes[i], self.MOST).astype(np.uint64)
+        full = (np.uint64(1) << size) - np.uint64(1)
+        state = full.copy()
+        for k in range(int(self.lengths[j].max(initial=0))):
+            hit = state & self.masks[i, self.codes[j, k]]
+            state = ((state + hit) | (state & ~hit)) & full
+        common = size.astype(np.int64) - np.bitwise_count(state) + np.maximum(self.sizes[i] - self.MOST, 0)
+        total = self.sizes[i] + self.lengths[j]
+        return np.where(total == 0, 1.0, 2.0 * np.minimum(common, np.minimum(self.sizes[i], self.lengths[j])) / np.maximum(total, 1))
+
+
+PAIRS = 100_000
+ROWS = 512
+
+
+def closest_people(asked: pd.DataFrame, known: pd.DataFrame, gate: float) -> Iterator[tuple[int, float, int]]:
+    """Per asked person the best known one at or above the person's ``floor``: place in ``asked``, score, ``vid``.
+
+    Both have ``local``, ``first`` and ``ident``; equal scores go to the smallest vid.  Every pair is bounded by its
+    characters, the few that are left by their order, and what still may win is scored, best bound first.
+    """
+    def low(df, c):
+        return [x.lower() for x in df[c].tolist()]
+
+    mails, people, firsts = ((low(asked, c), low(known, c)) for c in ("local", "ident", "first"))
+    names = [sorted(set(part)) for part in firsts]
+    at = [np.searchsorted(np.array(own, object), np.array(part, object)) for own, part in zip(names, firsts)]
+    near = Letters(*names)
+    passed: dict[tuple[int, int], bool] = {}
+    by_mail, by_person, floors, vids = Letters(*mails), Letters(*people), asked["floor"].to_numpy(float), known["vid"].tolist()
+    mail_order, person_order = Orders(*mails), Orders(*people)
+    for start in range(0, len(asked), ROWS):
+        rows = slice(start, min(start + ROWS, len(asked)))
+        own, place = np.unique(at[0][rows], return_inverse=True)
+        may = near.bound(own) >= gate - 1e-4
+        bound = fixed.LOCAL_WEIGHT * by_mail.bound(rows) + fixed.IDENTITY_WEIGHT * by_person.bound(rows)
+        i, j = np.nonzero((bound >= floors[rows][:, None] - 1e-4) & may[place][:, at[1]])
+        i += start
+        keep, tight = [], []
+        for k in range(0, len(i), PAIRS):
+            a, b = i[k:k + PAIRS], j[k:k + PAIRS]
+            t = fixed.LOCAL_WEIGHT * mail_order.bound(a, b) + fixed.IDENTITY_WEIGHT * person_order.bound(a, b)
+            left = t >= floors[a] - 1e-9
+            keep.append(np.flatnonzero(left) + k)
+            tight.append(t[left])
+        if not keep:
+            continue
+        kept, tight = np.concatenate(keep), np.concatenate(tight)
+        i, j = i[kept], j[kept]
+        order = np.lexsort((-tight, i))
+        row, best, who = -1, 0.0, None
+        for a, b, t in zip(i[order].tolist(), j[order].tolist(), tight[order].tolist()):
+            if a != row:
+                if who is not None:
+                    yield row, best, who
+                row, best, who = a, floors[a] - 1e-12, None
+            if t < best - 1e-9:
+                continue
+            pair = int(at[0][a]), int(at[1][b])
+            if pair not in passed:
+                passed[pair] = ratio(names[0][pair[0]], names[1][pair[1]]) >= gate
+            if not passed[pair]:
+                continue
+            score = (fixed.LOCAL_WEIGHT * SequenceMatcher(None, mails[0][a], mails[1][b]).ratio()
+                     + fixed.IDENTITY_WEIGHT * SequenceMatcher(None, people[0][a], people[1][b]).ratio())
+            if score > best or score == best and who is not None and vids[b] < who:
+                best, who = score, vids[b]
+        if who is not None:
+            yield row, best, who
+
+
 def best_slice(quote: str, text: str, floor: float) -> tuple[float, str]:
     """Best ratio of a quote against one window, with the matching part; (0, '') below ``floor``.
 
