@@ -62,7 +62,21 @@ def test_fuzzy_search_loses_nothing_from_ninety(spark, seed):
             want[x] = round(best, 9)
     assert want and len(want) < len(quotes)
     assert {x.quote: round(x.ratio, 9) for x in G.best_windows(q, w, ["event_slug"]).collect()} == want
-    assert {x.quote: round(x.ratio, 9) for x in G.matched_windows(q, w, ["event_slug"]).collect()} == want
+    every = {x.quote: (round(x.ratio, 9), x.seq) for x in G.matched_windows(q, w, ["event_slug"]).collect()}
+    assert every == {x: (round(best, 9), at and at[1]) for x in quotes for best, at in [plain_best(x, windows)]}
+
+
+def test_hopeless_quotes_have_their_best_window(spark, monkeypatch):
+    monkeypatch.setattr(G, "SEARCHED", 900)  # several blocks a transcript
+    r = random.Random(5)
+    turns = [text(r, r.randint(1, 50)) for _ in range(30)] + ["", "ÉCOLE İstanbul straße", "ab"]
+    windows = [(1, i, t) for i, t in enumerate(turns)] + [(2, i, f"{a} {b}") for i, (a, b) in enumerate(zip(turns, turns[1:]))]
+    quotes = [text(r, 9)[::-1] for _ in range(4)] + ["0123456789" * 3, "école istanbul and far more than that", "Speed Routing", "q", "ab"]
+    q = spark.createDataFrame([("e", x) for x in quotes] + [("none", "no transcript at all")], "event_slug string, quote string")
+    w = spark.createDataFrame([("e", s, i, f"{s}-{i}", t) for s, i, t in windows], "event_slug string, span int, seq long, label string, text string")
+    got = {x.quote: (round(x.ratio, 9), x.label) for x in G.any_window(q, w, ["event_slug"]).collect()}
+    want = {x: (round(best, 9), at and f"{at[0]}-{at[1]}") for x in quotes for best, at in [plain_best(x, windows)]}
+    assert got == want | {"no transcript at all": (0.0, None)}
 
 
 def test_containment_equals_a_scan_for_every_length(spark):
@@ -100,6 +114,25 @@ def test_claims_and_verdicts(spark):
     assert ("attribution", "Nobody Known", False) in got
     elided = next(x for x in got if x[0] == "quote" and "..." in x[1])
     assert elided[2] is False  # its only span long enough was never said that way as a whole
+    told = {x.raw: x for x in G.verified_claims(G.claims(assets), turns, windows, marks, roster).collect()}
+    assert told["Bob Ray @ [00:30]"].reason == "Bob Ray is cited at 00:30, where Dana Cole speaks"
+    assert told["[09:59]"].reason.endswith("09:59") and told["Nobody Known"].reason.startswith("Nobody Known is not")
+    assert told["leads go cold in five minutes flat"][6:] == (1.0, "leads go cold in five minutes flat", "Dana Cole", None) or told["leads go cold in five minutes flat"].reason is None
+    assert 0 < told[elided[1]].ratio < 0.9 and f"{told[elided[1]].ratio:.3f} of 0.90" in told[elided[1]].reason and told[elided[1]].window
+
+
+def test_every_fragment_of_an_elided_quote_is_told(spark):
+    turns = spark.createDataFrame([("e", 0, 30, "Dana Cole", "we always said that leads go cold in five minutes"), ("e", 1, 60, "Bob Ray", "the cost of waiting is simply too high for us")],
+                                  "event_slug string, seq long, sec int, speaker string, text string")
+    windows = X.windows(turns.withColumnRenamed("event_slug", "recording_id")).withColumnRenamed("recording_id", "event_slug")
+    quotes = spark.createDataFrame([("e", "a", 0, "leads go cold in five minutes ... the cost of weighting is simply too high for us ... our rockets fly to the moon tomorrow")],
+                                   "event_slug string, asset_id string, claim_no int, raw string")
+    rows = G.verified_fragments(G.fragments(quotes), windows)
+    parts = {x.fragment_no: x for x in rows.collect()}
+    assert [parts[n].verified for n in range(3)] == [True, True, False]
+    assert [parts[n].place for n in range(2)] == ["Dana Cole", "Bob Ray"]
+    (one,) = G.of_fragments(rows).collect()
+    assert not one.verified and one.ratio == parts[2].ratio and one.window == parts[2].window and 'for the part "our rockets' in one.reason
 
 
 def test_loose_grounding_also_takes_allowed_names(spark):

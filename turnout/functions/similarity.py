@@ -222,6 +222,66 @@ def best_slice(quote: str, text: str, floor: float) -> tuple[float, str]:
     return (best, text[at[0]:at[1]]) if at and best >= floor else (0.0, "")
 
 
+class Slices:
+    """Windows in their order of preference, ready to be searched for the best slice of a quote at any ratio.
+
+    A window much longer than the quote is probed as in ``best_slice``.  Every slice is bounded by the letters it
+    shares with the quote, from running counts over all windows; the best bounds are scored first, until
+    none that is left can win or tie.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        low = [t.lower() for t in texts]
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        # a few capitals grow when lowered; their windows are not bounded
+        self.odd = np.array([len(a) != len(b) for a, b in zip(low, texts)], bool)
+        self.starts = np.r_[0, np.cumsum(self.sizes)]
+        whole = "".join(b if len(a) != len(b) else a for a, b in zip(low, texts))
+        self.codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.running: dict[str, np.ndarray] = {}
+
+    def count(self, letter: str, at: np.ndarray) -> np.ndarray:
+        if letter not in self.running:
+            self.running[letter] = np.r_[0, np.cumsum(self.codes == ord(letter), dtype=np.int32)]
+        return self.running[letter][at]
+
+    def slices(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window, start and end of each slice to be compared with a quote of ``n`` characters."""
+        window = np.flatnonzero(self.sizes > 0)
+        whole = window[self.sizes[window] <= 1.4 * n]
+        long = window[self.sizes[window] > 1.4 * n]
+        step = max(4, n // 6)
+        probes = (self.sizes[long] - n) // step + 1
+        owner = np.repeat(long, probes)
+        at = (np.arange(len(owner)) - np.repeat(np.cumsum(probes) - probes, probes)) * step
+        return (np.concatenate([whole, owner, long]), np.concatenate([0 * whole, at, self.sizes[long] - n]),
+                np.concatenate([self.sizes[whole], at + n, self.sizes[long]]))
+
+    def best(self, quote: str) -> tuple[float, int, str] | None:
+        """Ratio, window and slice of the best match; of equal ones the earliest.  None where nothing matches."""
+        low, n = quote.lower(), len(quote)
+        if not n:
+            return None
+        window, lo, hi = self.slices(n)
+        start, end = self.starts[window] + lo, self.starts[window] + hi
+        common = np.zeros(len(window), np.int64)
+        for letter in set(low):
+            common += np.minimum(low.count(letter), self.count(letter, end) - self.count(letter, start))
+        bound = np.where(self.odd[window], 1.0, 2.0 * common / (len(low) + hi - lo))
+        best, at = 0.0, None
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < best - 1e-9 or bound[k] == 0:
+                break
+            piece = self.texts[window[k]][lo[k]:hi[k]].lower()
+            if 2 * common_subsequence(low, piece) < (best - 1e-9) * (len(low) + len(piece)):
+                continue
+            r = SequenceMatcher(None, low, piece).ratio()
+            if r > best or r == best and at is not None and (window[k], lo[k]) < at[:2]:
+                best, at = r, (window[k], lo[k], hi[k])
+        return (best, int(at[0]), self.texts[at[0]][at[1]:at[2]]) if at else None
+
+
 @F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("snippet", StringType())]))
 def window_ratio(quote: pd.Series, text: pd.Series, floor: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([best_slice(q or "", t or "", f) for q, t, f in zip(quote, text, floor)], columns=["ratio", "snippet"])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnout.functions import fixed, text as T
 from turnout.functions.claims import claims_in, gram_tokens
-from turnout.functions.similarity import seq_ratio, window_ratio
-from turnout.operators.ordered import attach, spread, top_k
+from turnout.functions.similarity import Slices, seq_ratio, window_ratio
+from turnout.operators.ordered import attach, by_key, spread, top_k
 from turnout.operators.speakers import roster_match
 from turnout.operators.transcript import clip_ends, in_chapter, snapped, true_speaker
 from turnout.session import settled
@@ -104,8 +105,54 @@ def best_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote:
     return _scored(texts.filter(shorter), keys).withColumnRenamed("_q", quote)
 
 
+#: Characters of transcript that a task searches at once for a quote without a close window.
+SEARCHED = 200_000
+
+
+def any_window(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
+    """Best window of every quote, however far off: ``ratio``, ``snippet``, ``label`` and ``seq``; equal ratios go to the
+    earlier, shorter window.
+
+    Windows of a transcript are dealt into blocks of bounded size, each quote is searched for in every
+    block of its transcript (see ``Slices``), and the best of the blocks stands.  A quote of which no letter is in the
+    transcript has ratio 0 and no place.
+    """
+    w = _folded(windows, keys).filter("text <> ''")
+    sizes = w.groupBy(*keys).agg(F.ceil(F.sum(F.length("text")) / SEARCHED).cast("int").alias("_blocks"))
+    block = F.pmod(F.xxhash64("text"), F.col("_blocks")).cast("int").alias("_block")
+    nothing = {c: F.lit(None) for c in ("_q", "text", "label", "_span", "_seq")}
+    placed = attach(w, sizes, keys, "inner").select(*keys, block, nothing["_q"].cast("string").alias("_q"), "text", "label",
+                                                    F.col("_o.span").cast("long").alias("_span"), F.col("_o.seq").cast("long").alias("_seq"))
+    q = quotes.select(*keys, F.col(quote).alias("_q")).filter("_q <> ''").distinct()
+    asked = q.join(sizes, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "_q",
+                                       nothing["text"].cast("string").alias("text"), nothing["label"].cast("string").alias("label"),
+                                       nothing["_span"].cast("long").alias("_span"), nothing["_seq"].cast("long").alias("_seq"))
+    group = [*keys, "_block"]
+    both = placed.unionByName(asked).repartition(*group).sortWithinPartitions(*group)
+
+    def run(frames):
+        for here in by_key(frames, group):
+            held = here[here["_q"].isna()].sort_values(["_span", "_seq"])
+            wanted = here[here["_q"].notna()]
+            if not len(held) or not len(wanted):
+                continue
+            found = Slices(held["text"].tolist())
+            hits = [found.best(x) for x in wanted["_q"]]
+            some = [h is not None for h in hits]
+            at = held.iloc[[h[1] for h in hits if h is not None]]
+            yield wanted[some][[*keys, "_q"]].assign(
+                ratio=[h[0] for h in hits if h], snippet=[h[2] for h in hits if h], label=at["label"].to_numpy(), span=at["_span"].to_numpy(), seq=at["_seq"].to_numpy())
+
+    kinds = ", ".join(f"{k} {dict(q.dtypes)[k]}" for k in keys)
+    hits = both.mapInPandas(run, f"{kinds}, _q string, ratio double, snippet string, label string, span long, seq long")
+    order = F.struct(F.col("ratio"), -F.col("span"), -F.col("seq"))
+    best = hits.groupBy(*keys, "_q").agg(F.max_by(F.struct("ratio", "snippet", "label", "seq"), order).alias("b"))
+    return q.join(best, keys + ["_q"], "left").select(
+        *keys, F.col("_q").alias(quote), F.coalesce("b.ratio", F.lit(0.0)).alias("ratio"), "b.snippet", "b.label", "b.seq")
+
+
 def matched_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
-    """Quotes that are a whole window score 1 and are settled; all others, held by a window or not, are searched for."""
+    """Best window of every quote: a whole window scores 1 and is settled, then 0.90 and more by shared grams, then the rest by search."""
     q = quotes.select(*keys, quote).filter(F.col(quote) != "").distinct().withColumn("_low", F.lower(quote))
     w = _folded(windows, keys).withColumn("_low", F.lower("text"))
     holds = contained(q, w.withColumn("_seq", F.struct("_o.span", "_o.seq")), keys, "_low", "_low", "_seq", every=True)
@@ -114,15 +161,22 @@ def matched_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quot
     texts = pairs.join(w.select(*keys, "_o", "label", "text"), keys + ["_o"])
     sure = settled(_scored(texts.filter(F.length("text") == F.length("_q")), keys).filter("ratio = 1").withColumnRenamed("_q", quote))
     rest = settled(q.join(sure, keys + [quote], "left_anti").select(*keys, quote))
-    return sure.unionByName(best_windows(rest, windows, keys, quote))
+    return sure.unionByName(closest_windows(rest, windows, keys, quote))
+
+
+def closest_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
+    """Best window of every quote at any ratio: from 0.90 on by shared grams, below by search."""
+    near = settled(best_windows(quotes, windows, keys, quote))
+    far = quotes.select(*keys, quote).filter(F.col(quote) != "").distinct().join(near, keys + [quote], "left_anti")
+    return near.unionByName(any_window(far, windows, keys, quote).select(*near.columns))
 
 
 def located_quotes(quotes: DataFrame, turns: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """Where a quote was said: verbatim turn first, else the best window from 0.90.
 
     ``quotes``: keys, quote_no, quote.  A fuzzy hit takes its window's first
-    speaker and that speaker's first second.  Where no window reaches 0.90 the
-    ratio is NULL.
+    speaker and that speaker's first second.  The ratio is that of the best
+    window; below 0.90 no speaker and second are given.
     """
     q = quotes.withColumn("_norm", T.spaced(F.col("quote")))
     t = turns.withColumn("_norm", T.spaced(F.col("text")))
@@ -130,7 +184,7 @@ def located_quotes(quotes: DataFrame, turns: DataFrame, windows: DataFrame, keys
         t.select(*keys, "seq", F.col("speaker").alias("said_by"), "sec"), keys + ["seq"])
     q1 = q.join(verbatim.select(*keys, "_norm", "said_by", "sec").withColumn("ratio", F.lit(1.0)), keys + ["_norm"])
     rest = settled(q.join(verbatim, keys + ["_norm"], "left_anti"))
-    near = best_windows(rest, windows, keys).withColumn("said_by", F.trim(F.split_part("label", F.lit("->"), F.lit(1))))
+    near = closest_windows(rest, windows, keys).withColumn("said_by", F.trim(F.split_part("label", F.lit("->"), F.lit(1))))
     first = turns.groupBy(*keys, F.col("speaker").alias("said_by")).agg(F.min_by("sec", "seq").alias("sec"))
     near = near.join(first, keys + ["said_by"], "left")
     q2 = rest.join(near.select(*keys, "quote", "said_by", "sec", "ratio"), keys + ["quote"], "left")
@@ -170,32 +224,60 @@ def fragments(quote_claims: DataFrame) -> DataFrame:
     """An elided quote is one claim of several spans; short tails are not spans."""
     parts = F.filter(F.transform(F.split("raw", r"\s*(?:\x{2026}|\.\.\.)\s*"), lambda p: F.btrim(p, F.lit(" ,;:"))),
                      lambda p: F.length(p) >= fixed.QUOTE_MIN)
-    return quote_claims.select(EV, "asset_id", "claim_no", "raw", F.explode(
-        F.when(F.size(parts) > 1, parts).otherwise(F.array("raw"))).alias("quote"))
+    return quote_claims.select(EV, "asset_id", "claim_no", "raw", F.posexplode(
+        F.when(F.size(parts) > 1, parts).otherwise(F.array("raw"))).alias("fragment_no", "quote"))
+
+
+def verified_fragments(spans: DataFrame, windows: DataFrame) -> DataFrame:
+    """Each span of each quote with the ratio, text (``window``) and speakers (``place``) of its best window."""
+    hits = matched_windows(spans, windows, [EV]).select(EV, "quote", "ratio", F.col("snippet").alias("window"), F.col("label").alias("place"))
+    return attach(spans, hits, [EV, "quote"]).fillna(0.0, ["ratio"]).select(
+        EV, "asset_id", "claim_no", "raw", "fragment_no", "quote", "ratio", "window", "place", (F.col("ratio") >= fixed.QUOTE_RATIO).alias("verified"))
+
+
+def of_fragments(parts: DataFrame) -> DataFrame:
+    """One verdict per quote: all spans must hold, the worst one (the first of equals) is told."""
+    worst = F.min_by(F.struct("ratio", "window", "place", "quote"), F.struct("ratio", "fragment_no")).alias("w")
+    told = parts.groupBy(EV, "asset_id", "claim_no", "raw").agg(worst, F.bool_and("verified").alias("verified"), F.count(F.lit(1)).alias("_n"))
+    short = F.format_string("the closest window reaches %.3f of %.2f", F.col("w.ratio"), F.lit(fixed.QUOTE_RATIO))
+    reason = F.when(F.col("_n") > 1, F.concat(F.lit("for the part \""), F.col("w.quote"), F.lit("\" "), short)).otherwise(short)
+    return told.select(EV, "asset_id", "claim_no", F.lit("quote").alias("type"), "raw", "verified", F.col("w.ratio").alias("ratio"),
+                       F.col("w.window").alias("window"), F.col("w.place").alias("place"), F.when(~F.col("verified"), reason).alias("reason"))
+
+
+def quotes_of_speakers(found: DataFrame, roster: DataFrame) -> DataFrame:
+    """Spans of the quotes among claims that stand near a named speaker."""
+    return fragments(attributed(found.filter("type = 'quote'"), roster))
 
 
 def verified_claims(found: DataFrame, turns: DataFrame, windows: DataFrame, stamps: DataFrame, roster: DataFrame) -> DataFrame:
-    """Each claim with its verdict: stamps by semi-join, speakers and quotes by bounded joins."""
+    """Each claim with its verdict: stamps by semi-join, speakers and quotes by bounded joins.
+
+    ``ratio``, ``window`` and ``place`` are those of the best match, ``reason`` says what a failed claim lacks.
+    """
     key = [EV, "asset_id", "claim_no"]
     found = settled(found.withColumn("sec", T.seconds_of(F.col("stamp"))))
+    none = F.lit(None).cast("string")
+
+    def told(df: DataFrame, verified: Column, ratio: Column, reason: Column, place: Column = none) -> DataFrame:
+        return df.select(*key, "type", "raw", verified.alias("verified"), ratio.alias("ratio"), none.alias("window"), place.alias("place"),
+                         F.when(~verified, reason).alias("reason"))
+
     ok = stamps.select(EV, F.col("sec").cast("int").alias("sec")).distinct().withColumn("_ok", F.lit(True))
-    stamped = found.filter("type = 'timestamp'").join(ok, [EV, "sec"], "left").select(
-        *key, "type", "raw", F.coalesce("_ok", F.lit(False)).alias("verified"), F.lit(None).cast("double").alias("ratio"))
+    stamped = told(found.filter("type = 'timestamp'").join(ok, [EV, "sec"], "left"), F.coalesce("_ok", F.lit(False)), F.lit(None).cast("double"),
+                   F.concat(F.lit("no turn, segment or chapter is marked at "), F.col("stamp")))
 
     names = found.filter("name IS NOT NULL").select(EV, F.col("name").alias("cited"))
     who = settled(roster_match(names, roster))
     first = turns.groupBy(EV, F.col("sec").cast("int").alias("sec")).agg(F.min_by("speaker", "seq").alias("_said"))
     at = found.filter("type = 'speaker_at'").join(who.select(EV, F.col("cited").alias("name"), "matched"), [EV, "name"]).join(first, [EV, "sec"])
-    at = at.withColumn("ratio", seq_ratio("_said", "matched")).select(*key, "type", "raw", (F.col("ratio") >= fixed.NAME_RATIO).alias("verified"), "ratio")
-    said = found.filter("type = 'attribution'").join(who.select(EV, F.col("cited").alias("name"), "ratio"), [EV, "name"], "left").select(
-        *key, "type", "raw", F.col("ratio").isNotNull().alias("verified"), "ratio")
+    at = told(at.withColumn("_r", seq_ratio("_said", "matched")), F.col("_r") >= fixed.NAME_RATIO, F.col("_r"),
+              F.concat("name", F.lit(" is cited at "), "stamp", F.lit(", where "), "_said", F.lit(" speaks")), F.col("_said"))
+    said = found.filter("type = 'attribution'").join(who.select(EV, F.col("cited").alias("name"), "matched", F.col("ratio").alias("_r")), [EV, "name"], "left")
+    said = told(said, F.col("_r").isNotNull(), F.col("_r"), F.concat("name", F.lit(" is not a speaker of this event")), F.col("matched"))
 
-    spans = settled(fragments(attributed(found.filter("type = 'quote'"), roster)))
-    hits = matched_windows(spans, windows, [EV]).select(EV, "quote", "ratio")
-    quoted = spans.join(hits, [EV, "quote"], "left").groupBy(*key, F.lit("quote").alias("type"), "raw").agg(
-        F.bool_and(F.coalesce("ratio", F.lit(0.0)) >= fixed.QUOTE_RATIO).alias("verified"),
-        F.when(F.bool_and(F.col("ratio").isNotNull()), F.min("ratio")).alias("ratio")).select(*key, "type", "raw", "verified", "ratio")
-    return stamped.unionByName(at).unionByName(said).unionByName(quoted)
+    spans = settled(quotes_of_speakers(found, roster))
+    return stamped.unionByName(at).unionByName(said).unionByName(of_fragments(verified_fragments(spans, windows)))
 
 
 def grounding_totals(verdicts: DataFrame) -> DataFrame:
@@ -206,12 +288,12 @@ def grounding_totals(verdicts: DataFrame) -> DataFrame:
 
 
 def failure_digest(verdicts: DataFrame, k: int = 5) -> DataFrame:
-    """Banner text per asset that failed: counts and the first ``k`` failures."""
+    """Banner text per asset that failed: counts and the first ``k`` failures with their reasons."""
     n = verdicts.groupBy(EV, "asset_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("verified")).alias("failed"))
     few = top_k(verdicts.filter(~F.col("verified")), [EV, "asset_id"], [F.asc("claim_no"), F.asc("type")], k)
     most = fixed.SHOWN_CLAIM
     text = F.when(F.length("raw") <= most, F.col("raw")).otherwise(F.concat(F.substring("raw", 1, most - 3), F.lit("...")))
-    lines = few.withColumn("_l", F.format_string("> - [%s] %s", F.col("type"), text)).groupBy(EV, "asset_id").agg(
+    lines = few.withColumn("_l", F.format_string("> - [%s] %s: %s", F.col("type"), text, F.coalesce("reason", F.lit("")))).groupBy(EV, "asset_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_l"))), lambda s: s["_l"]), "\n").alias("_lines"))
     more = F.when(F.col("failed") > k, F.format_string("\n> - ...and %d more", F.col("failed") - k)).otherwise("")
     return n.filter("failed > 0").join(lines, [EV, "asset_id"]).select(

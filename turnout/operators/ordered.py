@@ -12,6 +12,7 @@ round that are kept here:
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnout.session import settled
@@ -134,3 +135,16 @@ def batches(df: DataFrame, groups: list[str], order: list[str], size: int) -> Da
     placed = in_order(df, groups, order, position="_pos")
     return placed.select(*df.columns, F.floor(F.col("_pos") / size).cast("bigint").alias("batch_no"),
                          (F.col("_pos") % size).alias("slot"))
+
+
+def by_key(frames, key: list[str]):
+    """Rows of one ``key`` after another from batches that come sorted by it (for ``mapInPandas``)."""
+    held = []
+    for frame in frames:
+        for _, part in frame.groupby(key, sort=False, dropna=False):
+            if held and tuple(held[-1][key].iloc[-1]) != tuple(part[key].iloc[0]):
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)

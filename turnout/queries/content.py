@@ -225,7 +225,14 @@ def verdicts(v):
 
 @query("verified_claims", "TXT4 JN23 JN25 JN26 UDF2")
 def _(v):
-    return verdicts(v).select("event_slug", "asset_id", "claim_no", "type", "verified", F.round("ratio", 6).alias("ratio"))
+    return verdicts(v).select("event_slug", "asset_id", "claim_no", "type", "verified", F.round("ratio", 6).alias("ratio"), "window", "place", "reason")
+
+
+@query("quote_fragments", "TXT4 JN25 UDF2")
+def _(v):
+    spans = G.quotes_of_speakers(G.claims(v("assets")), roster(v))
+    return G.verified_fragments(spans, spoken_windows(v)).select(
+        "event_slug", "asset_id", "claim_no", "fragment_no", "quote", F.round("ratio", 6).alias("ratio"), "window", "place", "verified")
 
 
 @query("verified_stamps", "TXT4", """SELECT asset_id, s AS raw, split_part(s, ':', 1)::INT * 60 + split_part(s, ':', 2)::INT IN (SELECT sec FROM {spoken} t WHERE t.event_slug = c.event_slug) AS verified FROM (
@@ -240,7 +247,7 @@ def _(v):
     long = lines.filter(F.length("text") >= 60)
     q = long.select("event_slug", F.concat(F.substring("text", 1, 20), F.lit("zz "), F.substring("text", F.lit(21), F.length("text"))).alias("quote"))
     w = lines.select("event_slug", "seq", F.lit(1).alias("span"), F.lit("").alias("label"), "text")
-    return G.best_windows(q, w, ["event_slug"]).select("event_slug", "quote", "seq", F.round("ratio", 6).alias("ratio"))
+    return G.closest_windows(q, w, ["event_slug"]).select("event_slug", "quote", "seq", F.round("ratio", 6).alias("ratio"))
 
 
 @query("located_quotes", "JN24 JN25 TXT8")
@@ -258,7 +265,7 @@ def _(v):
 
 @query("failure_digest", "TXT14", """WITH f AS (SELECT *, row_number() OVER (PARTITION BY event_slug, asset_id ORDER BY claim_no, type) AS rn, count(*) OVER (PARTITION BY event_slug, asset_id) AS failed FROM {verdicts} WHERE NOT verified),
 n AS (SELECT event_slug, asset_id, count(*) AS checked FROM {verdicts} GROUP BY 1, 2)
-SELECT f.event_slug, f.asset_id, checked, failed, '> ' || failed || ' of ' || checked || ' claims did not verify' || chr(10) || string_agg('> - [' || type || '] ' || raw, chr(10) ORDER BY rn) ||
+SELECT f.event_slug, f.asset_id, checked, failed, '> ' || failed || ' of ' || checked || ' claims did not verify' || chr(10) || string_agg('> - [' || type || '] ' || raw || ': ' || reason, chr(10) ORDER BY rn) ||
   CASE WHEN failed > 5 THEN chr(10) || '> - ...and ' || (failed - 5) || ' more' ELSE '' END AS banner FROM f JOIN n USING (event_slug, asset_id) WHERE rn <= 5 GROUP BY 1, 2, 3, 4""")
 def _(v):
     return G.failure_digest(v("verdicts"))

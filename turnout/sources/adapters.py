@@ -218,7 +218,8 @@ SELECT 'ev' || CAST(doc_id % 4 AS STRING) AS event_slug, doc_id AS asset_id,
 FROM {documents}""",
     "verdicts": """
 SELECT event_slug, purpose AS asset_id, call_id * 100 + seconds AS claim_no, model AS type,
-       model || ' in call ' || CAST(call_id AS STRING) || ' after ' || CAST(seconds AS STRING) || ' s' AS raw, ok AS verified
+       model || ' in call ' || CAST(call_id AS STRING) || ' after ' || CAST(seconds AS STRING) || ' s' AS raw, ok AS verified,
+       CASE WHEN NOT ok THEN 'no answer within ' || CAST(seconds AS STRING) || ' s' END AS reason
 FROM {call_log}""",
     "moments": """
 SELECT event_id AS moment_id, 'ev' || CAST(user_id % 4 AS STRING) AS event_slug,
