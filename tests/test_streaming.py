@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from turnout.streaming import jobs as J
+from turnout.streaming import jobs as J, release as R
 
 T0 = datetime(2026, 1, 1, 12, 0, 0)
 
@@ -67,3 +67,37 @@ def test_refresh_replaces_the_reports(spark, tmp_path):
     spark.createDataFrame([("e", 5)], schema).coalesce(1).write.mode("append").parquet(path)
     J.refresh(stream, out, analyse, ["total"])
     assert [r["n"] for r in spark.read.parquet(f"{out}/total").collect()] == [6]
+
+
+def test_runs_are_released_by_count_or_by_time(spark, tmp_path):
+    """Doubled, early, late and missing answers, over several batches and a restart in between."""
+    asks, says = str(tmp_path / "asks"), str(tmp_path / "says")
+    ask_schema = "run_id string, company_id string, asked_at timestamp, n_asked int"
+    say_schema = "run_id string, company_id string, answered_at timestamp, payload string"
+    minute = lambda n: T0 + timedelta(minutes=n)
+
+    def add(path, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+    out, seen = str(tmp_path / "released"), []
+
+    def turn():
+        streams = [J.file_stream(spark, p, spark.read.schema(s).parquet(p).schema) for p, s in ((asks, ask_schema), (says, say_schema))]
+        seen.append({x.run_id: (x.n_asked, x.answered, x.complete, x.released_at) for x in J.settle(R.released_runs(*streams), path=out).collect()})
+
+    add(asks, [("full", "a", T0, 2), ("full", "b", T0, 2), ("half", "a", T0, 2), ("half", "b", T0, 2), ("none", "a", T0, 1)], ask_schema)
+    add(says, [("full", "a", minute(1), "A1"), ("full", "a", minute(2), "A2"), ("half", "a", minute(3), "H"), ("early", "x", minute(4), "E"), ("half", "b", minute(11), "too late")], say_schema)
+    turn()
+    assert seen[-1] == {}  # no run has all answers, no time is up
+    add(asks, [("early", "x", minute(4), 1)], ask_schema)
+    add(says, [("full", "b", minute(5), "B")], say_schema)
+    turn()
+    # complete ones do not wait for their time, and an answer that came before its request counts
+    assert seen[-1] == {"full": (2, 2, True, minute(5)), "early": (1, 1, True, minute(4))}
+    add(asks, [("end", "z", minute(300), 1)], ask_schema)
+    add(says, [("full", "a", minute(300), "again"), ("end", "other", minute(300), "")], say_schema)
+    turn()
+    assert seen[-1] == {"full": (2, 2, True, minute(5)), "early": (1, 1, True, minute(4)), "half": (2, 1, False, minute(10)), "none": (1, 0, False, minute(10))}
+    released = spark.read.parquet(out)
+    got = {(x.run_id, x.company_id): x.payload for x in R.answers_at_release(released, spark.read.parquet(asks), spark.read.parquet(says)).collect()}
+    assert got == {("full", "a"): "A2", ("full", "b"): "B", ("half", "a"): "H", ("half", "b"): None, ("none", "a"): None, ("early", "x"): "E"}

@@ -9,7 +9,7 @@ from turnout.queries.content import CUES
 from turnout.queries.registry import query
 from turnout.session import scratch
 from turnout.sources import readers as R, sinks as S
-from turnout.streaming import jobs as J
+from turnout.streaming import jobs as J, release
 
 
 # --- scans and sinks --------------------------------------------------------------------
@@ -236,3 +236,25 @@ def _(v):
     closes.write.parquet(path)
     stream = J.file_stream(v.spark, path, closes.schema)
     return J.settle(J.sla(result_stream(v).filter("status = 'sent'"), stream)).groupBy("event_slug", "row_idx").agg(F.count(F.lit(1)).alias("closes"))
+
+
+BEGUN = "1995-01-01 00:00:00"
+
+
+@query("stream_releases", "STM6", """WITH r AS (SELECT o_custkey AS run_id, o_orderkey AS company_id, o_custkey % 97 AS h FROM {orders}),
+a AS (SELECT l_orderkey AS company_id, min(l_suppkey % 13) AS m FROM {lineitem} WHERE l_suppkey % 13 <= 10 GROUP BY 1),
+g AS (SELECT run_id, any_value(h) AS h, count(*) AS n_asked, count(m) AS answered, max(m) AS last FROM r LEFT JOIN a USING (company_id) GROUP BY 1)
+SELECT run_id::VARCHAR AS run_id, n_asked, answered, n_asked = answered AS complete,
+  strftime(TIMESTAMP '1995-01-01 00:00:00' + to_minutes((h * 60 + CASE WHEN n_asked = answered THEN last ELSE 10 END)::INT), '%Y-%m-%d %H:%M') AS released_at
+FROM g WHERE n_asked = answered OR h < 96""")
+def _(v):
+    # a customer's orders are asked for in one run; each line answers some minutes later, from the eleventh on too late
+    asked_at = (F.lit(BEGUN).cast("timestamp") + F.make_dt_interval(hours=(F.col("run_id") % 97).cast("int"))).alias("asked_at")
+    sizes = v("orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.count(F.lit(1)).alias("n_asked"))
+    asks = table_stream(v, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("company_id")).join(sizes, "run_id").select(
+        "run_id", "company_id", asked_at, "n_asked")
+    who = v("orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("company_id"))
+    says = table_stream(v, "lineitem").withColumnRenamed("l_orderkey", "company_id").join(who, "company_id").select(
+        "run_id", "company_id", asked_at, F.make_dt_interval(mins=(F.col("l_suppkey") % 13).cast("int")).alias("_m")).select(
+        "run_id", "company_id", (F.col("asked_at") + F.col("_m")).alias("answered_at"))
+    return J.settle(release.released_runs(asks, says)).withColumn("released_at", F.date_format("released_at", "yyyy-MM-dd HH:mm"))
