@@ -6,7 +6,9 @@ from turnout.functions import contact as C
 from turnout.operators import enrich as N, quality as Q, resolve as R, speakers as S
 from turnout.queries.registry import query
 from turnout.queries.rows import PREP, named
-from turnout.plans.enrichment import enrich
+from turnout.plans.enrichment import enrich, enrich_event
+from turnout.session import scratch
+from turnout.sources.versions import Snapshots
 
 
 @query("name_primaries", "WIN1 JN1", f"""WITH {PREP} SELECT event_slug, lower(firstname) AS block_first, lower(lastname) AS block_last, row_idx AS primary_idx FROM (
@@ -89,6 +91,39 @@ def _(v):
     return R.crm_state(v("crm"), out)
 
 
+@query("crm_versions", "JN30", """WITH s1 AS (SELECT vid, email, firstname, jobtitle FROM {crm}),
+u AS (SELECT id + 100000 AS vid, upper(firstname) AS firstname, jobtitle FROM {contacts} WHERE id % 3 = 0),
+s2 AS (SELECT s1.vid, email, coalesce(nullif(u.firstname, ''), s1.firstname) AS firstname, coalesce(nullif(u.jobtitle, ''), s1.jobtitle) AS jobtitle FROM s1 LEFT JOIN u USING (vid)
+  UNION ALL SELECT (SELECT max(vid) FROM s1) + row_number() OVER (ORDER BY email), email, firstname, jobtitle FROM (SELECT 'new.' || email AS email, min(firstname) AS firstname, min(jobtitle) AS jobtitle FROM {contacts} WHERE id % 7 = 0 GROUP BY 1))
+SELECT 1 AS version, * FROM s1 UNION ALL SELECT 2, * FROM s2 UNION ALL SELECT 3, * FROM s2""")
+def _(v):
+    store = Snapshots(v.spark, scratch(v.spark, "crm"))
+    store.commit("seed", v("crm").select("vid", "event_slug", *R.STATE))
+    known = v("contacts").filter("id % 3 = 0").select(F.lit("e2").alias("event_slug"), F.lit("").alias("email"), F.upper("firstname").alias("firstname"), F.lit("").alias("lastname"),
+                                                      "jobtitle", F.lit("").alias("company"), F.lit("").alias("lifecyclestage"),
+                                                      F.concat(F.lit("update_existing:"), (F.col("id") + 100000).cast("string")).alias("merge_action"))
+    new = v("contacts").filter("id % 7 = 0").groupBy(F.concat(F.lit("new."), F.col("email")).alias("email")).agg(
+        F.min("firstname").alias("firstname"), F.min("jobtitle").alias("jobtitle")).select(
+        F.lit("e2").alias("event_slug"), "email", "firstname", F.lit("").alias("lastname"), "jobtitle", F.lit("").alias("company"), F.lit("").alias("lifecyclestage"),
+        F.lit("create_new").alias("merge_action"))
+    for _ in range(2):  # the run is repeated; both of its snapshots can be read and hold the same
+        store.commit("e2", R.merged_state(store.before("e2"), known.unionByName(new)))
+    states = [store.read(n).select(F.lit(n).alias("version"), "vid", "email", "firstname", "jobtitle") for n in (1, 2, 3)]
+    return states[0].unionByName(states[1]).unionByName(states[2])
+
+
+@query("second_event", "JN30")
+def _(v):
+    """Event 1 runs against the CRM, then a third of its people come again, written otherwise, and some strangers."""
+    store = Snapshots(v.spark, scratch(v.spark, "crm"))
+    store.commit("seed", v("crm").filter("event_slug <> 'ev0'").select("vid", "event_slug", *R.STATE))
+    first = v("registrants").filter("event_slug = 'ev0'")
+    enrich_event(store, "ev0", first, C.Rules())
+    again = first.filter("row_idx % 3 = 0").withColumns({"event_slug": F.lit("second"), "email": F.upper("email"), "first_name": F.upper("first_name")})
+    out = enrich_event(store, "second", again, C.Rules())["contacts"]
+    return out.select("email", F.split_part("merge_action", F.lit(":"), F.lit(1)).alias("action"))
+
+
 PAIRED = """s AS (SELECT event_slug, speaker_no, lower(email) AS mail, lower(split_part(name, ' ', 1) || '.' || split_part(name, ' ', 2)) AS want FROM {speakers}),
 b AS (SELECT event_slug, inbox_no, lower(email) AS inbox, split_part(lower(email), '@', 1) AS local FROM {speaker_inboxes}),
 hits AS (SELECT s.event_slug, speaker_no, inbox, inbox_no, 1 AS rule FROM s JOIN b ON s.event_slug = b.event_slug AND s.mail = b.inbox

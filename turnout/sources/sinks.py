@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnout.functions import fixed, text as T
+from turnout.sources.versions import Log
 
 # Exported columns of the CRM views.
 CONTACT_COLUMNS = (
@@ -40,8 +41,9 @@ def write_ordered_text(blocks: DataFrame, path: str, key: str, number: str) -> N
            .write.mode("overwrite").partitionBy(key).text(path))
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_log(rows: DataFrame, path: str, part: str | int) -> None:
+    """Add ``rows`` to a log as its ``part``; a repeated job or batch replaces what it wrote before."""
+    Log(rows.sparkSession, path).append(part, rows)
 
 
 def manifest(spark: SparkSession, folder: str, verdicts: DataFrame) -> DataFrame:
