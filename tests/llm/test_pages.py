@@ -29,6 +29,62 @@ def test_awkward_sources():
         pages.parsed(source)
 
 
+def test_words_of_classes_are_evidence_only():
+    body = "<p>The whole article stands here.</p>"
+    for wrapper in ("social-post", "notice-of-meeting", "share-price-report", "widget", "social", "related"):
+        assert text(f"<body><div class='{wrapper}'>{body}</div></body>") == "The whole article stands here."
+    inside = "<article><p>one</p>{}<p>two and some more words</p></article>"
+    for kept in ("<p class='share-price'>9</p>", "<p id='notice-of-meeting'>9</p>", "<h2 class='skip-lunch'>9</h2>", "<p class='related'>9</p>",
+                 "<fieldset>9</fieldset>", "<label>9</label>", "<div class='social-post'>9</div>"):
+        assert text(inside.format(kept)) == "one 9 two and some more words"
+    for gone in ("<div class='ad-slot'>9</div>", "<div class='ad-300x250'>9</div>", "<section class='post-comments'>9</section>", "<div id='comments-area'>9</div>",
+                 "<ul class='social-links'><li>9</ul>", "<div class='related-posts'>9</div>", "<form><fieldset><label>9</label></fieldset></form>", "<p class='ad'>9</p>",
+                 "<div class='cookie-notice'>9</div>", "<div class='share'>9</div>"):
+        assert text(inside.format(gone)) == "one two and some more words"
+    comments = "<div class='comments'>" + "<p>a reader's word</p>" * 10 + "</div>"
+    assert text(f"<body><div class='story'><p>{'A story of many words. ' * 5}</p></div>{comments}</body>") == ("A story of many words. " * 5).strip()
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+    for source in ("<div>" * 100_000 + "deep" + "</div>" * 100_000, "<section>" * 10_000 + "</span>" * 100_000 + "deep", "<div>" * 50_000 + "</b></p></main>" * 30_000 + "deep"):
+        start = time.time()
+        page = pages.parsed(source)
+        assert sum(map(len, {c.path for c in page.containers})) < 10_000_000 and text(source) == "deep"
+        pages.votes(page)
+        assert time.time() - start < 10
+
+
+def plain_winner(sources):
+    """A host's path by loops over its pages: most votes, then the nearest around it that is complete on half of its pages."""
+    total, seen, full = {}, {}, {}
+    for source in sources:
+        for path, (n, whole) in pages.votes(pages.parsed(source)).items():
+            total[path] = total.get(path, 0) + n
+            seen[path] = seen.get(path, 0) + 1
+            full[path] = full.get(path, 0) + whole
+    best = min(total, key=lambda p: (-total[p], p))
+    around = [p for p in total if (p == best or best.startswith(p + "/")) and 2 * full[p] >= seen[best]]
+    return max(around, key=lambda p: (len(p), p), default=best)
+
+
+def test_votes_equal_a_plain_count(spark):
+    import random
+    own = random.Random(3)
+    words = lambda n: " ".join(own.choice("some more words of a text".split()) for _ in range(n))
+    rows = []
+    for h in range(12):
+        names = [own.choice(["story", "post", "lead", "box", "text", "inner"]) for _ in range(4)]
+        for n in range(own.randrange(1, 9)):
+            parts = "".join(f"<div class='{c}'>{'<section>' * (k % 2)}<p>{words(own.randrange(40))}</p>{'</section>' * (k % 2)}</div>" for k, c in enumerate(names))
+            rows.append((100 * h + n, f"http://h{h}.example.com/{n}", f"<body><div class='all'>{parts}</div><div class='{own.choice(names)}'>{words(9)}</div></body>"))
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {f"h{h}.example.com": plain_winner([r[2] for r in rows if r[0] // 100 == h]) for h in range(12)}
+    assert {r["host"]: r["path"] for r in pages.winning(pages.path_votes(table)).collect()} == want
+    got = {r["page_id"]: r["text"] for r in pages.main_text(table).collect()}
+    assert got == {i: text(source, want[url.split("/")[2]]) for i, url, source in rows}
+
+
 def test_host_consensus(spark):
     good = "<html><body><div class='wrap'><div class='story story-{n}'><p>{text}</p></div></div><div class='box'><p>{other}</p></div></body></html>"
     rows = [(n, f"http://a.example.com/{n}", good.format(n=n, text="long story words " * 30, other="short"), "x") for n in range(8)]

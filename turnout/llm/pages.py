@@ -5,8 +5,12 @@ tag-and-class paths, per host in Spark.  From the winning path its host goes up
 that holds nearly all text on half of the pages, as an article may lie in several parts, but not
 beyond an article or main.  Then every page is extracted again with that path.  A page without an element of that path, or with none that has text, uses its own best one.
 
+Words in classes and ids are evidence, not a verdict.  A compound name counts by its last word, or if all its other words
+only say what kind of box it is: post-comments and ad-slot are marked, share-price and social-post are not.  Headings and
+paragraphs go only as adverts.  Where marked elements hold nearly all text of a page, words count nothing there.
+
 Null or empty html gives empty text; a null url's pages vote together under an empty host.  Long
-pages are handled whole and in linear time.  Repeated rows give repeated results, an empty table
+pages are handled whole and in linear time; containers more than ``DEPTH`` deep count as part of the one there.  Repeated rows give repeated results, an empty table
 an empty one, other columns are ignored.  Equal votes go to the first path in order.
 """
 
@@ -37,7 +41,7 @@ CONTAINERS = frozenset("body div section article main td center details blockquo
 #: Elements that never hold the article's text.
 LEFT_OUT = frozenset(
     "head nav footer aside form script style noscript template svg math canvas object audio video iframe button select "
-    "option textarea dialog menu title input label fieldset".split())
+    "option textarea dialog menu title input".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: Words of a class or id that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
 MARKS = frozenset(
@@ -46,10 +50,21 @@ MARKS = frozenset(
     "gdpr popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended "
     "recommendations comment comments commentlist disqus reply replies respond discussion widget widgets toolbar "
     "pagination pager skip".split())
+#: Words of a class that only say what kind of box it is.
+BOXES = frozenset(
+    "area author bar block body bottom box btn bubble button buttons col column container content floating footer form grid header "
+    "heading holder icon icons inline inner item items label large left link links list main meta mobile articles posts stories news "
+    "options outer panel popup posts region right row rows section slot small space sticky tags text thread title top unit "
+    "units wrap wrapper zone".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6".split())
 NOT_MARKED = frozenset("html body main article".split())
 HAS = ("has-", "with-", "no-")
 SEMANTIC = {"article": 1.0, "main": 0.8}
 ROLL_UP = 0.5
+#: Containers of a path, at most; and the share of a page's text below which what words leave is no article.
+DEPTH = 256
+REMAINS = 0.1
 VOTE = 1000
 #: The share of an article's or, without one, a page's text that a path holds to be its whole.
 NEARLY = 0.95
@@ -71,16 +86,27 @@ def attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if "=" in rest or "hidden" in rest else {}
 
 
-def marked(name: str, has: dict[str, str], in_article: bool) -> bool:
-    """Whether an element and what it holds is no part of the article."""
+def left_out(name: str, has: dict[str, str], in_article: bool) -> bool:
+    """Whether its kind, role or style makes an element, and what it holds, no part of the article."""
     if name in LEFT_OUT or name == "header" and not in_article:
         return True
+    return name not in NOT_MARKED and bool(has) and (
+        "hidden" in has or has.get("role", "").lower() in OTHER_ROLES or "display:none" in has.get("style", "").replace(" ", "").lower())
+
+
+def worded(name: str, has: dict[str, str], in_article: bool) -> bool:
+    """Whether words in its class or id say so."""
     if not has or name in NOT_MARKED:
         return False
-    if "hidden" in has or has.get("role", "").lower() in OTHER_ROLES or "display:none" in has.get("style", "").replace(" ", "").lower():
-        return True
     words = [w for w in f"{has.get('class', '')} {has.get('id', '')}".lower().split() if not w.startswith(HAS)]
-    return any(part in MARKS or part == "header" and not in_article for w in words for part in re.split(r"[-_]+", w))
+    if name in TEXTUAL:
+        return any(w in ADVERTS for w in words)
+    for word in words:
+        parts = [p for p in re.split(r"[-_]+|[0-9]+(?:x[0-9]+)?", word) if p]
+        hit = [p in MARKS or p == "header" and not in_article for p in parts]
+        if any(hit) and (hit[-1] or all(h or p in BOXES for h, p in zip(hit, parts))):
+            return True
+    return False
 
 
 def step(name: str, has: dict[str, str]) -> str:
@@ -92,16 +118,29 @@ def step(name: str, has: dict[str, str]) -> str:
 
 
 def parsed(source: str) -> Page:
-    containers, pieces = [Container(-1, "", "")], []
-    #: open elements that matter: name, container that was current before, dropped
-    stack: list[tuple[str, int, bool]] = []
+    """The page without what is left out by kind, and without what words mark unless that is nearly all of it."""
+    page, lost = _parsed(source, True)
+    kept = sum(len(text) for _, text, link in page.pieces if text != " " and not link) if lost else 0
+    return _parsed(source, False)[0] if kept < REMAINS * (kept + lost) else page
+
+
+def _parsed(source: str, words: bool) -> tuple[Page, int]:
+    """The page, and how much text outside links was dropped for words alone."""
+    containers, pieces, paths = [Container(-1, "", "")], [], {}
+    depths = [0]
+    opened: dict[str, int] = {}
+    lost = by_words = 0
+    #: open elements that matter: name, container that was current before, dropped (2 for words alone)
+    stack: list[tuple[str, int, int]] = []
     now, dropped, links, articles, done, size = 0, 0, 0, 0, 0, len(source)
 
     def close(n: int) -> None:
-        nonlocal now, dropped, articles
+        nonlocal now, dropped, articles, by_words
         while len(stack) > n:
             name, before, drop = stack.pop()
-            now, dropped, articles = before, dropped - drop, articles - (name in SEMANTIC and not drop)
+            opened[name] -= 1
+            now, dropped, articles = before, dropped - (drop > 0), articles - (name in SEMANTIC and not drop)
+            by_words -= drop == 2
 
     while done < size:
         tag = TAG.search(source, done)
@@ -109,6 +148,8 @@ def parsed(source: str) -> Page:
         if end > done and not dropped:
             text = source[done:end]
             pieces.append((now, markup.unescape(text) if "&" in text else text, links > 0))
+        elif end > done and by_words == dropped and not links:
+            lost += len(source[done:end].strip())
         if not tag:
             break
         done = tag.end()
@@ -121,10 +162,11 @@ def parsed(source: str) -> Page:
         if tag["end"] or tag["end2"]:
             if name == "a":
                 links = 0
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == name:
-                    close(n)
-                    break
+            if opened.get(name):
+                n = len(stack) - 1
+                while stack[n][0] != name:
+                    n -= 1
+                close(n)
             continue
         if name == "a" and not rest.endswith("/"):
             links = 1
@@ -137,18 +179,23 @@ def parsed(source: str) -> Page:
         if name not in INLINE and stack and stack[-1][0] in ("p", "li", "td", "option") and (stack[-1][0] in ("p", "option") or stack[-1][0] == name):
             close(len(stack) - 1)
         has = attributes(rest)
-        drop = marked(name, has, articles > 0)
+        drop = 1 if left_out(name, has, articles > 0) else 2 if words and worded(name, has, articles > 0) else 0
         if rest.endswith("/") and name not in CONTAINERS:
             continue
         if drop or name in CONTAINERS or dropped and name not in INLINE:
             stack.append((name, now, drop))
+            opened[name] = opened.get(name, 0) + 1
             if drop:
                 dropped += 1
-            elif not dropped and name in CONTAINERS:
-                containers.append(Container(now, name, containers[now].path + "/" + step(name, has)))
+                by_words += drop == 2
+            elif not dropped and name in CONTAINERS and depths[now] < DEPTH:
+                key = containers[now].path, step(name, has)
+                path = paths.get(key) or paths.setdefault(key, "/".join(key))
+                containers.append(Container(now, name, path))
+                depths.append(depths[now] + 1)
                 now = len(containers) - 1
             articles += name in SEMANTIC and not drop
-    return Page(containers, pieces)
+    return Page(containers, pieces), lost
 
 
 def scores(page: Page) -> list[float]:
