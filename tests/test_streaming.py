@@ -1,6 +1,8 @@
+import random
 from datetime import datetime, timedelta
 
-from turnout.streaming import jobs as J, release as R
+from turnout.plans.analytics import analyse
+from turnout.streaming import analysis as A, jobs as J, release as R
 
 T0 = datetime(2026, 1, 1, 12, 0, 0)
 
@@ -101,3 +103,32 @@ def test_runs_are_released_by_count_or_by_time(spark, tmp_path):
     released = spark.read.parquet(out)
     got = {(x.run_id, x.company_id): x.payload for x in R.answers_at_release(released, spark.read.parquet(asks), spark.read.parquet(says)).collect()}
     assert got == {("full", "a"): "A2", ("full", "b"): "B", ("half", "a"): "H", ("half", "b"): None, ("none", "a"): None, ("early", "x"): "E"}
+
+
+def test_analysis_by_batches_equals_the_analysis_of_all_rows(spark, tmp_path, monkeypatch):
+    """After every batch each report is what a run over all rows so far gives; a replayed batch and folded parts change nothing."""
+    monkeypatch.setattr(A, "FOLD", 2)
+    own = random.Random(7)
+    people = spark.createDataFrame([(e, f"p{i}@acme{i % 3}.com", "P", str(i), f"Acme {i % 3}", "lead", "attended" if i % 2 else "no_show") for e in "ab" for i in range(8)],
+                                   "event_slug string, email string, firstname string, lastname string, company string, lifecyclestage string, attendance_status string")
+    event_rows, change_rows = "event_id long, event_slug string, email string, type string, ts timestamp, asset string, source string", "row_idx long, event_slug string, email string, raw_stage string, ts timestamp, source string"
+    mails = spark.createDataFrame([("a", T0)], "event_slug string, ts timestamp")
+    paths = [str(tmp_path / n) for n in ("events", "changes")]
+    kept, seen, changed = A.Analysis(spark, str(tmp_path / "kept")), [], []
+    for turn in range(4):
+        at = lambda: T0 + timedelta(days=20 * turn + own.randrange(-3, 20), minutes=own.randrange(999))
+        new = [(1000 * turn + n, own.choice("ab"), f"p{own.choice([0, 0, 0, 1, 2, 5])}@acme{own.randrange(3)}.com", own.choice(["open", "click", "form_fill", "odd"]), at(), "x", "s") for n in range(60)]
+        moves = [(100 * turn + n, own.choice("ab"), f"p{own.randrange(4)}@acme{own.randrange(3)}.com", own.choice(["lead", "subscriber", "", "opportunity"]), at(), own.choice(["seeded", "crm_history"])) for n in range(12)]
+        seen, changed = seen + new, changed + moves
+        for path, rows, schema in ((paths[0], new, event_rows), (paths[1], moves, change_rows)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        kept.refresh(*[J.file_stream(spark, p, spark.createDataFrame([], s).schema, maxFilesPerTrigger=1) for p, s in zip(paths, (event_rows, change_rows))])
+        if turn == 3:
+            kept.add(spark.createDataFrame(new, event_rows), turn, A.OF_ENGAGEMENT)
+        if turn in (0, 3):
+            got = kept.reports(people, mails)
+            want = analyse(people, spark.createDataFrame(seen, event_rows), spark.createDataFrame(changed, change_rows), mails)
+            for name, df in want.items():
+                assert sorted(map(str, got[name].select(*df.columns).collect())) == sorted(map(str, df.collect())), (turn, name)
+    assert [m["upto"] for m in kept.log("totals").parts() if "upto" in m] == [3] and len(kept.log("totals").parts()) == 1
+    assert kept.log("recent").read().count() < len(changed)  # what no window can hold any more is gone

@@ -16,19 +16,25 @@ def analyse(contacts: DataFrame, engagement: DataFrame, lifecycle: DataFrame, ma
     ``contacts``: event_slug, email, firstname, lastname, company, lifecyclestage,
     attendance_status.  One materialised metrics table feeds all reports.
     """
-    totals = E.counters(engagement)
     log = settled(M.changes(lifecycle))
+    return analyse_from(contacts, E.counters(engagement), log, log, M.timeline(log), engagement, M.as_of(log, engagement, mails), mails)
+
+
+def analyse_from(contacts: DataFrame, totals: DataFrame, recent: DataFrame, moved: DataFrame, timeline: DataFrame, first: DataFrame,
+                 now: DataFrame, mails: DataFrame) -> dict[str, DataFrame]:
+    """The reports from what can be kept up to date: counters per contact (``totals``), the changes of the longest
+    window (``recent``), contacts with any change (``moved``), changes by day, each contact's ``first`` events and the
+    newest moment of each event (``now``)."""
     metrics = settled(E.contact_metrics(contacts, totals))
     accounts = settled(E.accounts(metrics))
-    now = M.as_of(log, engagement, mails)
-    committees, anomalies = E.committees(accounts), settled(E.anomalies(metrics, log))
-    funnel, windows = E.funnel(metrics), M.windows(log, now)
+    committees, anomalies = E.committees(accounts), settled(E.anomalies(metrics, moved))
+    funnel, windows = E.funnel(metrics), M.windows(recent, now)
     return {
         "metrics": metrics, "accounts": accounts, "top_accounts": E.top_accounts(accounts), "committees": committees,
         "account_contacts": E.account_contacts(metrics), "top_contacts": E.top_contacts(metrics),
         "interest": E.interest_scores(metrics), "fence": E.fence(metrics), "anomalies": anomalies,
-        "evidence": E.evidence(anomalies, engagement), "funnel": funnel, "funnel_steps": E.funnel_steps(funnel),
-        "movement": windows, "breakdown": M.breakdown(log, now), "disclosure": M.disclosure(log, now), "timeline": M.timeline(log),
+        "evidence": E.evidence(anomalies, first), "funnel": funnel, "funnel_steps": E.funnel_steps(funnel),
+        "movement": windows, "breakdown": M.breakdown(recent, now), "disclosure": M.disclosure(recent, now), "timeline": timeline,
         "kpis": P.kpis(funnel, accounts, committees, anomalies, mails, windows),
     }
 

@@ -54,11 +54,15 @@ hits AS (SELECT c.*, w.days, a.as_of FROM changes c JOIN newest a USING (event_s
   WHERE c.ts <= a.as_of AND c.ts >= a.as_of - to_days(w.days::INTEGER))"""
 
 
-def metrics(v, engagement=None):
+def attending(v):
+    """Contacts with their stage and whether they came."""
     stages = v("latest_stage").select(F.col("contact_id").alias("id"), F.col("stage").alias("lifecyclestage"))
-    people = v("contacts").join(stages, "id", "left").withColumn(
+    return v("contacts").join(stages, "id", "left").withColumn(
         "attendance_status", F.when(F.col("attended") == "Yes", "attended").otherwise("no_show"))
-    return E.contact_metrics(people, E.counters(v("engagement") if engagement is None else engagement))
+
+
+def metrics(v):
+    return E.contact_metrics(attending(v), E.counters(v("engagement")))
 
 
 def now(v):

@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from turnout.functions import fixed
 from turnout.operators import engagement as E, enrich as N, reports as P, transcript as X
-from turnout.queries.analytics import ACCOUNTS, CHANGES, COUNTERS, metrics
+from turnout.queries.analytics import ACCOUNTS, CHANGES, COUNTERS, attending
 from turnout.queries.content import CUES
-from turnout.queries.registry import query
+from turnout.queries.registry import QUERIES, query
 from turnout.session import scratch
 from turnout.sources import readers as R, sinks as S
 from turnout.sources.versions import Log
 from turnout.streaming import jobs as J, release
+from turnout.streaming.analysis import Analysis
 
 
 # --- scans and sinks --------------------------------------------------------------------
@@ -171,15 +172,28 @@ def _(v):
     return done.withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
 
 
+def kept_up_to_date(v, files=3):
+    """The reports after three batches of each stream, from what the batches added."""
+    streams = []
+    for name in ("engagement", "lifecycle"):
+        path = scratch(v.spark, name)
+        v(name).repartition(files).write.parquet(path)
+        streams.append(J.file_stream(v.spark, path, v.spark.read.parquet(path).schema, maxFilesPerTrigger=1))
+    kept = Analysis(v.spark, scratch(v.spark, "analysis"))
+    kept.refresh(*streams)
+    return kept.reports(attending(v), v("mail_touches"))
+
+
 @query("stream_analysis", "STM9", f"""WITH {ACCOUNTS} SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY event_slug ORDER BY score DESC, company, domain) AS rank FROM accounts) WHERE rank <= 10""")
 def _(v):
-    folder = scratch(v.spark, "analysis")
+    return kept_up_to_date(v)["top_accounts"]
 
-    def analyse(rows):
-        return {"top_accounts": E.top_accounts(E.accounts(metrics(v, rows)))}
-    J.refresh(event_stream(v), folder, analyse, ["top_accounts"])
-    return v.spark.read.parquet(f"{folder}/top_accounts")
+
+@query("stream_windows", "STM9 AGG20", QUERIES["movement_windows"].sql)
+def _(v):
+    f = "yyyy-MM-dd HH:mm:ss"
+    return kept_up_to_date(v)["movement"].withColumns({c: F.date_format(c, f) for c in ("window_start", "window_end")})
 
 
 @query("stream_seed_labels", "STM8", f"""WITH {CHANGES}, r AS (SELECT event_slug, min(ts) AS cut FROM {{engagement}} GROUP BY 1)
