@@ -78,13 +78,25 @@ def attributions_in(text: str, where: _Sections):
                 yield "attribution", m.group(1).strip(), None, m.group(1).strip(), None, None, None
 
 
+def found_in(text: str | None) -> list[tuple]:
+    """All claims of a text, by kind and in text order."""
+    where = _Sections(text or "")
+    return [*stamps_in(text or ""), *quotes_in(text or "", where), *attributions_in(text or "", where)]
+
+
 @F.pandas_udf(ArrayType(CLAIM))
 def claims_in(text: pd.Series) -> pd.Series:
-    def one(t):
-        where = _Sections(t)
-        return [*stamps_in(t), *quotes_in(t, where), *attributions_in(t, where)]
     names = [f.name for f in CLAIM.fields]
-    return pd.Series([[dict(zip(names, c)) for c in one(t or "")] for t in text])
+    return pd.Series([[dict(zip(names, c)) for c in found_in(t)] for t in text])
+
+
+@F.udtf(returnType="claim_no int, type string, raw string, stamp string, name string, context string, before string, after string", useArrow=True)
+class ClaimsOf:
+    """Table function: a row for each claim of a text, to be called with LATERAL."""
+
+    def eval(self, text: str):
+        for number, claim in enumerate(found_in(text)):
+            yield (number, *claim)
 
 
 @F.pandas_udf(ArrayType(StringType()))

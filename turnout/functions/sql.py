@@ -1,9 +1,11 @@
-"""The convenience rules as SQL functions of a session (native expressions, no UDF)."""
+"""The convenience rules as SQL functions of a session (native expressions), and claims as a table function."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from turnout.functions.claims import ClaimsOf
+
 _KEYS = "array('utm_source', 'utm_medium', 'utm_campaign', 'utm_content')"
 _PAIRS = ("transform(filter(split(regexp_extract(split_part(url, '#', 1), r'^[^?]*[?](.*)$', 1), '&'), p -> p rlike '^[^=]*=.+$'), "
           "p -> named_struct('k', url_decode(regexp_extract(p, '^([^=]*)=', 1)), 'v', url_decode(regexp_extract(p, '^[^=]*=(.*)$', 1))))")
@@ -21,7 +23,8 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> None:
-    """Make norm_name, company_key, is_filled and with_utm callable from spark.sql."""
+    """Make norm_name, company_key, is_filled, with_utm and the table function claims_of callable from spark.sql."""
     for signature, body in FUNCTIONS.items():
         returns = "BOOLEAN" if signature.startswith("is_") else "STRING"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {returns} RETURN {body}")
+    spark.udtf.register("claims_of", ClaimsOf)

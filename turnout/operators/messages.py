@@ -64,13 +64,25 @@ def attendance_snapshot(enriched: DataFrame, k: int = 5) -> DataFrame:
         F.coalesce("top_accounts", F.lit("n/a")).alias("top_accounts"))
 
 
-def with_fallback(enriched: DataFrame, registrants: DataFrame) -> DataFrame:
-    """Enriched rows, and for events that have none the registrants in their stead."""
-    shaped = registrants.select(
-        EV, F.col("row_idx"), F.when(F.lower(F.trim("attended")).isin("yes", "true", "attended", "1"), "attended").otherwise("no_show").alias("attendance_status"),
-        "minutes", "company")
-    missing = shaped.join(enriched.select(EV).distinct(), EV, "left_anti")
-    return enriched.select(EV, "row_idx", "attendance_status", "minutes", "company").unionByName(missing)
+def with_fallback(enriched: DataFrame, registrants: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """Enriched rows, and for events that have none what else is known.
+
+    That is the event's segment lists where there are any (``segments``: event_slug, no, email, segment, 'attendee' or
+    'no_show'), with minutes and company of each address's last registration, or else the registrants themselves.
+    """
+    came = F.when(F.lower(F.trim("attended")).isin("yes", "true", "attended", "1"), "attended").otherwise("no_show")
+    cols = [EV, "row_idx", "attendance_status", "minutes", "company"]
+    have = enriched.select(EV).distinct()
+    out = enriched.select(*cols)
+    if segments is not None:
+        lists = segments.join(have, EV, "left_anti").filter(F.col("segment").isin("attendee", "no_show"))
+        last = registrants.groupBy(EV, C.email_key(F.col("email")).alias("email")).agg(F.max_by(F.struct("minutes", "company"), "row_idx").alias("r"))
+        told = lists.withColumn("email", F.lower("email")).join(last, [EV, "email"], "left").select(
+            EV, F.col("no").alias("row_idx"), F.when(F.col("segment") == "attendee", "attended").otherwise("no_show").alias("attendance_status"),
+            F.coalesce("r.minutes", F.lit("")).alias("minutes"), F.coalesce("r.company", F.lit("")).alias("company"))
+        out, have = out.unionByName(told), have.unionByName(lists.select(EV).distinct())
+    shaped = registrants.select(EV, "row_idx", came.alias("attendance_status"), "minutes", "company")
+    return out.unionByName(shaped.join(have, EV, "left_anti"))
 
 
 def snapshot_fields(snapshot: DataFrame) -> DataFrame:

@@ -59,6 +59,18 @@ def _(v):
     return G.attendance_snapshot(G.with_fallback(v("enriched").filter("event_slug <> 'ev1'"), v("registrants")))
 
 
+@query("attendance_lists", "AGG15", "WITH own AS (SELECT event_slug, lower(trim(email)) AS email, max_by(minutes, row_idx) AS minutes, max_by(company, row_idx) AS company FROM {registrants} GROUP BY 1, 2), " +
+       "lists AS (SELECT event_slug, min(id) AS no, email, min(id) % 3 = 0 AS missed FROM {contacts} WHERE event_slug = 'ev1' GROUP BY 1, 3 UNION ALL SELECT 'ev2', 1, 'nobody@known.org', false), " +
+       "rows AS (SELECT event_slug, row_idx, attendance_status, minutes, company FROM {enriched} WHERE event_slug NOT IN ('ev1', 'ev2') " +
+       "UNION ALL SELECT event_slug, no, CASE WHEN missed THEN 'no_show' ELSE 'attended' END, coalesce(minutes, ''), coalesce(trim(company), '') FROM lists LEFT JOIN own USING (event_slug, email)), " +
+       SNAP.replace("{enriched}", "rows").replace("attendance_status = 'attended' GROUP BY 1, 2", "attendance_status = 'attended' AND company <> '' GROUP BY 1, 2") + " SELECT * FROM snap")
+def _(v):
+    lists = v("contacts").filter("event_slug = 'ev1'").groupBy("event_slug", F.upper("email").alias("email")).agg(F.min("id").alias("no")).withColumn(
+        "segment", F.when(F.col("no") % 3 == 0, "no_show").otherwise("attendee"))
+    odd = v.spark.createDataFrame([("ev2", "nobody@known.org", 1, "attendee"), ("ev2", "s@x.org", 2, "suppressed")], "event_slug string, email string, no long, segment string")
+    return G.attendance_snapshot(G.with_fallback(v("enriched").filter("event_slug NOT IN ('ev1', 'ev2')"), v("registrants"), lists.unionByName(odd)))
+
+
 @query("snapshot_fields", "STR12", f"""WITH {SNAP} SELECT event_slug, registrants::VARCHAR AS snapshot_registrants, attendees::VARCHAR AS snapshot_attendees, no_shows::VARCHAR AS snapshot_no_shows,
   avg_minutes::VARCHAR AS snapshot_avg_minutes, median_minutes::VARCHAR AS snapshot_median_minutes, top_accounts AS snapshot_top_accounts,
   round_even(100 * attendance_rate, 0)::INTEGER || '%' AS snapshot_attendance_rate FROM snap""")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from turnout.functions import fixed, text as T
 from turnout.functions.similarity import word_ratio
+from turnout.functions.sql import register
 from turnout.operators import grounding as G, transcript as X
 from turnout.queries.registry import query
 
@@ -218,6 +219,21 @@ def _(v):
     return G.claims(v("assets")).filter("type = 'timestamp'").groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+SAID = "trim(regexp_replace(text, '[^A-Za-zÀ-ÿ ]', ''{g}))"
+
+
+@query("claims_sql", "UDTF1 TXT1 TXT2", f"""WITH s AS (SELECT event_slug, seq, sec, {SAID.format(g=", 'g'")} AS said FROM {{spoken}}),
+a AS (SELECT event_slug, seq, said, lpad((sec // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((sec % 60)::VARCHAR, 2, '0') AS mark FROM s)
+SELECT event_slug, seq, 0 AS claim_no, 'timestamp' AS type, '[' || mark || ']' AS raw, mark AS stamp, NULL AS name FROM a
+UNION ALL SELECT event_slug, seq, 1, 'quote', said, NULL, NULL FROM a WHERE length(said) >= {fixed.QUOTE_MIN}
+UNION ALL SELECT event_slug, seq, CASE WHEN length(said) >= {fixed.QUOTE_MIN} THEN 2 ELSE 1 END, 'attribution', 'Dana Cole', NULL, 'Dana Cole' FROM a""")
+def _(v):
+    register(v.spark)
+    texts = v.sql(f"""SELECT event_slug, seq, '"' || {SAID.format(g='')} || '" as was heard [' || lpad(CAST(sec AS INT) DIV 60 % 60, 2, '0') || ':' || lpad(CAST(sec AS INT) % 60, 2, '0') || ']'
+      || chr(10) || '-- Dana Cole, Acme' AS text FROM {{spoken}}""")
+    return v.spark.sql("SELECT t.event_slug, t.seq, c.claim_no, c.type, c.raw, c.stamp, c.name FROM {texts} AS t, LATERAL claims_of(t.text) AS c", texts=texts)
+
+
 def verdicts(v):
     marks = X.valid_stamps(v("spoken").select("event_slug", "sec"))
     return G.verified_claims(G.claims(v("assets")), v("spoken"), spoken_windows(v), marks, roster(v))
