@@ -27,11 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from turnout.llm.base import apart, saved
+from turnout.llm.base import apart, enough, saved
 
 #: Conversations of a shard, at least; and the part of all conversations that a shard may hold beyond that.
 SHARD = 1000
 SPREAD = 10_000
+#: Full shards of a task.
+SHARDS_A_TASK = 4
 #: Ids that go into one piece of a hashed list, as a power of two; parentheses in a block of the excess.
 ID_BITS = 10
 BLOCK = 64
@@ -270,9 +272,9 @@ def hashed_lists(ends: DataFrame) -> DataFrame:
     return placed.select("key", "ids").mapInArrow(run, "key binary, ends_sha256 string")
 
 
-def shards(hung: DataFrame) -> DataFrame:
-    """Nodes of all shards; a shard's first row also names the spine node it hangs on, in ``top``."""
-    placed = (hung.withColumn("root", F.substring("keys", 1, KEY)).repartition("root").sortWithinPartitions("root", "keys", "conv_id"))
+def shards(hung: DataFrame, tasks: int) -> DataFrame:
+    """Nodes of all shards, some shards a task; a shard's first row also names the spine node it hangs on, in ``top``."""
+    placed = (hung.withColumn("root", F.substring("keys", 1, KEY)).repartition(tasks, "root").sortWithinPartitions("root", "keys", "conv_id"))
     fields = ARROW.append(pa.field("top", pa.binary()))
 
     def run(batches):
@@ -327,7 +329,8 @@ def prefix_trie(held: DataFrame, shard: int = SHARD) -> DataFrame:
     saves, ``ends_sha256`` a hash of the members that end there.
     """
     way = saved(paths(held), "paths")
-    size = max(shard, way.count() // SPREAD)
+    n = way.count()
+    size = max(shard, n // SPREAD)
     counted = prefixes(way).groupBy("key").agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv_id").alias("conv_id"), F.min("depth").alias("depth"))
     large = saved(counted.filter((F.col("n_convs") > size) | (F.col("depth") == 0)), "large")
     spine = saved(large.join(way, "conv_id").select(
@@ -339,7 +342,7 @@ def prefix_trie(held: DataFrame, shard: int = SHARD) -> DataFrame:
         "conv_id", "on", f"substring(keys, on * {KEY} + 1, {KEY}) AS top", f"substring(keys, (on + 1) * {KEY} + 1) AS keys",
         "slice(words, on + 2, size(words)) AS words")
     placed = saved(placed.join(apart(spine.select(F.col("key").alias("top"), F.col("conv_id").alias("above"))), "top"), "hung")
-    nodes = saved(shards(placed.filter("length(keys) > 0")), "shards")
+    nodes = saved(shards(placed.filter("length(keys) > 0"), enough(n, SHARDS_A_TASK * size)), "shards")
     hung = nodes.filter("top IS NOT NULL").groupBy(F.col("top").alias("key")).agg(
         F.count(F.lit(1)).alias("hung"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
     ends = hashed_lists(placed.filter("length(keys) = 0").select(F.col("top").alias("key"), "conv_id"))
