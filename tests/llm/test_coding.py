@@ -103,3 +103,34 @@ def test_frequent_pairs_become_rules():
     flat = np.array([1, 2, 3, 4] * 500, np.uint32)
     g = repair.compressed(flat, np.array([len(flat)]), 10)
     assert len(g.rules) and len(g.symbols) < len(flat) / 4
+
+
+def test_grammars_grow_until_no_pair_is_frequent():
+    """A long repeat takes more rounds than its rules have doublings, and nothing frequent is left behind."""
+    own = np.random.default_rng(8)
+    unit = own.integers(0, 500, 256).astype("<u4")
+    ids = np.concatenate([np.tile(unit, 200), own.integers(0, 500, 5000).astype("<u4")])
+    lengths = np.array([len(ids) - 5000, 5000])
+    g = repair.compressed(ids, lengths, 1000)
+    assert g.expansions.max() >= 256
+    pairs = [p for part in np.split(g.symbols.astype(int), np.cumsum(g.doc_symbols)[:-1]) for p in zip(part, part[1:])]
+    count = {}
+    last = None
+    for p in pairs:
+        if p == last and p[0] == p[1]:  # of overlapping equal pairs every other counts
+            last = None
+            continue
+        count[p] = count.get(p, 0) + 1
+        last = p
+    assert max(count.values()) < repair.FREQUENT
+    out = []
+    for s in g.symbols.tolist():
+        stack = [s]
+        while stack:
+            x = stack.pop()
+            if x < g.base:
+                out.append(x)
+            else:
+                a, b = g.rules[x - g.base].tolist()
+                stack += [b, a]
+    assert out == ids.tolist()

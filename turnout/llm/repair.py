@@ -2,7 +2,8 @@
 
 Documents are dealt out by ranges of ``doc_id``; each range is a shard and writes blocks of about
 ``BLOCK`` ids, whole documents each.  Within a block the frequent pairs of neighbouring symbols
-are replaced by nonterminals, again and again, until no pair is frequent or the rules are used up.
+are replaced by nonterminals, in rounds: each replaces up to ``RULES_A_ROUND`` pairs, the most frequent of those that
+share a hash slot, and the next counts anew, until no pair stands ``FREQUENT`` times or the rules are used up.
 Pairs never reach over the end of a document, so a document is a run of whole symbols, and the
 expansion length kept with each rule finds any id without decoding what lies before it.
 
@@ -37,7 +38,6 @@ from turnout.session import scratch
 
 END = 0
 BLOCK = 1 << 19
-ROUNDS = 5
 RULES = 15_000
 RULES_A_ROUND = 4_096
 FREQUENT = 12
@@ -67,7 +67,7 @@ def compressed(ids: np.ndarray, doc_lengths: np.ndarray, base: int, most: int =
     symbols = ids.astype(np.uint16 if narrow else np.uint32)
     ends = np.cumsum(doc_lengths)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.ones(base, np.uint32)
-    for _ in range(ROUNDS):
+    while True:
         left = most + base - len(lengths)
         if len(symbols) < 2 or left <= 0:
             break
