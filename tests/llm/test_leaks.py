@@ -98,3 +98,13 @@ def test_no_python_on_the_main_path(spark):
     docs, items = cases()
     plan = leaks.contamination(documents(spark, docs), benchmark(spark, items))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_long_item(spark):
+    """An item of 50,000 words, of which a document holds the end and another one nothing."""
+    own = random.Random(5)
+    said = [f"w{own.randrange(20_000)}" for _ in range(50_000)]
+    docs = documents(spark, [(1, " ".join(said[-40:])), (2, prose(9, 60)), (3, " ".join(said[100:112]))])
+    items = spark.createDataFrame([("long", " ".join(said)), ("short", "nothing of it")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in leaks.contamination(docs, items).collect()}
+    assert got == {1: (40, 1, True), 2: (0, 0, False), 3: (0, 0, False)}

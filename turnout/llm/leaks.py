@@ -9,7 +9,8 @@ compared word by word.  ``proximity`` finds the windows whose rarest terms stand
 Only DataFrame functions are used.  A document is known by two hashes of its id and text, so rows
 that share an id are told apart and repeated rows are judged alike.  Null texts have no words:
 no hit, not contaminated.  Items without a word never occur; a null item id is listed as an empty
-string.  Empty tables are allowed on either side; other columns are ignored.
+string.  Texts and items may be of any length, a window costs as much in a long item as in a short
+one.  Empty tables are allowed on either side; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,11 +59,12 @@ def windows(items: DataFrame, postings: DataFrame) -> DataFrame:
     often = postings.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
     placed = items.select("item", F.posexplode("words").alias("p", "term")).join(often, "term", "left")
     ranked = placed.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("f", F.lit(0)).alias("f"), F.col("term").alias("t")))).alias("placed"))
+    # windows are cut before they get rows of their own, so that a long item is not copied into each
+    own = lambda first: F.slice(F.array_sort(F.transform(
+        F.slice("placed", first + 1, F.col("span")), lambda x: F.struct(x["f"].alias("f"), x["p"].alias("p"), x["t"].alias("t")))), 1, RAREST)
     each = items.select("item", "n", "span").join(ranked, "item").select(
-        "item", "span", "placed", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("span"))).alias("first"))
-    own = F.transform(F.slice("placed", F.col("first") + 1, F.col("span")), lambda x: F.struct(x["f"].alias("f"), x["p"].alias("p"), x["t"].alias("t")))
-    return each.select("item", "span", "first", F.array_sort(own).alias("terms")).filter(F.get("terms", F.lit(0))["f"] > 0).select(
-        "item", "span", "first", F.slice("terms", 1, RAREST).alias("rarest"))
+        "item", "span", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("span")), own)).alias("first", "rarest"))
+    return each.filter(F.get("rarest", F.lit(0))["f"] > 0)
 
 
 def alignments(postings: DataFrame, rare: DataFrame) -> DataFrame:
