@@ -1,8 +1,9 @@
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
-from turnout.operators.ordered import around, batches, in_order, majority, top_k
+from turnout.operators.ordered import around, batches, in_order, majority, quantiles, top_k
 
 
 def _rows(n=400, seed=3):
@@ -64,3 +65,17 @@ def test_batches_have_full_slots(spark):
     df = spark.createDataFrame([("a", i) for i in range(95)], "g string, k long").repartition(5)
     sizes = {x.batch_no: x.n for x in batches(df, ["g"], ["k"], 40).groupBy("batch_no").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert sizes == {0: 40, 1: 40, 2: 15}
+
+
+def test_quantiles_equal_percentile_and_the_inclusive_method(spark):
+    r = random.Random(11)
+    rows = [("hot" if r.random() < 0.7 else None if r.random() < 0.1 else f"g{i % 5}", r.choice([None, float(r.randint(0, 30)), r.random() * 100]))
+            for i in range(3000)] + [("one", 4.5), ("two", 1.0), ("two", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(9)
+    got = {x.g: (x.a, x.b, x.c) for x in quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.75}).collect()}
+    want = {x.g: tuple(x.q) for x in df.filter("v IS NOT NULL").groupBy("g").agg(F.percentile("v", [0.25, 0.5, 0.75]).alias("q")).collect()}
+    assert got == want and "none" not in got and got["one"] == (4.5, 4.5, 4.5)
+    hot = [v for g, v in rows if g == "hot" and v is not None]
+    for near, exact in zip(got["hot"], statistics.quantiles(hot, n=4, method="inclusive")):
+        assert abs(near - exact) < 1e-9
+    assert quantiles(df.limit(0), ["g"], "v", {"a": 0.5}).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnout.functions import contact as C, fixed, text as T
-from turnout.operators.ordered import attach, in_order, top_k
+from turnout.operators.ordered import attach, in_order, quantiles, top_k
 
 EV = "event_slug"
 
@@ -42,16 +42,14 @@ def contact_view(emails: DataFrame, enriched: DataFrame, registrants: DataFrame,
 
 
 def attendance_snapshot(enriched: DataFrame, k: int = 5) -> DataFrame:
-    """Registrants, attendees, rate, mean and median minutes and the top accounts per event.
-
-    ``percentile`` holds distinct minute values only.
-    """
+    """Registrants, attendees, rate, mean and median minutes and the top accounts per event."""
     came = F.col("attendance_status") == "attended"
     minutes = F.when(came, F.col("minutes").try_cast("double"))
     n = enriched.filter(F.col("attendance_status").isin("attended", "no_show")).groupBy(EV).agg(
         F.count(F.lit(1)).alias("registrants"), F.count_if(came).alias("attendees"),
-        F.coalesce(F.bround(F.avg(minutes), 1), F.lit(0.0)).alias("avg_minutes"),
-        F.coalesce(F.bround(F.percentile(minutes, 0.5), 1), F.lit(0.0)).alias("median_minutes"))
+        F.coalesce(F.bround(F.avg(minutes), 1), F.lit(0.0)).alias("avg_minutes"))
+    middle = quantiles(enriched.select(EV, minutes.alias("_minutes")), [EV], "_minutes", {"_middle": 0.5})
+    n = n.join(middle, EV, "left").withColumn("median_minutes", F.coalesce(F.bround("_middle", 1), F.lit(0.0)))
     named = enriched.filter(came & (F.trim("company") != ""))
     counts = named.groupBy(EV, F.trim("company").alias("company")).agg(
         F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("_first"))

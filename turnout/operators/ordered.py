@@ -1,10 +1,11 @@
 """Ordered and ranked computation that does not put a hot group into one task.
 
-``Window.partitionBy(event)`` sends a whole event to one task.  Three ways
+``Window.partitionBy(event)`` sends a whole event to one task.  Four ways
 round that are kept here:
 
 * ``top_k``: rank <= k, which Spark prunes on the map side;
 * ``majority``: counting first, then one aggregate over the distinct values;
+* ``quantiles``: the values at given ranks, by running counts of folded values;
 * ``in_order``: positions, neighbours and running sums over a range-sorted
   copy.  Each sorted partition is windowed on its own and the few
   partition-edge values are joined back.
@@ -113,6 +114,27 @@ def in_order(df: DataFrame, groups: list[str], order: list[str], *, position: st
         *df.columns, *[both(F.col(f"_n_{out}"), F.col(f"_f_{out}")).alias(out) for out, *_, both in plan])
 
 
+def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact inclusive quantiles of ``value`` per group, interpolated between neighbours, as columns named by ``shares``.
+
+    Equal values are folded first.  Running counts over the range-sorted values then tell which one
+    holds a rank, so no task has a group's values, distinct ones neither.  Nulls do not count, and
+    groups that have nothing else have no row.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = in_order(counts, groups, ["_v"], running={"_before": "_n"})
+    totals = placed.groupBy(*[F.col(c).alias(f"_t_{c}") for c in groups]).agg(F.sum("_n").alias("_total"))
+    seen = attach(placed, totals, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in groups], "inner")
+    at = {name: (F.col("_total") - 1) * F.lit(float(share)) for name, share in shares.items()}
+    holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+    ends = seen.groupBy(*groups).agg(F.max("_total").alias("_total"), *[
+        F.max(F.when(holds(rank(at[name])), F.col("_v").cast("double"))).alias(f"_{end}_{name}")
+        for name in shares for end, rank in (("lo", F.floor), ("hi", F.ceil))])
+    between = {name: F.when(F.floor(rank) == F.ceil(rank), F.col(f"_lo_{name}")).otherwise(
+        (F.ceil(rank) - rank) * F.col(f"_lo_{name}") + (rank - F.floor(rank)) * F.col(f"_hi_{name}")) for name, rank in at.items()}
+    return ends.select(*groups, *[x.alias(name) for name, x in between.items()])
+
+
 def around(requests: DataFrame, points: DataFrame, keys: list[str], at: str, point: str) -> DataFrame:
     """As-of in both directions: the nearest point at or before and at or after each request.
 
