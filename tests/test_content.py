@@ -79,6 +79,18 @@ def test_hopeless_quotes_have_their_best_window(spark, monkeypatch):
     assert got == want | {"no transcript at all": (0.0, None)}
 
 
+def test_a_quote_that_shares_no_letter_is_dropped(spark):
+    turns = spark.createDataFrame([("e", 0, 30, "Dana Cole", "leads go cold in five minutes"), ("f", 0, 30, "Bob Ray", "speed is what wins the deal")],
+                                  "event_slug string, seq long, sec int, speaker string, text string")
+    windows = X.windows(turns.withColumnRenamed("event_slug", "recording_id")).withColumnRenamed("recording_id", "event_slug")
+    strange = spark.createDataFrame([("e", "q" * 40), ("f", "q" * 40)], "event_slug string, quote string")
+    assert [(x.ratio, x.snippet, x.seq) for x in G.any_window(strange, windows, ["event_slug"]).collect()] == [(0.0, None, None)] * 2
+    raw = strange.selectExpr("event_slug", "1 AS quote_no", "quote", "'t' AS topic")
+    parts = spark.createDataFrame([("e", 1, 0.0, 99.0), ("f", 1, 0.0, 99.0)], "event_slug string, chapter int, start_abs double, end_abs double")
+    kept, dropped = G.normalised_quotes(raw, turns, windows, parts)
+    assert kept.count() == 0 and [x.reason for x in dropped.collect()] == ["no window reaches 0.90"] * 2
+
+
 def test_containment_equals_a_scan_for_every_length(spark):
     r = random.Random(9)
     texts = [text(r, 30) for _ in range(40)] + ["ab", "a"] + [text(r, 30)] * 3

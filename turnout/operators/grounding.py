@@ -139,6 +139,8 @@ def any_window(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: st
             found = Slices(held["text"].tolist())
             hits = [found.best(x) for x in wanted["_q"]]
             some = [h is not None for h in hits]
+            if not any(some):  # columns made from empty lists have no type that Arrow could take
+                continue
             at = held.iloc[[h[1] for h in hits if h is not None]]
             yield wanted[some][[*keys, "_q"]].assign(
                 ratio=[h[0] for h in hits if h], snippet=[h[2] for h in hits if h], label=at["label"].to_numpy(), span=at["_span"].to_numpy(), seq=at["_seq"].to_numpy())
@@ -469,14 +471,14 @@ def normalised_quotes(raw: DataFrame, turns: DataFrame, windows: DataFrame, chap
     """Model quotes with speaker, second and chapter: accepted rows, and dropped rows with a reason.
 
     ``raw``: event_slug, quote_no, quote, topic.  Quotes too short to verify, and those that no turn
-    holds and no window reaches, are dropped; the best ratio is named where one is known.
+    holds and no window reaches, are dropped; the ratio is named where it was reached.
     """
     q = raw.withColumn("quote", F.btrim(F.trim(F.coalesce("quote", F.lit(""))), F.lit("\"“”")))
     short = F.length("quote") < fixed.QUOTE_MIN
     found = settled(located_quotes(q.filter(~short), turns, windows, [EV]))
     ok = in_chapter(found.filter("sec IS NOT NULL"), chapter_rows)
-    why = F.when(F.col("ratio").isNull(), F.lit(f"no window reaches {fixed.QUOTE_RATIO:.2f}")).otherwise(
-        F.format_string("heard at %.2f, but no second is known", "ratio"))
+    why = F.when(F.col("ratio") >= fixed.QUOTE_RATIO, F.format_string("heard at %.2f, but no second is known", "ratio")).otherwise(
+        F.lit(f"no window reaches {fixed.QUOTE_RATIO:.2f}"))
     cut = F.substring("quote", 1, fixed.SHOWN_QUOTE).alias("quote")
     dropped = q.filter(short).select(EV, "quote_no", cut, F.lit("too short to verify").alias("reason")).unionByName(
         found.filter("sec IS NULL").select(EV, "quote_no", cut, why.alias("reason")))
