@@ -107,6 +107,15 @@ def test_containment_equals_a_scan_for_every_length(spark):
     assert got == want
 
 
+def test_grams_of_texts_are_never_sent_to_the_driver(spark):
+    r = random.Random(4)
+    t = spark.createDataFrame([("e", i, text(r, 30)) for i in range(20)], "k string, i long, t string")
+    q = spark.range(8000).selectExpr("'e' AS k", "concat('speed routing lead number ', id) AS q").unionByName(t.selectExpr("k", "substr(t, 5, 40) AS q"))
+    hits = G.contained(q, t, ["k"], "q", "t", "i")
+    assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.count() == 20
+
+
 def test_claims_and_verdicts(spark):
     body = ("<!-- x -->\n## Headline Options\n\"This creative line is never a claim\" Dana Cole\n## Story\n"
             "As Dana explained, \"leads go cold in five minutes flat\" [00:30]. Dana Cole, Acme [00:30] and Bob Ray, Beta [00:30].\n"

@@ -16,6 +16,8 @@ from turnout.session import settled
 EV = "event_slug"
 GRAM_SIZES = ((25, 13), (11, 6), (7, 4), (3, 2))  # (shortest text served, gram length)
 WORD = r"[\p{L}\p{Nd}_]+"
+#: Quote grams, two numbers each, that go to every task; more are joined by shuffle.
+GRAMS_SENT = 100_000
 
 
 # --- locating quotes -----------------------------------------------------------------
@@ -29,6 +31,10 @@ def contained(quotes: DataFrame, texts: DataFrame, keys: list[str], quote: str,
     before anything is cut.  k shrinks for short quotes; only sizes that occur
     are cut.  Quotes of one or two characters are looked up among all pieces of
     their length, which for a first place are reduced to one row each.
+
+    Grams meet as two numbers a row, the gram's hash and that of its text or quote; texts are fetched for the
+    pairs that met and compared whole, so equal hashes of different grams do no harm.  Spark would guess the
+    size of the grams from that of the files, so the join is never left to that guess.
     """
     q = quotes.select(*keys, F.col(quote).alias("_q")).filter("_q <> ''").distinct()
     size = F
@@ -36,21 +42,29 @@ def contained(quotes: DataFrame, texts: DataFrame, keys: list[str], quote: str,
         size = size.when(F.length("_q") >= shortest, k)
     q = settled(q.withColumn("_k", size))
     t = texts.groupBy(*keys, F.col(text).alias("_t")).agg(F.min(order).alias("_o"))
+    qid, tid = F.xxhash64(*keys, "_q").alias("_qid"), F.xxhash64(*keys, "_t").alias("_tid")
     found = None
-    for (k,) in q.select("_k").distinct().collect():  # at most four gram sizes, or none for short quotes
+    for k, many in q.groupBy("_k").count().collect():  # at most four gram sizes, or none for short quotes
         if k is None:
             short = q.filter("_k IS NULL").drop("_k")
             pieces = t.select(*keys, "_o", F.explode(F.array_distinct(F.concat(*[F.when(F.length("_t") >= n, F.transform(
                 F.sequence(F.lit(1), F.length("_t") - (n - 1)), lambda i: F.substring("_t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
                 for n in (1, 2)]))).alias("_q"))
             pieces = pieces if every else pieces.groupBy(*keys, "_q").agg(F.min("_o").alias("_o"))
-            hit = short.join(pieces, keys + ["_q"]).select(*keys, "_q", "_o")
+            hit = short.join(pieces.hint("merge"), keys + ["_q"]).select(*keys, "_q", "_o")
             found = hit if found is None else found.unionByName(hit)
             continue
-        cut = t.withColumn("_g", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s).{{{k}}}"), F.lit(0)))))
-        offered = q.filter(F.col("_k") == k).withColumn("_g", F.explode(F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(F.col("_q"), i, F.lit(k))))))
-        hit = offered.join(cut, keys + ["_g"]).filter(F.col("_t").contains(F.col("_q")))
+        asked = q.filter(F.col("_k") == k).drop("_k")
+        cut = t.select(*keys, tid, F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s).{{{k}}}"), F.lit(0)))).alias("_g"))
+        offered = asked.select(*keys, qid, F.explode(F.array_distinct(
+            F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(F.col("_q"), i, F.lit(k))))).alias("_g"))
+        gram = F.xxhash64(*keys, "_g").alias("_h")
+        cut, offered = cut.select(gram, "_tid"), offered.select(gram, "_qid")
+        met = F.broadcast(offered).join(cut, "_h") if many * k <= GRAMS_SENT else offered.join(cut.hint("merge"), "_h")
+        told = asked.withColumn("_qid", qid)
+        met = met.select("_qid", "_tid").distinct().join(F.broadcast(told) if many * k <= GRAMS_SENT else told.hint("merge"), "_qid")
+        there = t.withColumn("_tid", tid)
+        hit = met.join(there.hint("merge"), keys + ["_tid"]).filter(F.col("_t").contains(F.col("_q")))
         hit = hit.select(*keys, "_q", "_o").distinct() if every else hit.groupBy(*keys, "_q").agg(F.min("_o").alias("_o"))
         found = hit if found is None else found.unionByName(hit)
     if found is None:
