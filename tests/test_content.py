@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnout.functions.layout import fold
-from turnout.functions.similarity import best_slice
+from turnout.functions.similarity import best_slice, matched
 from turnout.operators import grounding as G, transcript as X
 
 WORDS = "speed routing lead score signal buyer pipeline meeting revenue answer minutes quarter because nobody waits for the follow up call".split()
@@ -79,6 +79,31 @@ def test_hopeless_quotes_have_their_best_window(spark, monkeypatch):
     assert got == want | {"no transcript at all": (0.0, None)}
 
 
+def test_many_pieces_match_as_the_library_says():
+    r = random.Random(3)
+    for letters in ("ab ", "etaoin shrdlu", "abcdéfghij xyz"):
+        for _ in range(20):
+            quote = "".join(r.choice(letters) for _ in range(r.randint(1, 110)))
+            pieces = ["".join(r.choice(letters) for _ in range(r.randint(0, 199))) for _ in range(6)] + [quote, quote[::-1], quote[5:40]]
+            want = [sum(b.size for b in SequenceMatcher(None, quote, p).get_matching_blocks()) for p in pieces]
+            assert matched(quote, pieces, 0.0).tolist() == want
+            assert all(g == w or g == -1 and 2 * w < 0.5 * (len(quote) + len(p)) for g, w, p in zip(matched(quote, pieces, 0.5).tolist(), want, pieces))
+
+
+def test_quotes_of_a_long_transcript_are_joined_by_grams_first(spark, monkeypatch):
+    monkeypatch.setattr(G, "SEARCHED", 300)
+    monkeypatch.setattr(G, "ASKED", 2)  # several parts of quotes
+    r = random.Random(6)
+    turns = [text(r, 20) for _ in range(30)]
+    quotes = [noisy(r, t, 0.05) for t in turns[:6]] + [text(r, 9)[::-1] for _ in range(3)]
+    q = spark.createDataFrame([(e, x) for e in ("long", "few") for x in quotes], "event_slug string, quote string")
+    w = spark.createDataFrame([("long", 1, i, "x", t) for i, t in enumerate(turns)] + [("few", 1, i, "x", t) for i, t in enumerate(turns[:4])],
+                              "event_slug string, span int, seq long, label string, text string")
+    got = {(x.event_slug, x.quote): (round(x.ratio, 9), x.seq) for x in G.closest_windows(q, w, ["event_slug"]).collect()}
+    here = {"long": [(1, i, t) for i, t in enumerate(turns)], "few": [(1, i, t) for i, t in enumerate(turns[:4])]}
+    assert got == {(e, x): (round(best, 9), at and at[1]) for e in here for x in quotes for best, at in [plain_best(x, here[e])]}
+
+
 def test_a_quote_that_shares_no_letter_is_dropped(spark):
     turns = spark.createDataFrame([("e", 0, 30, "Dana Cole", "leads go cold in five minutes"), ("f", 0, 30, "Bob Ray", "speed is what wins the deal")],
                                   "event_slug string, seq long, sec int, speaker string, text string")

@@ -222,6 +222,62 @@ def best_slice(quote: str, text: str, floor: float) -> tuple[float, str]:
     return (best, text[at[0]:at[1]]) if at and best >= floor else (0.0, "")
 
 
+#: Cells of quotes and pieces that are compared at once.
+CELLS = 4_000_000
+#: From so many characters on, the library's ratio leaves out frequent ones of the second text.
+POPULAR = 200
+
+
+def matched(low: str, pieces: list[str], least: float) -> np.ndarray:
+    """Characters that the library's ratio matches between ``low`` and each piece of under ``POPULAR`` characters.
+
+    All pieces go through the recursion together: the longest common run of every open rectangle (the first
+    one of equals) splits it in two, and the runs of the rest are cut to the halves.  -1 where the halves have
+    no room for a ratio of ``least``.
+    """
+    n, sizes = len(low), np.array([len(p) for p in pieces], np.int64)
+    m = int(sizes.max(initial=0))
+    codes = np.frombuffer("".join(p.ljust(m) for p in pieces).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(pieces), m)
+    inside = np.arange(m) < sizes[:, None]
+    equal = {ch: (codes == ord(ch)) & inside for ch in set(low)}
+    run = np.zeros((len(pieces), n + 1, m + 1), np.uint8)  # length of the common run that ends here
+    for i in range(n):
+        np.multiply(run[:, i, :-1] + np.uint8(1), equal[low[i]], out=run[:, i + 1, 1:])
+    last = run > 0
+    last[:, :-1, :-1] &= run[:, 1:, 1:] == 0
+    at = np.flatnonzero(last)
+    size = run.ravel()[at].astype(np.int32)
+    at, j = np.divmod(at.astype(np.int32 if run.size < 2**31 else np.int64), m + 1)
+    rect, i = np.divmod(at, n + 1)
+    i, j = i - size, j - size
+    owner = np.arange(len(pieces))
+    a0, a1, b0, b1 = (np.full(len(pieces), x, np.int32) for x in (0, n, 0, m))
+    b1[:] = sizes
+    total, dead = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), bool)
+    bar = (least - 1e-9) * (n + sizes) / 2
+    while len(rect):
+        starts = np.flatnonzero(np.r_[True, rect[1:] != rect[:-1]])
+        here = rect[starts]
+        owner, a0, a1, b0, b1 = owner[here], a0[here], a1[here], b0[here], b1[here]
+        rect = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(rect)]))
+        first = np.maximum.reduceat((size * np.int64(n + 1) + n - i) * (m + 1) + m - j, starts)
+        bj, first = m - first % (m + 1), first // (m + 1)
+        bi, most = n - first % (n + 1), first // (n + 1)
+        bi, bj, most = (x.astype(np.int32) for x in (bi, bj, most))
+        total += np.bincount(owner, most, len(pieces)).astype(np.int64)
+        ai, aj = bi + most, bj + most
+        room = np.minimum(bi - a0, bj - b0) + np.minimum(a1 - ai, b1 - aj)
+        dead |= total + np.bincount(owner, room, len(pieces)) < bar
+        open_ = ~dead[owner][rect]
+        before = np.minimum(size, np.minimum(bi[rect] - i, bj[rect] - j))
+        skip = np.maximum(0, np.maximum(ai[rect] - i, aj[rect] - j))
+        left, right = open_ & (before > 0), open_ & (size - skip > 0)
+        rect, i, j, size = (np.concatenate(part) for part in (
+            (rect[left], rect[right] + len(starts)), (i[left], (i + skip)[right]), (j[left], (j + skip)[right]), (before[left], (size - skip)[right])))
+        owner, a0, a1, b0, b1 = np.r_[owner, owner], np.r_[a0, ai], np.r_[bi, a1], np.r_[b0, aj], np.r_[bj, b1]
+    return np.where(dead, -1, total)
+
+
 class Slices:
     """Windows in their order of preference, ready to be searched for the best slice of a quote at any ratio.
 
@@ -269,16 +325,27 @@ class Slices:
         for letter in set(low):
             common += np.minimum(low.count(letter), self.count(letter, end) - self.count(letter, start))
         bound = np.where(self.odd[window], 1.0, 2.0 * common / (len(low) + hi - lo))
-        best, at = 0.0, None
-        for k in np.argsort(-bound, kind="stable").tolist():
-            if bound[k] < best - 1e-9 or bound[k] == 0:
-                break
-            piece = self.texts[window[k]][lo[k]:hi[k]].lower()
-            if 2 * common_subsequence(low, piece) < (best - 1e-9) * (len(low) + len(piece)):
-                continue
-            r = SequenceMatcher(None, low, piece).ratio()
-            if r > best or r == best and at is not None and (window[k], lo[k]) < at[:2]:
-                best, at = r, (window[k], lo[k], hi[k])
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best, at, scored, done, many = 0.0, None, {}, 0, 16
+        while done < len(order) and bound[order[done]] >= best - 1e-9:
+            some = order[done:done + many]
+            done, many = done + many, max(16, min(4 * many, CELLS // (n * min(POPULAR, n) + 1)))
+            pieces = [self.texts[w][a:b].lower() for w, a, b in zip(window[some].tolist(), lo[some].tolist(), hi[some].tolist())]
+            new = [p for p in dict.fromkeys(pieces) if p not in scored]
+            short = [p for p in new if len(p) < POPULAR]
+            for p, common in zip(short, matched(low, short, best).tolist() if short else ()):
+                scored[p] = 2.0 * common / (len(low) + len(p)) if common >= 0 else -1.0
+            for k, piece in zip(some.tolist(), pieces):
+                if bound[k] < best - 1e-9:
+                    break
+                if piece not in scored:
+                    if 2 * common_subsequence(low, piece) < (best - 1e-9) * (len(low) + len(piece)):
+                        continue
+                    scored[piece] = SequenceMatcher(None, low, piece).ratio()
+                r = scored[piece]
+                if r > best or r == best and at is not None and (window[k], lo[k]) < at[:2]:
+                    best, at = r, (window[k], lo[k], hi[k])
         return (best, int(at[0]), self.texts[at[0]][at[1]:at[2]]) if at else None
 
 

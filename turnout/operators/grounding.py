@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnout.functions import fixed, text as T
 from turnout.functions.claims import claims_in, gram_tokens
 from turnout.functions.similarity import Slices, seq_ratio, window_ratio
-from turnout.operators.ordered import attach, by_key, spread, top_k
+from turnout.operators.ordered import attach, by_key, spread, tasks, top_k
 from turnout.operators.speakers import roster_match
 from turnout.operators.transcript import clip_ends, in_chapter, snapped, true_speaker
 from turnout.session import settled
@@ -101,48 +101,59 @@ def best_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote:
     ``windows``: keys, seq, span, label, text.
     """
     w = settled(_folded(windows, keys))
-    wg = settled(w.select(*keys, "_wid", F.explode(F.array_distinct(gram_tokens("text"))).alias("_g")))
+    gram = F.xxhash64(*keys, "_g").alias("_g")
+    wg = settled(w.select(*keys, "_wid", F.explode(F.array_distinct(gram_tokens("text"))).alias("_g")).select("_wid", gram))
     q = quotes.select(*keys, F.col(quote).alias("_q")).filter("_q <> ''").distinct()
     n = F.length("_q")
     lost = F.floor(n * 0.7273)
     need = F.greatest(F.lit(1), F.floor((n - 3 - lost) / 2))
     qg = settled(q.select(*keys, "_q", (lost + need).alias("_keep"), need.alias("_need"), F.xxhash64(*keys, "_q").alias("_qid"),
-                          F.explode(F.array_distinct(gram_tokens("_q"))).alias("_g")))
-    often = wg.join(qg.select(*keys, "_g").distinct(), keys + ["_g"], "left_semi").groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = qg.join(often, keys + ["_g"], "left").withColumn("_rank", F.row_number().over(
+                          F.explode(F.array_distinct(gram_tokens("_q"))).alias("_g")).withColumn("_g", gram))
+    often = wg.join(qg.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = qg.join(often, "_g", "left").withColumn("_rank", F.row_number().over(
         Window.partitionBy(*keys, "_qid").orderBy(F.coalesce("_n", F.lit(0)), "_g")))
     rare = ranked.filter((F.col("_rank") <= F.col("_keep")) & F.col("_n").isNotNull()).select(*keys, "_qid", "_need", "_g")
-    pairs = rare.join(wg, keys + ["_g"]).groupBy(*keys, "_qid", "_wid").agg(F.count(F.lit(1)).alias("_hits"), F.min("_need").alias("_need"))
+    pairs = rare.join(wg.hint("merge"), "_g").groupBy(*keys, "_qid", "_wid").agg(F.count(F.lit(1)).alias("_hits"), F.min("_need").alias("_need"))
     pairs = pairs.filter("_hits >= _need").select(*keys, "_qid", "_wid")
     texts = pairs.join(q.withColumn("_qid", F.xxhash64(*keys, "_q")), keys + ["_qid"]).join(w, keys + ["_wid"])
     shorter = F.length("text") * 11 >= n * 9  # below 9/11 of the quote no window reaches 0.90
     return _scored(texts.filter(shorter), keys).withColumnRenamed("_q", quote)
 
 
-#: Characters of transcript that a task searches at once for a quote without a close window.
-SEARCHED = 200_000
+#: Characters of transcript, and quotes, that are searched for at once.
+SEARCHED, ASKED = 200_000, 500
+#: Blocks up to which a transcript is searched without joining grams first.
+FEW_BLOCKS = 4
+
+
+def _blocks(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks that the windows of each transcript are dealt into."""
+    return windows.filter("text <> ''").groupBy(*keys).agg(F.ceil(F.sum(F.length("text")) / SEARCHED).cast("int").alias("_blocks"))
 
 
 def any_window(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
     """Best window of every quote, however far off: ``ratio``, ``snippet``, ``label`` and ``seq``; equal ratios go to the
     earlier, shorter window.
 
-    Windows of a transcript are dealt into blocks of bounded size, each quote is searched for in every
-    block of its transcript (see ``Slices``), and the best of the blocks stands.  A quote of which no letter is in the
+    Windows and quotes of a transcript are dealt into blocks of bounded size, every two blocks meet once
+    (see ``Slices``), and the best of the blocks stands.  A quote of which no letter is in the
     transcript has ratio 0 and no place.
     """
     w = _folded(windows, keys).filter("text <> ''")
-    sizes = w.groupBy(*keys).agg(F.ceil(F.sum(F.length("text")) / SEARCHED).cast("int").alias("_blocks"))
-    block = F.pmod(F.xxhash64("text"), F.col("_blocks")).cast("int").alias("_block")
+    q = quotes.select(*keys, F.col(quote).alias("_q")).filter("_q <> ''").distinct()
+    asked = q.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("_parts"))
+    sizes = _blocks(w, keys).join(asked, keys)
+    block = lambda c, blocks: F.pmod(F.xxhash64(c), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     nothing = {c: F.lit(None) for c in ("_q", "text", "label", "_span", "_seq")}
-    placed = attach(w, sizes, keys, "inner").select(*keys, block, nothing["_q"].cast("string").alias("_q"), "text", "label",
+    placed = attach(w, sizes, keys, "inner").select(*keys, block("text", "_blocks").alias("_block"), every("_parts").alias("_part"), nothing["_q"].cast("string").alias("_q"), "text", "label",
                                                     F.col("_o.span").cast("long").alias("_span"), F.col("_o.seq").cast("long").alias("_seq"))
-    q = quotes.select(*keys, F.col(quote).alias("_q")).filter("_q <> ''").distinct()
-    asked = q.join(sizes, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "_q",
-                                       nothing["text"].cast("string").alias("text"), nothing["label"].cast("string").alias("label"),
-                                       nothing["_span"].cast("long").alias("_span"), nothing["_seq"].cast("long").alias("_seq"))
-    group = [*keys, "_block"]
-    both = placed.unionByName(asked).repartition(*group).sortWithinPartitions(*group)
+    wanted = attach(q, sizes, keys, "inner").select(*keys, every("_blocks").alias("_block"), block("_q", "_parts").alias("_part"), "_q",
+                                                    nothing["text"].cast("string").alias("text"), nothing["label"].cast("string").alias("label"),
+                                                    nothing["_span"].cast("long").alias("_span"), nothing["_seq"].cast("long").alias("_seq"))
+    group = [*keys, "_block", "_part"]
+    # few bytes but much computing: as many tasks as stated
+    both = placed.unionByName(wanted).repartition(tasks(q.sparkSession), *group).sortWithinPartitions(*group)
 
     def run(frames):
         for here in by_key(frames, group):
@@ -168,22 +179,27 @@ def any_window(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: st
 
 
 def matched_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
-    """Best window of every quote: a whole window scores 1 and is settled, then 0.90 and more by shared grams, then the rest by search."""
-    q = quotes.select(*keys, quote).filter(F.col(quote) != "").distinct().withColumn("_low", F.lower(quote))
-    w = _folded(windows, keys).withColumn("_low", F.lower("text"))
-    holds = contained(q, w.withColumn("_seq", F.struct("_o.span", "_o.seq")), keys, "_low", "_low", "_seq", every=True)
-    pairs = holds.withColumnRenamed("_low", "_ql").join(q.withColumnRenamed("_low", "_ql"), keys + ["_ql"]).select(
-        *keys, F.col(quote).alias("_q"), F.col("_seq").alias("_o"))
-    texts = pairs.join(w.select(*keys, "_o", "label", "text"), keys + ["_o"])
-    sure = settled(_scored(texts.filter(F.length("text") == F.length("_q")), keys).filter("ratio = 1").withColumnRenamed("_q", quote))
+    """Best window of every quote: a whole window scores 1 and is settled, then the rest by search."""
+    q = quotes.select(*keys, quote).filter(F.col(quote) != "").distinct()
+    w = _folded(windows, keys)
+    same = q.select(*keys, F.col(quote).alias("_q"), F.lower(quote).alias("_low")).join(w.withColumn("_low", F.lower("text")).hint("merge"), keys + ["_low"])
+    sure = settled(_scored(same.filter(F.length("text") == F.length("_q")), keys).filter("ratio = 1").withColumnRenamed("_q", quote))
     rest = settled(q.join(sure, keys + [quote], "left_anti").select(*keys, quote))
     return sure.unionByName(closest_windows(rest, windows, keys, quote))
 
 
 def closest_windows(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
-    """Best window of every quote at any ratio: from 0.90 on by shared grams, below by search."""
-    near = settled(best_windows(quotes, windows, keys, quote))
-    far = quotes.select(*keys, quote).filter(F.col(quote) != "").distinct().join(near, keys + [quote], "left_anti")
+    """Best window of every quote at any ratio.
+
+    A transcript of a few blocks is searched as it is.  In a longer one, quotes from 0.90 on are found by shared grams and
+    only the others searched for.
+    """
+    q = quotes.select(*keys, quote).filter(F.col(quote) != "").distinct()
+    long = settled(_blocks(windows, keys).filter(F.col("_blocks") > FEW_BLOCKS).select(*keys))
+    if long.isEmpty():
+        return any_window(q, windows, keys, quote)
+    near = settled(best_windows(q.join(long, keys, "left_semi"), windows.join(long, keys, "left_semi"), keys, quote))
+    far = q.join(near, keys + [quote], "left_anti")
     return near.unionByName(any_window(far, windows, keys, quote).select(*near.columns))
 
 

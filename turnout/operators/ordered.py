@@ -14,7 +14,7 @@ round that are kept here:
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnout.session import settled
 
@@ -36,8 +36,12 @@ def spread(df: DataFrame) -> DataFrame:
     is the cluster's cores or the shuffle setting, whichever is more, and is
     kept as stated.
     """
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    return df.repartition(tasks(df.sparkSession))
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks for costly per-row work."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
 def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
