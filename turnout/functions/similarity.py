@@ -224,6 +224,8 @@ def best_slice(quote: str, text: str, floor: float) -> tuple[float, str]:
 
 #: Cells of quotes and pieces that are compared at once.
 CELLS = 4_000_000
+#: Fewer pieces are compared one by one.
+FEW_PIECES = 4
 #: From so many characters on, the library's ratio leaves out frequent ones of the second text.
 POPULAR = 200
 
@@ -327,13 +329,13 @@ class Slices:
         bound = np.where(self.odd[window], 1.0, 2.0 * common / (len(low) + hi - lo))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, at, scored, done, many = 0.0, None, {}, 0, 16
+        best, at, scored, done, many = 0.0, None, {}, 0, 1  # the first alone: a close one ends the search
         while done < len(order) and bound[order[done]] >= best - 1e-9:
             some = order[done:done + many]
             done, many = done + many, max(16, min(4 * many, CELLS // (n * min(POPULAR, n) + 1)))
             pieces = [self.texts[w][a:b].lower() for w, a, b in zip(window[some].tolist(), lo[some].tolist(), hi[some].tolist())]
             new = [p for p in dict.fromkeys(pieces) if p not in scored]
-            short = [p for p in new if len(p) < POPULAR]
+            short = [p for p in new if len(p) < POPULAR] if len(new) >= FEW_PIECES else []
             for p, common in zip(short, matched(low, short, best).tolist() if short else ()):
                 scored[p] = 2.0 * common / (len(low) + len(p)) if common >= 0 else -1.0
             for k, piece in zip(some.tolist(), pieces):
