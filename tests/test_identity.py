@@ -3,9 +3,11 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from turnout.functions import similarity
 from turnout.functions.similarity import Letters, Orders, common_subsequence, length_bound, ratio
 from turnout.operators import resolve as R, speakers as S
 
@@ -198,3 +200,20 @@ def test_roster_match_equals_brute_force(spark):
         if best >= 0.85:
             want[c] = round(best, 9)
     assert got == want
+
+
+def test_people_meet_only_names_that_may_pass(monkeypatch):
+    met = []
+    whole = similarity.Letters.bound
+
+    def counted(self, rows, others=slice(None)):
+        out = whole(self, rows, others)
+        met.append(out.size)
+        return out
+    monkeypatch.setattr(similarity.Letters, "bound", counted)
+    names = ["bbbb", "cccc", "dddd", "ffff"]
+    known = pd.DataFrame([(f"{n}.{k}", n, f"{n} smith{k} acme", 100 * i + k) for i, n in enumerate(names) for k in range(50)], columns=["local", "first", "ident", "vid"])
+    asked = known.iloc[[120, 3, 77]].drop(columns="vid").assign(floor=0.65).reset_index(drop=True)
+    assert sorted(similarity.closest_people(asked.iloc[:1], known, 0.5)) == [(0, 1.0, 220)]
+    assert max(met) == 50  # the other 150 have first names without a common letter
+    assert sorted(similarity.closest_people(asked, known, 0.5)) == [(0, 1.0, 220), (1, 1.0, 3), (2, 1.0, 127)]
