@@ -217,3 +217,21 @@ def test_people_meet_only_names_that_may_pass(monkeypatch):
     assert sorted(similarity.closest_people(asked.iloc[:1], known, 0.5)) == [(0, 1.0, 220)]
     assert max(met) == 50  # the other 150 have first names without a common letter
     assert sorted(similarity.closest_people(asked, known, 0.5)) == [(0, 1.0, 220), (1, 1.0, 3), (2, 1.0, 127)]
+
+
+def test_closest_names_equal_brute_force_and_score_few_pairs(monkeypatch):
+    r = random.Random(5)
+    known = sorted({f"{r.choice(['Aisha', 'Rohan', 'Mei', 'Ingrid'])} {r.choice(['Haddad', 'Kim', 'Al-Sayed'])}{r.randint(0, 99)}" for _ in range(200)})
+    asked = [n[:3] + n[n.index(" "):] for n in known] + ["", "Q", "Aisha Hadad7", "nobody of these"]
+    scored = []
+    monkeypatch.setattr(similarity, "SequenceMatcher", lambda *a: scored.append(a) or SequenceMatcher(*a))
+    for some in (asked, asked[:3]):  # few pairs go one by one
+        there = known if some is asked else known[:9]
+        want = {}
+        for i, a in enumerate(some):
+            best = max(ratio(a, b) for b in there)
+            if best >= 0.85:
+                want[i] = (best, min(j for j, b in enumerate(there) if ratio(a, b) == best))
+        scored.clear()
+        assert {i: (x, j) for i, x, j in similarity.closest_names(some, there, 0.85)} == want
+        assert len(scored) < 0.05 * len(some) * len(there) or some is not asked
