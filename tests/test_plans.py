@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from turnout.__main__ import main
 from turnout.functions.contact import Rules
+from turnout.operators import enrich as N
 from turnout.plans.analytics import analyse, comparable
 from turnout.plans.content import check_assets
 from turnout.plans.enrichment import enrich
@@ -109,3 +110,13 @@ def test_dispatch_plan(spark):
     assert got["p1@x.com"][1] == "Hi P1 B. Angle. https://w.example/v?utm_source=webinar&utm_medium=email&utm_campaign=ai-2026-01-01&utm_content=attendee-b"
     assert {x.leftover for x in p["unfilled"].collect()} == {"oops"} and "https://j.example/r?" in p["unfilled"].first().cta_link
     assert [x.email for x in p["suppressed"].collect()] == ["s@x.com"]
+
+
+def test_rules_run_on_dealt_out_rows_and_not_in_the_scan(spark):
+    """One scan task must not hold all the rules, nor a filter on their outcome."""
+    rows = spark.range(40, numPartitions=1).selectExpr(
+        "id AS row_idx", "'e' AS event_slug", "concat('p', id, '@x.com') AS email", "IF(id % 4 = 0, 'Test', 'Ana') AS first_name", "IF(id % 4 = 0, 'sample', 'Kim') AS last_name",
+        "'' AS company", "'CFO' AS job_title", "'IN' AS country", "'Yes' AS attended", "'3' AS minutes")
+    kept = N.people(N.prepared(rows))
+    assert kept.count() == 30 and kept.rdd.getNumPartitions() > 1
+    assert "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
