@@ -235,3 +235,16 @@ def test_closest_names_equal_brute_force_and_score_few_pairs(monkeypatch):
         scored.clear()
         assert {i: (x, j) for i, x, j in similarity.closest_names(some, there, 0.85)} == want
         assert len(scored) < 0.05 * len(some) * len(there) or some is not asked
+
+
+def test_loose_pairing_keeps_one_inbox_of_a_text_before_the_join(spark):
+    """Many inboxes hold the same name and one domain lies in many companies: the first is picked from one row for each text."""
+    speakers = spark.createDataFrame([("e", k, "Ana Kim", "Acme Works", "") for k in range(40)] + [("e", 99, "Zed", "Globex", ""), ("e", 100, "Zed", "None", "")],
+                                     "event_slug string, speaker_no long, name string, company string, email string")
+    boxes = spark.createDataFrame([("e", 1000 - k, f"ana{k}@acme.com") for k in range(200)] + [("e", 5, "info@globex.com"), ("e", 3, "post@globex.org")],
+                                  "event_slug string, inbox_no long, email string")
+    paired = S.paired_loosely(speakers, boxes)
+    assert {(x.speaker_no, x.email, x.rule) for x in paired.collect()} == {
+        *((k, "ana199@acme.com", 2) for k in range(40)), (99, "post@globex.org", 3), (100, "", 0)}
+    plan = paired._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min_by") >= 4  # of a local part, of a domain, of a company, and of the speaker
