@@ -186,8 +186,14 @@ def log_sends(results: DataFrame, path: str) -> None:
 
 
 def sla(sends: DataFrame, closes: DataFrame, hours: int = 24, late: str = "2 days") -> DataFrame:
-    """Sends that left within ``hours`` of their event's close (interval join)."""
-    s = sends.withWatermark("sent_at", late).alias("s")
-    c = closes.withWatermark("closed_at", late).alias("c")
-    on = F.expr(f"s.event_slug = c.event_slug AND s.sent_at >= c.closed_at AND s.sent_at <= c.closed_at + INTERVAL {hours} HOURS")
+    """Sends that left within ``hours`` of their event's close (interval join).
+
+    Time is cut into spans of that length: a close meets the sends of its own span and of the next, so
+    the join state is spread over spans and no send is held against every close of its event.
+    """
+    span = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (hours * 3600))
+    s = sends.withWatermark("sent_at", late).withColumn("_span", span("sent_at")).alias("s")
+    c = closes.withWatermark("closed_at", late).withColumn("_span", F.explode(F.array(span("closed_at"), span("closed_at") + 1))).alias("c")
+    on = F.expr(f"""s.event_slug = c.event_slug AND s._span = c._span
+        AND s.sent_at >= c.closed_at AND s.sent_at <= c.closed_at + INTERVAL {hours} HOURS""")
     return s.join(c, on, "inner").select("s.event_slug", "s.row_idx", "s.email", "s.sent_at", "c.closed_at")
