@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from turnout.plans.analytics import analyse
 from turnout.streaming import analysis as A, jobs as J, release as R
 
@@ -132,3 +134,47 @@ def test_analysis_by_batches_equals_the_analysis_of_all_rows(spark, tmp_path, mo
                 assert sorted(map(str, got[name].select(*df.columns).collect())) == sorted(map(str, df.collect())), (turn, name)
     assert [m["upto"] for m in kept.log("totals").parts() if "upto" in m] == [3] and len(kept.log("totals").parts()) == 1
     assert kept.log("recent").read().count() < len(changed)  # what no window can hold any more is gone
+
+
+def test_sends_meet_closes_by_spans_of_time(spark, tmp_path):
+    """Both ends of the 24 hours count, over the edge of a span too, and the event is not the only key."""
+    at = lambda d, h, m=0: datetime(2026, 1, d, h, m)
+    sends = [("e", n, "x", t) for n, t in enumerate([at(3, 5), at(3, 4, 59), at(4, 5), at(4, 5, 1), at(3, 23), at(4, 0), at(2, 23)])] + [("f", 9, "x", at(3, 6))]
+    closes = [("e", at(3, 5))]
+    paths = []
+    for name, rows, schema in (("s", sends, "event_slug string, row_idx int, email string, sent_at timestamp"), ("c", closes, "event_slug string, closed_at timestamp")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        paths.append(J.file_stream(spark, str(tmp_path / name), spark.read.parquet(str(tmp_path / name)).schema))
+    joined = J.sla(*paths)
+    assert sorted(r.row_idx for r in J.settle(joined, path=str(tmp_path / "out")).collect()) == [0, 2, 4, 5]
+    assert "_span" in joined._jdf.queryExecution().analyzed().toString()
+
+
+def test_batches_of_the_analysis_are_many_files(spark, monkeypatch):
+    from turnout.queries import streams as Q
+    seen = []
+
+    class Kept:
+        def __init__(self, *a):
+            pass
+
+        def refresh(self, *streams):
+            for s in streams:
+                J.each_batch(s, lambda batch, n: seen.append((batch.select(F.input_file_name()).distinct().count(), batch.count())))
+
+        def reports(self, *a):
+            return None
+
+    class V:
+        def __init__(self):
+            self.spark = spark
+
+        def __call__(self, name):
+            return spark.range(900).selectExpr("id", "id % 4 AS k")
+
+    monkeypatch.setattr(Q, "Analysis", Kept)
+    monkeypatch.setattr(Q, "attending", lambda v: None)
+    Q.kept_up_to_date(V())
+    assert len(seen) == 6 and sum(n for _, n in seen) == 1800
+    assert all(n > 150 for _, n in seen)
+    assert max(files for files, _ in seen) > 1

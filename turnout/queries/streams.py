@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from turnout.functions import fixed
 from turnout.operators import engagement as E, enrich as N, reports as P, transcript as X
+from turnout.operators.ordered import tasks
 from turnout.queries.analytics import ACCOUNTS, CHANGES, COUNTERS, attending
 from turnout.queries.content import CUES
 from turnout.queries.registry import QUERIES, query
@@ -173,12 +174,12 @@ def _(v):
 
 
 def kept_up_to_date(v, files=3):
-    """The reports after three batches of each stream, from what the batches added."""
-    streams = []
+    """The reports after three batches of each stream, from what the batches added; a batch is files enough for all tasks."""
+    streams, each = [], -(-tasks(v.spark) // files)
     for name in ("engagement", "lifecycle"):
         path = scratch(v.spark, name)
-        v(name).repartition(files).write.parquet(path)
-        streams.append(J.file_stream(v.spark, path, v.spark.read.parquet(path).schema, maxFilesPerTrigger=1))
+        v(name).repartition(files * each).write.parquet(path)
+        streams.append(J.file_stream(v.spark, path, v.spark.read.parquet(path).schema, maxFilesPerTrigger=each))
     kept = Analysis(v.spark, scratch(v.spark, "analysis"))
     kept.refresh(*streams)
     return kept.reports(attending(v), v("mail_touches"))
