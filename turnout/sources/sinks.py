@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnout.functions import fixed, text as T
+from turnout.operators.ordered import tasks
 from turnout.sources.versions import Log
 
 # Exported columns of the CRM views.
@@ -12,6 +13,8 @@ CONTACT_COLUMNS = (
     "email", "firstname", "lastname", "jobtitle", "company", "function", "seniority", "country", "region", "owner_email",
     "lifecyclestage", "attendance_status", "minutes", "icp_tier", "needs_review", "company_domain", "suppression_reason", "icp_source")
 COMPANY_COLUMNS = ("domain", "name", "industry", "numemployees")
+#: For tables of a folder per key: tasks move their own files into place, not the driver all of them one by one.
+MANY_FILES = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 def write_events(df: DataFrame, path: str, fmt: str = "parquet", **options) -> None:
@@ -35,10 +38,11 @@ def write_report(report: DataFrame, path: str) -> None:
 def write_ordered_text(blocks: DataFrame, path: str, key: str, number: str) -> None:
     """Text blocks per key in order: part files sort by name, rows inside them by number.
 
-    Range partitioning keeps the order without gathering a key's blocks into one value.
+    Range partitioning keeps the order without gathering a key's blocks into one value.  The number of tasks is
+    kept as stated: blocks are few bytes but a file for each key.
     """
-    (blocks.repartitionByRange(key, number).sortWithinPartitions(key, number).select(key, "value")
-           .write.mode("overwrite").partitionBy(key).text(path))
+    ranged = blocks.repartitionByRange(tasks(blocks.sparkSession), key, number).sortWithinPartitions(key, number).select(key, "value")
+    ranged.write.mode("overwrite").options(**MANY_FILES).partitionBy(key).text(path)
 
 
 def append_log(rows: DataFrame, path: str, part: str | int) -> None:
