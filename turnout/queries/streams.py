@@ -109,7 +109,7 @@ def _(v):
     own = v("spec_assets").select("asset_id", F.col("kind").alias("name"), F.col("text").alias("value"))
     clips = own.select("asset_id", F.lit("clip.mp4").alias("name"), F.lit("two words").alias("value"))
     named = F.concat(F.col("asset_id").cast("string"), F.lit("/"), F.col("name"))
-    own.unionByName(clips).select(named.alias("asset_id"), "value").write.partitionBy("asset_id").text(path)
+    S.write_assets(own.unionByName(clips).select(named.alias("asset_id"), "value"), path)
     passed = own.select(named.alias("asset_id"), (F.col("asset_id") % 2 == 0).alias("passed"))
     return S.manifest(v.spark, path, passed).select("asset_id", "bytes", "kind", "source", "words", "grounded")
 
