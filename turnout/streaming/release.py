@@ -1,20 +1,26 @@
 """Runs of vendor requests that are released when all answers are in or their time is up.
 
-Two levels of keyed state.  The first is keyed by run and slot of companies, so a run with very many requests
-is spread over tasks; it keeps for each company when it was asked and whether it has answered in time.  It
-tells the second level, keyed by run, only counts.  A run is released by the answer that completes it, or
-by an event-time timer; both levels clear their state when the time is up.
+Two levels of state.  The first keeps for each company of a run when it was asked and whether it has answered in time;
+a run's companies are dealt out to slots, so a run with very many requests is spread over tasks.  It tells the second
+level, which knows runs, only counts.  A run is released by the answer that completes it, or by an event-time timer;
+both levels clear their state when the time is up.
+
+Each group handed to Python and each call to the state store costs far more than a row.  Both levels are therefore grouped by
+a stated number of parts, hashes of the run (and slot), and a part keeps its records in cells, entries of some
+records each: what is open divided by ``PARTS * CELLS``.  A batch reads and writes the cells of its rows.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SLOTS = 8
+PARTS, CELLS = 2048, 32
 COUNTS = "run_id string, n_asked long, hits long, started long, last long, at timestamp"
 RELEASED = "run_id string, n_asked long, answered long, complete boolean, released_at timestamp"
 
@@ -23,102 +29,153 @@ def millis(at: pd.Series) -> list[int]:
     return (at.astype("datetime64[ms]").astype("int64")).tolist()
 
 
-def moment(ms: int) -> pd.Timestamp:
-    return pd.Timestamp(ms, unit="ms")
+def moments(ms: list[int]) -> pd.Series:
+    return pd.Series(ms, dtype="int64").astype("datetime64[ms]")
 
 
-class Companies(StatefulProcessor):
-    """What one slot of a run's companies has asked and answered.
-
-    An answer counts once a company: from its request on, up to ``wait`` later.  One that arrives before its request
-    is kept with its time and judged when the request is there.
-    """
+class Celled(StatefulProcessor):
+    """Records by key in the cells of a part, each until its ``end``; one timer tells when the first of them ends."""
 
     def __init__(self, wait: int):
         self.wait = wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getMapState("seen", "company_id string", "asked long, hit boolean, early string")
+        self.handle, self.swept = handle, {}
+        self.cells = handle.getMapState("cells", "cell int", "until long, rows string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        told: dict[str, tuple[list[int], list[int]]] = {}
-        expected, latest = 0, 0
-        for frame in rows:
-            for company, at, n, ask in zip(frame["company_id"], millis(frame["at"]), frame["n_asked"], frame["ask"]):
-                asks, says = told.setdefault(company, ([], []))
-                (asks if ask else says).append(at)
-                latest = max(latest, at)
-                if ask:
-                    expected = max(expected, int(n))
-        hits, started, last = 0, None, 0
-        for company, (asks, says) in told.items():
-            asked, hit, early = self.seen.getValue((company,)) or (-1, False, "")
-            says += [int(x) for x in early.split()]
-            if asks:
-                asked = min(asks) if asked < 0 else min(asked, *asks)
-                started = asked if started is None else min(started, asked)
-            fit = [at for at in says if asked <= at <= asked + self.wait] if asked >= 0 else []
-            if fit and not hit:
-                hits, last, hit = hits + 1, max(last, min(fit)), True
-            self.seen.updateValue((company,), (asked, hit, "" if asked >= 0 else " ".join(map(str, says))))
-        self.handle.registerTimer(latest + self.wait + 1)
-        if hits or expected:
-            yield pd.DataFrame({"run_id": [key[0]], "n_asked": [expected], "hits": [hits], "started": [-1 if started is None else started],
-                                "last": [last], "at": [moment(latest)]})
+    def end(self, record: list) -> int:
+        raise NotImplementedError
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        over = []
-        for (company,), (asked, _, early) in self.seen.iterator():
-            if max([asked, *map(int, early.split())]) + self.wait < now:
-                over.append(company)
-        for company in over:
-            self.seen.removeKey((company,))
+    def over(self, ended: list[tuple[tuple, list]]) -> Iterator[pd.DataFrame]:
+        """What records that have ended still say."""
         yield from ()
 
+    def held(self, cell: int) -> dict[tuple, list]:
+        found = self.cells.getValue((cell,))
+        return self.read(found[1]) if found else {}
+
+    def read(self, rows: str) -> dict[tuple, list]:
+        return {tuple(k): v for k, v in json.loads(rows)}
+
+    def keep(self, cell: int, records: dict[tuple, list]) -> int | None:
+        """Write a cell; the first end of its records."""
+        if not records:
+            self.cells.removeKey((cell,))
+            return None
+        until = min(map(self.end, records.values()))
+        self.cells.updateValue((cell,), (until, json.dumps(list(records.items()))))
+        return until
+
+    def wake(self, ends: list[int | None]) -> None:
+        ends = [e for e in ends if e is not None]
+        if ends:
+            self.handle.registerTimer(min(ends) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.swept.get(key) == now:
+            return  # another timer of this part and batch
+        self.swept[key] = now
+        ends, ended = [], []
+        for (cell,), (until, rows) in list(self.cells.iterator()):
+            if until < now:
+                records = self.read(rows)
+                gone = [(k, v) for k, v in records.items() if self.end(v) < now]
+                for k, _ in gone:
+                    del records[k]
+                ended += gone
+                until = self.keep(cell, records)
+            ends.append(until)
+        self.wake(ends)
+        yield from self.over(ended)
+
     def close(self) -> None:
         pass
 
 
-class Runs(StatefulProcessor):
-    """Counts of a run's slots, until all have answered or the time is up."""
+class Companies(Celled):
+    """What companies have been asked and answered: the time of the request, whether an answer has counted, early answers.
 
-    def __init__(self, wait: int):
-        self.wait = wait
+    An answer counts once a company: from its request on, up to ``wait`` later.  One that arrives before its request
+    is kept with its time and judged when the request is there.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("run", "n_asked long, hits long, deadline long, last long, released boolean")
+    def end(self, record: list) -> int:
+        asked, _, early = record
+        return max([asked, *early]) + self.wait
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, hits, deadline, last, released = self.state.get() or (0, 0, -1, 0, False)
-        before = deadline
+        told: dict[int, dict[tuple, tuple[list[int], list[int]]]] = {}
+        runs: dict[str, list] = {}  # expected, hits, started, last, latest
         for frame in rows:
-            n, hits, last = max(n, int(frame["n_asked"].max())), hits + int(frame["hits"].sum()), max(last, int(frame["last"].max()))
-            begun = frame["started"][frame["started"] >= 0]
-            if len(begun):
-                deadline = max(deadline, int(begun.max()) + self.wait)
-        if deadline > before:
-            self.handle.registerTimer(deadline + 1)
-        if not released and n and hits >= n:
-            released = True
-            yield self.row(key, n, hits, True, last)
-        self.state.update((n, hits, deadline, last, released))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, hits, deadline, _, released = self.state.get() or (0, 0, -1, 0, True)
-        if expiredTimerInfo.getExpiryTimeInMs() <= deadline:
-            return  # a later request of the run has moved its end
-        self.state.clear()
-        if not released:
-            yield self.row(key, n, hits, False, deadline)
-
-    def row(self, key, n: int, hits: int, complete: bool, at: int) -> pd.DataFrame:
-        return pd.DataFrame({"run_id": [key[0]], "n_asked": [n], "answered": [hits], "complete": [complete], "released_at": [moment(at)]})
+            for cell, run, company, at, n, ask in zip(*[frame[c].tolist() for c in ("cell", "run_id", "company_id")], millis(frame["at"]),
+                                                      frame["n_asked"].tolist(), frame["ask"].tolist()):
+                asks, says = told.setdefault(cell, {}).setdefault((run, company), ([], []))
+                (asks if ask else says).append(at)
+                counts = runs.setdefault(run, [0, 0, -1, 0, at])
+                counts[4] = max(counts[4], at)
+                if ask:
+                    counts[0] = max(counts[0], n)
+        ends = []
+        for cell, companies in told.items():
+            records = self.held(cell)
+            for (run, company), (asks, says) in companies.items():
+                asked, hit, early = records.get((run, company)) or (-1, False, [])
+                counts, says = runs[run], says + early
+                if asks:
+                    asked = min(asks) if asked < 0 else min(asked, *asks)
+                    counts[2] = asked if counts[2] < 0 else min(counts[2], asked)
+                fit = [at for at in says if asked <= at <= asked + self.wait] if asked >= 0 else []
+                if fit and not hit:
+                    counts[1], counts[3], hit = counts[1] + 1, max(counts[3], min(fit)), True
+                records[run, company] = [asked, hit, [] if asked >= 0 else says]
+            ends.append(self.keep(cell, records))
+        self.wake(ends)
+        said = [(run, *counts) for run, counts in runs.items() if counts[0] or counts[1]]
+        if said:
+            *columns, at = zip(*said)
+            yield pd.DataFrame(dict(zip(("run_id", "n_asked", "hits", "started", "last"), columns))).assign(at=moments(at))
+
+
+class Runs(Celled):
+    """Counts of runs, until all companies have answered or the time is up: asked, answered, deadline, last answer, released."""
+
+    def end(self, record: list) -> int:
+        return record[2]
 
-    def close(self) -> None:
-        pass
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        told: dict[int, list[tuple]] = {}
+        for frame in rows:
+            for cell, *counts in zip(*[frame[c].tolist() for c in ("cell", "run_id", "n_asked", "hits", "started", "last")]):
+                told.setdefault(cell, []).append(counts)
+        ends, complete = [], []
+        for cell, said in told.items():
+            records = self.held(cell)
+            for run, n, hits, started, last in said:
+                record = records.setdefault((run,), [0, 0, -1, 0, False])
+                record[:4] = max(record[0], n), record[1] + hits, max(record[2], started + self.wait if started >= 0 else -1), max(record[3], last)
+            for (run,) in dict.fromkeys((counts[0],) for counts in said):
+                n, hits, _, last, released = record = records[run,]
+                if not released and n and hits >= n:
+                    record[4] = True
+                    complete.append((run, n, hits, True, last))
+            ends.append(self.keep(cell, records))
+        self.wake(ends)
+        yield from self.released(complete)
+
+    def over(self, ended: list[tuple[tuple, list]]) -> Iterator[pd.DataFrame]:
+        return self.released([(run, n, hits, False, deadline) for (run,), (n, hits, deadline, _, released) in ended if deadline >= 0 and not released])
+
+    def released(self, runs: list[tuple]) -> Iterator[pd.DataFrame]:
+        if runs:
+            *columns, at = zip(*runs)
+            yield pd.DataFrame(dict(zip(("run_id", "n_asked", "answered", "complete"), columns))).assign(released_at=moments(at))
+
+
+def placed(*by: str | Column) -> list[Column]:
+    """The part and the cell of a record."""
+    spot = F.pmod(F.xxhash64(*by), F.lit(PARTS * CELLS))
+    return [F.floor(spot / CELLS).cast("int").alias("part"), F.pmod(spot, F.lit(CELLS)).cast("int").alias("cell")]
 
 
 def released_runs(requests: DataFrame, answers: DataFrame, wait_minutes: int = 10) -> DataFrame:
@@ -135,9 +192,10 @@ def released_runs(requests: DataFrame, answers: DataFrame, wait_minutes: int = 1
     says = answers.withWatermark("answered_at", f"{wait_minutes} minutes").select(
         F.col("run_id").cast("string").alias("run_id"), F.col("company_id").cast("string").alias("company_id"), F.col("answered_at").alias("at"),
         F.lit(0).cast("long").alias("n_asked"), F.lit(False).alias("ask"))
-    events = asks.unionByName(says).withColumn("slot", F.pmod(F.xxhash64("company_id"), F.lit(SLOTS)).cast("int"))
-    counts = events.groupBy("run_id", "slot").transformWithStateInPandas(Companies(wait), COUNTS, "Append", "EventTime", eventTimeColumnName="at")
-    return counts.groupBy("run_id").transformWithStateInPandas(Runs(wait), RELEASED, "Append", "EventTime")
+    slot = F.pmod(F.xxhash64("company_id"), F.lit(SLOTS))
+    events = asks.unionByName(says).select("*", *placed("run_id", slot))
+    counts = events.groupBy("part").transformWithStateInPandas(Companies(wait), COUNTS, "Append", "EventTime", eventTimeColumnName="at")
+    return counts.select("*", *placed("run_id")).groupBy("part").transformWithStateInPandas(Runs(wait), RELEASED, "Append", "EventTime")
 
 
 def answers_at_release(released: DataFrame, requests: DataFrame, answers: DataFrame, wait_minutes: int = 10) -> DataFrame:
