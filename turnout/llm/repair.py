@@ -19,11 +19,11 @@ of one id follow each other by a hash of their text.  An empty table gives no bl
 
 from __future__ import annotations
 
-import array
 import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from turnout.llm.base import batched, enough
 from turnout.llm.bpe import shipped
-from turnout.llm.pieces import Memo
+from turnout.llm.pieces import Ragged
 from turnout.session import scratch
 
 END = 0
@@ -42,8 +42,8 @@ RULES = 15_000
 RULES_A_ROUND = 4_096
 FREQUENT = 12
 #: Pieces that are encoded in one go, and that are remembered.
-TOGETHER = 500
-REMEMBERED = 800_000
+TOGETHER = 2000
+REMEMBERED = 1_200_000
 STARTS_A_FILE = 1_000_000
 #: Multiplier that spreads pairs over slots.
 HASHED = 2654435761
@@ -126,13 +126,22 @@ class Block(NamedTuple):
             out.append(out[a] + out[b])
         return out
 
-    def documents(self, terminals: list[bytes]) -> Iterator[bytes]:
+    def documents(self, terminals: list[bytes]) -> Iterator[memoryview]:
         """Each document's ids."""
-        parts = list(map(self.expander(terminals).__getitem__, self.grammar.symbols.tolist()))
+        made = self.expander(terminals)
+        flat = np.frombuffer(b"".join(made), "<u4")
+        sizes = np.concatenate([np.ones(self.grammar.base, np.int64), self.grammar.expansions])
+        symbols = self.grammar.symbols
+        own = sizes[symbols]
+        ends = np.cumsum(own)
+        at = np.repeat((np.cumsum(sizes) - sizes)[symbols] - ends + own, own)
+        at += np.arange(len(at))
+        raw = memoryview(flat[at].tobytes())
+        stops = 4 * np.append(0, ends)[np.cumsum(self.grammar.doc_symbols)]
         start = 0
-        for size in self.grammar.doc_symbols.tolist():
-            yield b"".join(parts[start:start + size])
-            start += size
+        for stop in stops.tolist():
+            yield raw[start:stop]
+            start = stop
 
     def ids(self, start: int, stop: int) -> list[int]:
         """Ids ``start`` to ``stop`` of the block; only the symbols that hold them are expanded."""
@@ -155,10 +164,10 @@ class Block(NamedTuple):
         return out[skip:skip + stop - start]
 
 
-_encoders: dict[str, tuple[Memo, int]] = {}
+_encoders: dict[str, tuple[Ragged, int]] = {}
 
 
-def encoder(content: str) -> tuple[Memo, int]:
+def encoder(content: str) -> tuple[Ragged, int]:
     """The tokenizers library behind a memo of pieces, and the number of ids."""
     key = hashlib.sha256(content.encode()).hexdigest()
     if key not in _encoders:
@@ -172,25 +181,22 @@ def encoder(content: str) -> tuple[Memo, int]:
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         spaced = np.array([(tokenizer.id_to_token(n) or "").startswith("Ġ") for n in range(size)])
 
-        def alone(texts: list[str]) -> list[bytes]:
-            return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        def alone(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array(list(chain.from_iterable(ids)), "<u4"), np.array(list(map(len, ids)), np.int64)
 
-        def many(texts: list[str]) -> list[bytes]:
-            """Pieces that hold one space, at their start, are encoded in one go: an id that begins with it begins a piece."""
-            if len(texts) < TOGETHER or "".join(texts).count(" ") != len(texts) or not all([t[:1] == " " for t in texts]):
-                return alone(texts)
+        def together(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Pieces behind a space, without one themselves, are encoded in one go: an id that begins with a space begins a piece."""
             out = []
             for at in range(0, len(texts), TOGETHER):
                 run = texts[at:at + TOGETHER]
-                ids = np.array(tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, "<u4")
-                bounds = (4 * np.append(np.flatnonzero(spaced[ids]), len(ids))).tolist()
-                raw = ids.tobytes()
-                whole = len(bounds) == len(run) + 1
-                out += [raw[a:b] for a, b in zip(bounds, bounds[1:])] if whole else alone(run)
-            return out
+                ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids, "<u4")
+                sizes = np.diff(np.flatnonzero(spaced[ids]), append=len(ids))
+                out.append((ids, sizes) if len(sizes) == len(run) else alone([" " + p for p in run]))
+            return np.concatenate([ids for ids, _ in out]), np.concatenate([sizes for _, sizes in out])
 
         _encoders.clear()
-        _encoders[key] = Memo(many, b"".join, REMEMBERED), size
+        _encoders[key] = Ragged(alone, together, REMEMBERED), size
     return _encoders[key]
 
 
@@ -264,7 +270,8 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 if len(terminals) != r["base"]:
-                    terminals = [np.array([n], "<u4").tobytes() for n in range(r["base"])]
+                    raw = np.arange(r["base"], dtype="<u4").tobytes()
+                    terminals = [raw[n:n + 4] for n in range(0, len(raw), 4)]
                 block = Block.read(r["base"], r["width"], r["doc_lengths"], r["doc_symbols"], r["rules"], r["expansions"], r["symbols"])
                 ids = np.frombuffer(r["doc_ids"], "<i8")
                 sums = [(len(x) // 4, zlib.crc32(x)) for x in block.documents(terminals)]
