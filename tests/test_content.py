@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnout.functions.layout import fold
-from turnout.functions.similarity import best_slice, matched
+from turnout.functions import similarity
+from turnout.functions.similarity import Slices, best_slice, matched, matching
 from turnout.operators import grounding as G, transcript as X
 
 WORDS = "speed routing lead score signal buyer pipeline meeting revenue answer minutes quarter because nobody waits for the follow up call".split()
@@ -90,6 +91,55 @@ def test_many_pieces_match_as_the_library_says():
             assert all(g == w or g == -1 and 2 * w < 0.5 * (len(quote) + len(p)) for g, w, p in zip(matched(quote, pieces, 0.5).tolist(), want, pieces))
 
 
+def plain_match(a, b):
+    return sum(x.size for x in SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def test_long_and_near_texts_match_as_the_library_says():
+    r = random.Random(4)
+    for letters in ("ab ", "etaoin shrdlu", "abcdefghijklmnopqrstuvwxyz .,;é", "aaaaaaaabcdefghijklmnopqrstuvwxyz      "):
+        for n in (0, 3, 60, 199, 200, 230, 450):
+            a = "".join(r.choice(letters) for _ in range(n))
+            near = [a]
+            for times in (1, 3, 30):
+                b = a
+                for _ in range(times):
+                    k = r.randint(0, len(b))
+                    b = b[:k] + r.choice(["", "zz ", r.choice(letters)]) + b[k + r.choice([0, 1, 5]):]
+                near.append(b)
+            others = near + ["".join(r.choice(letters) for _ in range(k)) for k in (0, 5, 199, 200, 260, 320)]
+            assert [matching(a, b) for b in others] == [plain_match(a, b) for b in others]
+            long = [b for b in others if len(b) >= 200]
+            if a and long:
+                s = Slices(long)
+                for least in (0.0, 0.5):
+                    got = s.matched_rare(a, s.starts[:-1], s.starts[1:], least).tolist()
+                    assert all(g == plain_match(a, b) or g == -1 and 2 * plain_match(a, b) < least * (len(a) + len(b)) for g, b in zip(got, long))
+
+
+def test_a_near_quote_is_held_against_the_windows_that_share_its_parts(monkeypatch):
+    """A line of 400 characters with one word more: no other line is scored, nor is the library asked for the long one."""
+    r = random.Random(12)
+    lines = ["".join(r.choice("etaoinshrdlu  ,.") for _ in range(400)) + "Qx" for _ in range(40)]
+    asked = []
+    monkeypatch.setattr(similarity, "SequenceMatcher", lambda junk, a, b, *rest: asked.append(len(a) + len(b)) or SequenceMatcher(junk, a, b, *rest))
+    s = Slices(lines)
+    for k in (3, 17):
+        quote = lines[k][:20] + "zz " + lines[k][20:]
+        assert s.best(quote) == (SequenceMatcher(None, quote.lower(), lines[k].lower()).ratio(), k, lines[k])
+    assert sum(asked) < 100
+
+
+def test_equal_windows_and_odd_letters_keep_their_order():
+    r = random.Random(13)
+    base = text(r, 50)
+    lines = [text(r, 60), base + " ΟΔΟΣ", base, "İ" + base, base, noisy(r, base, 0.02), text(r, 12)]
+    for quote in (base[:30] + "zz " + base[30:], base + " οδος", "İ" + base, base[5:90], lines[-1], base[::-1]):
+        best, at = plain_best(quote, [(1, i, t) for i, t in enumerate(lines)])
+        got = Slices(lines).best(quote)
+        assert (round(got[0], 12), got[1]) == (round(best, 12), at[1])
+
+
 def test_quotes_of_a_long_transcript_are_joined_by_grams_first(spark, monkeypatch):
     monkeypatch.setattr(G, "SEARCHED", 300)
     monkeypatch.setattr(G, "ASKED", 2)  # several parts of quotes

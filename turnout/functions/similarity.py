@@ -7,7 +7,9 @@ not symmetric, so argument order is kept: (row, primary), (registrant, contact),
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -307,10 +309,22 @@ def matched(low: str, pieces: list[str], least: float) -> np.ndarray:
     at, j = np.divmod(at.astype(np.int32 if run.size < 2**31 else np.int64), m + 1)
     rect, i = np.divmod(at, n + 1)
     i, j = i - size, j - size
-    owner = np.arange(len(pieces))
-    a0, a1, b0, b1 = (np.full(len(pieces), x, np.int32) for x in (0, n, 0, m))
+    total, dead = recursion(n, m, sizes, least, rect, i, j, size)
+    return np.where(dead, -1, total)
+
+
+def recursion(n: int, m: int, sizes: np.ndarray, least: float, rect: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray,
+              longer: Callable | None = None, corner: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Matched characters of each piece from its common runs (``rect``: the piece, in order), and which have no room for ``least``.
+
+    ``longer`` tells by how many characters a chosen run goes on to either side in its open rectangle, ``corner`` how many are
+    equal from the start on, which count where no run is left before the first one chosen.
+    """
+    first_a, first_b = np.full(len(sizes), n, np.int64), sizes.copy()
+    owner = np.arange(len(sizes))
+    a0, a1, b0, b1 = (np.full(len(sizes), x, np.int32) for x in (0, n, 0, m))
     b1[:] = sizes
-    total, dead = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), bool)
+    total, dead = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
     bar = (least - 1e-9) * (n + sizes) / 2
     while len(rect):
         starts = np.flatnonzero(np.r_[True, rect[1:] != rect[:-1]])
@@ -321,10 +335,15 @@ def matched(low: str, pieces: list[str], least: float) -> np.ndarray:
         bj, first = m - first % (m + 1), first // (m + 1)
         bi, most = n - first % (n + 1), first // (n + 1)
         bi, bj, most = (x.astype(np.int32) for x in (bi, bj, most))
-        total += np.bincount(owner, most, len(pieces)).astype(np.int64)
+        if longer:
+            before, after = longer(owner, bi, bj, most, a0, a1, b0, b1)
+            bi, bj, most = bi - before, bj - before, most + before + after
+        total += np.bincount(owner, most, len(sizes)).astype(np.int64)
         ai, aj = bi + most, bj + most
+        at_start = (a0 == 0) & (b0 == 0)
+        first_a[owner[at_start]], first_b[owner[at_start]] = bi[at_start], bj[at_start]
         room = np.minimum(bi - a0, bj - b0) + np.minimum(a1 - ai, b1 - aj)
-        dead |= total + np.bincount(owner, room, len(pieces)) < bar
+        dead |= total + np.bincount(owner, room, len(sizes)) + np.minimum(corner, np.minimum(first_a, first_b)) < bar
         open_ = ~dead[owner][rect]
         before = np.minimum(size, np.minimum(bi[rect] - i, bj[rect] - j))
         skip = np.maximum(0, np.maximum(ai[rect] - i, aj[rect] - j))
@@ -332,36 +351,159 @@ def matched(low: str, pieces: list[str], least: float) -> np.ndarray:
         rect, i, j, size = (np.concatenate(part) for part in (
             (rect[left], rect[right] + len(starts)), (i[left], (i + skip)[right]), (j[left], (j + skip)[right]), (before[left], (size - skip)[right])))
         owner, a0, a1, b0, b1 = np.r_[owner, owner], np.r_[a0, ai], np.r_[bi, a1], np.r_[b0, aj], np.r_[bj, b1]
-    return np.where(dead, -1, total)
+    return total + np.minimum(corner, np.minimum(first_a, first_b)), dead
+
+
+def equal_ahead(a: str, i: int, b: str, j: int, most: int) -> int:
+    """Equal characters from ``i`` and ``j`` on, at most so many."""
+    done, step = 0, 16
+    while done < most:
+        step = min(step, most - done)
+        if a[i + done:i + done + step] == b[j + done:j + done + step]:
+            done, step = done + step, 2 * step
+        elif step == 1:
+            break
+        else:
+            step //= 2
+    return done
+
+
+def equal_behind(a: str, i: int, b: str, j: int, most: int) -> int:
+    """Equal characters that end before ``i`` and ``j``, at most so many."""
+    done, step = 0, 16
+    while done < most:
+        step = min(step, most - done)
+        if a[i - done - step:i - done] == b[j - done - step:j - done]:
+            done, step = done + step, 2 * step
+        elif step == 1:
+            break
+        else:
+            step //= 2
+    return done
+
+
+#: Shorter common runs are left to the library.
+SHORT_RUN = 5
+
+
+def longest_run(a: str, b: str) -> tuple[int, int, int] | None:
+    """The longest common run, the first one of equals: place in ``a``, in ``b``, length; None where it is a short one.
+
+    A run of 2k - 1 characters holds one of the grams of k that ``a`` is cut into.
+    """
+    k = max(SHORT_RUN, min(len(a), len(b)) // 2)
+    while min(len(a), len(b)) >= k:
+        best = (0, 0, 0)
+        for i in range(0, len(a) - k + 1, k):
+            gram = a[i:i + k]
+            j = b.find(gram)
+            while j >= 0:
+                back = equal_behind(a, i, b, j, min(i, j))
+                size = back + k + equal_ahead(a, i + k, b, j + k, min(len(a) - i, len(b) - j) - k)
+                best = max(best, (size, back - i, back - j))
+                j = b.find(gram, j + 1)
+        size, i, j = best
+        if size >= 2 * k - 1:
+            return -i, -j, size
+        if k == SHORT_RUN:
+            return None
+        k = max(SHORT_RUN, (size + 1) // 2 if size else k // 4)
+    return None
+
+
+def matching(a: str, b: str) -> int:
+    """Characters that the library's ratio matches, quickly where long runs are common to both."""
+    if len(b) >= POPULAR:
+        return matching_rare(a, b)
+    total, open_ = 0, [(a, b)]
+    while open_:
+        x, y = open_.pop()
+        if not x or not y:
+            continue
+        run = longest_run(x, y)
+        if run is None:
+            total += sum(part.size for part in SequenceMatcher(None, x, y, False).get_matching_blocks())
+            continue
+        i, j, size = run
+        total += size
+        open_ += (x[:i], y[:j]), (x[i + size:], y[j + size:])
+    return total
+
+
+def matching_rare(a: str, b: str) -> int:
+    """The same where frequent characters of ``b`` begin no run: only the others are walked, runs grow by any."""
+    most, where = len(b) // 100 + 1, {}
+    for ch, times in Counter(b).items():
+        if times <= most:
+            at = [b.find(ch)]
+            while len(at) < times:
+                at.append(b.find(ch, at[-1] + 1))
+            where[ch] = at
+    held = [(i, where[ch]) for i, ch in enumerate(a) if ch in where]
+    places = [i for i, _ in held]
+    total, open_ = 0, [(0, len(a), 0, len(b))]
+    while open_:
+        a0, a1, b0, b1 = open_.pop()
+        best, bi, bj, runs, last = 0, 0, 0, {}, -2
+        for i, at in held[bisect_left(places, a0):bisect_left(places, a1)]:
+            before, runs = runs if i == last + 1 else {}, {}
+            last = i
+            for j in at:
+                if b0 <= j < b1:
+                    size = runs[j] = before.get(j - 1, 0) + 1
+                    if size > best:
+                        best, bi, bj = size, i - size + 1, j - size + 1
+        if best:
+            back = equal_behind(a, bi, b, bj, min(bi - a0, bj - b0))
+            ai, aj = bi + best, bj + best
+            on = equal_ahead(a, ai, b, aj, min(a1 - ai, b1 - aj))
+            total += back + best + on
+            open_ += (a0, bi - back, b0, bj - back), (ai + on, a1, aj + on, b1)
+        else:  # the library then takes what is equal from the corner on
+            total += equal_ahead(a, a0, b, b0, min(a1 - a0, b1 - b0))
+    return total
 
 
 class Slices:
     """Windows in their order of preference, ready to be searched for the best slice of a quote at any ratio.
 
-    A window much longer than the quote is probed as in ``best_slice``.  Every slice is bounded by the letters it
+    A window much longer than the quote is probed as in ``best_slice``.  A quote is first held against the window that
+    shares most of its parts.  What it reaches there leaves so few characters unmatched that a better or equal slice has to
+    hold one of that many parts whole: mostly no other window does.  Else every slice is bounded by the letters it
     shares with the quote, from running counts over all windows; the best bounds are scored first, until
     none that is left can win or tie.
     """
 
+    #: Parts that tell which window to begin with, and the shortest part that tells windows apart.
+    PARTS, SHORTEST = 6, 4
+
     def __init__(self, texts: list[str]):
         self.texts = texts
         low = [t.lower() for t in texts]
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        # a few capitals grow when lowered; their windows are not bounded
-        self.odd = np.array([len(a) != len(b) for a, b in zip(low, texts)], bool)
+        # a few capitals grow when lowered, or by what stands around them; their windows are not bounded
+        self.odd = np.array([len(a) != len(b) or "\u03a3" in b for a, b in zip(low, texts)], bool)
+        self.odd_at = np.flatnonzero(self.odd).tolist()
         self.starts = np.r_[0, np.cumsum(self.sizes)]
-        whole = "".join(b if len(a) != len(b) else a for a, b in zip(low, texts))
-        self.codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.starts_at = self.starts.tolist()
+        self.whole = "".join(b if len(a) != len(b) else a for a, b in zip(low, texts))
+        self.codes = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.running: dict[str, np.ndarray] = {}
+        self.places: dict[str, np.ndarray] = {}
 
     def count(self, letter: str, at: np.ndarray) -> np.ndarray:
         if letter not in self.running:
             self.running[letter] = np.r_[0, np.cumsum(self.codes == ord(letter), dtype=np.int32)]
         return self.running[letter][at]
 
-    def slices(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window, start and end of each slice to be compared with a quote of ``n`` characters."""
-        window = np.flatnonzero(self.sizes > 0)
+    def place(self, letter: str) -> np.ndarray:
+        if letter not in self.places:
+            self.places[letter] = np.flatnonzero(self.codes == ord(letter))
+        return self.places[letter]
+
+    def slices(self, n: int, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window, start and end of each slice of these windows to be compared with a quote of ``n`` characters."""
+        window = window[self.sizes[window] > 0]
         whole = window[self.sizes[window] <= 1.4 * n]
         long = window[self.sizes[window] > 1.4 * n]
         step = max(4, n // 6)
@@ -371,12 +513,49 @@ class Slices:
         return (np.concatenate([whole, owner, long]), np.concatenate([0 * whole, at, self.sizes[long] - n]),
                 np.concatenate([self.sizes[whole], at + n, self.sizes[long]]))
 
+    def holding(self, low: str, parts: int) -> Counter:
+        """Windows that hold one of so many parts of a quote whole, with how many of them."""
+        found, cuts = Counter(), [len(low) * k // parts for k in range(parts + 1)]
+        for a, b in zip(cuts, cuts[1:]):
+            part, last = low[a:b], -1
+            at = self.whole.find(part)
+            while at >= 0:
+                window = bisect_right(self.starts_at, at) - 1
+                if at + len(part) <= self.starts_at[window + 1]:
+                    found[window] += 1
+                    at = self.whole.find(part, self.starts_at[window + 1])  # once a window
+                else:
+                    at = self.whole.find(part, at + 1)
+        return found
+
     def best(self, quote: str) -> tuple[float, int, str] | None:
         """Ratio, window and slice of the best match; of equal ones the earliest.  None where nothing matches."""
         low, n = quote.lower(), len(quote)
         if not n:
             return None
-        window, lo, hi = self.slices(n)
+        scored: dict[str, float] = {}
+        if len(low) >= self.PARTS * self.SHORTEST:
+            likely = self.holding(low, self.PARTS)
+            if likely:
+                most = max(likely.values())
+                near = {min(w for w, times in likely.items() if times == most)}
+                hit = self.best_of(low, n, near, scored)
+                lost = (1 - hit[0]) * 2 * len(low) / hit[0] if hit else len(low)
+                parts = int(lost + 1e-6) + 1
+                if parts * self.SHORTEST <= len(low):
+                    may = {*self.holding(low, parts), *self.odd_at, *near}
+                    return hit if may == near else self.best_of(low, n, may, scored)
+        return self.best_of(low, n, None, scored)
+
+    def best_of(self, low: str, n: int, windows: set[int] | None, scored: dict[str, float]) -> tuple[float, int, str] | None:
+        """The best match in these windows, or in all; ``scored`` keeps the ratios of slices."""
+        if windows and len(windows) == 1:
+            (only,) = windows
+            if 0 < self.sizes[only] <= 1.4 * n:
+                piece = self.texts[only].lower()
+                scored[piece] = 2.0 * matching(low, piece) / (len(low) + len(piece))
+                return (scored[piece], only, self.texts[only]) if scored[piece] > 0 else None
+        window, lo, hi = self.slices(n, np.arange(len(self.texts)) if windows is None else np.array(sorted(windows)))
         start, end = self.starts[window] + lo, self.starts[window] + hi
         common = np.zeros(len(window), np.int64)
         for letter in set(low):
@@ -384,27 +563,81 @@ class Slices:
         bound = np.where(self.odd[window], 1.0, 2.0 * common / (len(low) + hi - lo))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, at, scored, done, many = 0.0, None, {}, 0, 1  # the first alone: a close one ends the search
+        best, at, done, many = 0.0, None, 0, 1  # the first alone: a close one ends the search
         while done < len(order) and bound[order[done]] >= best - 1e-9:
             some = order[done:done + many]
             done, many = done + many, max(16, min(4 * many, CELLS // (n * min(POPULAR, n) + 1)))
             pieces = [self.texts[w][a:b].lower() for w, a, b in zip(window[some].tolist(), lo[some].tolist(), hi[some].tolist())]
-            new = [p for p in dict.fromkeys(pieces) if p not in scored]
-            short = [p for p in new if len(p) < POPULAR] if len(new) >= FEW_PIECES else []
-            for p, common in zip(short, matched(low, short, best).tolist() if short else ()):
-                scored[p] = 2.0 * common / (len(low) + len(p)) if common >= 0 else -1.0
+            new = {p: k for k, p in zip(some.tolist(), pieces) if p not in scored}
+            short = [p for p in new if len(p) < POPULAR]
+            if len(short) >= FEW_PIECES:
+                for p, same in zip(short, matched(low, short, best).tolist()):
+                    scored[p] = 2.0 * same / (len(low) + len(p)) if same >= 0 else -1.0
+            long = np.array([k for p, k in new.items() if len(p) >= POPULAR and not self.odd[window[k]]], np.int64)
+            if len(long) >= FEW_PIECES:
+                sizes = hi[long] - lo[long]
+                for p, same, size in zip([p for p, k in new.items() if len(p) >= POPULAR and not self.odd[window[k]]],
+                                         self.matched_rare(low, start[long], end[long], best).tolist(), sizes.tolist()):
+                    scored[p] = 2.0 * same / (len(low) + size) if same >= 0 else -1.0
             for k, piece in zip(some.tolist(), pieces):
                 if bound[k] < best - 1e-9:
                     break
                 if piece not in scored:
-                    if 2 * common_subsequence(low, piece) < (best - 1e-9) * (len(low) + len(piece)):
-                        continue
-                    scored[piece] = SequenceMatcher(None, low, piece).ratio()
+                    scored[piece] = 2.0 * matching(low, piece) / (len(low) + len(piece))
                 r = scored[piece]
                 if r > best or r == best and at is not None and (window[k], lo[k]) < at[:2]:
                     best, at = r, (window[k], lo[k], hi[k])
         return (best, int(at[0]), self.texts[at[0]][at[1]:at[2]]) if at else None
 
+    def matched_rare(self, low: str, start: np.ndarray, end: np.ndarray, least: float) -> np.ndarray:
+        """What the library's ratio matches between ``low`` and slices of ``POPULAR`` characters or more, as ``matched``.
+
+        Runs begin at characters that are rare in a slice only, which are few: their places are paired, and
+        runs grow by whatever is equal around them.
+        """
+        n, sizes = len(low), end - start
+        m = int(sizes.max())
+        ours = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        keys = []
+        for letter in set(low):
+            before, times = self.count(letter, start), self.count(letter, end)
+            times = times - before
+            rare = np.flatnonzero((times > 0) & (times <= sizes // 100 + 1))
+            if not len(rare):
+                continue
+            i, times = np.flatnonzero(ours == ord(letter)), times[rare]
+            piece = np.repeat(rare, times)
+            nth = np.arange(len(piece)) - np.repeat(np.cumsum(times) - times, times)
+            j = self.place(letter)[before[piece] + nth] - start[piece]
+            # pieces, diagonals and places on them in one number, so that a run is a run of numbers
+            keys.append((((piece * (n + m + 1) + (j + n)) * (n + 2))[:, None] + (1 - i * (n + 1))[None, :]).ravel())
+        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1] + 1]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(key)]).astype(np.int32)
+        rect, place = np.divmod(key[first], (n + m + 1) * (n + 2))
+        along, i = np.divmod(place, n + 2)
+        i = i - 1
+        j = along - n + i
+
+        def steps(piece, i, j, most, way):
+            """Equal characters from there on, one by one for all that still go on."""
+            done, going = np.zeros(len(i), np.int32), np.flatnonzero(most > 0)
+            while len(going):
+                at = done[going] * way
+                going = going[ours[i[going] + at] == self.codes[start[piece[going]] + j[going] + at]]
+                done[going] += 1
+                going = going[done[going] < most[going]]
+            return done
+
+        def longer(piece, i, j, size, a0, a1, b0, b1):
+            return (steps(piece, i - 1, j - 1, np.minimum(i - a0, j - b0), -1),
+                    steps(piece, i + size, j + size, np.minimum(a1 - i - size, b1 - j - size), 1))
+
+        pieces = np.arange(len(start))
+        corner = steps(pieces, 0 * pieces, 0 * pieces, np.minimum(n, sizes), 1)
+        total, dead = recursion(n, m, sizes, least, rect, i.astype(np.int32), j.astype(np.int32), size, longer, corner)
+        return np.where(dead, -1, total)
+
 
 @F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("snippet", StringType())]))
 def window_ratio(quote: pd.Series, text: pd.Series, floor: pd.Series) -> pd.DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnout.functions import fixed, text as T
 from turnout.functions.claims import claims_in, gram_tokens
 from turnout.functions.similarity import Slices, seq_ratio, window_ratio
-from turnout.operators.ordered import attach, by_key, spread, tasks, top_k
+from turnout.operators.ordered import attach, spread, tasks, top_k
 from turnout.operators.speakers import roster_match
 from turnout.operators.transcript import clip_ends, in_chapter, snapped, true_speaker
 from turnout.session import settled
@@ -155,20 +155,35 @@ def any_window(quotes: DataFrame, windows: DataFrame, keys: list[str], quote: st
     # few bytes but much computing: as many tasks as stated
     both = placed.unionByName(wanted).repartition(tasks(q.sparkSession), *group).sortWithinPartitions(*group)
 
+    out = [*keys, "_q", "ratio", "snippet", "label", "span", "seq"]
+
+    def found(key, held, wanted):
+        held.sort(key=lambda window: window[:2])
+        slices = Slices([text for *_, text in held]) if held and wanted else None
+        for one in wanted if slices else ():
+            hit = slices.best(one)
+            if hit:
+                span, seq, label, _ = held[hit[1]]
+                yield (*key[:len(keys)], one, hit[0], hit[2], label, span, seq)
+
     def run(frames):
-        for here in by_key(frames, group):
-            held = here[here["_q"].isna()].sort_values(["_span", "_seq"])
-            wanted = here[here["_q"].notna()]
-            if not len(held) or not len(wanted):
-                continue
-            found = Slices(held["text"].tolist())
-            hits = [found.best(x) for x in wanted["_q"]]
-            some = [h is not None for h in hits]
-            if not any(some):  # columns made from empty lists have no type that Arrow could take
-                continue
-            at = held.iloc[[h[1] for h in hits if h is not None]]
-            yield wanted[some][[*keys, "_q"]].assign(
-                ratio=[h[0] for h in hits if h], snippet=[h[2] for h in hits if h], label=at["label"].to_numpy(), span=at["_span"].to_numpy(), seq=at["_seq"].to_numpy())
+        key, held, wanted = None, [], []  # of one transcript: as plain lists, since most are short
+        for frame in frames:
+            hits = []
+            columns = [frame[c].tolist() for c in ("_q", "text", "label", "_span", "_seq")]
+            for here, one, text, label, span, seq in zip(zip(*[frame[c].tolist() for c in group]), *columns):
+                if here != key:
+                    hits += found(key, held, wanted)
+                    key, held, wanted = here, [], []
+                if one is None:
+                    held.append((int(span), int(seq), label, text))
+                else:
+                    wanted.append(one)
+            if hits:  # columns made from empty lists have no type that Arrow could take
+                yield pd.DataFrame(hits, columns=out)
+        hits = list(found(key, held, wanted))
+        if hits:
+            yield pd.DataFrame(hits, columns=out)
 
     kinds = ", ".join(f"{k} {dict(q.dtypes)[k]}" for k in keys)
     hits = both.mapInPandas(run, f"{kinds}, _q string, ratio double, snippet string, label string, span long, seq long")
