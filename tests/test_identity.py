@@ -120,6 +120,31 @@ def test_crm_match_equals_every_pair(spark, seed, monkeypatch):
     assert in_spark(spark, rows, crm) == want
 
 
+def test_crm_match_by_shared_grams_equals_every_pair(spark, monkeypatch):
+    for name, few in {"FEW_PAIRS": 0, "HELD": 30, "BLOCK": 25, "PAIRS": 600, "TOGETHER": 20}.items():
+        monkeypatch.setattr(R, name, few)  # looked up, cut to pieces and put together
+    rows = people(120, 38)
+    crm = [(100 + n, altered(x, 38000 + n)) for n, x in enumerate(people(120, 39) + rows)]
+    want = every_pair(rows, crm)
+    assert len(want) > 80
+    assert in_spark(spark, rows, crm) == want
+
+
+def test_close_identities_meet_few_others(spark, monkeypatch):
+    """Identities that a contact matches closely are not held against all contacts, however many there are."""
+    monkeypatch.setattr(R, "FEW_PAIRS", 0)
+    own = random.Random(7)
+    word = lambda n: "".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    firms = [word(12) for _ in range(20)]
+    idents = [f"{word(5)} {word(7)} {own.choice(firms)}" for _ in range(400)]
+    asked = spark.createDataFrame([(n, x[:4] + x[5:], 0.95) for n, x in enumerate(idents)] + [(400, "dora", 0.65)], "_id long, ident string, floor double")
+    known = spark.createDataFrame(list(enumerate(idents)), "vid long, ident string")
+    ours, theirs = R.looked_up(asked, known, [], 401, 400)
+    met = {(x._id, x.vid) for x in ours.join(theirs, "_g").collect()}
+    assert {(n, n) for n in range(400)} <= met and {(400, n) for n in range(400)} <= met
+    assert len(met) < 0.2 * 400 * 400
+
+
 def test_other_last_names_and_companies_together_are_found(spark):
     rows = [(0, "e", "anna.garcia@acme.com", "anna.garcia", "Anna", "Garcia", "Acme Corporation", "acme corporation", "", True),
             (1, "e", "bob.miller@x.org", "bob.miller", "Bob", "Miller", "Initech Systems", "initech systems", "", True)]
