@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +270,24 @@ def test_floor_changes_nothing_above_it():
         q = noisy(r, t[20:20 + r.randint(26, 90)], 0.08)
         free, bound = best_slice(q, t, 0.0), best_slice(q, t, 0.9)
         assert bound == (free if free[0] >= 0.9 else (0.0, ""))
+
+
+def test_many_slices_are_walked_together(monkeypatch):
+    """A hopeless quote has its best slice from a walk by run lengths over all slices, as from each one alone."""
+    r = random.Random(21)
+    turns = [text(r, r.randint(20, 60)) for _ in range(8)]
+    windows = list(dict.fromkeys(turns + [f"{a} {b}" for a, b in zip(turns, turns[1:])]))
+    walked = []
+    plain = similarity.matched_slices
+    monkeypatch.setattr(similarity, "matched_slices", lambda *a: walked.append(len(a[3])) or plain(*a))
+    for quote in (turns[2][:90][::-1], text(r, 14)[::-1], "abcdefghij" * 6, "lead lead lead lead lead"):
+        best, at = plain_best(quote, [(1, i, t) for i, t in enumerate(windows)])
+        got = Slices(windows).best(quote)
+        assert (round(got[0], 12), got[1]) == (round(best, 12), at[1])
+    assert max(walked) > 100
+    starts = np.arange(0, 900, 7)
+    whole = Slices([" ".join(turns)])
+    for quote in (turns[1][30:100], turns[0][::-1][:120], "e" * 20):
+        got = whole.matched(quote, starts, starts + 95, 0.0)
+        want = np.array([plain_match(quote, whole.whole[a:a + 95]) for a in starts])
+        assert ((got == want) | (got == similarity.NEAR) & (want >= similarity.LONG_RUN)).all()

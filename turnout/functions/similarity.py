@@ -300,8 +300,10 @@ def best_slice(quote: str, text: str, floor: float) -> tuple[float, str]:
     return (best, text[at[0]:at[1]]) if at and best >= floor else (0.0, "")
 
 
-#: Cells of quotes and pieces that are compared at once.
-CELLS = 4_000_000
+#: Pieces that are compared at once.
+MOST_PIECES = 4000
+#: Letters of pieces, and cells of a quote and its pieces, from which on they are walked by run lengths.
+MANY_LETTERS, CELLS = 8000, 8_000_000
 #: Fewer pieces are compared one by one.
 FEW_PIECES = 4
 #: From so many characters on, the library's ratio leaves out frequent ones of the second text.
@@ -334,6 +336,60 @@ def matched(low: str, pieces: list[str], least: float) -> np.ndarray:
     return np.where(dead, -1, total)
 
 
+#: Common runs from which on a slice is left to ``matching``, and what stands for its count.
+LONG_RUN, NEAR = 12, -2
+
+
+def matched_slices(low: str, codes: np.ndarray, places: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray, least: float) -> np.ndarray:
+    """``matched`` for many slices of one text, of which ``places`` has the letters; ``NEAR`` where a run of ``LONG_RUN`` is common.
+
+    The library takes the longest common run of an open rectangle, the first one of equals, and goes on with what is before
+    and behind it.  So all rectangles of all slices go through the run lengths together, from the longest down: where no longer
+    run is left, the first place of ``low`` whose run stands in the rectangle is taken with its first place there, what is
+    before it has shorter runs only, and the walk goes on behind it.
+    """
+    ours, n = [ord(ch) for ch in low], len(low)
+    levels: list[list[tuple[int, np.ndarray]]] = [[(i, places[ch]) for i, ch in enumerate(low) if len(places[ch])]]
+    while levels[-1] and len(levels) < LONG_RUN:
+        size, longer = len(levels), []
+        for i, at in levels[-1]:
+            if i + size < n:
+                at = at[:at.searchsorted(len(codes) - size)]
+                at = at[codes[at + size] == ours[i + size]]
+                if len(at):
+                    longer.append((i, at))
+        levels.append(longer)
+    near = np.zeros(len(start), bool)
+    if len(levels) == LONG_RUN and levels[-1]:
+        at = np.unique(np.concatenate([at for _, at in levels[-1]]))
+        near = at.searchsorted(end - LONG_RUN, "right") > at.searchsorted(start)
+    piece, total = np.arange(len(start)), np.zeros(len(start), np.int64)
+    a0, a1, b0, b1 = np.zeros(len(start), np.int64), np.full(len(start), n), start.astype(np.int64), end.astype(np.int64)
+    bar, dead = (least - 1e-9) * (n + end - start) / 2, near.copy()
+    for size in range(len(levels), 0, -1):
+        room = np.minimum(a1 - a0, b1 - b0)
+        dead |= total + np.bincount(piece, room, len(start)) < bar
+        open_ = (room >= 1) & ~dead[piece]
+        piece, a0, a1, b0, b1 = (x[open_] for x in (piece, a0, a1, b0, b1))
+        before, last_a, last_b = [], a1 - size, b1 - size
+        for i, at in levels[size - 1]:
+            times, runs = np.empty(len(at) + 1, np.int64), np.empty(len(at) + 1, np.int64)
+            times[0], times[1:-1], times[-1] = at[0] + 1, at[1:] - at[:-1], len(codes) - at[-1]
+            runs[:-1], runs[-1] = at, 2 * len(codes)
+            # the next run from each place on, by a table of all places or by search
+            j = np.repeat(runs, times)[b0] if 24 * len(b0) > len(codes) else runs[at.searchsorted(b0)]
+            hit = np.flatnonzero((j <= last_b) & (a0 <= i) & (i <= last_a))
+            if len(hit):
+                j = j[hit]
+                total += size * np.bincount(piece[hit], minlength=len(start))
+                if size > 1:
+                    before.append((piece[hit], a0[hit], np.full(len(hit), i), b0[hit], j))
+                a0[hit], b0[hit] = i + size, j + size
+        if size > 1 and before:
+            piece, a0, a1, b0, b1 = (np.concatenate([x, *more]) for x, *more in zip((piece, a0, a1, b0, b1), *before))
+    return np.where(near, NEAR, np.where(dead, -1, total))
+
+
 def recursion(n: int, m: int, sizes: np.ndarray, least: float, rect: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray,
               longer: Callable | None = None, corner: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Matched characters of each piece from its common runs (``rect``: the piece, in order), and which have no room for ``least``.
@@ -488,15 +544,15 @@ def matching_rare(a: str, b: str) -> int:
 class Slices:
     """Windows in their order of preference, ready to be searched for the best slice of a quote at any ratio.
 
-    A window much longer than the quote is probed as in ``best_slice``.  A quote is first held against the window that
+    A window much longer than the quote is probed as in ``best_slice``.  A quote is first held against the place that
     shares most of its parts.  What it reaches there leaves so few characters unmatched that a better or equal slice has to
-    hold one of that many parts whole: mostly no other window does.  Else every slice is bounded by the letters it
+    hold one of that many parts whole, near the same place: mostly few slices do.  Else every slice is bounded by the letters it
     shares with the quote, from running counts over all windows; the best bounds are scored first, until
     none that is left can win or tie.
     """
 
-    #: Parts that tell which window to begin with, and the shortest part that tells windows apart.
-    PARTS, SHORTEST = 6, 4
+    #: Parts that tell where to begin, the shortest part that tells places apart, and how many slices and places are few.
+    PARTS, SHORTEST, FEW, PLACES = 6, 4, 60, 300
 
     def __init__(self, texts: list[str]):
         self.texts = texts
@@ -505,6 +561,7 @@ class Slices:
         # a few capitals grow when lowered, or by what stands around them; their windows are not bounded
         self.odd = np.array([len(a) != len(b) or "\u03a3" in b for a, b in zip(low, texts)], bool)
         self.odd_at = np.flatnonzero(self.odd).tolist()
+        self.sizes_at = self.sizes.tolist()
         self.starts = np.r_[0, np.cumsum(self.sizes)]
         self.starts_at = self.starts.tolist()
         self.whole = "".join(b if len(a) != len(b) else a for a, b in zip(low, texts))
@@ -522,9 +579,9 @@ class Slices:
             self.places[letter] = np.flatnonzero(self.codes == ord(letter))
         return self.places[letter]
 
-    def slices(self, n: int, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window, start and end of each slice of these windows to be compared with a quote of ``n`` characters."""
-        window = window[self.sizes[window] > 0]
+    def slices(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window, start and end of each slice to be compared with a quote of ``n`` characters."""
+        window = np.flatnonzero(self.sizes > 0)
         whole = window[self.sizes[window] <= 1.4 * n]
         long = window[self.sizes[window] > 1.4 * n]
         step = max(4, n // 6)
@@ -534,49 +591,72 @@ class Slices:
         return (np.concatenate([whole, owner, long]), np.concatenate([0 * whole, at, self.sizes[long] - n]),
                 np.concatenate([self.sizes[whole], at + n, self.sizes[long]]))
 
-    def holding(self, low: str, parts: int) -> Counter:
-        """Windows that hold one of so many parts of a quote whole, with how many of them."""
-        found, cuts = Counter(), [len(low) * k // parts for k in range(parts + 1)]
+    def holding(self, low: str, parts: int, most: int) -> list[tuple[int, int]] | None:
+        """Where windows hold one of so many parts of a quote whole: window and where in it the quote would begin; None beyond ``most``."""
+        found, cuts = [], [len(low) * k // parts for k in range(parts + 1)]
         for a, b in zip(cuts, cuts[1:]):
-            part, last = low[a:b], -1
+            part = low[a:b]
             at = self.whole.find(part)
             while at >= 0:
                 window = bisect_right(self.starts_at, at) - 1
-                if at + len(part) <= self.starts_at[window + 1]:
-                    found[window] += 1
-                    at = self.whole.find(part, self.starts_at[window + 1])  # once a window
-                else:
-                    at = self.whole.find(part, at + 1)
+                if at + b - a <= self.starts_at[window + 1]:
+                    if len(found) == most:
+                        return None
+                    found.append((window, at - self.starts_at[window] - a))
+                at = self.whole.find(part, at + 1)
         return found
 
+    def probes(self, n: int, window: int, first: int, last: int) -> Iterator[tuple[int, int, int]]:
+        """Slices of a window that begin from ``first`` to ``last``, in that window's order (see ``slices``)."""
+        size = self.sizes_at[window]
+        if size <= 1.4 * n:
+            yield window, 0, size
+            return
+        step = max(4, n // 6)
+        for k in range(max(0, -(-first // step)), min(last, size - n) // step + 1):
+            yield window, k * step, k * step + n
+        if first <= size - n <= last:
+            yield window, size - n, size
+
     def best(self, quote: str) -> tuple[float, int, str] | None:
         """Ratio, window and slice of the best match; of equal ones the earliest.  None where nothing matches."""
         low, n = quote.lower(), len(quote)
         if not n:
             return None
         scored: dict[str, float] = {}
-        if len(low) >= self.PARTS * self.SHORTEST:
-            likely = self.holding(low, self.PARTS)
+        if len(low) >= self.PARTS * self.SHORTEST and not self.odd_at:
+            likely = self.holding(low, self.PARTS, self.PLACES)
             if likely:
-                most = max(likely.values())
-                near = {min(w for w, times in likely.items() if times == most)}
-                hit = self.best_of(low, n, near, scored)
+                (window, begin), _ = Counter(likely).most_common(1)[0]
+                step = max(4, n // 6)
+                hit = self.best_in({*self.probes(n, window, begin - step, begin + step)}, low, scored)
                 lost = (1 - hit[0]) * 2 * len(low) / hit[0] if hit else len(low)
                 parts = int(lost + 1e-6) + 1
                 if parts * self.SHORTEST <= len(low):
-                    may = {*self.holding(low, parts), *self.odd_at, *near}
-                    return hit if may == near else self.best_of(low, n, may, scored)
-        return self.best_of(low, n, None, scored)
-
-    def best_of(self, low: str, n: int, windows: set[int] | None, scored: dict[str, float]) -> tuple[float, int, str] | None:
-        """The best match in these windows, or in all; ``scored`` keeps the ratios of slices."""
-        if windows and len(windows) == 1:
-            (only,) = windows
-            if 0 < self.sizes[only] <= 1.4 * n:
-                piece = self.texts[only].lower()
+                    # what a slice has before a part and the quote has not is unmatched too: it begins near by
+                    there = self.holding(low, parts, self.PLACES)
+                    if there is not None:
+                        near = {probe for w, at in there for probe in self.probes(n, w, at - parts, at + parts)}
+                        if len(near) <= self.FEW:
+                            return self.best_in(near | {hit[1:]}, low, scored, True)
+        return self.best_of(low, n, scored)
+
+    def best_in(self, slices: set[tuple[int, int, int]], low: str, scored: dict[str, float], told: bool = False):
+        """The best of a few slices, one by one: ratio and slice, or as ``best`` has it."""
+        best, at = 0.0, None
+        for window, lo, hi in sorted(slices):
+            piece = self.texts[window][lo:hi].lower()
+            if piece not in scored:
                 scored[piece] = 2.0 * matching(low, piece) / (len(low) + len(piece))
-                return (scored[piece], only, self.texts[only]) if scored[piece] > 0 else None
-        window, lo, hi = self.slices(n, np.arange(len(self.texts)) if windows is None else np.array(sorted(windows)))
+            if scored[piece] > best:
+                best, at = scored[piece], (window, lo, hi)
+        if at is None:
+            return None
+        return (best, at[0], self.texts[at[0]][at[1]:at[2]]) if told else (best, *at)
+
+    def best_of(self, low: str, n: int, scored: dict[str, float]) -> tuple[float, int, str] | None:
+        """The best match of all slices; ``scored`` keeps the ratios of those that were scored before."""
+        window, lo, hi = self.slices(n)
         start, end = self.starts[window] + lo, self.starts[window] + hi
         common = np.zeros(len(window), np.int64)
         for letter in set(low):
@@ -587,19 +667,16 @@ class Slices:
         best, at, done, many = 0.0, None, 0, 1  # the first alone: a close one ends the search
         while done < len(order) and bound[order[done]] >= best - 1e-9:
             some = order[done:done + many]
-            done, many = done + many, max(16, min(4 * many, CELLS // (n * min(POPULAR, n) + 1)))
+            done, many = done + many, MOST_PIECES
             pieces = [self.texts[w][a:b].lower() for w, a, b in zip(window[some].tolist(), lo[some].tolist(), hi[some].tolist())]
             new = {p: k for k, p in zip(some.tolist(), pieces) if p not in scored}
-            short = [p for p in new if len(p) < POPULAR]
-            if len(short) >= FEW_PIECES:
-                for p, same in zip(short, matched(low, short, best).tolist()):
-                    scored[p] = 2.0 * same / (len(low) + len(p)) if same >= 0 else -1.0
-            long = np.array([k for p, k in new.items() if len(p) >= POPULAR and not self.odd[window[k]]], np.int64)
-            if len(long) >= FEW_PIECES:
-                sizes = hi[long] - lo[long]
-                for p, same, size in zip([p for p, k in new.items() if len(p) >= POPULAR and not self.odd[window[k]]],
-                                         self.matched_rare(low, start[long], end[long], best).tolist(), sizes.tolist()):
-                    scored[p] = 2.0 * same / (len(low) + size) if same >= 0 else -1.0
+            even = [(p, k) for p, k in new.items() if not self.odd[window[k]]]
+            for part, way in (([x for x in even if len(x[0]) < POPULAR], self.matched), ([x for x in even if len(x[0]) >= POPULAR], self.matched_rare)):
+                if len(part) >= FEW_PIECES:
+                    own = np.array([k for _, k in part])
+                    for (p, _), same in zip(part, way(low, start[own], end[own], best).tolist()):
+                        if same != NEAR:
+                            scored[p] = 2.0 * same / (len(low) + len(p)) if same >= 0 else -1.0
             for k, piece in zip(some.tolist(), pieces):
                 if bound[k] < best - 1e-9:
                     break
@@ -610,6 +687,12 @@ class Slices:
                     best, at = r, (window[k], lo[k], hi[k])
         return (best, int(at[0]), self.texts[at[0]][at[1]:at[2]]) if at else None
 
+    def matched(self, low: str, start: np.ndarray, end: np.ndarray, least: float) -> np.ndarray:
+        letters = int((end - start).sum())
+        if letters < MANY_LETTERS and letters * len(low) < CELLS:
+            return matched(low, [self.whole[a:b] for a, b in zip(start.tolist(), end.tolist())], least)
+        return matched_slices(low, self.codes, {ch: self.place(ch) for ch in set(low)}, start, end, least)
+
     def matched_rare(self, low: str, start: np.ndarray, end: np.ndarray, least: float) -> np.ndarray:
         """What the library's ratio matches between ``low`` and slices of ``POPULAR`` characters or more, as ``matched``.
 
