@@ -105,3 +105,30 @@ def test_shared_cells_release_what_companies_alone_would():
         assert now or all(v[2] for v in got.values())
         assert now != 45 * MINUTE or {k for k, v in plain.items() if v[3] < now} <= got.keys()
     assert got == plain and not companies.store.map and not runs.store.map
+
+
+ANSWER = ["cell", "run_id", "company_id", "at", "payload", "ask"]
+
+
+def test_answers_in_cells_meet_what_an_outer_join_would():
+    """Requests asked twice, early, late and repeated answers, in any order of batches; the store is called for cells."""
+    own = random.Random(8)
+    part, batches, asks, says = Part(R.Answers(WAIT * 1000)), [[], [], []], [], []
+    for company in range(300):
+        who, cell = (f"r{company % 7}", f"c{company}"), company % 5
+        asked = [own.randint(20, 60) * MINUTE * 1000 + own.randint(0, 999_999) for _ in range(own.choice([0, 1, 1, 1, 2]))]
+        said = [(own.choice(asked or [40 * MINUTE * 1000]) + own.randint(-2, 12) * MINUTE * 1000, f"p{n}") for n in range(own.randint(0, 3))]
+        asks += [(*who, at) for at in asked]
+        says += [(*who, at, payload) for at, payload in said]
+        for at, payload, ask in [(at, None, True) for at in asked] + [(at, payload, False) for at, payload in said]:
+            own.choice(batches).append((cell, *who, pd.Timestamp(at, unit="us"), payload, ask))
+    want = [(r, c, at, said, payload) for r, c, at in asks for x, y, said, payload in says if (x, y) == (r, c) and at <= said <= at + WAIT * 1000]
+    held = {x[:3] for x in want}
+    alone = [(*x, None, None) for x in asks if x not in held]
+    tuples = lambda out: [(x.run_id, x.company_id, x.asked_at, None if pd.isna(x.answered_at) else x.answered_at, x.payload) for x in out.itertuples(index=False)]
+    got = [x for batch in batches for x in tuples(part.feed(batch, ANSWER, 0))]
+    assert sorted(got) == sorted(want) and part.store.calls <= 3 * (2 * 5 + 1)
+    first = tuples(part.feed([], ANSWER, 45 * MINUTE))
+    assert sorted(first) == sorted(x for x in alone if x[2] + WAIT * 1000 < 45 * MINUTE * 1000)
+    assert sorted(first + tuples(part.feed([], ANSWER, 200 * MINUTE))) == sorted(alone)
+    assert part.store.map == {}

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from turnout.functions import contact as C, fixed
 from turnout.operators import engagement as E
 from turnout.session import file_system, folders, scratch, settled
+from turnout.streaming import release
 
 EV = "event_slug"
 BASE_EVERY = 20
@@ -145,19 +146,15 @@ def ingest(drops: DataFrame, handle: Callable[[DataFrame, int], None]) -> None:
 
 
 # --- vendor callbacks -------------------------------------------------------------------------
-def assembled_answers(requests: DataFrame, answers: DataFrame, wait: str = "10 minutes") -> DataFrame:
-    """Each request with its answer, or without one once ``wait`` is over.
+def assembled_answers(requests: DataFrame, answers: DataFrame, wait_minutes: int = 10) -> DataFrame:
+    """Each request with its answers, or without one once the wait is over.
 
-    The join state is keyed by (run, company), so a run with very many requests
-    is spread like any other; the watermark releases the unanswered and clears
-    the state.  ``requests``: run_id, company_id, asked_at; ``answers``: run_id,
-    company_id, answered_at, payload.
+    An outer join of the two streams by (run, company) and time, so a run with very many requests is spread like any
+    other; the watermark releases the unanswered and clears the state.  Spark's own join makes some entries of its state
+    store for each row; the rows are held in cells instead (``release.Answers``).  ``requests``: run_id, company_id,
+    asked_at; ``answers``: run_id, company_id, answered_at, payload.
     """
-    r = requests.withWatermark("asked_at", wait).alias("r")
-    a = answers.withWatermark("answered_at", wait).alias("a")
-    within = F.expr(f"""r.run_id = a.run_id AND r.company_id = a.company_id
-        AND a.answered_at >= r.asked_at AND a.answered_at <= r.asked_at + INTERVAL {wait}""")
-    return r.join(a, within, "left_outer").select("r.run_id", "r.company_id", "r.asked_at", "a.answered_at", "a.payload")
+    return release.assembled(requests, answers, wait_minutes)
 
 
 def newest_answer(assembled: DataFrame) -> DataFrame:

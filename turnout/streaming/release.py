@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 SLOTS = 8
 PARTS, CELLS = 2048, 32
 COUNTS = "run_id string, n_asked long, hits long, started long, last long, at timestamp"
+ANSWERED = "run_id string, company_id string, asked_at long, answered_at long, payload string"
 RELEASED = "run_id string, n_asked long, answered long, complete boolean, released_at timestamp"
 
 
@@ -29,6 +30,10 @@ def millis(at: pd.Series) -> list[int]:
     return (at.astype("datetime64[ms]").astype("int64")).tolist()
 
 
+def micros(at: pd.Series) -> list[int]:
+    return (at.astype("datetime64[us]").astype("int64")).tolist()
+
+
 def moments(ms: list[int]) -> pd.Series:
     return pd.Series(ms, dtype="int64").astype("datetime64[ms]")
 
@@ -172,12 +177,89 @@ class Runs(Celled):
             yield pd.DataFrame(dict(zip(("run_id", "n_asked", "answered", "complete"), columns))).assign(released_at=moments(at))
 
 
+class Answers(Celled):
+    """Requests of companies and their answers, in microseconds, until they can meet nothing that is not late.
+
+    A request meets each answer from its time on, up to ``wait`` later, whichever of the two comes first.  One that has met none
+    is told alone once its time is up.
+    """
+
+    def end(self, record: list) -> int:
+        asks, says = record
+        return min([at + self.wait for at, _ in asks] + [at for at, _ in says]) // 1000
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        told: dict[int, dict[tuple, tuple[list, list]]] = {}
+        for frame in rows:
+            for cell, run, company, at, payload, ask in zip(*[frame[c].tolist() for c in ("cell", "run_id", "company_id")], micros(frame["at"]),
+                                                            frame["payload"].tolist(), frame["ask"].tolist()):
+                asks, says = told.setdefault(cell, {}).setdefault((run, company), ([], []))
+                if ask:
+                    asks.append([at, False])
+                else:
+                    says.append([at, payload])
+        ends, met = [], []
+        for cell, companies in told.items():
+            records = self.held(cell)
+            for who, (asks, says) in companies.items():
+                old_asks, old_says = records.get(who) or ([], [])
+                for some, others in ((asks, says + old_says), (old_asks, says)):
+                    for one in some:
+                        fit = [(at, payload) for at, payload in others if one[0] <= at <= one[0] + self.wait]
+                        one[1] = one[1] or bool(fit)
+                        met += [(*who, one[0], at, payload) for at, payload in fit]
+                records[who] = [old_asks + asks, old_says + says]
+            ends.append(self.keep(cell, records))
+        self.wake(ends)
+        yield from self.told(met)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.swept.get(key) == now:
+            return  # another timer of this part and batch
+        self.swept[key] = now
+        ends, alone = [], []
+        for (cell,), (until, rows) in list(self.cells.iterator()):
+            if until < now:
+                records = {}
+                for who, (asks, says) in self.read(rows).items():
+                    alone += [(*who, at, None, None) for at, met in asks if at + self.wait < now * 1000 and not met]
+                    asks, says = [x for x in asks if x[0] + self.wait >= now * 1000], [x for x in says if x[0] >= now * 1000]
+                    if asks or says:
+                        records[who] = [asks, says]
+                until = self.keep(cell, records)
+            ends.append(until)
+        self.wake(ends)
+        yield from self.told(alone)
+
+    def told(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            runs, companies, asked, answered, payloads = zip(*rows)
+            yield pd.DataFrame({"run_id": runs, "company_id": companies, "asked_at": pd.Series(asked, dtype="int64"),
+                                "answered_at": pd.Series(answered, dtype="Int64"), "payload": pd.Series(payloads, dtype="object")})
+
+
 def placed(*by: str | Column) -> list[Column]:
     """The part and the cell of a record."""
     spot = F.pmod(F.xxhash64(*by), F.lit(PARTS * CELLS))
     return [F.floor(spot / CELLS).cast("int").alias("part"), F.pmod(spot, F.lit(CELLS)).cast("int").alias("cell")]
 
 
+def assembled(requests: DataFrame, answers: DataFrame, wait_minutes: int) -> DataFrame:
+    """Requests with each of their answers in time, or alone: run_id, company_id, asked_at, answered_at, payload (see ``Answers``)."""
+    kinds = dict(requests.dtypes) | {"payload": dict(answers.dtypes)["payload"]}
+    delay = f"{wait_minutes} minutes"
+    ids = [F.col(c).cast("string").alias(c) for c in ("run_id", "company_id")]
+    asks = requests.withWatermark("asked_at", delay).filter("asked_at IS NOT NULL").select(
+        *ids, F.col("asked_at").alias("at"), F.lit(None).cast("string").alias("payload"), F.lit(True).alias("ask"))
+    says = answers.withWatermark("answered_at", delay).filter("answered_at IS NOT NULL AND run_id IS NOT NULL AND company_id IS NOT NULL").select(
+        *ids, F.col("answered_at").alias("at"), F.col("payload").cast("string").alias("payload"), F.lit(False).alias("ask"))
+    events = asks.unionByName(says).select("*", *placed("run_id", "company_id"))
+    met = events.groupBy("part").transformWithStateInPandas(Answers(wait_minutes * 60_000_000), ANSWERED, "Append", "EventTime")
+    return met.select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("run_id", "company_id")],
+                      *[F.timestamp_micros(c).alias(c) for c in ("asked_at", "answered_at")], F.col("payload").cast(kinds["payload"]).alias("payload"))
+
+
 def released_runs(requests: DataFrame, answers: DataFrame, wait_minutes: int = 10) -> DataFrame:
     """A row for each run at its release: how many were asked and have answered, whether that is all, and when.
 
